@@ -31,7 +31,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     top = (F.max(F.struct("id", "row")).alias("top"), F.count("*").alias("size"))
     sketches = rows.withColumn("part", F.pmod(F.spark_partition_id(), F.lit(FAN_IN))).groupBy("part").agg(F.expr(f"approx_top_k_accumulate(digest, {tracked})").alias("s"))
     likely = (
-        sketches.agg(F.expr(f"approx_top_k_combine(s, {tracked})").alias("s"))
+        sketches.groupBy(F.pmod("part", F.lit(1))).agg(F.expr(f"approx_top_k_combine(s, {tracked})").alias("s"))  # grouped, as the function can't merge the empty state of a partition without rows
         .select(F.explode(F.expr(f"approx_top_k_estimate(s, {candidates})")).alias("x"))
         .where("x.count > 1").select(F.col("x.item").alias("digest"))
     )
