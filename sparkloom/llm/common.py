@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -15,8 +19,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers, unless they find it where the driver does."""
+    root = Path(__file__).resolve().parents[2]
+    if str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or any(x.endswith("sparkloom.zip") for x in spark.sparkContext._python_includes):
+        return
+    if spark.sparkContext.master.startswith("local") and Path.cwd() == root:
+        return
+    path = f"{tempfile.mkdtemp()}/sparkloom.zip"  # the driver serves it to the workers as long as it runs
+    with zipfile.ZipFile(path, "w") as out:
+        for f in (root / "sparkloom").rglob("*.py"):
+            out.write(f, f.relative_to(root))
+    spark.sparkContext.addPyFile(path)
+
+
 def bound_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches of this session by rows and by bytes."""
+    """Bound the Arrow batches of this session by rows and by bytes; workers get this package."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, lm, packing, secrets, toxicity
+from . import byte_bpe, exact_dedup, line_dedup, lm, ngram_join, packing, secrets, toxicity
 from .common import table
 
 
@@ -31,6 +31,19 @@ def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line numbers from 0; keeper_ids: for each dropped line the document whose line stays."""
+    found = line_dedup.line_verdicts(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_lines", F.size("dropped").cast("long").alias("n_dropped"),
+        F.transform("dropped", lambda x: x["line"]).alias("dropped_lines"), F.transform("dropped", lambda x: x["keeper"]).alias("keeper_ids"),
+    )
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
