@@ -7,6 +7,8 @@ least remaining room that fits, found by a segment tree over remaining capacitie
 
 A tokenizer maps words between ASCII white space independently of each other (its pre-tokenizer drops
 white space, and composition and lower-casing don't reach across it), so words are encoded once each.
+Words of Latin letters with or without signs behind, of which normaliser and pre-tokenizer make one or
+two plain parts, go to the tokenizer's merges directly, part by part; all others take its whole path.
 
 Defined results: null text counts as empty, and an empty document is its end id alone; repeated rows are
 documents of their own; an empty table gives an empty result.
@@ -15,6 +17,8 @@ documents of their own; an empty table gives an empty result.
 from __future__ import annotations
 
 import functools
+import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -23,12 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .byte_bpe import byte_characters
 from .common import bound_batches, stash, text_buffer
 from .unit_cache import UnitCache, blocks
 
 WINDOW, END_ID = 2048, 1
 #: Pieces that one task packs, on average.
 GROUP = 50_000
+#: Letters that composition leaves alone and that have one letter as lower case, then signs.
+_PLAIN = re.compile(r"""([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([.,;:!?$%&*#|()"-]*)""")
 
 
 @functools.lru_cache(maxsize=2)
@@ -36,14 +43,37 @@ def _words(path: str) -> UnitCache:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
+    merge, table = tokenizer.model.tokenize, dict(enumerate(byte_characters()))
+    direct = _splits_plainly(path)
+    parts: dict[str, list[int]] = {}
+
+    def ids(part: str) -> list[int]:
+        if (found := parts.get(part)) is None:
+            parts[part] = found = [x.id for x in merge(part.encode().decode("latin-1").translate(table))]
+        return found
 
     def many(words: list[bytes]) -> list[list[int]]:
-        out = []
-        for i in range(0, len(words), 4096):
-            out += [x.ids for x in tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words[i : i + 4096]], add_special_tokens=False)]
+        if len(parts) > 300_000:
+            parts.clear()
+        texts = [w.decode("utf-8", "replace") for w in words]
+        out = [(ids(m[1].lower()) + ids(m[2]) if m[2] else ids(m[1].lower())) if direct and (m := _PLAIN.fullmatch(x)) else None for x in texts]
+        rest = [k for k, x in enumerate(out) if x is None]
+        for i in range(0, len(rest), 4096):
+            some = rest[i : i + 4096]
+            for k, x in zip(some, tokenizer.encode_batch_fast([texts[k] for k in some], add_special_tokens=False), strict=True):
+                out[k] = x.ids
         return out
 
-    return UnitCache(many)
+    return UnitCache(many, 600_000)
+
+
+def _splits_plainly(path: str) -> bool:
+    """Whether the file's steps are those that the direct way stands for: composition and lower case, runs of letters and of signs, bytes as characters."""
+    with open(path, encoding="utf-8") as f:
+        made = json.load(f)
+    steps = lambda x, name: [(s["type"], s.get("pattern")) for s in (x or {}).get(name, [])]
+    split = steps(made["pre_tokenizer"], "pretokenizers")
+    return [t for t, _ in steps(made["normalizer"], "normalizers")] == ["NFC", "Replace", "Lowercase"] and [t for t, _ in split] == ["Split", "ByteLevel"] and split[0][1]["Regex"].endswith(r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 
 def token_ids(path: str, data: np.ndarray, offsets: np.ndarray, end_id: int = END_ID) -> Iterator[tuple[int, np.ndarray]]:

@@ -27,7 +27,7 @@ class UnitCache:
     between calls: results never depend on what it holds.
     """
 
-    def __init__(self, many: Callable[[list[bytes]], list], limit: int = 300_000, room: int = 4_000_000) -> None:
+    def __init__(self, many: Callable[[list[bytes]], list], limit: int = 300_000, room: int = 6_000_000) -> None:
         self.many, self.limit, self.room = many, limit, room
         self._clear()
 
