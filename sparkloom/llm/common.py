@@ -66,12 +66,36 @@ def stash(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/stash-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    delete_at_exit(spark, path)
+    _stashes.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Paths of stash() since the last sweep().
+_stashes: list[str] = []
+
+
+def _path(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def delete_at_exit(spark: SparkSession, path: str) -> None:
+    at, files = _path(spark, path)
+    files.deleteOnExit(at)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at, files = _path(spark, path)
+    files.delete(at, True)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete all that stash() has written, once no result that reads it is still to be computed."""
+    while _stashes:
+        delete(spark, _stashes.pop())
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
