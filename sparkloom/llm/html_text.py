@@ -136,6 +136,7 @@ def extract(page: str | None, weights: Weights) -> str:
             total, begin = 0.0, len(blocks)
 
     open_names: list[str] = []
+    opened = Counter()
     for kind, name, rest in tokens(page or ""):
         if kind == "text":
             if not (shut and shut[-1]):
@@ -147,16 +148,18 @@ def extract(page: str | None, weights: Weights) -> str:
             parts.append(" ")
         if name in _SECTION:
             if kind == "open":
-                own = weights.closed(names(name, rest, open_names))
+                own = weights.closed(names(name, rest, [x for x in ("article", "main", "section") if opened[x]]))
                 outer = bool(shut) and shut[-1]
                 pay(-MOST if own and not outer else -LEAST)
                 open_names.append(name)
+                opened[name] += 1
                 shut.append(outer or own)
-            elif name in open_names:
+            elif opened[name]:
                 was = shut[-1]
                 while True:
                     shut.pop()
-                    if open_names.pop() == name:
+                    opened[last := open_names.pop()] -= 1
+                    if last == name:
                         break
                 pay(-LEAST if not was else 0.0)
         else:
