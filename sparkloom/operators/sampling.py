@@ -28,10 +28,8 @@ def split(df: DataFrame, rid: str, share: float = 0.2, seed: int = 42, classes:
     """df with is_test: the first ceil(share * n) rows by md5, of each class if classes are given."""
     group = F.col(f"`{classes}`").cast("string") if classes else F.lit("")
     marked = df.withColumn("__g", group).withColumn("__h", digest(seed, F.col(rid)))
-    sizes = cut(marked.groupBy("__g").agg(F.count(F.lit(1)).alias("__n")))
     placed = numbered(marked, ["__g", "__h", rid])
-    first = placed.groupBy("__g").agg(F.min("__rid").alias("__first"))
-    told = sizes.join(first, F.col("__g").eqNullSafe(first["__g"])).select(sizes["__g"].alias("__k"), "__n", "__first")
+    told = cut(placed.groupBy(F.col("__g").alias("__k")).agg(F.count(F.lit(1)).alias("__n"), F.min("__rid").alias("__first")))
     joined = placed.join(told, F.col("__g").eqNullSafe(F.col("__k")))
     return joined.withColumn("is_test", F.col("__rid") - F.col("__first") < F.ceil(F.lit(share) * F.col("__n"))).drop("__g", "__h", "__n", "__first", "__k", "__rid")
 
