@@ -43,7 +43,7 @@ def correlation_matrix(df: DataFrame, names: list[str], most: int = 80, digits:
 
 
 def long_pairs(df: DataFrame, features: list[str], labels: list[str], keys: list[str] = [], numeric_label: bool = True) -> DataFrame:  # noqa: B006
-    """keys, feature, label, x, y (double, or string): a row a complete pair."""
+    """keys (names), feature, label, x, y (double, or string): a row a complete pair."""
     fs = F.array(*[F.struct(F.lit(c).alias("feature"), num(df, c).alias("x")) for c in features])
     ls = F.array(*[F.struct(F.lit(c).alias("label"), (num(df, c) if numeric_label else F.col(f"`{c}`").cast("string")).alias("y")) for c in labels])
     spread = df.select(*keys, F.explode(fs).alias("f"), ls.alias("ls")).where("f.x is not null").select(*keys, "f.*", F.explode("ls").alias("l"))

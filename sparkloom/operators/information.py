@@ -30,6 +30,12 @@ def _spread(x: np.ndarray, seed: int) -> np.ndarray:
     return x + 1e-10 * max(1.0, float(np.abs(x).mean())) * np.random.default_rng(seed).standard_normal(len(x))
 
 
+def _closer(ordered: np.ndarray, x: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """How many values are closer to x than r, itself included; the margin keeps out the neighbour at r in spite of rounding."""
+    r = np.maximum(0, r - np.maximum(r * 1e-9, 4 * np.spacing(np.abs(x) + r)))
+    return np.searchsorted(ordered, x + r, "right") - np.searchsorted(ordered, x - r, "left")
+
+
 def mi_continuous(x: np.ndarray, y: np.ndarray, k: int = NEIGHBOURS, seed: int = 42) -> float:
     """Kraskov, Stoegbauer, Grassberger (2004), first estimator; in blocks, so memory is linear in the rows."""
     n = len(x)
@@ -39,9 +45,8 @@ def mi_continuous(x: np.ndarray, y: np.ndarray, k: int = NEIGHBOURS, seed: int =
         j = min(n, i + 512)
         d = np.maximum(np.abs(x[i:j, None] - x), np.abs(y[i:j, None] - y))
         d[np.arange(j - i), np.arange(i, j)] = np.inf
-        r = np.nextafter(np.partition(d, k - 1, axis=1)[:, k - 1], 0)
-        nx[i:j] = np.searchsorted(sx, x[i:j] + r, "right") - np.searchsorted(sx, x[i:j] - r, "left")
-        ny[i:j] = np.searchsorted(sy, y[i:j] + r, "right") - np.searchsorted(sy, y[i:j] - r, "left")
+        r = np.partition(d, k - 1, axis=1)[:, k - 1]
+        nx[i:j], ny[i:j] = _closer(sx, x[i:j], r), _closer(sy, y[i:j], r)
     return max(0.0, float(_digamma(np.array([n]))[0] + _digamma(np.array([k]))[0] - _digamma(nx).mean() - _digamma(ny).mean()))
 
 
@@ -63,8 +68,8 @@ def mi_discrete(x: np.ndarray, y: np.ndarray, k: int = NEIGHBOURS, seed: int = 4
             low, high = np.arange(len(v)) - left, np.arange(len(v)) - left + kk
             ok = (low >= 0) & (high < len(v))
             best[ok] = np.minimum(best[ok], np.maximum(v[ok] - v[low[ok]], v[high[ok]] - v[ok]))
-        radius[order], ks[order], ns[order] = np.nextafter(best, 0), kk, len(own)
-    m = np.searchsorted(every, x + radius, "right") - np.searchsorted(every, x - radius, "left")
+        radius[order], ks[order], ns[order] = best, kk, len(own)
+    m = _closer(every, x, radius)
     return max(0.0, float(_digamma(np.array([len(x)]))[0] + _digamma(ks).mean() - _digamma(ns).mean() - _digamma(m).mean()))
 
 
@@ -73,7 +78,7 @@ def mutual_information(df: DataFrame, features: list[str], labels: list[str], ri
     spark = df.sparkSession
     stats = profile.column_stats(df, labels)
     sampled = sampling.sample(df, cap, rid, seed)
-    filled = preprocess.impute(sampled, features)
+    filled = preprocess.impute(sampled, features).withColumnRenamed(rid, "rid")
     kinds = {y: profile.task_by_distinct(s) for y, s in stats.items() if s.distinct >= 2}
     if not kinds or not features:
         return spark.createDataFrame([], MI)
@@ -81,7 +86,7 @@ def mutual_information(df: DataFrame, features: list[str], labels: list[str], ri
     for kind in ("classification", "regression"):
         ys = [y for y, k in kinds.items() if k == kind]
         if ys:
-            parts.append(long_pairs(filled, features, ys, [F.col(rid).alias("rid")], numeric_label=kind == "regression").where("feature <> label").withColumn("y", F.col("y").cast("string")).withColumn("kind", F.lit(kind)))
+            parts.append(long_pairs(filled, features, ys, ["rid"], numeric_label=kind == "regression").where("feature <> label").withColumn("y", F.col("y").cast("string")).withColumn("kind", F.lit(kind)))
     pairs = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
     def score(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -168,10 +173,12 @@ def stability_selection(df: DataFrame, features: list[str], labels: list[str], r
         if n < LEAST or not use:
             continue
 
-        def fit(key: tuple, part: pd.DataFrame, task: str = task) -> pd.DataFrame:
+        regression = task == "regression"
+
+        def fit(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
             part = part.sort_values("rid", kind="stable")
             x = np.array(part["x"].tolist(), float)
-            if task == "regression":
+            if regression:  # noqa: B023
                 t = part["y"].to_numpy(float)
                 x, t = x - x.mean(0), t - t.mean()
                 t = t / (t.std() or 1.0)

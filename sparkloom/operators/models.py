@@ -213,7 +213,7 @@ def regularized(df: DataFrame, features: list[str], labels: list[str], rid: str,
             est = LogisticRegression(featuresCol="x", labelCol="__y", elasticNetParam=1.0, standardization=False, maxIter=50)
             grid = ParamGridBuilder().addGrid(est.regParam, [1 / (c * n) for c in (0.01, 0.1, 1.0, 10.0, 100.0)]).build()
             judge, kind = MulticlassClassificationEvaluator(labelCol="__y", metricName="accuracy"), "l1_logistic"
-        best = CrossValidator(estimator=est, estimatorParamMaps=grid, evaluator=judge, numFolds=3, foldCol="fold", seed=seed).fit(data).bestModel
+        best = CrossValidator(estimator=est, estimatorParamMaps=grid, evaluator=judge, numFolds=3, foldCol="fold", seed=seed, parallelism=4).fit(data).bestModel
         m = best.coefficients.toArray()[None] if held.task == "regression" else best.coefficientMatrix.toArray()
         mean = m.mean(0) if len(m) == 1 else np.abs(m).mean(0)
         out += [(f, y, "coefficient_importance", abs(float(b)), float(b), abs(float(b)), kind, n) for f, b in zip(use, mean, strict=True)]
@@ -295,7 +295,7 @@ def boruta(df: DataFrame, features: list[str], labels: list[str], rid: str, opti
         for k in range(options.iterations):
             data = held.df.select("rid", "__y", *names)
             for c in names:
-                data = data.join(sampling.permute(held.df.select("rid", c), c, "rid", options.seed * 1000 + k).select("rid", f"perm_{c}"), "rid")
+                data = data.join(sampling.permute_bounded(held.df.select("rid", c), c, "rid", options.seed * 1000 + k), "rid")
             data = cut(VectorAssembler(inputCols=[*names, *[f"perm_{c}" for c in names]], outputCol="x").transform(data).select("__y", "x"))
             v = forest(held.task, options.trees, options.seed + k).fit(data).featureImportances.toArray()
             top = v[len(use) :].max()
@@ -443,7 +443,7 @@ def permutation_scores(df: DataFrame, features: list[str], labels: list[str], or
         base = base.withColumn("__y", (F.col("__num") if task == "regression" else F.col("__class__code")).cast("double"))
         base = cut(preprocess.impute(base, names))
         for k, (_, train_end, test_start, test_end) in enumerate(windows.folds(n, *params)):
-            train, test = base.where(F.col("pos") < train_end), base.where((F.col("pos") >= test_start) & (F.col("pos") < test_end))
+            train, test = base.where(F.col("pos") < train_end), base.where((F.col("pos") >= test_start) & (F.col("pos") < test_end)).coalesce(1)  # a fold's rows
             if task == "classification":
                 test = test.join(F.broadcast(train.select("__y").distinct()), "__y", "left_semi")
             if train.count() < 20 or test.count() < 10 or train.select("__y").distinct().count() < 2:
@@ -452,7 +452,7 @@ def permutation_scores(df: DataFrame, features: list[str], labels: list[str], or
             model = forest(task, trees, seed).fit(assemble.transform(train))
             copies = test.withColumn("__f", F.lit(-1))
             for i in use:
-                moved = sampling.permute(test.select("pos", names[i]), names[i], "pos", seed)
+                moved = sampling.permute_bounded(test.select("pos", names[i]), names[i], "pos", seed)
                 copies = copies.unionByName(test.drop(names[i]).join(moved.select("pos", F.col(f"perm_{names[i]}").alias(names[i])), "pos").withColumn("__f", F.lit(i)))
             judged = model.transform(assemble.transform(copies))
             table = (metrics.classification_metrics if task == "classification" else metrics.regression_metrics)(judged, F.col("__y"), F.col("prediction"), ["__f"])

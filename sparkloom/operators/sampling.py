@@ -41,6 +41,13 @@ def permute(df: DataFrame, column: str, rid: str, seed: int = 42) -> DataFrame:
     return by_id.join(shuffled.drop("__h", "__r"), "__rid").drop("__rid")
 
 
+def permute_bounded(df: DataFrame, column: str, rid: str, seed: int = 42) -> DataFrame:
+    """id, perm_<column> by the same order, through windows: for rows that a fold or a cap bounds."""
+    by_id = df.select(rid, F.row_number().over(Window.orderBy(rid)).alias("__k"))
+    shuffled = df.select(F.col(column).alias(f"perm_{column}"), F.row_number().over(Window.orderBy(digest(seed, F.lit(column), F.col(rid)), rid)).alias("__k"))
+    return by_id.join(shuffled, "__k").drop("__k")
+
+
 def resamples(df: DataFrame, rid: str, n: int, times: int, seed: int = 42, share: float = 0.7, least: int = 20) -> DataFrame:
     """resample, id: for each resample the first max(least, floor(share * n)) rows by md5(seed|resample|id). n: rows of df, bounded by the caller."""
     size = min(n, max(least, math.floor(share * n)))

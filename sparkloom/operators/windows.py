@@ -238,4 +238,4 @@ def regime_scores(df: DataFrame, features: list[str], labels: list[str], order:
 def regime_summary(scores: DataFrame) -> DataFrame:
     """score_summary with regime_count and regime = 'all'."""
     counts = scores.groupBy("feature", "label", "score_name").agg(F.count_distinct("regime").alias("regime_count"))
-    return score_summary(scores).join(counts, ["feature", "label", "score_name"], "left").withColumn("regime", F.lit("all"))
+    return score_summary(scores).join(counts, ["feature", "label", "score_name"], "left").withColumn("regime", F.lit("all")).orderBy(F.desc("mean_abs_score"), F.desc("valid_folds"), "feature", "label", "score_name")
