@@ -19,12 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, mix
-from .similarity import Items, Method, hash_sets, sets_and_roots
+from .similarity import NODES, SETS, Items, Method, hash_sets, maybe_in, sets_and_roots
 
 SHINGLE, PART, BANDS, ROWS, MIN_CHARS = 6, 80, 16, 5, 16
 _RNG = np.random.default_rng(917)
 _MULTIPLY = _RNG.integers(1, 2**31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-_ADD = _RNG.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Shingles that are hashed at once: they stay in the processor's cache.
 _BLOCK = 1 << 15
@@ -34,7 +33,8 @@ def normal_form(line: str) -> str:
     return " ".join(line.lower().split())
 
 
-def items(texts: list[bytes], exact: bool) -> Items:
+def items(texts: list[bytes], level: int) -> Items:
+    """The lines of the texts. Without SETS, size counts shingles with their repetitions."""
     owner, node, kept, size = [], [], [], []
     for k, text in enumerate(texts):
         for line in text.decode("utf-8", "replace").split("\n"):
@@ -48,6 +48,8 @@ def items(texts: list[bytes], exact: bool) -> Items:
                 size.append(len(form) - SHINGLE + 1)
                 kept.append(form)
     size = np.array(size, np.int64)
+    if level == NODES:
+        return Items(np.array(owner, np.int64), np.array(node, np.uint64), size, np.zeros(0, np.uint64), np.zeros(len(size), np.int64))
     chars = np.frombuffer("".join(kept).encode("utf-32-le", "replace"), "<u4").astype(np.uint64)
     ends = np.cumsum(size)
     if len(kept):
@@ -60,7 +62,7 @@ def items(texts: list[bytes], exact: bool) -> Items:
         flat = mix(h[np.repeat(begin - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))])
     else:
         flat = chars
-    if exact:
+    if level == SETS:
         flat, ends = hash_sets(flat, ends)
         size = np.diff(np.append(0, ends))
     return Items(np.array(owner, np.int64), np.array(node, np.uint64), size, flat, ends)
@@ -74,10 +76,10 @@ def keys(found: Items) -> tuple[np.ndarray, np.ndarray]:
     while i < n:
         j = min(n, max(i + 1, int(np.searchsorted(found.ends, starts[i] + _BLOCK, "right"))))
         part, at = base[starts[i] : found.ends[j - 1]], starts[i:j] - starts[i]
-        for k in range(BANDS * ROWS):
-            h = part * _MULTIPLY[k] + _ADD[k]
-            h ^= h >> np.uint32(15)
-            lows[k, i:j] = np.minimum.reduceat(h, at)
+        h = np.empty_like(part)
+        for k in range(BANDS * ROWS):  # hashes of hashes: an odd multiplier permutes them
+            np.multiply(part, _MULTIPLY[k], out=h)
+            np.minimum.reduceat(h, at, out=lows[k, i:j])
         i = j
     out = []
     for b in range(BANDS):
@@ -90,7 +92,7 @@ def keys(found: Items) -> tuple[np.ndarray, np.ndarray]:
 
 def line_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per different (id, text): id, digest (xxhash64 of the text), n_lines, dropped: structs of line (from 0) and keeper, the id of the document whose line stays."""
-    rows, roots = sets_and_roots(docs, Method(items, keys, PART), id_col, text_col)
+    rows, roots = sets_and_roots(docs, Method(items, keys, PART, sized=False), id_col, text_col)
     rows = cut(rows.dropDuplicates(["id", "digest"]))
     lines = rows.where("id is not null").select("id", "digest", F.posexplode(F.arrays_zip("nodes", "sizes")).alias("line", "x")).where("x.sizes > 0").select("id", "digest", "line", F.col("x.nodes").alias("node"))
     rooted = cut(lines.join(roots, "node", "left").select("id", "digest", "line", F.coalesce("root", "node").alias("root")))
@@ -106,9 +108,10 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     verdicts = line_verdicts(docs, id_col, text_col).where(F.size("dropped") > 0)
     gone = cut(verdicts.select(F.col(id_col).alias("__id"), F.col("digest").alias("__digest"), F.transform("dropped", lambda x: x["line"]).alias("__gone")))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    marked = docs.withColumn("__digest", F.xxhash64(text))
-    joined = marked.join(gone.withColumnRenamed("__digest", "__key"), (F.col(id_col) == F.col("__id")) & (F.col("__digest") == F.col("__key")), "left")
+    marked = docs.withColumn("__id", F.col(id_col)).withColumn("__digest", F.xxhash64(text))
+    maybe, rest = maybe_in(marked, gone, ["__id", "__digest"])  # most texts aren't shuffled
+    joined = maybe.join(gone, ["__id", "__digest"], "left")
     lines = F.split(text, "\n", -1)
     stay = F.filter(lines, lambda _, i: ~F.array_contains(F.col("__gone"), i))
     kept = joined.where(F.col("__gone").isNull() | F.exists(stay, lambda x: F.trim(x) != ""))
-    return kept.withColumn(text_col, F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(stay, "\n"))).select(*docs.columns)
+    return kept.withColumn(text_col, F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(stay, "\n"))).select(*docs.columns).unionByName(rest.select(*docs.columns))

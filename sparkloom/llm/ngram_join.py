@@ -2,10 +2,13 @@
 
 A document's set holds its different n-word shingles, by 64-bit hash. Linked sets have sizes in the same
 or neighbouring bands and differ in at most d shingles, d following from the band. So if the hash space is
-cut into more than d intervals, linked sets agree in at least one of them; the hash of an interval's
-shingles is a key. Keys are many shingles each, so passages that many documents share make no groups.
-Where so many intervals are empty that agreement could be on empty ones only, the set also sends its
-least hashes (prefix filter); two such sets that link share one. No link is lost: candidates are
+cut into d + 1 + slack intervals, linked sets agree in more than slack of them; the hash of an interval's
+shingles is a key. A set leaves out its lightest intervals, those with less than w shingles, for the
+largest w that leaves out no more than slack: then linked sets agree in one that both send. Keys are
+several shingles each, and the most frequent shingles (a table of bounded size) are left out of all sets
+before, so passages that many documents share hardly make groups. Where more intervals than slack are
+empty, the set also sends the first of its hashes, frequent ones last (prefix filter); two such sets that
+link share one. No link is lost: candidates are
 compared in size-banded tiles, where bit counts of bitmaps bound the overlap, and then exactly.
 
 Defined results: null text and texts without words have no set and are linked with nothing; with fewer
@@ -18,18 +21,24 @@ from __future__ import annotations
 import functools
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mix, word_hashes
-from .similarity import Items, Method, bands, hash_sets, sets_and_roots
+from .common import bound_batches, cut, mix, word_hashes
+from .similarity import KEYS, SEND, Items, Method, bands, block_texts, sets_and_roots, signed
 
 #: Words of a shingle, and the least similarity in hundredths.
 WORDS, PART = 4, 85
+#: Intervals with so many shingles are always sent.
+HEAVIEST = 6
+#: Shingles that keys leave out: at most HOT, each in at least HOT_LEAST sets.
+HOT, HOT_LEAST = 65_536, 50
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
-def items(texts: list[bytes], exact: bool, words: int = WORDS) -> Items:
+def items(texts: list[bytes], level: int, words: int = WORDS) -> Items:
+    """One item a text; every level needs its sorted set."""
     data = np.frombuffer(b"".join(texts), np.uint8)
     w, counts = word_hashes(data, np.cumsum([0, *map(len, texts)]))
     ends = np.cumsum(counts)
@@ -64,29 +73,76 @@ def _bands(part: int) -> tuple[np.ndarray, np.ndarray]:
     return starts[:-2], (100 - part) * 2 * most // (100 + part)
 
 
-def keys(found: Items, part: int = PART) -> tuple[np.ndarray, np.ndarray]:
+def hot_shingles(docs: DataFrame, words: int, id_col: str, text_col: str, least: int = HOT_LEAST, most: int = HOT) -> np.ndarray:
+    """The shingles of the most different sets: at most ``most`` hashes, of at least ``least`` sets each. Counted in blocks of sets, so that rare ones go nowhere."""
+
+    def count(batches):
+        sent: set[int] = set()
+        waiting: list[np.ndarray] = []
+
+        def flush() -> pa.RecordBatch:
+            h, n = np.unique(np.concatenate(waiting), return_counts=True)
+            waiting.clear()
+            return pa.RecordBatch.from_arrays([pa.array(signed(h[n >= 5])), pa.array(n[n >= 5].astype(np.int64))], ["h", "n"])
+
+        for batch in batches:
+            for _, texts in block_texts(batch, 0):
+                found = items(texts, KEYS, words)
+                _, fresh = np.unique(found.node, return_index=True)
+                for k in fresh.tolist():
+                    if found.size[k] and int(found.node[k]) not in sent:
+                        sent.add(int(found.node[k]))
+                        waiting.append(found.flat[found.ends[k] - found.size[k] : found.ends[k]])
+                if sum(map(len, waiting)) >= SEND:
+                    yield flush()
+            if len(sent) > 1_000_000:
+                sent.clear()
+        if waiting:
+            yield flush()
+
+    bound_batches(docs.sparkSession)
+    texts = docs.where(F.col(id_col).isNotNull()).select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    top = texts.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "h").limit(most)
+    return np.sort(np.array([r.h for r in top.collect()], np.int64).view(np.uint64))
+
+
+def keys(found: Items, part: int = PART, hot: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the sets without hot shingles. Linked sets differ in no more shingles without than with them, so all that is said above holds."""
     starts, differ = _bands(part)
     own = np.searchsorted(starts, found.size, "right") - 1
     out = []
+    begin = found.ends - found.size
+    if hot is not None and len(hot):
+        common = hot[np.minimum(np.searchsorted(hot, found.flat), len(hot) - 1)] == found.flat
+    else:
+        common = np.zeros(len(found.flat), bool)
+    sets = [found.flat[a:b][~common[a:b]] for a, b in zip(begin.tolist(), found.ends.tolist(), strict=True)]
     for shift in (1, 0):
         window = own - shift
         use = np.flatnonzero((window >= 0) & (differ[np.maximum(window, 0)] > 0))
         if not len(use):
             continue
-        window, d, size = window[use], differ[window[use]], found.size[use]
-        slack = (3 * (d + 1) + 99) // 100 + 1
+        window, d, size = window[use], differ[window[use]], np.array([len(sets[k]) for k in use.tolist()], np.int64)
+        slack = d // 4 + 1
         parts = d + 1 + slack
-        flat = np.concatenate([found.flat[e - n : e] for e, n in zip(found.ends[use].tolist(), size.tolist(), strict=True)])
+        flat = np.concatenate([sets[k] for k in use.tolist()])
         item = np.repeat(np.arange(len(use)), size)
         interval = (flat >> np.uint64(32)) * parts[item].astype(np.uint64) >> np.uint64(32)
-        first = np.flatnonzero(np.append(True, (interval[1:] != interval[:-1]) | (item[1:] != item[:-1])))
-        total = np.add.reduceat(mix(flat ^ _A), first)
-        at = item[first]
-        out.append((mix(total + interval[first] * _B + window[at].astype(np.uint64) * _A), use[at]))
-        odd = np.flatnonzero(parts - np.bincount(at, minlength=len(use)) > slack)
+        first = np.flatnonzero(np.append(True, (interval[1:] != interval[:-1]) | (item[1:] != item[:-1]))) if len(flat) else np.zeros(0, np.int64)
+        total = np.add.reduceat(mix(flat ^ _A), first) if len(flat) else flat
+        at, load = item[first], np.diff(np.append(first, len(flat))).astype(np.int64)
+        light = parts - np.bincount(at, minlength=len(use))  # intervals with less than ``least`` shingles
+        odd, least = np.flatnonzero(light > slack), np.ones(len(use), np.int64)
+        for more in range(2, HEAVIEST + 1):
+            light = light + np.bincount(at[load == more - 1], minlength=len(use))
+            least[light <= slack] = more
+        send = load >= least[at]
+        key, at = mix(total + interval[first] * _B + window[item[first]].astype(np.uint64) * _A)[send], at[send]
+        out.append((key, use[at]))
         for k in odd.tolist():
-            e, n = found.ends[use[k]], size[k]
-            prefix = found.flat[e - n : e][: n - (part * n + 99) // 100 + 1]
+            a, b = begin[use[k]], found.ends[use[k]]
+            n = b - a
+            prefix = np.concatenate([sets[use[k]], found.flat[a:b][common[a:b]]])[: n - (part * n + 99) // 100 + 1]  # hot ones last
             out.append((mix(prefix * _B + mix(np.array([window[k]], np.uint64) + np.uint64(0x0DD))), np.full(len(prefix), use[k])))
     if not out:
         return found.flat[:0], np.zeros(0, np.int64)
@@ -95,7 +151,8 @@ def keys(found: Items, part: int = PART) -> tuple[np.ndarray, np.ndarray]:
 
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, part: int = PART) -> DataFrame:
     """Per row: id, n_shingles, component_id (the least id of the component)."""
-    method = Method(functools.partial(items, words=words), functools.partial(keys, part=part), part)
+    hot = hot_shingles(docs, words, id_col, text_col)
+    method = Method(functools.partial(items, words=words), functools.partial(keys, part=part, hot=hot), part)
     rows, roots = sets_and_roots(docs, method, id_col, text_col)
     rows = rows.select("id", F.col("sizes")[0].alias("n_shingles"), F.col("nodes")[0].alias("node"))
     sets = rows.where("n_shingles > 0 and id is not null").groupBy("node").agg(F.min("id").alias("least"))
@@ -105,5 +162,3 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     out = rows.join(told, "node", "left")
     return out.select(F.col("id").alias(id_col), "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.col("component")).otherwise(F.col("id")).alias("component_id"))
 
-
-__all__ = ["hash_sets", "ngram_join"]

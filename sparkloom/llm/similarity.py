@@ -3,7 +3,7 @@
 Both similarity joins are made of the same steps. They differ in how a text is cut into items (one set
 of hashes each) and in the keys of an item.
 
-1. Texts are read once. Each item gets a node number, the hash of its set or line, so equal items are one
+1. Each item gets a node number, the hash of its set or line, so equal items are one
    node however often they occur. A task sends the keys of a node once, in sorted blocks by range of keys.
 2. In a range, nodes with a common key form a group; a group is kept as a star, never as pairs, and the
    stars of a range are merged before they leave it.
@@ -33,7 +33,11 @@ from .common import bound_batches, cut, mix, pack, partitions, stash, text_buffe
 from .unit_cache import blocks
 
 #: Members of a tile, words of a bitmap, keys that a task gathers before it sends them, hashes in a task of tiles.
-TILE, WORDS, SEND, TASK = 2048, 16, 1_000_000, 4_000_000
+TILE, WORDS, SEND, TASK = 4096, 16, 2_500_000, 4_000_000
+#: Bits of a key that stay behind.
+DROPPED = np.uint64(16)
+#: What items() is asked for: node and size of each item; hashes for keys too; sorted different hashes.
+NODES, KEYS, SETS = 0, 1, 2
 
 
 @dataclasses.dataclass
@@ -49,15 +53,16 @@ class Items:
 
 @dataclasses.dataclass(frozen=True)
 class Method:
-    """items(texts, exact) -> Items, with sorted different hashes if exact; keys(Items) -> (keys, item of each key).
+    """items(texts, level) -> Items, by NODES, KEYS or SETS; keys(Items) -> (keys, item of each key).
 
     Two sets link when whole * intersection >= part * union.
     """
 
-    items: Callable[[list[bytes], bool], Items]
+    items: Callable[[list[bytes], int], Items]
     keys: Callable[[Items], tuple[np.ndarray, np.ndarray]]
     part: int
     whole: int = 100
+    sized: bool = True  # sizes are those of the sets already by NODES
 
     def needed(self, total: np.ndarray) -> np.ndarray:
         """Least intersection of linked sets whose sizes add up to total."""
@@ -118,26 +123,37 @@ def _slim(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
-def _blocks(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[bytes]]]:
+def block_texts(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[bytes]]]:
+    """(first row, texts) in blocks of bounded size."""
     data, offsets = text_buffer(batch.column(column))
     for i, j in blocks(offsets):
         yield i, [data[offsets[k] : offsets[k + 1]].tobytes() for k in range(i, j)]
 
 
-def read(docs: DataFrame, method: Method, id_col: str, text_col: str) -> DataFrame:
-    """Stored rows of two kinds. Group -1: id, digest (of the text), nodes, sizes of its items. Others: nodes, keys and places (of the keys' nodes) of a range of keys.
-
-    Rows without id send no keys: they are linked with nothing.
-    """
-    spark = docs.sparkSession
-    bound_batches(spark)
-    ranges = partitions(spark)
+def read_items(docs: DataFrame, method: Method, id_col: str, text_col: str) -> DataFrame:
+    """id, digest (of the text), nodes and sizes of its items: narrow rows, stored."""
+    bound_batches(docs.sparkSession)
     slim = _slim(docs, id_col, text_col).withColumn("digest", F.xxhash64("text"))
-    id_type = slim.schema["id"].dataType
-    schema = T.StructType([T.StructField("group", T.IntegerType()), T.StructField("id", id_type), T.StructField("digest", T.LongType()), T.StructField("nodes", T.ArrayType(T.LongType())), T.StructField("sizes", T.ArrayType(T.LongType())), T.StructField("members", T.BinaryType()), T.StructField("keys", T.BinaryType()), T.StructField("places", T.BinaryType())])
-    from pyspark.sql.pandas.types import to_arrow_schema
+    schema = T.StructType([slim.schema["id"], T.StructField("digest", T.LongType()), T.StructField("nodes", T.ArrayType(T.LongType())), T.StructField("sizes", T.ArrayType(T.LongType()))])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, texts in block_texts(batch, 1):
+                items = method.items(texts, NODES)
+                n, held = len(texts), pa.array(np.searchsorted(items.owner, np.arange(len(texts) + 1)), pa.int32())
+                listed = lambda x: pa.ListArray.from_arrays(held, pa.array(x, pa.int64()))  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), batch.column(2).slice(first, n), listed(signed(items.node)), listed(items.size)], ["id", "digest", "nodes", "sizes"])
+
+    return stash(slim.mapInArrow(work, schema))
+
 
-    arrow = to_arrow_schema(schema)
+def key_rows(docs: DataFrame, method: Method, id_col: str, text_col: str) -> DataFrame:
+    """group (a range of keys), keys, members, places (of the keys' nodes among the members; none if each key has its own). Rows without id send none.
+
+    A task sends the keys of a node once. The low bits of keys stay behind: keys only name candidates.
+    """
+    ranges = partitions(docs.sparkSession)
+    slim = _slim(docs, id_col, text_col).where("id is not null").select("text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges = (np.arange(ranges, dtype=object) * 2**64 // ranges).astype(np.uint64)
@@ -147,32 +163,28 @@ def read(docs: DataFrame, method: Method, id_col: str, text_col: str) -> DataFra
         def flush() -> pa.RecordBatch:
             keys, nodes = (np.concatenate(x) for x in zip(*waiting, strict=True))
             waiting.clear()
-            order = np.argsort(keys, kind="stable")
+            order = np.argsort(keys)
             keys, nodes = keys[order], nodes[order]
             cuts = np.append(np.searchsorted(keys, edges), len(keys))
             rows = []
             for b in np.flatnonzero(np.diff(cuts)):
-                own, place = np.unique(nodes[cuts[b] : cuts[b + 1]], return_inverse=True)
-                rows.append({"group": int(b), "members": pack(own), "keys": pack(keys[cuts[b] : cuts[b + 1]]), "places": pack(place.astype(np.uint32))})
-            return pa.RecordBatch.from_pylist(rows, arrow)
+                part, at = nodes[cuts[b] : cuts[b + 1]], keys[cuts[b] : cuts[b + 1]] >> DROPPED
+                own, place = np.unique(part, return_inverse=True)
+                alone = 2 * len(own) > len(part)
+                rows.append((int(b), pack(at), pack(part if alone else own), b"" if alone else pack(place.astype(np.uint32))))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["group", "keys", "members", "places"])
 
         for batch in batches:
-            known = np.array(batch.column(0).is_valid())
-            for first, texts in _blocks(batch, 1):
-                items = method.items(texts, False)
-                n, held = len(texts), np.searchsorted(items.owner, np.arange(len(texts) + 1))
-                listed = lambda x: pa.ListArray.from_arrays(pa.array(held, pa.int32()), pa.array(x, pa.int64()))  # noqa: B023, E731
-                empty = pa.nulls(n, pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array([-1] * n, pa.int32()), batch.column(0).slice(first, n), batch.column(2).slice(first, n), listed(signed(items.node)), listed(items.size), empty, empty, empty], schema=arrow)
+            for _, texts in block_texts(batch, 0):
+                items = method.items(texts, KEYS)
                 _, fresh = np.unique(items.node, return_index=True)
-                take = np.zeros(len(items.node), bool)
-                take[fresh] = True
-                take &= (items.size > 0) & known[first + items.owner]
-                use = [k for k in np.flatnonzero(take).tolist() if int(items.node[k]) not in sent]
-                if use:
+                use = np.array([k for k in fresh.tolist() if items.size[k] and int(items.node[k]) not in sent], np.int64)
+                if len(use):
+                    use.sort()
                     sent.update(items.node[use].tolist())
-                    keys, place = method.keys(_take(items, np.array(use)))
-                    waiting.append((keys, items.node[use][place]))
+                    keys, place = method.keys(_take(items, use))
+                    if len(keys):
+                        waiting.append((keys, items.node[use][place]))
                     if sum(len(x[0]) for x in waiting) >= SEND:
                         yield flush()
             if len(sent) > 1_000_000:
@@ -180,7 +192,7 @@ def read(docs: DataFrame, method: Method, id_col: str, text_col: str) -> DataFra
         if waiting:
             yield flush()
 
-    return stash(slim.mapInArrow(work, schema))
+    return slim.mapInArrow(work, "group int, keys binary, members binary, places binary")
 
 
 def _take(items: Items, use: np.ndarray) -> Items:
@@ -191,12 +203,12 @@ def _take(items: Items, use: np.ndarray) -> Items:
     return Items(items.owner[use], items.node[use], items.size[use], flat, ends)
 
 
-def clusters(stored: DataFrame) -> DataFrame:
+def clusters(rows: DataFrame) -> DataFrame:
     """node, root over the groups of nodes with a common key."""
 
     def stars(table: pa.Table) -> pa.Table:
         keys = np.concatenate([unpack(x, np.uint64) for x in table["keys"].to_pylist()])
-        nodes = np.concatenate([unpack(m, np.uint64)[unpack(p, np.uint32)] for m, p in zip(table["members"].to_pylist(), table["places"].to_pylist(), strict=True)])
+        nodes = np.concatenate([unpack(m, np.uint64)[unpack(p, np.uint32)] if p else unpack(m, np.uint64) for m, p in zip(table["members"].to_pylist(), table["places"].to_pylist(), strict=True)])
         nodes = signed(nodes)
         order = np.argsort(keys, kind="stable")
         keys, nodes = keys[order], nodes[order]
@@ -206,7 +218,7 @@ def clusters(stored: DataFrame) -> DataFrame:
         node, root = local_roots(nodes[use], root[use]) if use.any() else (nodes[:0], nodes[:0])
         return pa.table({"a": node[node != root], "b": root[node != root]})
 
-    return components(stored.where("group >= 0").select("group", "members", "keys", "places").groupBy("group").applyInArrow(stars, "a long, b long"))
+    return components(rows.groupBy("group").applyInArrow(stars, "a long, b long"))
 
 
 # Tiles ----------------------------------------------------------------------------------------
@@ -249,58 +261,76 @@ def link(sets: list[np.ndarray], side: np.ndarray, method: Method) -> np.ndarray
 def linked(docs: DataFrame, stored: DataFrame, method: Method, id_col: str, text_col: str) -> DataFrame:
     """node, root: exact components of nodes with a link."""
     spark = docs.sparkSession
-    found = cut(clusters(stored))
-    seen = stored.where("group = -1 and id is not null").select("id", "digest", F.explode("nodes").alias("node"))
-    where = seen.join(found, "node").groupBy("node").agg(F.first("root").alias("root"), F.min(F.struct("id", "digest")).alias("at"))
-    wanted = where.groupBy("at").agg(F.collect_list(F.struct("node", "root")).alias("wanted")).select("at.*", "wanted")  # within one text
-    texts = _slim(docs, id_col, text_col).withColumn("digest", F.xxhash64("text")).join(wanted, ["id", "digest"]).select("text", "wanted")
+    found = cut(clusters(key_rows(docs, method, id_col, text_col)))
+    seen = stored.where("id is not null").select("id", "digest", F.explode(F.arrays_zip("nodes", "sizes")).alias("x")).select("id", "digest", F.col("x.nodes").alias("node"), F.col("x.sizes").alias("size"))
+    where = cut(seen.join(found, "node").groupBy("node").agg(F.first("root").alias("root"), F.first("size").alias("size"), F.min(F.struct("id", "digest")).alias("at")))
+    total = where.agg(F.sum("size")).first()[0]
+    if not total:
+        return found.limit(0)
+    units = _large_units(where, method)
+    asked = F.struct("node", "root", "units") if units is not None else F.struct("node", "root", F.lit(None).cast(_UNITS).alias("units"))
+    placed = where.join(units, "node", "left") if units is not None else where
+    wanted = cut(placed.groupBy("at").agg(F.collect_list(asked).alias("wanted")).select("at.*", "wanted"))  # within one text
+    texts = maybe_in(_slim(docs, id_col, text_col).withColumn("digest", F.xxhash64("text")), wanted, ["id", "digest"])[0].join(wanted, ["id", "digest"]).select("text", "wanted")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             asked = batch.column(1)
-            for first, texts in _blocks(batch, 0):
-                items = method.items(texts, True)
+            for first, texts in block_texts(batch, 0):
+                items = method.items(texts, SETS)
                 nodes, edges = signed(items.node), np.append(0, items.ends)
                 held = np.searchsorted(items.owner, np.arange(len(texts) + 1))
                 out = []
                 for k in range(len(texts)):
-                    want = {x["node"]: x["root"] for x in asked[first + k].as_py()}
+                    want = {x["node"]: x["units"] or [{"unit": x["root"], "side": 0}] for x in asked[first + k].as_py()}
                     for i in range(held[k], held[k + 1]):
-                        if (root := want.pop(int(nodes[i]), None)) is not None:
-                            out.append((root, int(nodes[i]), int(items.size[i]), pack(items.flat[edges[i] : edges[i + 1]])))
+                        if found := want.pop(int(nodes[i]), None):
+                            hashes = pack(items.flat[edges[i] : edges[i + 1]])
+                            out += [(u["unit"], u["side"], int(nodes[i]), hashes) for u in found]
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["root", "node", "size", "hashes"])
-
-    sets = stash(texts.mapInArrow(extract, "root long, node long, size long, hashes binary"))
-    edges = sets.sparkSession.createDataFrame([], "a long, b long") if sets.isEmpty() else _tiles(spark, sets, method)
-    return components(edges)
-
-
-def _tiles(spark, sets: DataFrame, method: Method) -> DataFrame:
-    told = sets.agg(F.max("size").alias("most"), F.sum("size").alias("total")).first()
-    tasks = max(partitions(spark), -(-told.total // TASK))
-    starts = bands(method.part, method.whole, told.most)
-    band = _band(F.col("size"), method)
-    large = cut(sets.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > TILE).select("root"))
-    marked = sets.join(large.withColumn("large", F.lit(True)), "root", "left")
-    small = marked.where("large is null").select(F.col("root").alias("unit"), F.lit(0).alias("side"), "node", "hashes")
-    del starts
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], ["unit", "side", "node", "hashes"])
+
+    sets = texts.mapInArrow(extract, "unit long, side int, node long, hashes binary")
+    return components(_tiles(sets, max(partitions(spark), -(-total // TASK)), method))
+
+
+_UNITS = "array<struct<unit:long,side:int>>"
+
+
+def _large_units(where: DataFrame, method: Method) -> DataFrame | None:
+    """node, units: the pairs of tiles that a node of a large cluster is in, and its side there (0 where a tile meets itself). Narrow rows only; None without large clusters."""
+    large = cut(where.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > TILE).select("root"))
     if large.isEmpty():
-        units = small
-    else:
-        of = marked.where("large").select("root", "node", "hashes", band.alias("band"))
-        count = cut(of.groupBy("root", "band").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles")))
-        after = count.select("root", (F.col("band") - 1).alias("band"), F.col("tiles").alias("after"))
-        before = count.select("root", (F.col("band") + 1).alias("band"), F.col("tiles").alias("before"))
-        plan = count.join(after, ["root", "band"], "left").join(before, ["root", "band"], "left").na.fill(0, ["after", "before"])
-        own = of.join(plan, ["root", "band"]).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")))
-        pair = lambda b1, t1, b2, t2, side: F.struct(F.xxhash64("root", b1, t1, b2, t2).alias("unit"), side.alias("side"))
-        upto = lambda n: F.when(n > 0, F.sequence(F.lit(0).cast("long"), n.cast("long") - 1)).otherwise(F.array().cast("array<long>"))
-        b, t = F.col("band"), F.col("tile")
-        same = F.transform(upto(F.col("tiles")), lambda o: pair(b, F.least(t, o), b, F.greatest(t, o), F.when(o == t, 0).when(t < o, 1).otherwise(2)))
-        up = F.transform(upto(F.col("after")), lambda o: pair(b, t, b + 1, o, F.lit(1)))
-        down = F.transform(upto(F.col("before")), lambda o: pair(b - 1, o, b, t, F.lit(2)))
-        units = small.unionByName(own.select("node", "hashes", F.explode(F.concat(same, up, down)).alias("x")).select("x.unit", "x.side", "node", "hashes"))
+        return None
+    of = where.join(large, "root").select("root", "node", (_band(F.col("size"), method) if method.sized else F.lit(0)).alias("band"))
+    count = cut(of.groupBy("root", "band").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles")))
+    after = count.select("root", (F.col("band") - 1).alias("band"), F.col("tiles").alias("after"))
+    before = count.select("root", (F.col("band") + 1).alias("band"), F.col("tiles").alias("before"))
+    plan = cut(count.join(after, ["root", "band"], "left").join(before, ["root", "band"], "left").na.fill(0, ["after", "before"]))
+    own = of.join(plan, ["root", "band"]).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")))
+    pair = lambda b1, t1, b2, t2, side: F.struct(F.xxhash64("root", b1, t1, b2, t2).alias("unit"), side.cast("int").alias("side"))
+    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0).cast("long"), n.cast("long") - 1)).otherwise(F.array().cast("array<long>"))
+    b, t = F.col("band"), F.col("tile").cast("long")
+    same = F.transform(upto(F.col("tiles")), lambda o: pair(b, F.least(t, o), b, F.greatest(t, o), F.when(o == t, 0).when(t < o, 1).otherwise(2)))
+    up = F.transform(upto(F.col("after")), lambda o: pair(b, t, b + 1, o, F.lit(1)))
+    down = F.transform(upto(F.col("before")), lambda o: pair(b - 1, o, b, t, F.lit(2)))
+    return own.select("node", F.concat(same, up, down).alias("units"))
+
+
+def maybe_in(df: DataFrame, keys: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows that may have their key among ``keys``, rows that surely haven't), without a shuffle: by a bit set of at most 16 MB, of one hash, sixteen bits a key while that fits."""
+    n = keys.count()
+    bits = min(1 << 27, max(1 << 15, 1 << (16 * n).bit_length()))
+    place = F.pmod(F.xxhash64(*on), F.lit(bits))
+    sets = keys.select(place.alias("p")).select(F.expr("p div 32768").alias("__b"), (F.col("p") % 32768).alias("p")).groupBy("__b").agg(F.expr("bitmap_construct_agg(p)").alias("__bits"))
+    marked = df.withColumn("__p", place).withColumn("__b", F.expr("__p div 32768")).join(F.broadcast(sets), "__b", "left")
+    byte = F.conv(F.hex(F.expr("substring(__bits, cast((__p % 32768) div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    told = marked.withColumn("__in", F.coalesce(F.getbit(byte, (F.col("__p") % 8).cast("int")) == 1, F.lit(False)))
+    return told.where("__in").select(*df.columns), told.where("not __in").select(*df.columns)
+
+
+def _tiles(units: DataFrame, tasks: int, method: Method) -> DataFrame:
+    """a, b: links within units of sets."""
 
     def compare(table: pa.Table) -> pa.Table:
         table = table.sort_by([("unit", "ascending"), ("node", "ascending")])
@@ -329,10 +359,9 @@ def _band(size: Column, method: Method) -> Column:
 
 
 def sets_and_roots(docs: DataFrame, method: Method, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(rows of group -1 of read(), node and root of linked nodes)."""
-    stored = read(docs, method, id_col, text_col)
-    roots = cut(linked(docs, stored, method, id_col, text_col))
-    return stored.where("group = -1").select("id", "digest", "nodes", "sizes"), roots
+    """(rows of read_items(), node and root of linked nodes)."""
+    stored = read_items(docs, method, id_col, text_col)
+    return stored, cut(linked(docs, stored, method, id_col, text_col))
 
 
 def hash_sets(flat: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -342,4 +371,4 @@ def hash_sets(flat: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return (np.concatenate(sets) if sets else flat[:0]), np.cumsum([len(x) for x in sets], dtype=np.int64) if sets else ends[:0]
 
 
-__all__ = ["Items", "Method", "bands", "components", "hash_sets", "mix", "sets_and_roots", "signed"]
+__all__ = ["Items", "Method", "bands", "components", "hash_sets", "maybe_in", "mix", "sets_and_roots", "signed"]
