@@ -29,7 +29,7 @@ from .unit_cache import blocks
 
 ORDERS = (3, 4, 5)
 #: Bounds of the sample, of the buckets that may hold features, and of the model.
-MAX_TOXIC, MAX_CLEAN, BUCKET_BITS, TELLING, KEEP = 4000, 8000, 20, 30_000, 4000
+MAX_TOXIC, MAX_CLEAN, BUCKET_BITS, TELLING, KEEP = 4000, 8000, 20, 6000, 4000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
