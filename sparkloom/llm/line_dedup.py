@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import cut, mix
 from .similarity import NODES, SETS, Items, Method, hash_sets, maybe_in, sets_and_roots
 
-SHINGLE, PART, BANDS, ROWS, MIN_CHARS = 6, 80, 16, 5, 16
+SHINGLE, PART, BANDS, ROWS, MIN_CHARS = 7, 80, 16, 5, 16
 _RNG = np.random.default_rng(917)
 _MULTIPLY = _RNG.integers(1, 2**31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
