@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, cut, mix, word_hashes
+from .common import bound_batches, cut, mix, trim, word_hashes
 from .similarity import KEYS, SEND, Items, Method, bands, block_texts, sets_and_roots, signed
 
 #: Words of a shingle, and the least similarity in hundredths.
@@ -99,6 +99,7 @@ def hot_shingles(docs: DataFrame, words: int, id_col: str, text_col: str, least:
                 sent.clear()
         if waiting:
             yield flush()
+        trim()
 
     bound_batches(docs.sparkSession)
     texts = docs.where(F.col(id_col).isNotNull()).select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))

@@ -29,11 +29,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_batches, cut, mix, pack, partitions, stash, text_buffer, unpack
+from .common import bound_batches, cut, mix, pack, partitions, stash, text_buffer, trim, unpack
 from .unit_cache import blocks
 
 #: Members of a tile, words of a bitmap, keys that a task gathers before it sends them, hashes in a task of tiles.
-TILE, WORDS, SEND, TASK = 4096, 16, 2_500_000, 4_000_000
+TILE, WORDS, SEND, TASK = 4096, 16, 1_000_000, 4_000_000
 #: Bits of a key that stay behind.
 DROPPED = np.uint64(16)
 #: What items() is asked for: node and size of each item; hashes for keys too; sorted different hashes.
@@ -143,6 +143,7 @@ def read_items(docs: DataFrame, method: Method, id_col: str, text_col: str) -> D
                 n, held = len(texts), pa.array(np.searchsorted(items.owner, np.arange(len(texts) + 1)), pa.int32())
                 listed = lambda x: pa.ListArray.from_arrays(held, pa.array(x, pa.int64()))  # noqa: B023, E731
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), batch.column(2).slice(first, n), listed(signed(items.node)), listed(items.size)], ["id", "digest", "nodes", "sizes"])
+        trim()
 
     return stash(slim.mapInArrow(work, schema))
 
@@ -191,6 +192,7 @@ def key_rows(docs: DataFrame, method: Method, id_col: str, text_col: str) -> Dat
                 sent.clear()
         if waiting:
             yield flush()
+        trim()
 
     return slim.mapInArrow(work, "group int, keys binary, members binary, places binary")
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, mix, stash, text_buffer
+from .common import bound_batches, mix, stash, text_buffer, trim
 from .unit_cache import blocks
 
 ORDERS = (3, 4, 5)
@@ -230,6 +230,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "sc
                     out[first + k] = model.score(flags)
                     flags[own] = False
             yield batch.append_column(name, pa.array(out))
+        trim()
 
     from pyspark.sql import types as T
 
