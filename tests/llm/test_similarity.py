@@ -181,3 +181,14 @@ def test_walk_is_by_descending_sum():
     assert sums == sorted(sums, reverse=True)
     some = ann.walk(a, b, counts, 5)
     assert some == cells[: len(some)] and counts.ravel()[some].sum() >= 5 > counts.ravel()[some[:-1]].sum()
+
+
+def test_line_dedup_links_one_edit_in_short_lines(spark):
+    """One changed character breaks six shingles of six: lines from 59 characters on are near copies. Lengths are stated here, not read from the module."""
+    rng, data = random.Random(12), []
+    for i, n in enumerate([64, 65, 66, 67, 68] * 4):
+        x = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+        data += [(2 * i, x, "s"), (2 * i + 1, x[: n // 2] + "#" + x[n // 2 + 1 :], "s")]
+    found = {r.doc_id: [(x.line, x.keeper) for x in r.dropped] for r in line_dedup.line_verdicts(documents(spark, data)).collect()}
+    linked = [i for i in range(20) if found[2 * i] == [] and found[2 * i + 1] == [(0, 2 * i)]]
+    assert len(linked) >= 19  # banding may miss a pair near the threshold
