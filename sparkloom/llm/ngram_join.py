@@ -43,7 +43,7 @@ def items(texts: list[bytes], level: int, words: int = WORDS) -> Items:
     w, counts = word_hashes(data, np.cumsum([0, *map(len, texts)]))
     ends = np.cumsum(counts)
     h = w.copy()
-    for k in range(1, words):
+    for k in range(1, min(words, len(w))):
         h[: len(w) - k] = h[: len(w) - k] * _A + w[k:]
     sets = []
     for end, n in zip(ends.tolist(), counts.tolist(), strict=True):

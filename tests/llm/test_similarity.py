@@ -192,3 +192,13 @@ def test_line_dedup_links_one_edit_in_short_lines(spark):
     found = {r.doc_id: [(x.line, x.keeper) for x in r.dropped] for r in line_dedup.line_verdicts(documents(spark, data)).collect()}
     linked = [i for i in range(20) if found[2 * i] == [] and found[2 * i + 1] == [(0, 2 * i)]]
     assert len(linked) >= 19  # banding may miss a pair near the threshold
+
+
+def test_ngram_items_of_a_block_shorter_than_a_shingle(spark):
+    for n in range(1, 6):
+        for words in (4, 5):
+            found = ngram_join.items([" ".join(VOCABULARY[:n]).encode()], similarity.SETS, words)
+            assert found.size.tolist() == [max(1, n - words + 1)]
+    for text in ("One two", "One two three"):
+        out = ngram_join.ngram_join(documents(spark, [(7, text, "s")]), words=5, part=80).collect()
+        assert [tuple(r) for r in out] == [(7, 1, 7)]
