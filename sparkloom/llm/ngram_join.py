@@ -150,16 +150,21 @@ def keys(found: Items, part: int = PART, hot: np.ndarray | None = None) -> tuple
     return np.concatenate([k for k, _ in out]), np.concatenate([i for _, i in out])
 
 
-def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, part: int = PART) -> DataFrame:
-    """Per row: id, n_shingles, component_id (the least id of the component)."""
+def members(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, part: int = PART) -> DataFrame:
+    """Per row: id, digest (xxhash64 of the text), n_shingles, root (the component's node) and component (its least id). Rows without a set have neither, rows without id are in none."""
     hot = hot_shingles(docs, words, id_col, text_col)
     method = Method(functools.partial(items, words=words), functools.partial(keys, part=part, hot=hot), part)
     rows, roots = sets_and_roots(docs, method, id_col, text_col)
-    rows = rows.select("id", F.col("sizes")[0].alias("n_shingles"), F.col("nodes")[0].alias("node"))
+    rows = rows.select("id", "digest", F.col("sizes")[0].alias("n_shingles"), F.col("nodes")[0].alias("node"))
     sets = rows.where("n_shingles > 0 and id is not null").groupBy("node").agg(F.min("id").alias("least"))
     rooted = sets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = cut(rooted.groupBy("root").agg(F.min("least").alias("component")))
-    told = cut(rooted.join(least, "root").select("node", "component"))
-    out = rows.join(told, "node", "left")
+    told = cut(rooted.join(least, "root").select("node", "root", "component"))
+    return rows.join(told, "node", "left").select("id", "digest", "n_shingles", "root", "component")
+
+
+def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, part: int = PART) -> DataFrame:
+    """Per row: id, n_shingles, component_id (the least id of the component)."""
+    out = members(docs, id_col, text_col, words, part)
     return out.select(F.col("id").alias(id_col), "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.col("component")).otherwise(F.col("id")).alias("component_id"))
 

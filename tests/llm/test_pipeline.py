@@ -42,3 +42,20 @@ def test_pipeline_on_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_copies_with_clashing_ids(spark, tmp_path):
+    rng = random.Random(5)
+    text = lambda: [f"w{rng.randrange(3000)}" for _ in range(80)]
+    edited = lambda w: " ".join([*w[:40], "changed", *w[41:]])
+    a, b, c, d, e = (text() for _ in range(5))
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (1, "")]  # unrelated texts of one id
+    rows += [(2, " ".join(c)), (3, edited(c)), (3, " ".join(d))]  # of id 3 only the copy goes
+    rows += [(4, " ".join(e)), (4, edited(e)), (4, " ".join(e)), (None, " ".join(e))]  # copies within an id
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.drop_near_copies(spark, docs, str(tmp_path))
+    assert out.columns == docs.columns
+    kept = [(r.doc_id, r.text) for r in out.collect()]
+    four = [x for x in kept if x[0] == 4]
+    assert len(four) == 1 and four[0][1] in (" ".join(e), edited(e))
+    assert sorted((x for x in kept if x[0] != 4), key=str) == sorted([*rows[:4], rows[5], rows[9]], key=str)
