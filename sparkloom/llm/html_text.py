@@ -32,10 +32,13 @@ _SILENT = "script|style|noscript|template|title|svg|iframe|object|select|textare
 _SECTION = frozenset("nav header footer aside main article section div form ul ol dl table fieldset figure details dialog menu".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark q ruby rp rt s samp small span strike strong sub sup time tt u var wbr".split())
 _TOKEN = re.compile(
-    rf"(?s)<!--.*?(?:-->|$)|<(?P<silent>(?i:{_SILENT}))(?=[\s>/])[^>]*(?<!/)>.*?(?:</(?P=silent)\s*>|$)"
+    rf"(?s)<!--.*?(?:-->|$)|<(?P<silent>(?i:{_SILENT}))(?=[\s>/])[^>]*(?<!/)>"
     r"""|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^<>"']|"[^"<]*"|'[^'<]*'|["'])*?)>"""
     r"|<[!?/][^<>]*>|<[a-zA-Z/!?][^<>]*$|(?P<text>[^<]+|<)"
 )
+_CLOSING = {x: re.compile(rf"(?i)</{x}\s*>") for x in _SILENT.split("|")}
+#: Silent elements that run to the end of the page if they aren't closed; of the others only the tag is hidden then.
+_RAW = frozenset(("script", "style", "textarea", "title"))
 _NAMED = re.compile(r"""(?i)\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
 _WORD = re.compile(r"[a-z]+")
 #: A section is closed below this sum of weights; tags score this at least and at most.
@@ -44,11 +47,21 @@ CLOSED, LEAST, MOST = -0.5, 0.001, 2.0
 
 def tokens(page: str) -> Iterator[tuple[str, str, str]]:
     """(kind, name, rest): text with its text, open and end with the name and the attributes."""
-    for m in _TOKEN.finditer(page):
-        if (text := m["text"]) is not None:
-            yield "text", "", text
-        elif m["name"]:
-            yield ("end" if m["end"] else "open"), m["name"].lower(), m["attrs"] or ""
+    at, unclosed = 0, set()
+    while at is not None:
+        found, at = _TOKEN.finditer(page, at), None
+        for m in found:
+            if (text := m["text"]) is not None:
+                yield "text", "", text
+            elif m["name"]:
+                yield ("end" if m["end"] else "open"), m["name"].lower(), m["attrs"] or ""
+            elif m["silent"] and (name := m["silent"].lower()) not in unclosed:
+                if closing := _CLOSING[name].search(page, m.end()):
+                    at = closing.end()
+                    break
+                if name in _RAW:
+                    return
+                unclosed.add(name)  # none is closed from here on
 
 
 def names(tag: str, attrs: str, around: list[str]) -> list[str]:

@@ -223,3 +223,14 @@ def test_pack_covers_every_token(spark):
         assert at <= 256
     assert {r.doc_id for r in out} == {i for i, _, _ in data}
     assert packing.pack(documents(spark, []), WORDS).count() == 0
+
+
+def test_silent_elements_end_in_any_case_or_hide_their_tag_only():
+    texts = lambda page: "".join(x for kind, _, x in html_text.tokens(page) if kind == "text")
+    assert texts("<STYLE>a{}</style><p>kept</p>") == "kept" and texts("<script>a</SCRIPT ><p>kept</p>") == "kept"
+    for name in ("button", "select", "object", "svg"):
+        assert texts(f"<p>one</p><{name} class=x><p>two</p>") == "onetwo"
+        assert texts(f"<p>one</p><{name}>gone</{name}><p>two</p><{name}>three") == "onetwothree"
+    for name in ("script", "style", "textarea", "title"):
+        assert texts(f"<p>one</p><{name}>gone<p>two</p>") == "one"
+    assert texts("<button>x" * 100_000) == "x" * 100_000  # looked for once
