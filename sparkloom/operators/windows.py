@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions.coerce import num, rnd, safe_corr
 from sparkloom.operators.correlate import long_pairs, windowed_ranks
+from sparkloom.session import cut
 
 #: Walk-forward defaults: rows to train on at first, rows tested, step, folds at most; and the same within regimes.
 WALK, REGIME_WALK = (100, 50, 50, 20), (50, 25, 25, 20)
@@ -184,12 +185,22 @@ def candidate_features(scores: DataFrame, top: int = 16, most: int = 24, seed: i
 
 
 def rolling_abs_change(df: DataFrame, name: str, order: list[str], width: int = 20, partition: list[str] = [], out: str = "volatility") -> DataFrame:  # noqa: B006
-    """Mean over the last ``width`` rows of |y - previous y|, missing ones skipped. Unpartitioned, it is for the rows that folds can touch."""
+    """Mean over the last ``width`` rows of |y - previous y|, missing ones skipped. Unpartitioned, it is for bounded rows; rolling_by_blocks is for all."""
     w = Window.partitionBy(*partition).orderBy(*order)
     y = num(df, name)
     return df.withColumn("__change", F.abs(y - F.lag(y).over(w))).withColumn(out, F.avg("__change").over(w.rowsBetween(1 - width, 0))).drop("__change")
 
 
+def rolling_by_blocks(df: DataFrame, name: str, width: int = 20, out: str = "volatility", block: int = 50_000) -> DataFrame:
+    """rolling_abs_change over pos, which has no gaps, by blocks of rows; a block also gets the ``width`` rows before it."""
+    if block < width:
+        raise ValueError("a block must hold the rows of a window")
+    own = F.floor(F.col("pos") / block).cast("long")
+    carried = F.when(F.col("pos") % block >= block - width, F.array(own, own + 1)).otherwise(F.array(own))
+    rolled = rolling_abs_change(df.withColumn("__block", F.explode(carried)), name, ["pos"], width, ["__block"], out)
+    return rolled.where(F.col("__block") == own).drop("__block")
+
+
 def regime_source(features: list[str], numeric_counts: dict[str, int], labels: list[str], least: int) -> tuple[str, str | None]:
     """('feature', name) of the first that sounds like volatility, else ('label', name), else ('position', None)."""
     for c in features:
@@ -206,26 +217,30 @@ def regime_names(n: int) -> list[str]:
 
 
 def regimes(head: DataFrame, source: tuple[str, str | None], n_regimes: int = 3) -> DataFrame:
-    """head (pos) with regime, by terciles of the first ranks of the source; rows without source value drop out."""
+    """head (pos from 0, without gaps) with regime, by terciles of the first ranks of the source; rows without source value drop out."""
+    from sparkloom.operators.align import numbered
+
     kind, name = source
     if kind == "label":
-        head, name = rolling_abs_change(head, name, ["pos"], 20, [], "__source"), "__source"
+        head, name = rolling_by_blocks(head, name, 20, "__source"), "__source"
     elif kind == "position":
         head, name = head.withColumn("__source", F.col("pos").cast("double")), "__source"
     else:
         head, name = head.withColumn("__source", num(head, name)), "__source"
-    ranked = head.where("__source is not null").withColumn("rank", F.row_number().over(Window.orderBy("__source", "pos")))  # rows that folds can touch
+    ranked = numbered(head.where("__source is not null"), ["__source", "pos"]).withColumn("rank", F.col("__rid") + 1).drop("__rid")
     n = ranked.count()
     names = F.array(*[F.lit(x) for x in regime_names(n_regimes)])
     return ranked.withColumn("regime", F.get(names, rank_bucket(F.col("rank"), n, n_regimes))).drop("rank", "__source")
 
 
-def regime_scores(df: DataFrame, features: list[str], labels: list[str], order: list[str], source: tuple[str, str | None], n_regimes: int = 3, params: tuple[int, int, int, int] = REGIME_WALK, least: int = 10, rows: int | None = None) -> DataFrame:
-    """Fold scores with splits anew within each regime."""
-    head = first_in_order(df, order, rows or fold_rows(params) * n_regimes * 4)
-    named = regimes(head, source, n_regimes)
-    within = named.withColumn("pos", F.row_number().over(Window.partitionBy("regime").orderBy("pos")) - 1)
-    sizes = {r[0]: r[1] for r in within.groupBy("regime").count().collect()}
+def regime_scores(df: DataFrame, features: list[str], labels: list[str], order: list[str], source: tuple[str, str | None], n_regimes: int = 3, params: tuple[int, int, int, int] = REGIME_WALK, least: int = 10) -> DataFrame:
+    """Fold scores with splits anew within each regime. Regimes are of all rows; folds bound the rows read in each."""
+    from sparkloom.operators.align import numbered
+
+    named = cut(regimes(numbered(df, order).withColumn("pos", F.col("__rid")).drop("__rid"), source, n_regimes))
+    sizes = {r[0]: r[1] for r in named.groupBy("regime").count().collect()}
+    first = named.withColumn("__k", F.row_number().over(Window.partitionBy("regime").orderBy("pos"))).where(F.col("__k") <= fold_rows(params))
+    within = first.withColumn("pos", F.col("__k") - 1).drop("__k")
     parts = [with_folds(within.where(F.col("regime") == g), n, params) for g, n in sorted(sizes.items()) if folds(n, *params)]
     if not parts:
         return fold_scores(within.withColumn("fold", F.lit(0)), features, labels, ["regime", "fold"], least).limit(0)

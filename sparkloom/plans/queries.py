@@ -48,11 +48,16 @@ def d2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return al.align(_t(spark, sf_dir, "documents").select("doc_id", "n_chars", "lang", "source"), _t(spark, sf_dir, "labels")).df
 
 
-def d3(spark: SparkSession, sf_dir: str, rows: int | None = None) -> DataFrame:
-    """Events in time order with pos and next_value; ``rows`` first ones, where folds bound what is read."""
+def _timed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with their hour and the number in their props."""
     e = _t(spark, sf_dir, "events")
     k = F.get_json_object("props", "$.k")
-    base = e.select("event_id", "ts", "user_id", "value", "event_type", F.hour("ts").cast("long").alias("hour"), F.when(F.trim(k).rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), k.try_cast("double")).alias("k"))
+    return e.select("event_id", "ts", "user_id", "value", "event_type", F.hour("ts").cast("long").alias("hour"), F.when(F.trim(k).rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), k.try_cast("double")).alias("k"))
+
+
+def d3(spark: SparkSession, sf_dir: str, rows: int | None = None) -> DataFrame:
+    """Events in time order with pos and next_value; ``rows`` first ones, where folds bound what is read."""
+    base = _timed(spark, sf_dir)
     head = base.orderBy("ts").limit((rows or 0) + 1) if rows else base
     w = Window.orderBy("ts")
     made = head.withColumn("next_value", F.lead("value").over(w)).withColumn("pos", (F.row_number().over(w) - 1).cast("long"))
@@ -429,7 +434,7 @@ _REGIME_FOLDS = f"""select regime, (pos - 50) // 25 as fold, feature, x, label,
 @query(f"""with {D3_SQL}, {_REGIME}, w as (select * exclude (pos), row_number() over (partition by regime order by pos) - 1 pos, count(*) over (partition by regime) size from g), {_ic_sql(_REGIME_FOLDS, 'regime, fold', 10)}
     select s.*, regime_count, 'all' regime from ({_SUMMARY}) s join (select feature, label, score_name, count(distinct regime) regime_count from ic group by all) using (feature, label, score_name)""")
 def regime_ic_summary(spark, sf):
-    scores = windows.regime_scores(d3(spark, sf, 3000), ["user_id", "hour", "k"], ["value", "next_value"], ["ts"], ("label", "value"), rows=3000)
+    scores = windows.regime_scores(d3(spark, sf, 3000), ["user_id", "hour", "k"], ["value", "next_value"], ["ts"], ("label", "value"))
     return windows.regime_summary(scores)
 
 
@@ -604,6 +609,12 @@ def _events(spark, sf) -> tuple[DataFrame, DataFrame]:
     return e.select("Date", "user_id", "hour", "k"), e.select("Date", "value", "event_type")
 
 
+def _all_events(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """The same of all events: regimes are of the whole table."""
+    e = _timed(spark, sf).withColumnRenamed("ts", "Date")
+    return e.select("Date", "user_id", "hour", "k"), e.select("Date", "value", "event_type")
+
+
 def _module(name: str, relation: str, data, settings: modules.Settings, **more):
     def run(spark, sf):
         f, y = data(spark, sf)
@@ -618,7 +629,7 @@ for _name, _relation, _data in (
     ("sklearn", "scores", _pair), ("sklearn", "importance", _pair), ("statsmodels", "coefficients", _pair), ("xgboost", "scores", _pair), ("xgboost", "importance", _pair), ("shap", "shap_importance", _pair), ("boruta", "boruta_features", _pair),
     ("kmean", "kmean_results", _pair), ("kmeans_gpu", "kmean_results", _pair), ("information_coefficient", "feature_scores", _events), ("permutation_importance_ts", "feature_scores", _events), ("timeseries_importance", "feature_scores", _events),
     ("mutual_information", "feature_scores", _pair), ("mrmr", "feature_scores", _pair), ("stability_selection", "feature_scores", _pair), ("regularized_linear", "feature_scores", _pair), ("lightgbm", "feature_scores", _pair),
-    ("feature_interactions", "feature_scores", _pair), ("regime_scoring", "feature_scores", _events), ("scipy", "pairwise", _pair), ("statistics", "feature_label_correlations", _pair), ("eda", "columns_profile", _pair),
+    ("feature_interactions", "feature_scores", _pair), ("regime_scoring", "feature_scores", _all_events), ("scipy", "pairwise", _pair), ("statistics", "feature_label_correlations", _pair), ("eda", "columns_profile", _pair),
 ):
     _module(_name, _relation, _data, _SETTINGS, **({"targets": ["value"]} if _name in ("permutation_importance_ts", "timeseries_importance") else {}))
 

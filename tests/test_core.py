@@ -226,3 +226,16 @@ def test_entry_without_llm():
     import __spark_entry__ as entry
 
     assert {k for k in entry.oracle_sql()} <= set(entry.queries())
+
+
+def test_regimes_are_of_all_rows(spark):
+    """Changes grow with the position, so the high regime is the last third of all rows: there x follows y, before it x opposes y."""
+    n = 9000
+    rows = [(i, float(i if i % 2 else -i), float(i if i % 2 else -i) * (1 if i >= 6000 else -1)) for i in range(n)]
+    df = spark.createDataFrame(rows, "pos long, y double, x double").repartition(7)
+    whole = {r.pos: r.volatility for r in windows.rolling_abs_change(df, "y", ["pos"]).collect()}
+    assert {r.pos: r.volatility for r in windows.rolling_by_blocks(df, "y", block=64).collect()} == whole
+    found = windows.regimes(df, ("label", "y")).groupBy("regime").agg(F.min("pos").alias("a"), F.max("pos").alias("b")).collect()
+    assert {r.regime: (r.a, r.b) for r in found} == {"low": (1, 3000), "mid": (3001, 5999), "high": (6000, 8999)}
+    scores = windows.regime_scores(df.withColumnRenamed("pos", "t"), ["x"], ["y"], ["t"], ("label", "y")).where("score_name = 'pearson_ic'").collect()
+    assert {(r.regime, round(r.score)) for r in scores} == {("low", -1), ("mid", -1), ("high", 1)}
