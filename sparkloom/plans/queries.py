@@ -19,9 +19,6 @@ from sparkloom.sources.tables import first_rows
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-#: Ensembles of the registered model queries; the methods' defaults are larger.
-SMALL = models.Options(trees=20, holdout_trees=30, iterations=3, resamples=10, inits=3, explain_rows=200)
-
 D1_FEATURES = ["quantity", "extendedprice", "discount", "tax", "linenumber"]
 D1_ORDER = ["l_orderkey", "linenumber", "extendedprice", "partkey", "suppkey", "quantity", "discount", "tax", "l_shipdate"]
 D1_SQL = """d1 as (select l_orderkey, l_linenumber linenumber, l_quantity quantity, l_extendedprice extendedprice, nullif(l_discount, 0) discount, l_tax tax, l_partkey partkey, l_suppkey suppkey,
@@ -624,7 +621,8 @@ def _module(name: str, relation: str, data, settings: modules.Settings, **more):
     QUERIES[run.__name__] = run
 
 
-_SETTINGS = modules.Settings(models=SMALL, permutation_trees=10, max_base_features=3, max_pairs=3)
+#: The modules' defaults.
+_SETTINGS = modules.Settings()
 for _name, _relation, _data in (
     ("sklearn", "scores", _pair), ("sklearn", "importance", _pair), ("statsmodels", "coefficients", _pair), ("xgboost", "scores", _pair), ("xgboost", "importance", _pair), ("shap", "shap_importance", _pair), ("boruta", "boruta_features", _pair),
     ("kmean", "kmean_results", _pair), ("kmeans_gpu", "kmean_results", _pair), ("information_coefficient", "feature_scores", _events), ("permutation_importance_ts", "feature_scores", _events), ("timeseries_importance", "feature_scores", _events),

@@ -11,7 +11,7 @@ from sparkloom.functions import special
 from sparkloom.functions.coerce import num, safe_corr
 from sparkloom.operators import align as al
 from sparkloom.operators import correlate, hypothesis, information, metrics, models, preprocess, profile, sampling, windows
-from sparkloom.plans import modules
+from sparkloom.plans import modules, queries
 from sparkloom.sinks import reports
 from sparkloom.sources import tables
 from sparkloom.streaming.profile import streaming_profile
@@ -239,3 +239,10 @@ def test_regimes_are_of_all_rows(spark):
     assert {r.regime: (r.a, r.b) for r in found} == {"low": (1, 3000), "mid": (3001, 5999), "high": (6000, 8999)}
     scores = windows.regime_scores(df.withColumnRenamed("pos", "t"), ["x"], ["y"], ["t"], ("label", "y")).where("score_name = 'pearson_ic'").collect()
     assert {(r.regime, round(r.score)) for r in scores} == {("low", -1), ("mid", -1), ("high", 1)}
+
+
+def test_registered_modules_do_the_whole_job():
+    settings = queries._SETTINGS
+    assert settings == modules.Settings()
+    n = settings.models.iterations
+    assert {models.decision(h, n) for h in range(n + 1)} == {"confirmed", "rejected", "tentative"}
