@@ -9,7 +9,8 @@ import zipfile
 from pathlib import Path
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows and bytes that one Arrow batch may hold, so that very long texts can't fill a worker.
 BATCH_ROWS, BATCH_BYTES = 1000, "8m"
@@ -61,6 +62,31 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def counted(df: DataFrame, what: Column | None = None) -> tuple[DataFrame, int]:
+    """cut(df), and its number of rows, or another sum over them, taken as it is written."""
+    seen = Observation()
+    out = cut(df.observe(seen, (F.count(F.lit(1)) if what is None else what).alias("n")))
+    return out, int(seen.get["n"] or 0)
+
+
+def input_bytes(df: DataFrame) -> int:
+    """What the plan says of the size of df, from that of its files; 0 where it doesn't know."""
+    n = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return n if n < 1 << 50 else 0
+
+
+#: Keys that hold over 1 / HOT_SHARE of all rows are broadcast: fewer than HOT_SHARE rows.
+HOT_SHARE = 1000
+
+
+def spread_join(rows: DataFrame, by_key: DataFrame, key: str | list[str], total: int, how: str = "inner") -> DataFrame:
+    """rows joined with by_key, a stored table of one row a key, whose column n says how many of the ``total`` rows have it. Frequent keys are joined where the rows are, so none waits for one task. Column n goes."""
+    hot = by_key.where(F.col("n") * HOT_SHARE > total).drop("n")
+    near = rows.join(F.broadcast(hot.withColumn("__hot", F.lit(True))), key, "left")
+    rest = near.where("__hot is null").select(*rows.columns).join(by_key.where(F.col("n") * HOT_SHARE <= total).drop("n"), key, how)
+    return near.where("__hot").drop("__hot").unionByName(rest)
+
+
 def stash(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it again; the files go when the JVM ends."""
     spark = df.sparkSession

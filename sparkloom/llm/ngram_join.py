@@ -19,14 +19,15 @@ no component; repeated rows are in one component.
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, cut, mix, trim, word_hashes
-from .similarity import KEYS, SEND, Items, Method, bands, block_texts, sets_and_roots, signed
+from .common import bound_batches, counted, cut, mix, spread_join, trim, word_hashes
+from .similarity import KEYS, SEND, Items, Method, bands, block_texts, clusters, linked, read_items, signed
 
 #: Words of a shingle, and the least similarity in hundredths.
 WORDS, PART = 4, 85
@@ -150,17 +151,29 @@ def keys(found: Items, part: int = PART, hot: np.ndarray | None = None) -> tuple
     return np.concatenate([k for k, _ in out]), np.concatenate([i for _, i in out])
 
 
+def forms(text: bytes, nodes: set[int]) -> Iterator[tuple[int, bytes]]:
+    """A text is one item, so the one node asked for is its own."""
+    for node in nodes:
+        yield node, text
+
+
 def members(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, part: int = PART) -> DataFrame:
     """Per row: id, digest (xxhash64 of the text), n_shingles, root (the component's node) and component (its least id). Rows without a set have neither, rows without id are in none."""
     hot = hot_shingles(docs, words, id_col, text_col)
-    method = Method(functools.partial(items, words=words), functools.partial(keys, part=part, hot=hot), part)
-    rows, roots = sets_and_roots(docs, method, id_col, text_col)
+    method = Method(functools.partial(items, words=words), functools.partial(keys, part=part, hot=hot), forms, part)
+    rows, blocks = read_items(docs, method, id_col, text_col)
     rows = rows.select("id", "digest", F.col("sizes")[0].alias("n_shingles"), F.col("nodes")[0].alias("node"))
-    sets = rows.where("n_shingles > 0 and id is not null").groupBy("node").agg(F.min("id").alias("least"))
-    rooted = sets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = cut(rooted.groupBy("root").agg(F.min("least").alias("component")))
-    told = cut(rooted.join(least, "root").select("node", "root", "component"))
-    return rows.join(told, "node", "left").select("id", "digest", "n_shingles", "root", "component")
+    takes = F.coalesce((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.lit(False))
+    # copies are one row from each task from here on
+    nodes = cut(rows.where(takes).groupBy("node").agg(F.first("n_shingles").alias("size"), F.min("id").alias("least"), F.min(F.struct("id", "digest")).alias("at"), F.count("*").alias("n")))
+    roots = linked(docs, nodes, cut(clusters(blocks)), method, id_col, text_col)
+    some = nodes.select("node", "least", "n").join(roots, "node", "left").where("n > 1 or root is not null")
+    rooted = cut(some.select("node", "least", F.col("n").alias("uses"), F.coalesce("root", "node").alias("root")))
+    least, n = counted(rooted.groupBy("root").agg(F.min("least").alias("component"), F.count("*").alias("n")), F.sum("n"))
+    told, n = counted(spread_join(rooted.select("root", "node", "uses"), least, "root", n).select("node", "root", "component", F.col("uses").alias("n")), F.sum("n"))
+    joined = spread_join(rows.where(takes), told, "node", n, "left")
+    alone = rows.where(~takes).select("id", "digest", "n_shingles", F.lit(None).cast("long").alias("root"), F.lit(None).cast(rows.schema["id"].dataType).alias("component"))
+    return joined.select("id", "digest", "n_shingles", F.coalesce("root", "node").alias("root"), F.coalesce("component", "id").alias("component")).unionByName(alone)
 
 
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, part: int = PART) -> DataFrame:

@@ -3,19 +3,21 @@
 Both similarity joins are made of the same steps. They differ in how a text is cut into items (one set
 of hashes each) and in the keys of an item.
 
-1. Each item gets a node number, the hash of its set or line, so equal items are one
-   node however often they occur. A task sends the keys of a node once, in sorted blocks by range of keys.
+1. Texts are read once. Each item gets a node number, the hash of its set or line, so equal items are
+   one node however often they occur. A task sends the keys of a node once, in sorted blocks by range of
+   keys; there are as many ranges as the size of the input asks for.
 2. In a range, nodes with a common key form a group; a group is kept as a star, never as pairs, and the
    stars of a range are merged before they leave it.
-3. Connected components over the stars (large-star / small-star, on tables) give clusters. Every linked
-   pair lies within one.
-4. The sets of the clusters' nodes are cut out of their texts and compared in tiles. Small clusters are
-   one tile. Large ones are split by bands of set size and then by hash, and tiles meet tiles of the same
-   or the next band only. In a tile a bitmap of each set bounds overlaps from above, pairs that are
-   already connected are skipped, and the rest are intersected exactly.
+3. Connected components over the stars give clusters. Every linked pair lies within one.
+4. The clusters' nodes are cut out of their texts, as text, and compared in tiles, which make the sets.
+   Small clusters are one tile. Large ones are split by bands of set size and then by hash, and tiles
+   meet tiles of the same or the next band only. In a tile only sets of sizes that can link meet: a
+   bitmap of each bounds overlaps from above, pairs that are already connected are skipped, and the rest
+   are intersected exactly.
 5. Components over the links found.
 
-Nothing of this is collected by the driver.
+Nothing of this is collected by the driver. Joins on nodes and roots broadcast the few that hold a
+thousandth of all rows or more and shuffle the rest.
 """
 
 from __future__ import annotations
@@ -29,11 +31,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_batches, cut, mix, pack, partitions, stash, text_buffer, trim, unpack
+from .common import bound_batches, counted, cut, input_bytes, mix, pack, partitions, spread_join, stash, text_buffer, trim, unpack
 from .unit_cache import blocks
 
 #: Members of a tile, words of a bitmap, keys that a task gathers before it sends them, hashes in a task of tiles.
 TILE, WORDS, SEND, TASK = 4096, 16, 1_000_000, 4_000_000
+#: Bytes of text whose keys make a range, and edges that one task connects (16 bytes each).
+RANGE, ONE_TASK = 8 << 20, 1_000_000
 #: Bits of a key that stay behind.
 DROPPED = np.uint64(16)
 #: What items() is asked for: node and size of each item; hashes for keys too; sorted different hashes.
@@ -55,11 +59,13 @@ class Items:
 class Method:
     """items(texts, level) -> Items, by NODES, KEYS or SETS; keys(Items) -> (keys, item of each key).
 
-    Two sets link when whole * intersection >= part * union.
+    forms(text, nodes) gives (node, form) of the asked nodes that the text has; a form is a text whose
+    one item of SETS is the node's. Two sets link when whole * intersection >= part * union.
     """
 
     items: Callable[[list[bytes], int], Items]
     keys: Callable[[Items], tuple[np.ndarray, np.ndarray]]
+    forms: Callable[[bytes, set[int]], Iterator[tuple[int, bytes]]]
     part: int
     whole: int = 100
     sized: bool = True  # sizes are those of the sets already by NODES
@@ -101,19 +107,33 @@ def local_roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """edges: a, b (long). node, root: the least node of its component, for every node of an edge between two."""
-    stars = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    state = None
+    """edges: a, b (long). node, root: the least node of its component, for every node of an edge between two.
+
+    Up to ONE_TASK counted edges are connected by one task, beyond that by rounds of large-star and small-star
+    over tables, until a round changes nothing. The result is the same.
+    """
+    stars, n = counted(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v"))
+    if n <= ONE_TASK:
+        return stars.coalesce(1).mapInArrow(_connect, "node long, root long")
+    stars, state = cut(stars.distinct()), None
     while True:
         told = stars.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
-        if (told.n, told.x) == state or not told.n:
+        if (told.n, told.x) == state:
             return stars.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(stars.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         state = (told.n, told.x)
-        least = cut(stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v"))).groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("v"), F.least("u", "m").alias("m")))
-        large = cut(stars.join(least, "v").select("u", F.col("m").alias("v")).where("u <> v").distinct())
-        least = cut(large.groupBy("u").agg(F.min("v").alias("m")))
-        small = large.join(least, "u")
-        stars = cut(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        least = cut(stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v"))).groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select(F.col("u").alias("v"), F.least("u", "m").alias("m"), "n"))
+        large = cut(spread_join(stars, least, "v", 2 * told.n).select("u", F.col("m").alias("v")).where("u <> v").distinct())
+        least = cut(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+        small = spread_join(large, least, "u", told.n)
+        stars = cut(small.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct())
+
+
+def _connect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    found = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    if found:
+        node, root = local_roots(*(np.concatenate(x) for x in zip(*found, strict=True)))
+        for i in range(0, len(node), SEND):
+            yield pa.RecordBatch.from_arrays([pa.array(node[i : i + SEND]), pa.array(root[i : i + SEND])], ["node", "root"])
 
 
 # Reading --------------------------------------------------------------------------------------
@@ -130,37 +150,30 @@ def block_texts(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[
         yield i, [data[offsets[k] : offsets[k + 1]].tobytes() for k in range(i, j)]
 
 
-def read_items(docs: DataFrame, method: Method, id_col: str, text_col: str) -> DataFrame:
-    """id, digest (of the text), nodes and sizes of its items: narrow rows, stored."""
+def read_items(docs: DataFrame, method: Method, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Two stored tables of one pass. Of each row: id, digest (of the text), nodes and sizes of its items. Of keys: group (a range of them), keys, members, places (of the keys' nodes among the members; none if each key has its own).
+
+    A task sends the keys of a node once; rows without id send none. The low bits of keys stay behind: keys only name candidates.
+    """
     bound_batches(docs.sparkSession)
+    ranges = min(1 << 20, 4 * max(partitions(docs.sparkSession), -(-input_bytes(docs) // RANGE)))  # several to a task, so that tasks are even
     slim = _slim(docs, id_col, text_col).withColumn("digest", F.xxhash64("text"))
-    schema = T.StructType([slim.schema["id"], T.StructField("digest", T.LongType()), T.StructField("nodes", T.ArrayType(T.LongType())), T.StructField("sizes", T.ArrayType(T.LongType()))])
+    of_row = [slim.schema["id"], T.StructField("digest", T.LongType()), T.StructField("nodes", T.ArrayType(T.LongType())), T.StructField("sizes", T.ArrayType(T.LongType()))]
+    of_keys = [T.StructField("group", T.IntegerType()), *(T.StructField(c, T.BinaryType()) for c in ("keys", "members", "places"))]
+    schema = T.StructType([*of_row, *of_keys])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, texts in block_texts(batch, 1):
-                items = method.items(texts, NODES)
-                n, held = len(texts), pa.array(np.searchsorted(items.owner, np.arange(len(texts) + 1)), pa.int32())
-                listed = lambda x: pa.ListArray.from_arrays(held, pa.array(x, pa.int64()))  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), batch.column(2).slice(first, n), listed(signed(items.node)), listed(items.size)], ["id", "digest", "nodes", "sizes"])
-        trim()
-
-    return stash(slim.mapInArrow(work, schema))
+        from pyspark.sql.pandas.types import to_arrow_schema
 
-
-def key_rows(docs: DataFrame, method: Method, id_col: str, text_col: str) -> DataFrame:
-    """group (a range of keys), keys, members, places (of the keys' nodes among the members; none if each key has its own). Rows without id send none.
-
-    A task sends the keys of a node once. The low bits of keys stay behind: keys only name candidates.
-    """
-    ranges = partitions(docs.sparkSession)
-    slim = _slim(docs, id_col, text_col).where("id is not null").select("text")
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edges = (np.arange(ranges, dtype=object) * 2**64 // ranges).astype(np.uint64)
+        fields, names = to_arrow_schema(schema), schema.names
+        edges = np.arange(ranges, dtype=np.uint64) * np.uint64(2**64 // ranges)
         sent: set[int] = set()
         waiting: list[tuple[np.ndarray, np.ndarray]] = []
 
+        def made(columns: dict) -> pa.RecordBatch:
+            n = len(next(iter(columns.values())))
+            return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(n, fields.field(c).type) for c in names], names)
+
         def flush() -> pa.RecordBatch:
             keys, nodes = (np.concatenate(x) for x in zip(*waiting, strict=True))
             waiting.clear()
@@ -173,15 +186,19 @@ def key_rows(docs: DataFrame, method: Method, id_col: str, text_col: str) -> Dat
                 own, place = np.unique(part, return_inverse=True)
                 alone = 2 * len(own) > len(part)
                 rows.append((int(b), pack(at), pack(part if alone else own), b"" if alone else pack(place.astype(np.uint32))))
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["group", "keys", "members", "places"])
+            return made({c.name: pa.array(x, fields.field(c.name).type) for c, x in zip(of_keys, zip(*rows, strict=True), strict=True)})
 
         for batch in batches:
-            for _, texts in block_texts(batch, 0):
-                items = method.items(texts, KEYS)
-                _, fresh = np.unique(items.node, return_index=True)
-                use = np.array([k for k in fresh.tolist() if items.size[k] and int(items.node[k]) not in sent], np.int64)
+            known = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+            for first, texts in block_texts(batch, 1):
+                items, n = method.items(texts, KEYS), len(texts)
+                held = pa.array(np.searchsorted(items.owner, np.arange(n + 1)), pa.int32())
+                listed = lambda x: pa.ListArray.from_arrays(held, pa.array(x, pa.int64()))  # noqa: B023, E731
+                yield made({"id": batch.column(0).slice(first, n), "digest": batch.column(2).slice(first, n), "nodes": listed(signed(items.node)), "sizes": listed(items.size)})
+                use = np.flatnonzero((items.size > 0) & known[first + items.owner])
+                use = np.sort(use[np.unique(items.node[use], return_index=True)[1]])
+                use = np.array([k for k, x in zip(use.tolist(), items.node[use].tolist(), strict=True) if x not in sent], np.int64)
                 if len(use):
-                    use.sort()
                     sent.update(items.node[use].tolist())
                     keys, place = method.keys(_take(items, use))
                     if len(keys):
@@ -194,7 +211,8 @@ def key_rows(docs: DataFrame, method: Method, id_col: str, text_col: str) -> Dat
             yield flush()
         trim()
 
-    return slim.mapInArrow(work, "group int, keys binary, members binary, places binary")
+    stored = stash(slim.mapInArrow(work, schema))
+    return stored.where("group is null").select([f.name for f in of_row]), stored.where("group is not null").select([f.name for f in of_keys])
 
 
 def _take(items: Items, use: np.ndarray) -> Items:
@@ -206,7 +224,7 @@ def _take(items: Items, use: np.ndarray) -> Items:
 
 
 def clusters(rows: DataFrame) -> DataFrame:
-    """node, root over the groups of nodes with a common key."""
+    """node, root over the groups of nodes with a common key; rows: the keys of read_items()."""
 
     def stars(table: pa.Table) -> pa.Table:
         keys = np.concatenate([unpack(x, np.uint64) for x in table["keys"].to_pylist()])
@@ -260,40 +278,32 @@ def link(sets: list[np.ndarray], side: np.ndarray, method: Method) -> np.ndarray
     return label
 
 
-def linked(docs: DataFrame, stored: DataFrame, method: Method, id_col: str, text_col: str) -> DataFrame:
-    """node, root: exact components of nodes with a link."""
+def linked(docs: DataFrame, nodes: DataFrame, found: DataFrame, method: Method, id_col: str, text_col: str) -> DataFrame:
+    """node, root: exact components of nodes with a link. nodes: one row a node, with size and at (struct of id and digest) of a text that holds it; found: clusters()."""
     spark = docs.sparkSession
-    found = cut(clusters(key_rows(docs, method, id_col, text_col)))
-    seen = stored.where("id is not null").select("id", "digest", F.explode(F.arrays_zip("nodes", "sizes")).alias("x")).select("id", "digest", F.col("x.nodes").alias("node"), F.col("x.sizes").alias("size"))
-    where = cut(seen.join(found, "node").groupBy("node").agg(F.first("root").alias("root"), F.first("size").alias("size"), F.min(F.struct("id", "digest")).alias("at")))
-    total = where.agg(F.sum("size")).first()[0]
+    where, total = counted(nodes.select("node", "size", "at").join(found, "node"), F.sum("size"))
     if not total:
         return found.limit(0)
     units = _large_units(where, method)
     asked = F.struct("node", "root", "units") if units is not None else F.struct("node", "root", F.lit(None).cast(_UNITS).alias("units"))
     placed = where.join(units, "node", "left") if units is not None else where
-    wanted = cut(placed.groupBy("at").agg(F.collect_list(asked).alias("wanted")).select("at.*", "wanted"))  # within one text
-    texts = maybe_in(_slim(docs, id_col, text_col).withColumn("digest", F.xxhash64("text")), wanted, ["id", "digest"])[0].join(wanted, ["id", "digest"]).select("text", "wanted")
+    wanted, n = counted(placed.groupBy("at").agg(F.collect_list(asked).alias("wanted")).select("at.id", "at.digest", "wanted"))  # within one text
+    texts = maybe_in(_slim(docs, id_col, text_col).withColumn("digest", F.xxhash64("text")), wanted, ["id", "digest"], n)[0].join(wanted, ["id", "digest"]).select("text", "wanted")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             asked = batch.column(1)
             for first, texts in block_texts(batch, 0):
-                items = method.items(texts, SETS)
-                nodes, edges = signed(items.node), np.append(0, items.ends)
-                held = np.searchsorted(items.owner, np.arange(len(texts) + 1))
                 out = []
-                for k in range(len(texts)):
+                for k, text in enumerate(texts):
                     want = {x["node"]: x["units"] or [{"unit": x["root"], "side": 0}] for x in asked[first + k].as_py()}
-                    for i in range(held[k], held[k + 1]):
-                        if found := want.pop(int(nodes[i]), None):
-                            hashes = pack(items.flat[edges[i] : edges[i + 1]])
-                            out += [(u["unit"], u["side"], int(nodes[i]), hashes) for u in found]
+                    out += [(u["unit"], u["side"], node, form) for node, form in method.forms(text, set(want)) for u in want[node]]
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], ["unit", "side", "node", "hashes"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], ["unit", "side", "node", "form"])
+        trim()
 
-    sets = texts.mapInArrow(extract, "unit long, side int, node long, hashes binary")
-    return components(_tiles(sets, max(partitions(spark), -(-total // TASK)), method))
+    forms = texts.mapInArrow(extract, "unit long, side int, node long, form binary")
+    return components(_tiles(forms, max(partitions(spark), -(-total // TASK)), method))
 
 
 _UNITS = "array<struct<unit:long,side:int>>"
@@ -301,15 +311,15 @@ _UNITS = "array<struct<unit:long,side:int>>"
 
 def _large_units(where: DataFrame, method: Method) -> DataFrame | None:
     """node, units: the pairs of tiles that a node of a large cluster is in, and its side there (0 where a tile meets itself). Narrow rows only; None without large clusters."""
-    large = cut(where.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > TILE).select("root"))
-    if large.isEmpty():
+    large, n = counted(where.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > TILE), F.sum("n"))
+    if not n:
         return None
-    of = where.join(large, "root").select("root", "node", (_band(F.col("size"), method) if method.sized else F.lit(0)).alias("band"))
-    count = cut(of.groupBy("root", "band").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles")))
+    of = spread_join(where.select("root", "node", "size"), large, "root", n).select("root", "node", (_band(F.col("size"), method) if method.sized else F.lit(0)).alias("band"))
+    count = cut(of.groupBy("root", "band").agg(F.count("*").alias("n")).withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int")))
     after = count.select("root", (F.col("band") - 1).alias("band"), F.col("tiles").alias("after"))
     before = count.select("root", (F.col("band") + 1).alias("band"), F.col("tiles").alias("before"))
     plan = cut(count.join(after, ["root", "band"], "left").join(before, ["root", "band"], "left").na.fill(0, ["after", "before"]))
-    own = of.join(plan, ["root", "band"]).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")))
+    own = spread_join(of, plan, ["root", "band"], n).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")))
     pair = lambda b1, t1, b2, t2, side: F.struct(F.xxhash64("root", b1, t1, b2, t2).alias("unit"), side.cast("int").alias("side"))
     upto = lambda n: F.when(n > 0, F.sequence(F.lit(0).cast("long"), n.cast("long") - 1)).otherwise(F.array().cast("array<long>"))
     b, t = F.col("band"), F.col("tile").cast("long")
@@ -319,9 +329,9 @@ def _large_units(where: DataFrame, method: Method) -> DataFrame | None:
     return own.select("node", F.concat(same, up, down).alias("units"))
 
 
-def maybe_in(df: DataFrame, keys: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(rows that may have their key among ``keys``, rows that surely haven't), without a shuffle: by a bit set of at most 16 MB, of one hash, sixteen bits a key while that fits."""
-    n = keys.count()
+def maybe_in(df: DataFrame, keys: DataFrame, on: list[str], n: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows that may have their key among ``keys``, rows that surely haven't), without a shuffle: by a bit set of at most 16 MB, of one hash, sixteen bits a key up to 8 million keys. With more keys it lets more rows through to the exact join that follows, at the worst all. n: the number of keys, if it's known."""
+    n = keys.count() if n is None else n
     bits = min(1 << 27, max(1 << 15, 1 << (16 * n).bit_length()))
     place = F.pmod(F.xxhash64(*on), F.lit(bits))
     sets = keys.select(place.alias("p")).select(F.expr("p div 32768").alias("__b"), (F.col("p") % 32768).alias("p")).groupBy("__b").agg(F.expr("bitmap_construct_agg(p)").alias("__bits"))
@@ -332,7 +342,7 @@ def maybe_in(df: DataFrame, keys: DataFrame, on: list[str]) -> tuple[DataFrame,
 
 
 def _tiles(units: DataFrame, tasks: int, method: Method) -> DataFrame:
-    """a, b: links within units of sets."""
+    """a, b: links within units of forms, whose sets are made here."""
 
     def compare(table: pa.Table) -> pa.Table:
         table = table.sort_by([("unit", "ascending"), ("node", "ascending")])
@@ -340,12 +350,13 @@ def _tiles(units: DataFrame, tasks: int, method: Method) -> DataFrame:
         fresh = np.append(True, (unit[1:] != unit[:-1]) | (node[1:] != node[:-1]))  # a text that is there twice gives its sets twice
         rows = np.flatnonzero(fresh)
         unit, node, side = unit[rows], node[rows], side[rows]
-        hashes = table["hashes"].take(pa.array(rows))
+        forms = table["form"].take(pa.array(rows))
         a, b = [], []
         firsts = np.flatnonzero(np.append(True, unit[1:] != unit[:-1]))
         for i, j in zip(firsts.tolist(), [*firsts[1:].tolist(), len(unit)], strict=True):
             if j > i + 1:
-                label = link([unpack(x, np.uint64) for x in hashes[i:j].to_pylist()], side[i:j], method)
+                items = method.items(forms[i:j].to_pylist(), SETS)
+                label = link(np.split(items.flat, items.ends[:-1]), side[i:j], method)
                 use = label != np.arange(j - i)
                 a.append(node[i:j][use])
                 b.append(node[i:j][label[use]])
@@ -360,12 +371,6 @@ def _band(size: Column, method: Method) -> Column:
     return F.size(F.filter(F.array(*[F.lit(x).cast("long") for x in starts]), lambda s: s <= size)) - 1
 
 
-def sets_and_roots(docs: DataFrame, method: Method, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(rows of read_items(), node and root of linked nodes)."""
-    stored = read_items(docs, method, id_col, text_col)
-    return stored, cut(linked(docs, stored, method, id_col, text_col))
-
-
 def hash_sets(flat: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted different hashes of each run, and the new ends."""
     starts = np.append(0, ends[:-1])
@@ -373,4 +378,4 @@ def hash_sets(flat: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return (np.concatenate(sets) if sets else flat[:0]), np.cumsum([len(x) for x in sets], dtype=np.int64) if sets else ends[:0]
 
 
-__all__ = ["Items", "Method", "bands", "components", "hash_sets", "maybe_in", "mix", "sets_and_roots", "signed"]
+__all__ = ["Items", "Method", "bands", "clusters", "components", "hash_sets", "linked", "maybe_in", "mix", "read_items", "signed"]

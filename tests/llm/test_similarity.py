@@ -3,7 +3,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from sparkloom.llm import ann, line_dedup, ngram_join, similarity
+from sparkloom.llm import ann, common, line_dedup, ngram_join, similarity
 
 from .helpers import brute_components, clashing, documents, shingles
 
@@ -88,13 +88,13 @@ def test_line_dedup_against_all_pairs(spark):
             at = rng.randrange(len(x))
             lines.insert(rng.randrange(len(lines) + 1), rng.choice([x, x.upper(), f"  {x}", x[:at] + "#" + x[at + 1 :], x + " tail"]))
         data.append((i, "\n".join([*lines, "short", "short"]), "s"))
-    data += [(200, None, "s"), (201, "", "s"), (202, shared[0], "s"), (203, shared[0] + "\n" + shared[0], "s")]
+    data += [(200, None, "s"), (201, "", "s"), (202, shared[0], "s"), (203, shared[0] + "\n" + shared[0], "s"), (204, "\n\n \t", "s"), (205, "ab\nAB \nabc", "s")]
     sets = {}
     for i, t, _ in data:
         for k, x in enumerate((t or "").split("\n")):
             form = line_dedup.normal_form(x)
-            if len(form) >= line_dedup.MIN_CHARS:
-                sets[i, k] = {form[j : j + line_dedup.SHINGLE] for j in range(len(form) - line_dedup.SHINGLE + 1)}
+            if form:
+                sets[i, k] = {form[j : j + 6] for j in range(max(1, len(form) - 5))}
     components = brute_components(sets, line_dedup.PART)
     expected = {i: sorted((k, components[i, k][0]) for (j, k) in sets if j == i and components[j, k] != (j, k)) for i, _, _ in data}
     found = {r.doc_id: [(x.line, x.keeper) for x in r.dropped] for r in line_dedup.line_verdicts(clashing(spark, data)).collect()}
@@ -102,15 +102,27 @@ def test_line_dedup_against_all_pairs(spark):
     missed = sum(len(set(expected[i]) ^ set(found[i])) for i in expected)
     assert total > 50 and missed <= 0.03 * total  # banding may miss a pair near the threshold
     out = {r.doc_id: r.text for r in line_dedup.line_dedup(documents(spark, data)).collect()}
-    assert 202 not in out and 203 not in out and out[200] is None and out[201] == ""
+    assert 202 not in out and 203 not in out and out[200] is None and out[201] == "" and out[204] == "\n\n \t" and out[205] == "ab\nabc"
     for i, t, _ in data[:60]:
         gone = {k for k, _ in found[i]}
         left = [x for k, x in enumerate(t.split("\n")) if k not in gone]
-        assert out.get(i) == ("\n".join(left) if gone else t)
+        if gone and not any(x.strip() for x in left):
+            assert i not in out
+        else:
+            assert out[i] == ("\n".join(left) if gone else t)
     assert line_dedup.line_dedup(documents(spark, [])).count() == 0
 
 
-def test_components(spark):
+def test_components(spark, monkeypatch):
+    edges, expected = _edges()
+    for most in (similarity.ONE_TASK, 0):  # one task, and rounds over tables
+        monkeypatch.setattr(similarity, "ONE_TASK", most)
+        found = [(r.node, r.root) for r in similarity.components(spark.createDataFrame(edges, "a long, b long").repartition(7)).collect()]
+        assert sorted(found) == sorted(expected.items())
+    assert similarity.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def _edges():
     rng, edges = random.Random(2), []
     for _ in range(60):
         a = rng.randrange(0, 100)
@@ -130,9 +142,25 @@ def test_components(spark):
             x = parent[x]
         return x
 
-    found = {r.node: r.root for r in similarity.components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert found == {x: find(x) for e in edges if e[0] != e[1] for x in e}
-    assert similarity.components(spark.createDataFrame([], "a long, b long")).count() == 0
+    return edges, {x: find(x) for e in edges if e[0] != e[1] for x in e}
+
+
+def test_spread_join_is_a_join(spark):
+    rows = spark.createDataFrame([(k, i) for i, k in enumerate([1] * 5000 + [2, 2, 3, 4, None])], "k long, i long")
+    by_key = spark.createDataFrame([(1, "a", 5000), (2, "b", 2), (3, "c", 1), (9, "d", 0)], "k long, v string, n long")
+    for how in ("inner", "left"):
+        found = common.spread_join(rows, by_key, "k", 5004, how)
+        assert sorted(map(tuple, found.collect()), key=str) == sorted(map(tuple, rows.join(by_key.drop("n"), "k", how).collect()), key=str)
+
+
+def test_line_dedup_repeated_rows_and_null_ids(spark):
+    text = "a line that is there again and again\nand one of its own " * 2
+    data = [(5, text, "s"), (5, text, "s"), (3, "a line that is there again and again", "s"), (None, text, "s"), (5, "something else\nA  line that is there again and again", "s")]
+    found = sorted((r.doc_id or 0, r.n_lines, [tuple(x) for x in r.dropped]) for r in line_dedup.line_verdicts(documents(spark, data)).collect())
+    assert found == [(0, 3, []), (3, 1, []), (5, 2, [(1, 3)]), (5, 3, [(0, 3)]), (5, 3, [(0, 3)])]
+    assert line_dedup.line_verdicts(documents(spark, [])).count() == 0
+    spared = line_dedup.line_verdicts(documents(spark, [(1, "}\n}\nlonger line", "s"), (2, "longer line", "s")]), min_chars=5).collect()
+    assert sorted((r.doc_id, [tuple(x) for x in r.dropped]) for r in spared) == [(1, []), (2, [(0, 1)])]
 
 
 def test_maybe_in_loses_nothing(spark):
