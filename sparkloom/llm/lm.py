@@ -1,21 +1,31 @@
 """Language-model scoring by deleted interpolation.
 
-P(w | h) mixes three estimates: c(h, w) / c(h), c(w) / N and 1 / (V + 1). The weights depend on the
-bucket of c(h), by powers of two, and are learned by expectation-maximisation on held-out counts: a
-twentieth of the training documents ("dev") is set aside, the estimates come from the others, and the
-tokens of dev are counted by cell (bucket and the two ratios to 1 / (V + 1), in quarters of an octave),
-a table of bounded size that EM runs on. Final estimates count all training documents.
+With h1 the token before w, h2 the one before that, and ORDER 3:
+
+    P1(w)       = l1 * c(w) / N           + (1 - l1) / (V + 1)
+    P2(w|h1)    = l2 * c(h1 w) / c(h1)    + (1 - l2) * P1(w)
+    P3(w|h2 h1) = l3 * c(h2 h1 w) / c(h2 h1) + (1 - l3) * P2(w|h1)
+
+Each l is a weight by bucket of the context's count (powers of two), 0 for contexts that weren't seen, and
+is learned by expectation-maximisation on held-out counts: a twentieth of the training documents ("dev")
+is set aside, the estimates come from the others, and the dev tokens are counted by cell (bucket, and
+the ratio of the two estimates in eighths of an octave), a table of bounded size that EM runs on, from
+the lowest order up. Final estimates count all training documents. Every P sums to 1 over the V known
+tokens and one unknown.
 
 No count table is broadcast or joined row by row. Documents are read into chunks of tokens. A chunk
-asks for the counts of its different words and word pairs: requests are sorted 64-bit hashes with the
-chunk's own counts, cut into ranges of the hash space. A range adds up all chunks and replies to each
-in the order of its request, so the replies of a chunk, end to end, align with its sorted hashes. A
-frequent word is one entry a chunk, so no key weighs more than another. Words are known by 64-bit
-hashes throughout.
+asks for the counts of its different n-grams: requests are sorted hashes, as differences, with the
+chunk's own counts, cut into ranges of the hash space, of which there are as many as the size of the
+input asks for. A range adds up all chunks and replies to each in the order of its request, so the
+replies of a chunk, end to end, align with its sorted hashes. A frequent word is one entry a chunk, so
+no key weighs more than another. Counts are 64 bits wide. Words are known by 64-bit hashes, longer
+n-grams by so many bits that one n-gram in 2^20 or less is taken for another at any size of input (64 bits at most).
 
 Defined results: null text counts as empty and is its end token alone; null ids belong to the training
-documents; repeated rows are counted and scored as rows of their own; without training documents N and
-V are 0 and every token has probability 1.
+documents; repeated rows are counted and scored as rows of their own; there are no ties to break; a very
+long text is read whole, in one chunk, whatever CHUNK says, so it has to fit a worker; an empty table
+gives an empty result; without training documents N and V are 0 and every token has probability 1, by the base and by the model;
+without dev documents all weights are one half. Columns are taken by name; extra ones don't matter.
 """
 
 from __future__ import annotations
@@ -28,20 +38,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_batches, mix, pack, partitions, stash, text_buffer, unpack, word_hashes
+from .common import bound_batches, input_bytes, mix, pack, partitions, stash, text_buffer, trim, unpack, word_hashes
 from .toxicity import held_out
 
 #: The remainder of crc32(id) mod 5 that is held out, and one in how many training documents is dev.
 HELD_OUT, DEV_EVERY = 1, 20
-#: Tokens of a chunk, about.
-CHUNK = 1_500_000
+#: Tokens of a chunk, about; bytes of text whose n-grams make a range; the longest n-gram.
+CHUNK, RANGE, ORDER = 1_500_000, 4 << 20, 3
 #: Hashes of the end of a text and of its start; the start occurs as a context only.
 END, START = np.uint64(0x51ED270B0A1F39C1), np.uint64(0x8CB92BA72F3D8DD7)
-BUCKETS, STEPS = 32, 4
+BUCKETS, STEPS = 64, 8
+_A, _B = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def _chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """chunk, kind (1: dev), ids, held, sizes (tokens with the end), words (sorted hashes), at (place of each token's word)."""
+    """chunk, kind (1: dev), ids, held, sizes (tokens with the end), words (sorted hashes, as differences), at (place of each token's word)."""
     held = F.coalesce(held_out(F.col(id_col), HELD_OUT), F.lit(False))
     dev = ~held & F.coalesce((F.crc32(F.concat(F.lit("dev"), F.col(id_col).cast("string")).cast("binary")) % DEV_EVERY == 0), F.lit(False))
     slim = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), held.alias("held"), dev.cast("int").alias("kind"))
@@ -61,7 +72,7 @@ def _chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             ids, held, sizes = pa.concat_arrays(ids), pa.concat_arrays(held), np.concatenate(sizes)
             made += 1
             listed = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-            return pa.RecordBatch.from_arrays([pa.array([base + made], pa.int64()), pa.array([kind], pa.int32()), listed(ids), listed(held), pa.array([pack(sizes.astype(np.uint32))]), pa.array([pack(words)]), pa.array([pack(at.astype(np.uint32))])], ["chunk", "kind", "ids", "held", "sizes", "words", "at"])
+            return pa.RecordBatch.from_arrays([pa.array([base + made], pa.int64()), pa.array([kind], pa.int32()), listed(ids), listed(held), pa.array([pack(sizes.astype(np.uint32))]), pa.array([pack(np.diff(words, prepend=np.uint64(0)))]), pa.array([pack(at.astype(np.uint32))])], ["chunk", "kind", "ids", "held", "sizes", "words", "at"])
 
         for batch in batches:
             data, offsets = text_buffer(batch.column(1))
@@ -87,104 +98,139 @@ def _chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return slim.mapInArrow(read, schema)
 
 
-def _pairs(words: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of (context, token), the context's place in words (-1: the start), the token's document."""
-    context = np.empty(len(at), np.int64)
-    context[1:] = at[:-1]
-    context[np.cumsum(sizes) - sizes] = -1
-    before = np.where(context < 0, START, words[context])
-    return mix(before * np.uint64(0xD6E8FEB86659FD93) + words[at]), context, np.repeat(np.arange(len(sizes)), sizes)
+def _words(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return np.cumsum(unpack(row["words"], np.uint64), dtype=np.uint64), unpack(row["at"], np.uint32), unpack(row["sizes"], np.uint32).astype(np.int64)
+
+
+def _grams(words: np.ndarray, at: np.ndarray, sizes: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """By order: the different hashes, sorted, and the place of each token's n-gram (which ends with it) among them. Longer n-grams have ``bits`` bits, in the high ones."""
+    yield words, at
+    token, firsts, gram = words[at], np.cumsum(sizes) - sizes, words[at]
+    for n in range(2, ORDER + 1):
+        before = np.empty_like(token)  # the token n - 1 places before, or the start
+        before[n - 1 :] = token[: len(token) - n + 1]
+        for k in range(n - 1):
+            before[(firsts + k)[k < sizes]] = START
+        gram = mix(gram * _A + before * _B)
+        keys, place = np.unique(gram >> np.uint64(64 - bits), return_inverse=True)
+        yield keys << np.uint64(64 - bits), place
 
 
-def _requests(chunks: DataFrame, ranges: int) -> DataFrame:
-    """group: the kind of n-gram and range of hashes; chunk, kind, keys, counts (in the training documents of the chunk)."""
+def _bits(docs: DataFrame) -> int:
+    return min(64, 24 + max(24, input_bytes(docs).bit_length()))
+
+
+def _requests(chunks: DataFrame, ranges: int, bits: int) -> DataFrame:
+    """group: the order and the range of hashes; chunk, kind, keys (differences), counts (in the training documents of the chunk)."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edges = (np.arange(ranges, dtype=object) * 2**64 // ranges).astype(np.uint64)
+        edges = np.arange(ranges, dtype=np.uint64) * np.uint64(2**64 // ranges)
         for batch in batches:
             for row in batch.to_pylist():
-                words, at, sizes = unpack(row["words"], np.uint64), unpack(row["at"], np.uint32), unpack(row["sizes"], np.uint32).astype(np.int64)
+                words, at, sizes = _words(row)
                 training = np.repeat(~np.array(row["held"], bool), sizes)
-                pairs, _, _ = _pairs(words, at, sizes)
-                keys, place = np.unique(pairs, return_inverse=True)
-                for order, keys, counts in ((0, words, np.bincount(at[training], minlength=len(words))), (1, keys, np.bincount(place[training], minlength=len(keys)))):
+                for order, (keys, place) in enumerate(_grams(words, at, sizes, bits)):
+                    counts = np.bincount(place[training], minlength=len(keys))
+                    low = np.uint64(64 - bits if order else 0)
                     cuts = np.append(np.searchsorted(keys, edges), len(keys))
                     use = np.flatnonzero(np.diff(cuts))
                     yield pa.RecordBatch.from_arrays([
                         pa.array(use + order * ranges, pa.int32()), pa.array([row["chunk"]] * len(use), pa.int64()), pa.array([row["kind"]] * len(use), pa.int32()),
-                        pa.array([pack(keys[cuts[b] : cuts[b + 1]]) for b in use], pa.binary()), pa.array([pack(counts[cuts[b] : cuts[b + 1]].astype(np.uint32)) for b in use], pa.binary()),
+                        pa.array([pack(np.diff(keys[cuts[b] : cuts[b + 1]] >> low, prepend=np.uint64(0))) for b in use], pa.binary()), pa.array([pack(counts[cuts[b] : cuts[b + 1]]) for b in use], pa.binary()),
                     ], ["group", "chunk", "kind", "keys", "counts"])
+        trim()
 
     return chunks.select("chunk", "kind", "held", "sizes", "words", "at").mapInArrow(ask, "group int, chunk long, kind int, keys binary, counts binary")
 
 
 def _reply(table: pa.Table) -> pa.Table:
     """all: counts over all training documents; core: without dev, for dev chunks. Chunk -1: how many n-grams were seen, in all and in core."""
-    keys = [unpack(x, np.uint64) for x in table["keys"].to_pylist()]
+    keys = [np.cumsum(unpack(x, np.uint64), dtype=np.uint64) for x in table["keys"].to_pylist()]
     sizes, kinds = [len(x) for x in keys], table["kind"].to_numpy()
-    counts = np.concatenate([unpack(x, np.uint32) for x in table["counts"].to_pylist()])
+    counts = np.concatenate([unpack(x, np.int64) for x in table["counts"].to_pylist()])
     _, place = np.unique(np.concatenate(keys), return_inverse=True)
     of_dev = np.repeat(kinds == 1, sizes)
-    core = np.bincount(place, np.where(of_dev, 0, counts)).astype(np.int64)
-    both = core + np.bincount(place, np.where(of_dev, counts, 0)).astype(np.int64)
+    core, both = (np.zeros(int(place.max()) + 1, np.int64) for _ in range(2))
+    np.add.at(core, place[~of_dev], counts[~of_dev])
+    np.add.at(both, place, counts)
     ends = np.cumsum(sizes)
     parts = [(place[e - n : e], kind) for e, n, kind in zip(ends, sizes, kinds, strict=True)]
     group = table["group"][0].as_py()
     return pa.table({
         "group": pa.array([group] * (len(parts) + 1), pa.int32()), "chunk": pa.concat_arrays([pa.array(table["chunk"].to_numpy()), pa.array([-1], pa.int64())]),
         "kind": pa.concat_arrays([pa.array(kinds, pa.int32()), pa.array([-1], pa.int32())]), "seen": pa.array([0] * len(parts) + [int((both > 0).sum())], pa.int64()), "seen_core": pa.array([0] * len(parts) + [int((core > 0).sum())], pa.int64()),
-        "all": pa.array([pack(both[p].astype(np.uint32)) for p, _ in parts] + [b""], pa.binary()), "core": pa.array([pack(core[p].astype(np.uint32)) if kind else b"" for p, kind in parts] + [b""], pa.binary()),
+        "all": pa.array([pack(both[p]) for p, _ in parts] + [b""], pa.binary()), "core": pa.array([pack(core[p]) if kind else b"" for p, kind in parts] + [b""], pa.binary()),
     })
 
 
 _REPLY = "group int, chunk long, kind int, seen long, seen_core long, all binary, core binary"
 
 
-def _aligned(table: pa.Table, ranges: int, column: str) -> tuple[np.ndarray, np.ndarray]:
-    """The replies of a chunk in the order of its words, and of its pairs."""
-    rows = sorted(zip(table["group"].to_pylist(), table[column].to_pylist(), strict=True))
-    out = []
-    for order in (0, 1):
-        found = [unpack(x, np.uint32) for g, x in rows if g // ranges == order]
-        out.append(np.concatenate(found).astype(np.float64) if found else np.zeros(0))
-    return out[0], out[1]
-
+def _estimates(row: dict, replies: pa.Table, ranges: int, bits: int, column: str, total: int, docs: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray, np.ndarray]:
+    """By order, for each token: the context's count, and the n-gram's share of it; c(w); the tokens' documents."""
+    words, at, sizes = _words(row)
+    told: list[list[bytes]] = [[] for _ in range(ORDER)]
+    for group, packed in sorted(zip(replies["group"].to_pylist(), replies[column].to_pylist(), strict=True)):
+        told[group // ranges].append(packed)
+    out, first, before, single = [], np.cumsum(sizes) - sizes, np.full(len(at), float(total)), None
+    for packed, (_, place) in zip(told, _grams(words, at, sizes, bits), strict=True):
+        own = np.concatenate([unpack(x, np.int64) for x in packed])[place].astype(np.float64)
+        single = own if single is None else single
+        out.append((before, np.divide(own, before, out=np.zeros(len(at)), where=before > 0)))
+        before = np.append(0.0, own[:-1])  # the n-gram before is the context of the next order
+        before[first] = docs
+    return out, single, np.repeat(np.arange(len(sizes)), sizes)
 
-def _estimates(row: dict, replies: pa.Table, ranges: int, column: str, total: int, docs: int) -> tuple:
-    """Of each token: the context's count, c(h, w) / c(h), c(w); and the tokens' documents."""
-    words, at, sizes = unpack(row["words"], np.uint64), unpack(row["at"], np.uint32), unpack(row["sizes"], np.uint32).astype(np.int64)
-    single, double = _aligned(replies, ranges, column)
-    pairs, context, owner = _pairs(words, at, sizes)
-    _, place = np.unique(pairs, return_inverse=True)
-    before = np.where(context < 0, docs, single[context])
-    return before, np.divide(double[place], before, out=np.zeros(len(at)), where=before > 0), single[at], owner, sizes
 
-
-def _bucket(count: np.ndarray) -> np.ndarray:
+def bucket(count: np.ndarray) -> np.ndarray:
     """0 for none, else 1 + the floor of log2."""
     return np.minimum(BUCKETS - 1, np.where(count > 0, np.floor(np.log2(np.maximum(count, 1))) + 1, 0)).astype(np.int64)
 
 
-def em(bucket: np.ndarray, ratio2: np.ndarray, ratio1: np.ndarray, n: np.ndarray, steps: int = 100) -> np.ndarray:
-    """Weights by bucket, of the pair, the word and the uniform estimate. Estimates are given as ratios to the uniform one. One pseudo-count each keeps weights positive."""
-    weights = np.full((BUCKETS, 3), 1 / 3)
-    parts = np.stack([ratio2, ratio1, np.ones(len(n))], 1)
+def mixed(estimates: list[tuple[np.ndarray, np.ndarray]], weights: list[np.ndarray], distinct: int) -> np.ndarray:
+    """P of the order that there are weights for."""
+    p = np.full(len(estimates[0][0]), 1 / (distinct + 1))
+    for (before, share), w in zip(estimates, weights, strict=False):
+        part = w[bucket(before)]
+        p = part * share + (1 - part) * p
+    return p
+
+
+def em(at: np.ndarray, ratio: np.ndarray, n: np.ndarray, steps: int = 200) -> np.ndarray:
+    """Weights by bucket of the higher of two estimates, of which ratios are given. One pseudo-count each keeps weights off 0 and 1; bucket 0 has weight 0."""
+    w = np.full(BUCKETS, 0.5)
+    size = np.bincount(at, n, BUCKETS)
     for _ in range(steps):
-        share = weights[bucket] * parts
-        share *= (n / share.sum(1))[:, None]
-        sums = np.stack([np.bincount(bucket, share[:, k], BUCKETS) for k in range(3)], 1) + 1
-        weights = sums / sums.sum(1, keepdims=True)
-    weights[0] = [0, weights[0, 1] / weights[0, 1:].sum(), weights[0, 2] / weights[0, 1:].sum()]  # no pair estimate without the context
-    return weights
+        part = w[at]
+        new = (np.bincount(at, n * part * ratio / (part * ratio + 1 - part), BUCKETS) + 1) / (size + 2)
+        done, w = np.abs(new - w).max() < 1e-7, new
+        if done:
+            break
+    w[0] = 0
+    return w
+
+
+def _cells(before: np.ndarray, share: np.ndarray, lower: np.ndarray) -> np.ndarray:
+    """Bucket and ratio of the estimates, of tokens whose context was seen."""
+    use = before > 0
+    ratio = share[use] / lower[use]
+    step = np.where(ratio > 0, np.rint(np.log2(np.clip(ratio, 2.0**-100, 2.0**100)) * STEPS) + 1000, 0).astype(np.int64)
+    return (bucket(before[use]) << 20) + step
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, held_out, n_tokens, n_known, train_tokens, base_score, score; log10 throughout."""
+    return model_and_score(docs, id_col, text_col)[1]
+
+
+def model_and_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[np.ndarray], DataFrame]:
+    """The weights by order and bucket, and score()."""
     spark = docs.sparkSession
     bound_batches(spark)
-    ranges = partitions(spark)
+    ranges = min(1 << 20, 2 * max(partitions(spark), -(-input_bytes(docs) // RANGE)))
+    bits = _bits(docs)
     chunks = stash(_chunks(docs, id_col, text_col))
-    replies = stash(_requests(chunks, ranges).groupBy("group").applyInArrow(_reply, _REPLY))
+    replies = stash(_requests(chunks, ranges, bits).groupBy("group").applyInArrow(_reply, _REPLY))
     seen = replies.where(f"chunk = -1 and group < {ranges}").agg(F.sum("seen"), F.sum("seen_core")).first()
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,32 +242,35 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     known = {r["kind"]: r for r in chunks.select("kind", "held", "sizes").mapInArrow(tally, "kind int, tokens long, docs long").groupBy("kind").agg(F.sum("tokens").alias("tokens"), F.sum("docs").alias("docs")).collect()}
     core, core_docs = (known[0]["tokens"], known[0]["docs"]) if 0 in known else (0, 0)
     total, total_docs = core + (known[1]["tokens"] if 1 in known else 0), core_docs + (known[1]["docs"] if 1 in known else 0)
-    distinct = seen[0] or 0
-
-    def cells(left: pa.Table, right: pa.Table) -> pa.Table:
-        found = []
-        for row in left.to_pylist():
-            before, p2, c1, _, _ = _estimates(row, right, ranges, "core", core, core_docs)
-            step = lambda p: np.where(p > 0, np.rint(np.log2(np.maximum(p * (distinct + 1), 2.0**-20)) * STEPS) + 128, 0).astype(np.int64)
-            found.append((_bucket(before) << 40) + (step(p2) << 20) + step(c1 / max(core, 1)))
-        cell, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        return pa.table({"cell": cell, "n": n.astype(np.int64)})
-
-    dev = chunks.where("kind = 1").groupBy("chunk").cogroup(replies.where("kind = 1").groupBy("chunk")).applyInArrow(cells, "cell long, n long")
-    counted = dev.groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    cell = counted["cell"].to_numpy(np.int64)
-    ratio = lambda q: np.where(q > 0, 2.0 ** ((q - 128) / STEPS), 0)
-    weights = em(cell >> 40, ratio(cell >> 20 & 0xFFFFF), ratio(cell & 0xFFFFF), counted["n"].to_numpy(float))
+    distinct, distinct_core = seen[0] or 0, seen[1] or 0
+
+    def count_cells(order: int, lower: list[np.ndarray]):
+        def cells(left: pa.Table, right: pa.Table) -> pa.Table:
+            found = [np.zeros(0, np.int64)]
+            for row in left.to_pylist():
+                estimates, _, _ = _estimates(row, right, ranges, bits, "core", core, core_docs)
+                found.append(_cells(*estimates[order], mixed(estimates, lower, distinct_core)))
+            cell, n = np.unique(np.concatenate(found), return_counts=True)
+            return pa.table({"cell": cell, "n": n.astype(np.int64)})
+
+        return cells
+
+    weights: list[np.ndarray] = []
+    dev = chunks.where("kind = 1").groupBy("chunk").cogroup(replies.where("kind = 1").select("chunk", "group", "core").groupBy("chunk"))
+    for order in range(ORDER):
+        counted = dev.applyInArrow(count_cells(order, list(weights)), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+        cell = counted["cell"].to_numpy(np.int64)
+        weights.append(em(cell >> 20, np.where(cell & 0xFFFFF, 2.0 ** (((cell & 0xFFFFF) - 1000) / STEPS), 0), counted["n"].to_numpy(float)))
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         for row, ids, held in zip(left.drop_columns(["ids", "held"]).to_pylist(), left["ids"].combine_chunks(), left["held"].combine_chunks(), strict=True):
-            before, p2, c1, owner, sizes = _estimates(row, right, ranges, "all", total, total_docs)
-            w = weights[_bucket(before)]
-            mixed = w[:, 0] * p2 + w[:, 1] * c1 / max(total, 1) + w[:, 2] / (distinct + 1)
+            estimates, c1, owner = _estimates(row, right, ranges, bits, "all", total, total_docs)
+            p = mixed(estimates, weights, distinct)
             base = np.log10((c1 + 0.5) / (total + 0.5 * (distinct + 1)))
-            by = lambda x: np.bincount(owner, x, len(sizes))
-            out.append(pa.table({"id": ids.values, "held_out": held.values, "n_tokens": sizes, "n_known": by(c1 > 0).astype(np.int64), "train_tokens": np.full(len(sizes), total, np.int64), "base_score": by(base), "score": by(np.log10(mixed))}))
+            sizes = np.bincount(owner)
+            by = lambda x: np.bincount(owner, x, len(sizes))  # noqa: B023, E731
+            out.append(pa.table({"id": ids.values, "held_out": held.values, "n_tokens": sizes, "n_known": by(c1 > 0).astype(np.int64), "train_tokens": np.full(len(sizes), total, np.int64), "base_score": by(base), "score": by(np.log10(p))}))
         return pa.concat_tables(out).cast(arrow)
 
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -229,4 +278,4 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("held_out", T.BooleanType()), *(T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known", "train_tokens")), *(T.StructField(c, T.DoubleType()) for c in ("base_score", "score"))])
     arrow = to_arrow_schema(schema)
     joined = chunks.select("chunk", "ids", "held", "sizes", "words", "at").groupBy("chunk").cogroup(replies.where("chunk >= 0").select("chunk", "group", "all").groupBy("chunk"))
-    return joined.applyInArrow(finish, schema).withColumnRenamed("id", id_col)
+    return weights, joined.applyInArrow(finish, schema).withColumnRenamed("id", id_col)
