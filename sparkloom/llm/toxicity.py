@@ -1,46 +1,57 @@
 """Toxicity: a linear classifier over character n-grams, their presence scaled by naive Bayes log-count ratios.
 
-Training reads a bounded sample of labelled rows: up to ``max_toxic`` and ``max_clean`` rows with the
-smallest hashes of their ids. Executors count in how many sampled texts of each class each n-gram
-bucket occurs; the most telling buckets are kept, and the n-grams in them, by 64-bit hash, become the
-features. Feature f of a text is r_f if the n-gram is in the text, else 0, where r_f is the log of the
-ratio of its smoothed shares of the two classes. A logistic regression over them is fitted by L-BFGS,
-reduced to the ``keep`` features of largest effect and fitted again. Scoring needs that small model
-only, and reads every text whole, in blocks.
+Every n-gram counts: it belongs to one of 2^BITS buckets by its hash, and the buckets are the features.
+Training reads a bounded sample of labelled rows: up to ``max_toxic`` and ``max_clean`` ids with the
+smallest hashes, one row each. Executors count in how many sampled texts of each class each bucket
+occurs; r_f is the log of the ratio of its smoothed shares of the two classes, 0 for buckets that no
+sampled text has. A text's feature f is r_f / sqrt(its number of different buckets) if the text has the bucket, else 0. A
+logistic regression over them is fitted by L-BFGS: executors sum the loss and its gradient over the
+stored sample, the driver holds vectors of 2^BITS numbers at most. Scoring needs that one table of
+weights, of 4 MB, and reads every text whole, in blocks.
 
 N-grams are of lower-cased characters, with one space put before and after each text. Scores depend on
-the text alone. Defined results: null text counts as empty and gets the score of a text without
-features; rows with null ids or labels, or labels other than 0 and 1, teach nothing; with no rows of
-one class the model has no features and scores the share of class 1 (0.5 without any rows).
+the text alone, so repeated rows and ties get equal scores. Defined results: null text counts as empty and, as
+every text without n-grams, gets the score of the bias alone; very long texts are scored whole, one at a
+time; rows with null ids or labels, or labels other than 0 and 1, teach nothing; of rows that repeat an
+id the one with the smallest text teaches, an id with both labels teaches both; with no rows of one
+class the model has no features and scores the share of class 1 (0.5 without any rows); empty tables get
+no scores. Columns are taken by name and kept; a column that has the name of the score is replaced.
 """
 
 from __future__ import annotations
 
 import dataclasses
-from collections.abc import Iterator
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import bound_batches, mix, stash, text_buffer, trim
+from .common import bound_batches, mix, pack, stash, text_buffer, trim, unpack
 from .unit_cache import blocks
 
 ORDERS = (3, 4, 5)
-#: Bounds of the sample, of the buckets that may hold features, and of the model.
-MAX_TOXIC, MAX_CLEAN, BUCKET_BITS, TELLING, KEEP = 4000, 8000, 20, 6000, 4000
+#: Bounds of the sample, and bits of a bucket's number.
+MAX_TOXIC, MAX_CLEAN, BITS = 4000, 8000, 20
+#: Tasks that fit, buckets that a block of texts holds there, pseudo-count, ridge and steps of L-BFGS.
+TASKS, HELD, ALPHA, RIDGE, STEPS = 8, 2_000_000, 1.0, 0.03, 20
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 @dataclasses.dataclass(frozen=True)
 class Model:
+    """weights: of each bucket, r included."""
+
     bias: float
-    hashes: np.ndarray  # sorted
     weights: np.ndarray
 
-    def score(self, present: np.ndarray) -> float:
-        z = self.bias + float(self.weights[present].sum())
+    def score(self, buckets: np.ndarray) -> float:
+        """buckets: the different ones of a text."""
+        z = self.bias + (float(self.weights[buckets].sum(dtype=np.float64)) / len(buckets) ** 0.5 if len(buckets) else 0.0)
         return float(1 / (1 + np.exp(-np.clip(z, -50, 50))))
 
 
@@ -67,110 +78,136 @@ def _texts(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[str]]
         yield i, [data[offsets[k] : offsets[k + 1]].tobytes().decode("utf-8", "replace") for k in range(i, j)]
 
 
-def _presence(texts: list[str], keep: np.ndarray | None = None, bits: int = BUCKET_BITS) -> list[np.ndarray]:
-    """The different n-gram hashes of each text, of the kept buckets only."""
-    found = [[] for _ in texts]
+def _texts(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[str]]]:
+    """(first row, texts) in blocks of bounded size."""
+    data, offsets = text_buffer(batch.column(column))
+    for i, j in blocks(offsets):
+        yield i, [data[offsets[k] : offsets[k + 1]].tobytes().decode("utf-8", "replace") for k in range(i, j)]
+
+
+def presence(texts: list[str], seen: np.ndarray) -> Iterator[np.ndarray]:
+    """The different buckets of each text, unsorted. seen: 2^BITS numbers of any content, to write on."""
+    found = []
     for h, owner in ngrams(texts):
-        if keep is not None:
-            take = keep[h >> np.uint64(64 - bits)]
-            h, owner = h[take], owner[take]
-        at = np.searchsorted(owner, np.arange(len(texts) + 1))
-        for k, out in enumerate(found):
-            out.append(h[at[k] : at[k + 1]])
-    return [np.unique(np.concatenate(x)) if x else np.zeros(0, np.uint64) for x in found]
+        found.append(((h >> np.uint64(64 - BITS)).astype(np.int32), np.searchsorted(owner, np.arange(len(texts) + 1)).tolist()))
+    for k in range(len(texts)):
+        b = np.concatenate([x[at[k] : at[k + 1]] for x, at in found]) if found else np.zeros(0, np.int32)
+        places = np.arange(len(b), dtype=np.int32)
+        seen[b] = places
+        yield b[seen[b] == places]
 
 
 def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> DataFrame:
-    """label, text of the sampled rows. The ids that are broadcast are max_toxic + max_clean at most."""
+    """label, text of the sampled rows: max_toxic + max_clean at most. So many ids are broadcast."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label in (0, 1)").distinct()
     by_hash = [F.xxhash64(F.col("id").cast("string")), F.col("id"), F.col("label")]
     ids = known.where("label = 1").orderBy(*by_hash).limit(max_toxic).unionByName(known.where("label = 0").orderBy(*by_hash).limit(max_clean))
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return texts.join(F.broadcast(ids), "id").select("label", "text")
+    return texts.join(F.broadcast(ids), "id").groupBy("id", "label").agg(F.min("text").alias("text")).select("label", "text")
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN, telling: int = TELLING, keep: int = KEEP) -> Model:
-    spark = docs.sparkSession
-    bound_batches(spark)
-    rows = stash(sample(docs, labels, id_col, text_col, label_col, max_toxic, max_clean)).repartition(8)
-    width = 1 << 14
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> Model:
+    bound_batches(docs.sparkSession)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, n = np.zeros((2, 1 << BUCKET_BITS), np.int32), np.zeros(2, np.int64)
+    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(1 << BITS, np.int32)
         for batch in batches:
-            label = batch.column(0).to_numpy()
             for first, texts in _texts(batch, 1):
-                for k, h in enumerate(_presence(texts)):
-                    y = label[first + k]
-                    seen[y, np.unique(h >> np.uint64(64 - BUCKET_BITS))] += 1
-                    n[y] += 1
+                found = [pack(np.diff(np.sort(b), prepend=0).astype(np.uint32)) for b in presence(texts, seen)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(found, pa.binary())], ["label", "buckets"])
+        trim()
+
+    rows = sample(docs, labels, id_col, text_col, label_col, max_toxic, max_clean).repartition(TASKS)
+    stored = stash(rows.mapInArrow(extract, "label int, buckets binary"))
+    width = 1 << 14
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, n = np.zeros((2, 1 << BITS), np.int32), np.zeros(2, np.int64)
+        for y, flat, starts in _stored_rows(batches):
+            for k in (0, 1):
+                seen[k] += np.bincount(flat[np.repeat(y == k, np.diff(starts))], minlength=1 << BITS).astype(np.int32)
+                n[k] += (y == k).sum()
         if n.sum():
             flat = seen.reshape(-1, width)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat) + 1), pa.int32()), pa.array([x.tobytes() for x in flat] + [n.tobytes()], pa.binary())], ["at", "counts"])
 
-    seen, n = np.zeros((2, 1 << BUCKET_BITS), np.int64), np.zeros(2, np.int64)
+    seen, n = np.zeros((2, 1 << BITS), np.int64), np.zeros(2, np.int64)
     flat = seen.reshape(-1, width)
-    for at, counts in rows.mapInArrow(count, "at int, counts binary").toLocalIterator():  # 8 tasks of 2 * 2^20 counts
+    for at, counts in stored.mapInArrow(count, "at int, counts binary").toLocalIterator():  # TASKS times 2^(BITS + 1) counts
         if at == len(flat):
             n += np.frombuffer(counts, np.int64)
         else:
             flat[at] += np.frombuffer(counts, np.int32)
+    weights = np.zeros(1 << BITS, np.float32)
     if not n.all():
         share = (n[1] + 0.5) / (n.sum() + 1)
-        return Model(float(np.log(share / (1 - share))), np.zeros(0, np.uint64), np.zeros(0))
-    p, q = (seen[1] + 1) / (n[1] + 2), (seen[0] + 1) / (n[0] + 2)
-    z = np.abs(p - q) / np.sqrt(p * (1 - p) / n[1] + q * (1 - q) / n[0])
-    z[seen.sum(0) < 3] = 0
-    chosen = np.zeros(1 << BUCKET_BITS, bool)
-    chosen[np.argsort(-z, kind="stable")[:telling]] = True
-
-    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, texts in _texts(batch, 1):
-                found = _presence(texts, chosen)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array([x.tobytes() for x in found], pa.binary())], ["label", "hashes"])
-
-    got = sorted((r[0], bytes(r[1])) for r in rows.mapInArrow(extract, "label int, hashes binary").toLocalIterator())  # in an order that no schedule changes
-    return _fit(np.array([y for y, _ in got], float), [np.frombuffer(h, np.uint64) for _, h in got], keep)
-
-
-def _fit(y: np.ndarray, hashes: list[np.ndarray], keep: int) -> Model:
-    vocabulary, flat = np.unique(np.concatenate(hashes), return_inverse=True)
-    row = np.repeat(np.arange(len(y)), [len(x) for x in hashes])
-
-    def ratios(flat: np.ndarray, row: np.ndarray, size: int) -> np.ndarray:
-        ones = np.bincount(flat, y[row], size)
-        zeros = np.bincount(flat, minlength=size) - ones
-        return np.log(((ones + 1) / (y.sum() + 2)) / ((zeros + 1) / (len(y) - y.sum() + 2)))
-
-    common = np.bincount(flat, minlength=len(vocabulary)) >= 3
-    for last in (False, True):
-        number = np.cumsum(common) - 1
-        use = common[flat]
-        flat, row, vocabulary = number[flat[use]], row[use], vocabulary[common]
-        r = ratios(flat, row, len(vocabulary))
-        w, bias = _logistic(flat, row, r, y)
-        effect = np.abs(w * r)
-        common = np.zeros(len(vocabulary), bool)
-        common[np.argsort(-effect, kind="stable")[:keep]] = True
-        if last or len(vocabulary) <= keep:
-            break
-    return Model(bias, vocabulary, w * r)
+        return Model(float(np.log(share / (1 - share))), weights)
+    used = np.flatnonzero(seen.sum(0))
+    r = ratios(seen[1, used], seen[0, used], n)
 
-
-def _logistic(flat: np.ndarray, row: np.ndarray, r: np.ndarray, y: np.ndarray, l2: float = 0.3, steps: int = 60, memory: int = 8) -> tuple[np.ndarray, float]:
-    """L-BFGS on mean log loss + l2 / 2n * |w|^2, both classes of equal weight; the bias, last, is free."""
-    n, size, values = len(y), len(r), r[flat]
-    share = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max(n - y.sum(), 1))
+    marks = np.zeros(1 << BITS, bool)
+    marks[used] = True
+    marks = np.packbits(marks)
+    context = docs.sparkSession.sparkContext
 
     def loss(x: np.ndarray) -> tuple[float, np.ndarray]:
-        z = np.bincount(row, x[flat] * values, n) + x[size]
-        p = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
-        e = (p - y) * share
-        value = float(share @ (np.logaddexp(0, z) - y * z)) + l2 / (2 * n) * float(x[:size] @ x[:size])
-        return value, np.append(np.bincount(flat, e[row] * values, size) + l2 / n * x[:size], e.sum())
-
-    x = np.zeros(size + 1)
+        """Mean log loss, both classes of equal weight, + ridge / 2n * |x|^2, and its gradient; the bias, last, is free."""
+        sent = context.broadcast((marks, (x[:-1] * r).astype(np.float32), float(x[-1]), n.tolist()))  # at most 2^BITS numbers, and taken back at once
+        told = sorted(stored.mapInArrow(functools.partial(_part, sent), "value double, bias double, gradient binary").collect())  # TASKS vectors
+        sent.destroy()
+        grad = np.sum([np.frombuffer(t[2], np.float32) for t in told], 0, dtype=np.float64) * r + RIDGE / n.sum() * x[:-1]
+        return sum(t[0] for t in told) + RIDGE / (2 * n.sum()) * float(x[:-1] @ x[:-1]), np.append(grad, sum(t[1] for t in told))
+
+    x = minimise(loss, np.zeros(len(used) + 1))
+    weights[used] = x[:-1] * r
+    bias = float(x[-1])
+    del seen, flat, x, r, used
+    trim()
+    return Model(bias, weights)
+
+
+def ratios(ones: np.ndarray, zeros: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Log ratios of the smoothed shares of n[1] and n[0] texts; 0 for what no text has."""
+    return np.log((ones + ALPHA * n[1] / n.sum()) / n[1]) - np.log((zeros + ALPHA * n[0] / n.sum()) / n[0])
+
+
+def _stored_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(labels, buckets end to end, where each text's begin and the last one's end), by blocks of about HELD buckets."""
+    labels, held, size = [], [], 0
+    for batch in batches:
+        for y, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            labels.append(y)
+            held.append(np.cumsum(unpack(packed.as_buffer(), np.uint32), dtype=np.int32))
+            size += len(held[-1])
+            if size >= HELD:
+                yield np.array(labels), np.concatenate(held), np.cumsum([0, *map(len, held)])
+                labels, held, size = [], [], 0
+    if labels:
+        yield np.array(labels), np.concatenate(held), np.cumsum([0, *map(len, held)])
+
+
+def _part(sent: Broadcast, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The loss of a task's rows, and its gradient by bias and by used bucket (without r). sent: marks of the used buckets, their weights, the bias, the texts of each class."""
+    marks, weights, bias, n = sent.value
+    used = np.flatnonzero(np.unpackbits(marks))
+    table = np.zeros(1 << BITS, np.float32)
+    table[used] = weights
+    value, by_bias, grad = 0.0, 0.0, np.zeros(len(table))
+    for y, flat, starts in _stored_rows(batches):
+        sizes = np.diff(starts)
+        scale = 1 / np.sqrt(np.maximum(sizes, 1))
+        sums = np.append(0, np.cumsum(table[flat], dtype=np.float64))
+        z = (sums[starts[1:]] - sums[starts[:-1]]) * scale + bias
+        share = np.where(y == 1, 0.5 / n[1], 0.5 / n[0])
+        e = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y) * share
+        value += float(share @ (np.logaddexp(0, z) - y * z))
+        by_bias += float(e.sum())
+        grad += np.bincount(flat, np.repeat(e * scale, sizes), len(table))
+    yield pa.RecordBatch.from_pydict({"value": [value], "bias": [by_bias], "gradient": pa.array([grad[used].astype(np.float32).tobytes()], pa.binary())})
+
+
+def minimise(loss: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray, steps: int = STEPS, memory: int = 6) -> np.ndarray:
+    """L-BFGS with halving steps."""
     value, grad = loss(x)
     past: list[tuple[np.ndarray, np.ndarray, float]] = []
     for _ in range(steps):
@@ -190,50 +227,29 @@ def _logistic(flat: np.ndarray, row: np.ndarray, r: np.ndarray, y: np.ndarray, l
                 break
             rate /= 2
         s, t = -rate * d, new_grad - grad
-        if value - new < 1e-7 * max(1, abs(value)):
+        if value - new < 1e-6 * max(1, abs(value)):
             break
         x, value, grad = x + s, new, new_grad
         if s @ t > 1e-12:
             past = [*past[1 - memory :], (s, t, 1 / (s @ t))]
-    return x[:size], float(x[size])
+    return x
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
-    """docs with their score; every column is kept. The model has ``keep`` features at most."""
+    """docs with their score; every other column is kept."""
     bound_batches(docs.sparkSession)
-    mask = np.zeros(1 << BUCKET_BITS, bool)
-    mask[model.hashes >> np.uint64(64 - BUCKET_BITS)] = True
+    docs = docs.drop(name)
     at = docs.columns.index(text_col)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags = np.zeros(len(model.hashes), bool)
+        seen = np.zeros(1 << BITS, np.int32)
         for batch in batches:
             out = np.zeros(batch.num_rows)
             for first, texts in _texts(batch, at):
-                out[first : first + len(texts)] = model.score(flags)
-                found = []
-                for h, owner in ngrams(texts):
-                    near = np.flatnonzero(mask[h >> np.uint64(64 - BUCKET_BITS)])
-                    h, owner = h[near], owner[near]
-                    place = np.searchsorted(model.hashes, h)
-                    hit = model.hashes[np.minimum(place, len(model.hashes) - 1)] == h
-                    found.append((owner[hit], place[hit]))
-                if not found:
-                    continue
-                owner, place = (np.concatenate(x) for x in zip(*found, strict=True))
-                order = np.argsort(owner, kind="stable")
-                owner, place = owner[order], place[order]
-                edges = np.searchsorted(owner, np.arange(len(texts) + 1))
-                for k in np.flatnonzero(np.diff(edges)):
-                    own = place[edges[k] : edges[k + 1]]
-                    flags[own] = True
-                    out[first + k] = model.score(flags)
-                    flags[own] = False
+                out[first : first + len(texts)] = [model.score(b) for b in presence(texts, seen)]
             yield batch.append_column(name, pa.array(out))
         trim()
 
-    from pyspark.sql import types as T
-
     return docs.mapInArrow(work, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 

@@ -67,6 +67,36 @@ def test_secret_ownership(spark):
     assert clean[100] == "mine [SECRET]" and clean[0] == "see [EXAMPLE]" and clean[200] == "nothing" and clean[201] is None
 
 
+def test_cut_out_against_a_loop(spark, monkeypatch):
+    monkeypatch.setattr(secrets, "BLOCK", 3)
+    rng, rows, expected = random.Random(9), [], {}
+    for i in range(60):
+        text = "".join(rng.choice("aé日🙂 \n") for _ in range(rng.randrange(1, 60)))
+        spans = sorted({(s, rng.randrange(s + 1, min(len(text), s + 9) + 1), rng.choice(["hex", "live"])) for s in (rng.randrange(len(text)) for _ in range(rng.randrange(0, 14)))})
+        rows.append((i, text, [{"kind": k, "start": s, "end": e} for s, e, k in spans]))
+        out, at, k = "", 0, 0
+        while k < len(spans):
+            s, e, live = spans[k][0], spans[k][1], spans[k][2] == "live"
+            while k + 1 < len(spans) and spans[k + 1][0] < e:
+                k += 1
+                e, live = max(e, spans[k][1]), live or spans[k][2] == "live"
+            out, at, k = out + text[at:s] + ("[SECRET]" if live else "[EXAMPLE]"), e, k + 1
+        expected[i] = out + text[at:]
+    df = spark.createDataFrame(rows, "i int, text string, spans array<struct<kind:string,start:int,end:int>>")
+    assert {r.i: r.t for r in df.select("i", secrets._cut_out(F.col("text"), F.col("spans")).alias("t")).collect()} == expected
+
+
+def test_secrets_of_a_text_with_very_many(spark):
+    rng = random.Random(10)
+    text = "é ".join(f"token={rng.getrandbits(44):011x}Z" if i % 3 else "AKIA" + "B" * 20 for i in range(3000))
+    docs = documents(spark, [(1, text, "s"), (1, text, "s")])  # repeated rows
+    for row in secrets.scan(docs).collect():
+        assert [f"{x.kind}:{x.start}:{x.end}" for x in row.base] == _spans(text)
+    odd = lambda v: len(set(v)) >= 8 and any(c.isdigit() for c in v)
+    shown = re.sub("token=([0-9a-f]+Z)", lambda m: "[SECRET]" if odd(m[1]) else "[EXAMPLE]", text.replace("AKIA" + "B" * 20, "[EXAMPLE]"))
+    assert [r.text for r in secrets.redact(docs).collect()] == [shown, shown]
+
+
 def test_toxicity_learns_and_handles_odd_rows(spark):
     rng = random.Random(1)
     text = lambda: " ".join("".join(rng.choice(["ba", "do", "mi", "ka", "lu", "re"]) for _ in range(3)) for _ in range(30))
@@ -79,10 +109,60 @@ def test_toxicity_learns_and_handles_odd_rows(spark):
     assert np.mean([(found[i] >= 0.5) == (i % 4 == 0) for i in held]) > 0.98
     assert found[1000] == found[1001] < 0.5 and 0 <= found[None] <= 1 and found[1002] >= 0.5
     none = toxicity.train(docs, labels.where("toxic = 0"))
-    assert len(none.hashes) == 0 and all(r.score < 0.5 for r in toxicity.score(docs, none).collect())
+    assert not none.weights.any() and all(r.score < 0.5 for r in toxicity.score(docs, none).collect())
     assert toxicity.score(documents(spark, []), model).count() == 0
     clash = clashing(spark, data[:5])
     assert toxicity.score(clash, model, name="__s").columns == [*clash.columns, "__s"]
+    again = toxicity.score(clash, model).select("doc_id", "score", "node").collect()  # its own column of that name is replaced
+    assert {r.doc_id: r.score for r in again} == {i: found[i] for i in range(5)} and {r.node for r in again} == {"x"}
+
+
+def test_toxicity_sample_bounds_rows(spark):
+    docs = documents(spark, [(1, f"text {i}", "s") for i in range(500)] + [(i, "clean", "s") for i in range(2, 30)])
+    labels = spark.createDataFrame([(1, 1)] + [(i, 0) for i in range(2, 30)], "doc_id long, toxic int")
+    found = toxicity.sample(docs, labels, "doc_id", "text", "toxic", 1, 7).collect()
+    assert sorted(map(tuple, found)) == [(0, "clean")] * 7 + [(1, "text 0")]
+
+
+def test_toxicity_against_a_plain_model(spark):
+    """Ratios by counting sets of n-grams, the loss by loops, the fit by plain gradient steps."""
+    rng = random.Random(5)
+    data = [(i, " ".join(rng.choice(["one", "two", "three", "vile", "mean"][: 5 if i % 3 == 0 else 4]) for _ in range(6)), "s") for i in range(60)]
+    docs, labels = documents(spark, data), spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    grams = {}
+    for i, t, _ in data:
+        padded = f" {t} "
+        grams[i] = {padded[a : a + n] for n in (3, 4, 5) for a in range(len(padded) - n + 1)}
+    n1, n = 20, 60
+    ratio = {}
+    for g in set().union(*grams.values()):
+        ones, all_ = sum(g in grams[i] for i in range(0, 60, 3)), sum(g in s for s in grams.values())
+        ratio[g] = math.log((ones + n1 / n) / n1) - math.log((all_ - ones + (n - n1) / n) / (n - n1))
+    names = sorted(ratio)
+    x = np.array([[ratio[g] * (g in grams[i]) / len(grams[i]) ** 0.5 for g in names] + [1] for i in range(60)])
+    y = np.array([i % 3 == 0 for i in range(60)], float)
+    share = np.where(y == 1, 0.5 / n1, 0.5 / (n - n1))
+
+    def loss(w):
+        z = x @ w
+        return share @ (np.logaddexp(0, z) - y * z) + 0.03 / 2 / n * (w[:-1] @ w[:-1])
+
+    w = np.zeros(len(names) + 1)
+    for _ in range(3000):
+        w -= 2.0 * (x.T @ (share * (1 / (1 + np.exp(-(x @ w))) - y)) + 0.03 / n * np.append(w[:-1], 0))
+    # the weights of the model, by n-gram (no two of these few share a bucket)
+    own = np.zeros(len(names) + 1)
+    own[-1] = model.bias
+    buckets = {}
+    for k, g in enumerate(names):
+        h, _ = next((h, o) for m, (h, o) in zip((3, 4, 5), toxicity.ngrams([g]), strict=False) if m == len(g))
+        buckets[g] = int(h[1] >> np.uint64(44))  # after the one with the space before
+        own[k] = model.weights[buckets[g]] / ratio[g] if ratio[g] else 0
+    assert len(set(buckets.values())) == len(names)
+    assert loss(own) <= loss(w) + 0.02
+    found = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    assert all(abs(found[i] - 1 / (1 + math.exp(-(x[i] @ own)))) < 1e-5 for i in range(60))
 
 
 PAGES = [
@@ -100,6 +180,41 @@ def test_main_text(spark):
     assert html_text.main_text(pages.limit(0)).count() == 0
 
 
+def test_best_region_against_all_intervals():
+    rng = random.Random(3)
+    for _ in range(400):
+        x = [rng.choice([-4, -2, -1, 0, 1, 2, 3]) for _ in range(rng.randrange(0, 14))]
+        sums = {(i, j): sum(x[i:j]) for i in range(len(x)) for j in range(i + 1, len(x) + 1)}
+        best = max(sums.values(), default=0)
+        expected = min((at for at, v in sums.items() if v == best), key=lambda at: (at[1], -at[0])) if best > 0 else (0, 0)
+        assert html_text.best_region(x) == expected
+
+
+def test_scan_of_pages_against_all_intervals_and_without_tags():
+    w, changed = html_text.default_weights(), 0
+    bare = html_text.Weights(html_text.labelled_pages(5))
+    bare.word, bare.tags = w.word, {}
+    pages = html_text.labelled_pages(60, seed=77)  # not those of the fit
+    right = 0
+    for page in pages:
+        items = html_text.parse(page)
+        x = np.array(w.scores(items))
+        total = np.append(0, np.cumsum(x))
+        best = (total[None, :] - total[:, None])[np.triu_indices(len(total), 1)].max()
+        begin, end = html_text.best_region(x.tolist())
+        assert abs(x[begin:end].sum() - best) < 1e-6
+        assert all(s >= 0 for s, i in zip(x, items, strict=True) if isinstance(i, html_text.Block)) and all(s <= 0 for s, i in zip(x, items, strict=True) if not isinstance(i, html_text.Block))
+        text = html_text.extract(page, w)
+        right += text == "\n\n".join(i.text for i in items if isinstance(i, html_text.Block) and i.main)
+        changed += text != html_text.extract(page, bare)
+    assert right >= 0.85 * len(pages) and changed >= 0.95 * len(pages)
+
+
+def test_main_text_repeated_and_wordless_pages(spark):
+    pages = spark.createDataFrame([(1, "u", "<p>same</p>"), (1, "u", "<p>same</p>"), (2, "u", "<p></p><!-- x -->"), (3, "u", "<p>" + "word " * 300_000 + "</p>")], "page_id long, url string, html string")
+    assert sorted((r.page_id, r.text[:4], r.n_chars) for r in html_text.main_text(pages).collect()) == [(1, "same", 4), (1, "same", 4), (2, "", 0), (3, "word", 1_499_999)]
+
+
 def test_main_text_is_linear():
     w = html_text.default_weights()
     for x in ("<a " * 100_000, '<a "' * 100_000, "<!" * 100_000, "<" * 100_000, "<div>" * 50_000 + "</nav>" * 50_000, "<!--" * 50_000):
@@ -138,13 +253,69 @@ def test_lm_base_and_counts(spark):
     assert lm.score(documents(spark, [])).count() == 0
 
 
-def test_lm_is_a_distribution_and_em_gains(spark):
-    """Over all known words and one unknown, probabilities after a context sum to 1; weights learned beat equal ones on their cells."""
-    bucket, ratio2, ratio1, n = np.array([1, 1, 2]), np.array([0.0, 8.0, 16.0]), np.array([4.0, 1.0, 0.5]), np.array([30.0, 10.0, 50.0])
-    w = lm.em(bucket, ratio2, ratio1, n)
-    assert np.allclose(w.sum(1), 1)
-    gain = lambda w: float(n @ np.log(w[bucket, 0] * ratio2 + w[bucket, 1] * ratio1 + w[bucket, 2]))
-    assert gain(w) > gain(np.full_like(w, 1 / 3))
+def _plain_lm(data):
+    """Counts of n-grams of the training documents, by dictionaries; and the probability of the last word of a list, given weights."""
+    count, docs = Counter(), 0
+    for i, t, _ in data:
+        if i is None or zlib.crc32(str(i).encode()) % 5 != 1:
+            x, docs = ["<s>", "<s>", *words(t), None], docs + 1
+            for k in range(2, len(x)):
+                count.update([(x[k],), (x[k - 1], x[k]), (x[k - 2], x[k - 1], x[k])])
+    n, v = sum(c for k, c in count.items() if len(k) == 1), sum(len(k) == 1 for k in count)
+    count[()], count["<s>",], count["<s>", "<s>"] = n, docs, docs
+
+    def p(gram, weights):
+        out = 1 / (v + 1)
+        for k in (1, 2, 3):
+            context = count[gram[3 - k : -1]]
+            w = weights[k - 1][int(lm.bucket(np.array([context]))[0])]
+            out = w * (count[gram[3 - k :]] / context if context else 0) + (1 - w) * out
+        return out
+
+    return count, p
+
+
+def test_lm_against_a_plain_model_that_sums_to_one(spark):
+    rng = random.Random(8)
+    data = [(i, " ".join(rng.choice(["the", "of", "Cat", "dog", f"w{rng.randrange(60)}"]) for _ in range(rng.randrange(0, 40))), "s") for i in range(900)] + [(2000, "unknown words here", "s"), (2006, "the the the cat", "s"), (None, "the cat", "s")]
+    weights, out = lm.model_and_score(documents(spark, data).repartition(3))
+    count, p = _plain_lm(data)
+    found = Counter((r.doc_id, round(r.score, 7)) for r in out.collect())
+    expected = Counter()
+    for i, t, _ in data:
+        x = ["<s>", "<s>", *words(t), None]
+        expected[i, round(sum(math.log10(p(tuple(x[k - 2 : k + 1]), weights)) for k in range(2, len(x))), 7)] += 1
+    assert found == expected
+    known = [k[0] for k in list(count) if len(k) == 1 and k != ("<s>",)]
+    for context in (("<s>", "<s>"), ("<s>", "the"), ("the", "cat"), ("cat", "never"), ("never", "seen")):
+        assert sum(p((*context, w), weights) for w in [*known, "nowhere"]) == pytest.approx(1, abs=1e-9)
+    assert all(w[0] == 0 and (w[1:] > 0).all() and (w[1:] < 1).all() for w in weights)
+
+
+def test_lm_without_training_documents_or_dev(spark):
+    held = [i for i in range(100) if zlib.crc32(str(i).encode()) % 5 == 1]
+    out = lm.score(documents(spark, [(i, "some words", "s") for i in held])).collect()
+    assert len(out) == len(held) and all((r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) == (True, 3, 0, 0, 0.0, 0.0) for r in out)
+    weights, _ = lm.model_and_score(documents(spark, [(1, "a b", "s")]))
+    assert all((w[1:] == 0.5).all() for w in weights)
+
+
+def test_lm_long_text_in_small_chunks(spark, monkeypatch):
+    data = [(i, "a b c " * 50, "s") for i in range(40)] + [(99, "a b c d " * 4000, "s")]
+    whole = {r.doc_id: r.score for r in lm.score(documents(spark, data)).collect()}
+    monkeypatch.setattr(lm, "CHUNK", 500)
+    assert {r.doc_id: r.score for r in lm.score(documents(spark, data)).collect()} == pytest.approx(whole)
+
+
+def test_em_finds_the_best_weight():
+    """Against a grid: the weight of each bucket of the largest likelihood of its cells."""
+    at, ratio, n = np.array([1, 1, 2, 2, 2]), np.array([0.0, 8.0, 0.5, 3.0, 0.0]), np.array([30_000.0, 10_000.0, 5000.0, 50_000.0, 9000.0])
+    w = lm.em(at, ratio, n)
+    grid = np.linspace(0.001, 0.999, 999)
+    for b in (1, 2):
+        best = grid[np.argmax([n[at == b] @ np.log(g * ratio[at == b] + 1 - g) for g in grid])]
+        assert abs(w[b] - best) < 0.002
+    assert w[0] == 0 and w[5] == 0.5
 
 
 def _fuzz(n, seed=7):
