@@ -14,6 +14,8 @@ from sparkloom.operators import metrics, sampling
 from sparkloom.session import cut
 
 LEAST, CLASSES = 20, 50
+#: Test rows of which the GPU variant takes the silhouette.
+SILHOUETTE_ROWS = 5000
 ASSIGNED = "feature_1 string, feature_2 string, label string, rid string, x double, y double, cluster int, is_test boolean, label_value string, status string, note string, classes long, train_inertia double"
 
 
@@ -84,8 +86,8 @@ def pairs_by_labels(df: DataFrame, features: list[str], labels: list[str], rid:
     return cut(long.groupBy("feature_1", "feature_2", "label").applyInPandas(work, ASSIGNED))
 
 
-def results(assigned: DataFrame, sample: int = 5000, note: str = "") -> DataFrame:
-    """A row a combination: agreement of clusters and labels on training and test rows, silhouette of up to ``sample`` test rows; best first."""
+def results(assigned: DataFrame, sample: int | None = None, note: str = "", seed: int = 42) -> DataFrame:
+    """A row a combination: agreement of clusters and labels on training and test rows, silhouette of all test rows, or of ``sample`` of them by md5; best first."""
     key = ["feature_1", "feature_2", "label"]
     ok = assigned.where("status = 'ok'")
     train = metrics.agreement(ok.where(~F.col("is_test")), F.col("cluster"), F.col("label_value"), key).select(*key, F.col("adjusted_rand").alias("train_adjusted_rand"), F.col("normalized_mutual_info").alias("train_normalized_mutual_info"))
@@ -93,17 +95,21 @@ def results(assigned: DataFrame, sample: int = 5000, note: str = "") -> DataFram
     base = assigned.groupBy(*key, "status").agg(F.count("rid").alias("samples"), F.count(F.when(~F.col("is_test"), 1)).alias("train_samples"), F.count(F.when(F.col("is_test"), 1)).alias("test_samples"), F.max("classes").alias("label_classes"), rnd(F.max("train_inertia")).alias("train_inertia"), F.max("note").alias("note"))
 
     def shape(k: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("rid", kind="stable").head(sample)
+        rows = rows.sort_values(["h", "rid"], kind="stable").head(sample or len(rows))
         x, c = rows[["x", "y"]].to_numpy(float), rows["cluster"].to_numpy()
         return pd.DataFrame({"feature_1": [k[0]], "feature_2": [k[1]], "label": [k[2]], "test_silhouette": [silhouette(x, c)]})
 
-    shapes = ok.where("is_test").groupBy(*key).applyInPandas(shape, "feature_1 string, feature_2 string, label string, test_silhouette double")
+    shapes = ok.where("is_test").withColumn("h", sampling.digest(seed, F.col("rid"))).groupBy(*key).applyInPandas(shape, "feature_1 string, feature_2 string, label string, test_silhouette double")
     joined = base.join(train, key, "left").join(test, key, "left").join(shapes, key, "left").withColumn("clusters", F.when(F.col("status") == "ok", F.col("label_classes")))
     told = joined.withColumn("note", F.when(F.col("status") == "ok", F.lit(note)).otherwise(F.col("note")))
-    return told.select(
+    return ordered(told.select(
         *key, "status", "samples", "train_samples", "test_samples", "label_classes", "clusters", "train_adjusted_rand", "test_adjusted_rand", "train_normalized_mutual_info", "test_normalized_mutual_info",
         "test_homogeneity", "test_completeness", "test_v_measure", "test_silhouette", "train_inertia", "note",
-    ).orderBy(F.desc_nulls_last("test_adjusted_rand"), F.desc_nulls_last("test_normalized_mutual_info"), F.desc("samples"), *key)
+    ))
+
+
+def ordered(found: DataFrame) -> DataFrame:
+    return found.orderBy(F.desc_nulls_last("test_adjusted_rand"), F.desc_nulls_last("test_normalized_mutual_info"), F.desc("samples"), "feature_1", "feature_2", "label")
 
 
 def silhouette(x: np.ndarray, c: np.ndarray) -> float | None:

@@ -13,7 +13,9 @@ from sparkloom.functions.coerce import num
 from sparkloom.operators import preprocess, profile, sampling
 from sparkloom.operators.correlate import long_pairs, spearman
 
-NEIGHBOURS, MI_ROWS, LEAST, MRMR = 3, 5000, 20, 50
+NEIGHBOURS, LEAST, MRMR = 3, 20, 50
+#: Points of a leaf, leaves of a group.
+LEAF, GROUP = 32, 64
 MI = "feature string, label string, score_name string, score double, samples long"
 
 
@@ -36,17 +38,50 @@ def _closer(ordered: np.ndarray, x: np.ndarray, r: np.ndarray) -> np.ndarray:
     return np.searchsorted(ordered, x + r, "right") - np.searchsorted(ordered, x - r, "left")
 
 
+def _leaves(x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+    """Points halved along the longer side of their box until a leaf holds LEAF; near leaves are near in the list."""
+    out, left = [], [np.arange(len(x))]
+    while left:
+        at = left.pop()
+        if len(at) <= LEAF:
+            out.append(at)
+            continue
+        side = x if np.ptp(x[at]) >= np.ptp(y[at]) else y
+        order = at[np.argpartition(side[at], len(at) // 2)]
+        left += [order[len(at) // 2 :], order[: len(at) // 2]]
+    return out
+
+
+def kth_distance(x: np.ndarray, y: np.ndarray, k: int) -> np.ndarray:
+    """Distance (the larger of both sides) of each point to its k-th nearest other point. Leaves whose boxes are farther than that aren't looked at."""
+    leaves = _leaves(x, y)
+    box = np.array([(x[at].min(), x[at].max(), y[at].min(), y[at].max()) for at in leaves])
+    starts = np.arange(0, len(leaves), GROUP)
+    groups = np.column_stack([np.minimum.reduceat(box[:, 0], starts), np.maximum.reduceat(box[:, 1], starts), np.minimum.reduceat(box[:, 2], starts), np.maximum.reduceat(box[:, 3], starts)])
+    gap = lambda a, b: np.maximum(np.maximum(a[:, 0] - b[1], b[0] - a[:, 1]), np.maximum(a[:, 2] - b[3], b[2] - a[:, 3]))
+    out = np.empty(len(x))
+
+    def kth(at: np.ndarray, others: np.ndarray) -> np.ndarray:
+        d = np.maximum(np.abs(x[at, None] - x[others]), np.abs(y[at, None] - y[others]))
+        d[at[:, None] == others] = np.inf
+        return np.partition(d, k - 1, axis=1)[:, k - 1] if d.shape[1] >= k else np.full(len(at), np.inf)
+
+    for n, at in enumerate(leaves):
+        near = kth(at, at).max()
+        close = np.flatnonzero(gap(groups, box[n]) <= near)
+        close = (starts[close][:, None] + np.arange(GROUP)).ravel()
+        close = close[close < len(leaves)]
+        close = close[gap(box[close], box[n]) <= near]
+        out[at] = kth(at, np.concatenate([leaves[c] for c in close]))
+    return out
+
+
 def mi_continuous(x: np.ndarray, y: np.ndarray, k: int = NEIGHBOURS, seed: int = 42) -> float:
-    """Kraskov, Stoegbauer, Grassberger (2004), first estimator; in blocks, so memory is linear in the rows."""
+    """Kraskov, Stoegbauer, Grassberger (2004), first estimator; memory is linear in the rows."""
     n = len(x)
     x, y = _spread(x, seed), _spread(y, seed + 1)
-    sx, sy, nx, ny = np.sort(x), np.sort(y), np.empty(n, int), np.empty(n, int)
-    for i in range(0, n, 512):
-        j = min(n, i + 512)
-        d = np.maximum(np.abs(x[i:j, None] - x), np.abs(y[i:j, None] - y))
-        d[np.arange(j - i), np.arange(i, j)] = np.inf
-        r = np.partition(d, k - 1, axis=1)[:, k - 1]
-        nx[i:j], ny[i:j] = _closer(sx, x[i:j], r), _closer(sy, y[i:j], r)
+    r = kth_distance(x, y, min(k, n - 1))
+    nx, ny = _closer(np.sort(x), x, r), _closer(np.sort(y), y, r)
     return max(0.0, float(_digamma(np.array([n]))[0] + _digamma(np.array([k]))[0] - _digamma(nx).mean() - _digamma(ny).mean()))
 
 
@@ -73,11 +108,11 @@ def mi_discrete(x: np.ndarray, y: np.ndarray, k: int = NEIGHBOURS, seed: int = 4
     return max(0.0, float(_digamma(np.array([len(x)]))[0] + _digamma(ks).mean() - _digamma(ns).mean() - _digamma(m).mean()))
 
 
-def mutual_information(df: DataFrame, features: list[str], labels: list[str], rid: str, cap: int = MI_ROWS, seed: int = 42) -> DataFrame:
-    """feature, label, score_name, score, samples; features median-imputed. Pairs are spread over tasks; a pair's rows are capped by md5, and samples says how many there were."""
+def mutual_information(df: DataFrame, features: list[str], labels: list[str], rid: str, cap: int | None = None, seed: int = 42) -> DataFrame:
+    """feature, label, score_name, score, samples; features median-imputed. All rows count, in time n log n; a pair of columns is a task's work. cap: rows by md5 at most, for tables whose columns don't fit a task."""
     spark = df.sparkSession
     stats = profile.column_stats(df, labels)
-    sampled = sampling.sample(df, cap, rid, seed)
+    sampled = df if cap is None else sampling.sample(df, cap, rid, seed)
     filled = preprocess.impute(sampled, features).withColumnRenamed(rid, "rid")
     kinds = {y: profile.task_by_distinct(s) for y, s in stats.items() if s.distinct >= 2}
     if not kinds or not features:
@@ -95,7 +130,7 @@ def mutual_information(df: DataFrame, features: list[str], labels: list[str], ri
         if n < LEAST or rows["y"].nunique() < 2:
             return pd.DataFrame(columns=["feature", "label", "score_name", "score", "samples"])
         s = mi_discrete(x, rows["y"].to_numpy(), seed=seed) if key[2] == "classification" else mi_continuous(x, rows["y"].to_numpy(float), seed=seed)
-        return pd.DataFrame({"feature": [key[0]], "label": [key[1]], "score_name": ["mutual_information"], "score": [round(s, 6)], "samples": [n]})
+        return pd.DataFrame({"feature": [key[0]], "label": [key[1]], "score_name": ["mutual_info_classif" if key[2] == "classification" else "mutual_info_regression"], "score": [round(s, 6)], "samples": [n]})
 
     return pairs.groupBy("feature", "label", "kind").applyInPandas(score, MI).orderBy(F.desc("score"), F.desc("samples"), "feature", "label")
 

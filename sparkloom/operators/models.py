@@ -146,7 +146,7 @@ def linear(df: DataFrame, features: list[str], labels: list[str], rid: str, cap:
 
 
 def ols(df: DataFrame, features: list[str], labels: list[str], rid: str, cap: int = CAPS["statsmodels"]) -> tuple[list[tuple], list[tuple]]:
-    """Least squares with intercept on the features most correlated with each label, by the Gram matrix of complete rows; singular ones are skipped."""
+    """Least squares with intercept on the features most correlated with each label, by the Gram matrix of complete rows."""
     from sparkloom.operators.correlate import pair_corr
 
     sampled = cut(sampling.sample(df, cap, rid))
@@ -160,7 +160,7 @@ def ols(df: DataFrame, features: list[str], labels: list[str], rid: str, cap: in
         cols = ["y", *[f"f{i}" for i in range(len(use))]]
         means = rows.agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in cols]).first()
         n, k = means.n, len(use)
-        if n < max(LEAST_ROWS, k + 2):
+        if n < LEAST_ROWS:
             continue
         center = [F.col(c) - F.lit(means[c]) for c in cols]
         gram_row = rows.agg(*[F.sum(center[i] * center[j]).alias(f"g{i}_{j}") for i in range(k + 1) for j in range(i, k + 1)]).first()
@@ -171,21 +171,34 @@ def ols(df: DataFrame, features: list[str], labels: list[str], rid: str, cap: in
 
 
 def _fit_ols(label: str, use: list[str], n: int, means: np.ndarray, gram: np.ndarray, scores: list, coefficients: list) -> bool:
-    sxx, sxy, syy, k = gram[1:, 1:], gram[1:, 0], gram[0, 0], len(use)
-    if syy <= 0 or np.linalg.matrix_rank(sxx / np.sqrt(np.outer(np.diag(sxx), np.diag(sxx)) + 1e-300)) < k:
+    """The solution of least norm, as by a pseudo-inverse, so collinear regressors share their effect; degrees of freedom go by the rank."""
+    sxx, sxy, syy = gram[1:, 1:], gram[1:, 0], gram[0, 0]
+    if syy <= 0:
         return False
-    inverse = np.linalg.inv(sxx)
-    beta = inverse @ sxy
-    rss, dof = max(0.0, syy - beta @ sxy), n - k - 1
+    d = np.sqrt(np.diag(sxx)) + 1e-300
+    values, vectors = np.linalg.eigh(sxx / np.outer(d, d))  # of columns of one scale: ranks don't depend on units
+    real = values > 1e-10 * len(use)
+    k = int(real.sum())
+    if not k or n < k + 2:
+        return False
+    inner = (vectors[:, real] / values[real]) @ vectors[:, real].T / np.outer(d, d)
+    slopes = inner @ sxy
+    inverse = np.block([[np.array([[1 / n + means[1:] @ inner @ means[1:]]]), -(means[1:] @ inner)[None]], [-(inner @ means[1:])[:, None], inner]])
+    beta = np.append(means[0] - slopes @ means[1:], slopes)
+    free = vectors[:, ~real] / d[:, None]  # directions that change no prediction
+    if free.shape[1]:
+        basis, _ = np.linalg.qr(np.vstack([-(means[1:] @ free)[None], free]))
+        project = np.eye(len(use) + 1) - basis @ basis.T
+        beta, inverse = project @ beta, project @ inverse @ project
+    rss, dof = max(0.0, syy - slopes @ sxy), n - k - 1
     r2 = 1 - rss / syy
     sigma2 = rss / dof
     f = (r2 / k) / ((1 - r2) / dof) if r2 < 1 else math.inf
     fit = n * math.log(2 * math.pi * rss / n) + n if rss > 0 else -math.inf
-    scores.append((label, "ols", n, k, _round(r2), _round(1 - (1 - r2) * (n - 1) / dof), _round(f), _round(special.f_sf(f, k, dof)), _round(fit + 2 * (k + 1)), _round(fit + (k + 1) * math.log(n)), ""))
+    scores.append((label, "ols", n, len(use), _round(r2), _round(1 - (1 - r2) * (n - 1) / dof), _round(f), _round(special.f_sf(f, k, dof)), _round(fit + 2 * (k + 1)), _round(fit + (k + 1) * math.log(n)), ""))
     quantile = special.t_ppf(0.975, dof)
-    errors = np.sqrt(np.append(sigma2 * (1 / n + means[1:] @ inverse @ means[1:]), sigma2 * np.diag(inverse)))
-    values = np.append(means[0] - beta @ means[1:], beta)
-    for name, b, e in zip(["const", *use], values, errors, strict=True):
+    errors = np.sqrt(np.maximum(sigma2 * np.diag(inverse), 0))
+    for name, b, e in zip(["const", *use], beta, errors, strict=True):
         t = b / e if e > 0 else math.inf
         coefficients.append((label, name, _round(b), _round(abs(b)), _round(special.t_two_sided(t, dof)), _round(t), _round(e), _round(b - quantile * e), _round(b + quantile * e), n))
     return True
@@ -260,7 +273,7 @@ def gradient_boosting(df: DataFrame, features: list[str], labels: list[str], rid
 
 
 def forest(task: str, trees: int, seed: int, leaf: int = 2, weight: bool = False):
-    common = dict(featuresCol="x", labelCol="__y", numTrees=trees, maxDepth=12, minInstancesPerNode=leaf, seed=seed)
+    common = dict(featuresCol="x", labelCol="__y", numTrees=trees, maxDepth=30, minInstancesPerNode=leaf, seed=seed)
     if weight:
         common["weightCol"] = "w"
     return RandomForestRegressor(**common) if task == "regression" else RandomForestClassifier(**common)

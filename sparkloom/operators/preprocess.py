@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions.coerce import num
+from sparkloom.operators import profile
 
 PRODUCT_BASES, PRODUCT_PAIRS, SMALL = 12, 80, 1e-12
 
@@ -16,9 +17,9 @@ def medians(df: DataFrame, names: list[str], where: Column | None = None) -> dic
     """Exact medians, of the rows where ``where`` holds; 0 without values."""
     if not names:
         return {}
-    x = lambda c: num(df, c) if where is None else F.when(where, num(df, c))
-    row = df.agg(*[F.coalesce(F.median(x(c)), F.lit(0.0)).alias(f"m{i}") for i, c in enumerate(names)]).first()
-    return {c: row[f"m{i}"] for i, c in enumerate(names)}
+    rows = (df if where is None else df.where(where)).select(*[num(df, c).alias(c) for c in names])
+    found = {r["column"]: r["q0"] for r in profile.quantiles(profile.value_table(rows, names), [0.5]).collect()}  # a row a column
+    return {c: found.get(c, 0.0) for c in names}
 
 
 def impute(df: DataFrame, names: list[str], where: Column | None = None) -> DataFrame:

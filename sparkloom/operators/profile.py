@@ -1,7 +1,9 @@
-"""Column statistics in one pass, type roles, gates, profiles and summaries.
+"""Column statistics, type roles, gates, profiles and summaries.
 
-One aggregate computes what all columns need; its single row is the only thing the driver sees. Gates
-and dispatch are decisions on that row.
+One aggregate counts and sums for all columns. Distinct counts and quantiles come from a table of values
+(a row a different value of a column, with its count), which is aggregated before it is shuffled; quantiles
+deal it by range, so no task holds all values of a column. The driver sees a row a column. Gates and
+dispatch are decisions on those rows.
 """
 
 from __future__ import annotations
@@ -13,7 +15,9 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.functions.coerce import dtype_name, finite, kurt, num, rnd, role, skew
+from sparkloom.functions.coerce import dtype_name, kurt, num, rnd, role, skew
+from sparkloom.operators.correlate import running_count
+from sparkloom.session import cut
 from sparkloom.sources.tables import TIME
 
 
@@ -37,17 +41,49 @@ def value(df: DataFrame, name: str) -> Column:
     return F.when(~F.isnan(c), c) if df.schema[name].dataType.simpleString() in ("double", "float") else c
 
 
+def value_table(df: DataFrame, names: Iterable[str]) -> DataFrame:
+    """column, value (string), x (the number it stands for, if it does), n: a row a different value, missing ones left out."""
+    cells = []
+    for c in names:
+        v = value(df, c)
+        plain = v + F.lit(0.0) if df.schema[c].dataType.simpleString() in ("double", "float") else v  # -0.0 is 0.0
+        cells.append(F.struct(F.lit(c).alias("column"), plain.cast("string").alias("value"), num(df, c).alias("x")))
+    return df.select(F.explode(F.array(*cells)).alias("c")).select("c.*").where("value is not null").groupBy("column", "value", "x").agg(F.count(F.lit(1)).alias("n"))
+
+
+def distinct_counts(values: DataFrame) -> DataFrame:
+    """column, distinct, numeric_distinct of a value_table()."""
+    by_number = values.groupBy("column", F.col("x")).agg(F.count(F.lit(1)).alias("d"))
+    return by_number.groupBy("column").agg(F.sum("d").alias("distinct"), F.count("x").alias("numeric_distinct"))
+
+
+def quantiles(values: DataFrame, at: list[float]) -> DataFrame:
+    """column, q0, q1, ...: exact linear quantiles of the numbers of a value_table()."""
+    counts = values.where("x is not null").groupBy("column", "x").agg(F.sum("n").alias("n"))
+    placed = running_count(counts, ["column"], "x")
+    total = counts.groupBy("column").agg(F.sum("n").alias("total"))
+    rows = placed.join(F.broadcast(total), "column")  # a row a column
+    held = lambda k: F.max(F.when((F.col("before") <= k) & (k < F.col("before") + F.col("n")), F.col("x")))
+    parts, out = [], []
+    for i, q in enumerate(at):
+        h = (F.col("total") - 1) * F.lit(q)
+        parts += [held(F.floor(h)).alias(f"a{i}"), held(F.least(F.floor(h) + 1, F.col("total") - 1)).alias(f"b{i}")]
+        a, b, t = F.col(f"a{i}"), F.col(f"b{i}"), h - F.floor(h)
+        out.append(F.when(t < 0.5, a + (b - a) * t).otherwise(b - (b - a) * (1 - t)).alias(f"q{i}"))
+    return rows.groupBy("column", "total").agg(*parts).select("column", *out)
+
+
 def column_stats(df: DataFrame, names: Iterable[str]) -> dict[str, ColumnStats]:
-    """All columns in one job. Distinct counts are exact up to what gates ask (over 50 or not) by a sketch check: see approx below."""
     names = list(names)
     if not names:
         return {}
     exprs: list[Column] = [F.count(F.lit(1)).alias("rows")]
     for i, c in enumerate(names):
-        v, x = value(df, c), num(df, c)
-        exprs += [F.count(v).alias(f"n{i}"), F.count(x).alias(f"m{i}"), F.count_distinct(v).alias(f"d{i}"), F.count_distinct(x).alias(f"e{i}")]
+        exprs += [F.count(value(df, c)).alias(f"n{i}"), F.count(num(df, c)).alias(f"m{i}")]
     row = df.agg(*exprs).first()
-    return {c: ColumnStats(c, row["rows"], row[f"n{i}"], row[f"m{i}"], row[f"d{i}"], row[f"e{i}"]) for i, c in enumerate(names)}
+    found = {r["column"]: r for r in distinct_counts(value_table(df, names)).collect()}
+    d = lambda c, k: found[c][k] if c in found else 0
+    return {c: ColumnStats(c, row["rows"], row[f"n{i}"], row[f"m{i}"], d(c, "distinct"), d(c, "numeric_distinct")) for i, c in enumerate(names)}
 
 
 # Gates ----------------------------------------------------------------------------------------
@@ -120,15 +156,15 @@ def _stacked(df: DataFrame, per_column: list[tuple[list[Column], list[Column]]],
 
 def feature_profile(df: DataFrame, names: Iterable[str] | None = None) -> DataFrame:
     """column, dtype, rows, missing, missing_pct, unique, mean, std, min, median, max."""
-    parts = []
-    for c in names or df.columns:
+    names, parts = list(names or df.columns), []
+    for c in names:
         v, x = value(df, c), num(df, c)
         n, k = F.count(F.lit(1)), F.count(v)
-        parts.append((
-            [n, n - k, rnd(F.try_divide((n - k) * 100.0, n)), F.count_distinct(v), rnd(F.avg(x)), rnd(F.stddev_samp(x)), rnd(F.min(x)), rnd(F.median(x)), rnd(F.max(x))],
-            [F.lit(c), F.lit(dtype_name(df, c))],
-        ))
-    return _stacked(df, parts, ["column", "dtype", "rows", "missing", "missing_pct", "unique", "mean", "std", "min", "median", "max"])
+        parts.append(([n, n - k, rnd(F.try_divide((n - k) * 100.0, n)), rnd(F.avg(x)), rnd(F.stddev_samp(x)), rnd(F.min(x)), rnd(F.max(x))], [F.lit(c), F.lit(dtype_name(df, c))]))
+    told = _stacked(df, parts, ["column", "dtype", "rows", "missing", "missing_pct", "mean", "std", "min", "max"])
+    values = cut(value_table(df, names))
+    joined = told.join(F.broadcast(distinct_counts(values)), "column", "left").join(F.broadcast(quantiles(values, [0.5])), "column", "left")  # a row a column
+    return joined.select("column", "dtype", "rows", "missing", "missing_pct", F.coalesce("distinct", F.lit(0)).cast("long").alias("unique"), "mean", "std", "min", rnd(F.col("q0")).alias("median"), "max")
 
 
 def overview(df: DataFrame, dataset: str, stats: dict[str, ColumnStats] | None = None) -> DataFrame:
@@ -149,11 +185,14 @@ def eda_columns(df: DataFrame, dataset: str) -> DataFrame:
     parts = []
     for c in df.columns:
         v, x = value(df, c), num(df, c)
-        n, k, u, m = F.count(F.lit(1)), F.count(v), F.count_distinct(v), F.count(x)
+        n, k, m = F.count(F.lit(1)), F.count(v), F.count(x)
         kind = F.lit("datetime") if role(df, c) == "datetime" else F.when(m > 0, "numeric").otherwise("categorical")
         count = lambda cond: F.when(F.count(x) > 0, F.count(F.when(cond, 1)))  # noqa: B023, E731
-        parts.append(([kind, n, k, n - k, rnd(F.try_divide((n - k) * 100.0, n)), u, rnd(F.try_divide(u * 100.0, n)), count(x == 0), count(x < 0)], [F.lit(dataset), F.lit(c), F.lit(dtype_name(df, c))]))
-    return _stacked(df, parts, ["dataset", "column", "dtype", "inferred_type", "rows", "non_null", "missing", "missing_pct", "unique", "unique_pct", "zero_count", "negative_count"])
+        parts.append(([kind, n, k, n - k, rnd(F.try_divide((n - k) * 100.0, n)), count(x == 0), count(x < 0)], [F.lit(dataset), F.lit(c), F.lit(dtype_name(df, c))]))
+    told = _stacked(df, parts, ["dataset", "column", "dtype", "inferred_type", "rows", "non_null", "missing", "missing_pct", "zero_count", "negative_count"])
+    unique = F.coalesce("distinct", F.lit(0)).cast("long")
+    joined = told.join(F.broadcast(distinct_counts(value_table(df, df.columns))), "column", "left")  # a row a column
+    return joined.select("dataset", "column", "dtype", "inferred_type", "rows", "non_null", "missing", "missing_pct", unique.alias("unique"), rnd(F.try_divide(unique * 100.0, F.col("rows"))).alias("unique_pct"), "zero_count", "negative_count")
 
 
 def missingness(columns: DataFrame) -> DataFrame:
@@ -162,12 +201,16 @@ def missingness(columns: DataFrame) -> DataFrame:
 
 def numeric_summary(df: DataFrame, dataset: str, names: Iterable[str], digits: int = 6) -> DataFrame:
     """dataset, column, count, mean, std, min, q25, median, q75, max, skew, kurtosis. Quantiles are exact and linear."""
-    parts = []
+    names, parts = list(names), []
     for c in names:
         x = num(df, c)
-        q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-        parts.append(([F.count(x), *[rnd(v, digits) for v in (F.avg(x), F.stddev_samp(x), F.min(x), F.get(q, F.lit(0)), F.get(q, F.lit(1)), F.get(q, F.lit(2)), F.max(x), skew(x), kurt(x))]], [F.lit(dataset), F.lit(c)]))
-    return _stacked(df, parts, ["dataset", "column", "count", "mean", "std", "min", "q25", "median", "q75", "max", "skew", "kurtosis"])
+        parts.append(([F.count(x), *[rnd(v, digits) for v in (F.avg(x), F.stddev_samp(x), F.min(x), F.max(x), skew(x), kurt(x))]], [F.lit(dataset), F.lit(c)]))
+    shown = ["dataset", "column", "count", "mean", "std", "min", "q25", "median", "q75", "max", "skew", "kurtosis"]
+    if not names:
+        return _stacked(df, [], shown)
+    told = _stacked(df, parts, ["dataset", "column", "count", "mean", "std", "min", "max", "skew", "kurtosis"])
+    found = quantiles(value_table(df, names), [0.25, 0.5, 0.75]).select("column", *[rnd(F.col(f"q{i}"), digits).alias(n) for i, n in enumerate(("q25", "median", "q75"))])
+    return told.join(F.broadcast(found), "column", "left").select(*shown)  # a row a column
 
 
 def long_values(df: DataFrame, names: Iterable[str]) -> DataFrame:
@@ -210,5 +253,3 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
     """duplicate_rows: rows that equal an earlier one, missing equal to missing."""
     return df.groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_rows"))
 
-
-__all__ = ["finite"]

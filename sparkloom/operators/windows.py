@@ -201,6 +201,14 @@ def rolling_by_blocks(df: DataFrame, name: str, width: int = 20, out: str = "vol
     return rolled.where(F.col("__block") == own).drop("__block")
 
 
+def next_by_blocks(df: DataFrame, name: str, out: str, block: int = 50_000) -> DataFrame:
+    """out: the value of the next row by pos, which has no gaps; by blocks of rows, and a block also gets the row after it."""
+    own = F.floor(F.col("pos") / block).cast("long")
+    carried = F.when((F.col("pos") % block == 0) & (F.col("pos") > 0), F.array(own - 1, own)).otherwise(F.array(own))
+    w = Window.partitionBy("__block").orderBy("pos")
+    return df.withColumn("__block", F.explode(carried)).withColumn(out, F.lead(name).over(w)).where(F.col("__block") == own).drop("__block")
+
+
 def regime_source(features: list[str], numeric_counts: dict[str, int], labels: list[str], least: int) -> tuple[str, str | None]:
     """('feature', name) of the first that sounds like volatility, else ('label', name), else ('position', None)."""
     for c in features:

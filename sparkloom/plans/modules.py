@@ -160,15 +160,16 @@ def boruta(c: Context) -> dict[str, DataFrame]:
     return {"scores": models.scores_frame(c.spark, scores), "boruta_features": c.frame(found, schema).orderBy("label", place, F.desc("hit_rate"), F.desc("mean_importance"), "feature")}
 
 
-def _kmeans(c: Context, note: str) -> dict[str, DataFrame]:
+def _kmeans(c: Context, note: str, sample: int | None = None) -> dict[str, DataFrame]:
     numeric = c.numeric
     labels = profile.categorical_labels(c.of(c.targets))
     assigned = cluster.pairs_by_labels(c.df, numeric, labels or c.targets, "__rid", inits=c.settings.models.inits, seed=c.settings.models.seed)
     top = {y: r for y in labels for r in [profile.top_values(c.df, [y]).first()]}
+    found = cut(cluster.results(assigned, sample, note, c.settings.models.seed))
     return {
         "numeric_features": c.frame([(f, dtype_name(c.df, f), c.stats[f].numeric, c.stats[f].numeric_distinct) for f in numeric], "feature string, dtype string, non_null long, unique long"),
         "categorical_labels": c.frame([(y, dtype_name(c.df, y), c.stats[y].non_null, c.stats[y].distinct, top[y]["top_values"]) for y in labels], "label string, dtype string, non_null long, unique long, top_values string"),
-        "kmean_results": cluster.results(assigned, note=note), "cluster_label_distribution": cluster.distribution(assigned), "skip_reasons": cluster.skip_reasons(cluster.results(assigned)),
+        "kmean_results": cluster.ordered(found), "cluster_label_distribution": cluster.distribution(assigned), "skip_reasons": cluster.skip_reasons(found),
     }
 
 
@@ -178,7 +179,7 @@ def kmean(c: Context) -> dict[str, DataFrame]:
 
 def kmeans_gpu(c: Context) -> dict[str, DataFrame]:
     """The same clusterings; executors without GPU run them, and the note says so."""
-    return _kmeans(c, "backend=spark")
+    return _kmeans(c, "backend=spark", cluster.SILHOUETTE_ROWS)
 
 
 def _bundle(scores: DataFrame, summary: DataFrame) -> dict[str, DataFrame]:

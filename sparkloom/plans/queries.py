@@ -14,6 +14,7 @@ from sparkloom.functions.coerce import num, rnd
 from sparkloom.operators import align as al
 from sparkloom.operators import correlate, hypothesis, information, metrics, models, preprocess, profile, sampling, windows
 from sparkloom.plans import modules
+from sparkloom.session import cut
 from sparkloom.sources.tables import first_rows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,13 +53,18 @@ def _timed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", "ts", "user_id", "value", "event_type", F.hour("ts").cast("long").alias("hour"), F.when(F.trim(k).rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), k.try_cast("double")).alias("k"))
 
 
-def d3(spark: SparkSession, sf_dir: str, rows: int | None = None) -> DataFrame:
-    """Events in time order with pos and next_value; ``rows`` first ones, where folds bound what is read."""
-    base = _timed(spark, sf_dir)
-    head = base.orderBy("ts").limit((rows or 0) + 1) if rows else base
+def d3(spark: SparkSession, sf_dir: str, rows: int) -> DataFrame:
+    """The first events in time order, where folds bound what is read, with pos and next_value."""
+    head = _timed(spark, sf_dir).orderBy("ts").limit(rows + 1)
     w = Window.orderBy("ts")
     made = head.withColumn("next_value", F.lead("value").over(w)).withColumn("pos", (F.row_number().over(w) - 1).cast("long"))
-    return made.where(F.col("pos") < rows) if rows else made
+    return made.where(F.col("pos") < rows)
+
+
+def d3_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events with pos and next_value, dealt by range of time."""
+    placed = cut(al.numbered(_timed(spark, sf_dir), ["ts"]).withColumnRenamed("__rid", "pos"))
+    return windows.next_by_blocks(placed, "value", "next_value")
 
 
 def query(sql: str | None = None):
@@ -409,20 +415,19 @@ def combined_scores(spark, sf):
     return windows.combined_scores(windows.score_summary(_ic(spark, sf)))
 
 
-@query(f"""with {D3_SQL}, c as (select pos, abs(value - lag(value) over (order by ts)) ch, ts from d3) select pos, {R('avg(ch) over (order by ts rows between 19 preceding and current row)')} volatility from c where pos < 5000""")
+@query(f"""with {D3_SQL}, c as (select pos, abs(value - lag(value) over (order by ts)) ch, ts from d3) select pos, {R('avg(ch) over (order by ts rows between 19 preceding and current row)')} volatility from c""")
 def rolling_abs_diff(spark, sf):
-    head = d3(spark, sf, 5000)
-    return windows.rolling_abs_change(head, "value", ["ts"]).select("pos", rnd(F.col("volatility")).alias("volatility"))
+    return windows.rolling_by_blocks(d3_all(spark, sf), "value").select("pos", rnd(F.col("volatility")).alias("volatility"))
 
 
-_REGIME = """v as (select *, avg(ch) over (order by pos rows between 19 preceding and current row) vol from (select *, abs(value - lag(value) over (order by pos)) ch from d3 where pos < 3000)),
+_REGIME = """v as (select *, avg(ch) over (order by pos rows between 19 preceding and current row) vol from (select *, abs(value - lag(value) over (order by pos)) ch from d3)),
     q as (select *, row_number() over (order by vol, pos) rk, count(*) over () n from v where vol is not null),
     g as (select *, case when rk <= 1 + (n - 1) / 3.0 then 'low' when rk <= 1 + (n - 1) * 2 / 3.0 then 'mid' else 'high' end regime from q)"""
 
 
 @query(f"with {D3_SQL}, {_REGIME} select pos, regime from g")
 def regime_assignment(spark, sf):
-    return windows.regimes(d3(spark, sf, 3000), ("label", "value")).select("pos", "regime")
+    return windows.regimes(d3_all(spark, sf), ("label", "value")).select("pos", "regime")
 
 
 _REGIME_FOLDS = f"""select regime, (pos - 50) // 25 as fold, feature, x, label, y from ({_IC_LONG.format(src='w').replace('select pos', 'select regime, size, pos')}) where pos >= 50 and pos < 550 and 75 + 25 * ((pos - 50) // 25) <= size"""
@@ -431,7 +436,7 @@ _REGIME_FOLDS = f"""select regime, (pos - 50) // 25 as fold, feature, x, label,
 @query(f"""with {D3_SQL}, {_REGIME}, w as (select * exclude (pos), row_number() over (partition by regime order by pos) - 1 pos, count(*) over (partition by regime) size from g), {_ic_sql(_REGIME_FOLDS, 'regime, fold', 10)}
     select s.*, regime_count, 'all' regime from ({_SUMMARY}) s join (select feature, label, score_name, count(distinct regime) regime_count from ic group by all) using (feature, label, score_name)""")
 def regime_ic_summary(spark, sf):
-    scores = windows.regime_scores(d3(spark, sf, 3000), ["user_id", "hour", "k"], ["value", "next_value"], ["ts"], ("label", "value"))
+    scores = windows.regime_scores(d3_all(spark, sf), ["user_id", "hour", "k"], ["value", "next_value"], ["ts"], ("label", "value"))
     return windows.regime_summary(scores)
 
 
