@@ -2,12 +2,12 @@
 
 Every n-gram counts: it belongs to one of 2^BITS buckets by its hash, and the buckets are the features.
 Training reads a bounded sample of labelled rows: up to ``max_toxic`` and ``max_clean`` ids with the
-smallest hashes, one row each. Executors count in how many sampled texts of each class each bucket
+smallest hashes, one row each. It is counted in how many sampled texts of each class each bucket
 occurs; r_f is the log of the ratio of its smoothed shares of the two classes, 0 for buckets that no
-sampled text has. A text's feature f is r_f / sqrt(its number of different buckets) if the text has the bucket, else 0. A
-logistic regression over them is fitted by L-BFGS: executors sum the loss and its gradient over the
-stored sample, the driver holds vectors of 2^BITS numbers at most. Scoring needs that one table of
-weights, of 4 MB, and reads every text whole, in blocks.
+sampled text has. A text's feature f is r_f / sqrt(its number of different buckets) if the text has the
+bucket, else 0. A logistic regression over them is fitted by L-BFGS, in one task of an executor, which
+holds at most 32 kB for each sampled text, however long. The driver gets its table of weights, of
+1 MB, which scoring needs; every text is scored whole, in blocks.
 
 N-grams are of lower-cased characters, with one space put before and after each text. Scores depend on
 the text alone, so repeated rows and ties get equal scores. Defined results: null text counts as empty and, as
@@ -21,23 +21,21 @@ no scores. Columns are taken by name and kept; a column that has the name of the
 from __future__ import annotations
 
 import dataclasses
-import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_batches, mix, pack, stash, text_buffer, trim, unpack
+from .common import bound_batches, mix, stash, text_buffer, trim
 from .unit_cache import blocks
 
 ORDERS = (3, 4, 5)
 #: Bounds of the sample, and bits of a bucket's number.
-MAX_TOXIC, MAX_CLEAN, BITS = 4000, 8000, 20
-#: Tasks that fit, buckets that a block of texts holds there, pseudo-count, ridge and steps of L-BFGS.
+MAX_TOXIC, MAX_CLEAN, BITS = 4000, 8000, 18
+#: Tasks that cut the sample into buckets, buckets that are gone through at once, pseudo-count, ridge and steps of L-BFGS.
 TASKS, HELD, ALPHA, RIDGE, STEPS = 8, 2_000_000, 1.0, 0.03, 20
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -113,57 +111,75 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         seen = np.zeros(1 << BITS, np.int32)
         for batch in batches:
             for first, texts in _texts(batch, 1):
-                found = [pack(np.diff(np.sort(b), prepend=0).astype(np.uint32)) for b in presence(texts, seen)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(found, pa.binary())], ["label", "buckets"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array([_hold(b) for b in presence(texts, seen)], pa.binary())], ["label", "buckets"])
         trim()
 
     rows = sample(docs, labels, id_col, text_col, label_col, max_toxic, max_clean).repartition(TASKS)
     stored = stash(rows.mapInArrow(extract, "label int, buckets binary"))
-    width = 1 << 14
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, n = np.zeros((2, 1 << BITS), np.int32), np.zeros(2, np.int64)
-        for y, flat, starts in _stored_rows(batches):
-            for k in (0, 1):
-                seen[k] += np.bincount(flat[np.repeat(y == k, np.diff(starts))], minlength=1 << BITS).astype(np.int32)
-                n[k] += (y == k).sum()
-        if n.sum():
-            flat = seen.reshape(-1, width)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat) + 1), pa.int32()), pa.array([x.tobytes() for x in flat] + [n.tobytes()], pa.binary())], ["at", "counts"])
-
-    seen, n = np.zeros((2, 1 << BITS), np.int64), np.zeros(2, np.int64)
-    flat = seen.reshape(-1, width)
-    for at, counts in stored.mapInArrow(count, "at int, counts binary").toLocalIterator():  # TASKS times 2^(BITS + 1) counts
-        if at == len(flat):
-            n += np.frombuffer(counts, np.int64)
-        else:
-            flat[at] += np.frombuffer(counts, np.int32)
-    weights = np.zeros(1 << BITS, np.float32)
-    if not n.all():
-        share = (n[1] + 0.5) / (n.sum() + 1)
-        return Model(float(np.log(share / (1 - share))), weights)
-    used = np.flatnonzero(seen.sum(0))
-    r = ratios(seen[1, used], seen[0, used], n)
+    bias, table = stored.coalesce(1).mapInArrow(_fit_rows, "bias double, weights binary").first()  # of at most max_toxic + max_clean rows
+    return Model(bias, np.frombuffer(table, np.float32))
 
+
+def _hold(buckets: np.ndarray) -> bytes:
+    """A text's buckets, as marks if that is shorter: 2^BITS / 8 bytes at most."""
+    if 32 * len(buckets) < 1 << BITS:
+        return np.sort(buckets).astype(np.int32).tobytes()
     marks = np.zeros(1 << BITS, bool)
-    marks[used] = True
-    marks = np.packbits(marks)
-    context = docs.sparkSession.sparkContext
+    marks[buckets] = True
+    return np.packbits(marks).tobytes()
+
+
+def _held(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.int32) if 8 * len(data) < 1 << BITS else np.flatnonzero(np.unpackbits(np.frombuffer(data, np.uint8))).astype(np.int32)
+
+
+def _fit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = sorted((y, b) for batch in batches for y, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))  # in an order that no schedule changes
+    model = fit(np.array([y for y, _ in rows], float), [b for _, b in rows])
+    del rows
+    trim()
+    yield pa.RecordBatch.from_pydict({"bias": [model.bias], "weights": pa.array([model.weights.tobytes()], pa.binary())})
+
+
+def fit(y: np.ndarray, texts: list[bytes]) -> Model:
+    """y: 0 or 1; texts: their buckets, by _hold()."""
+    size, n = 1 << BITS, np.array([(y == 0).sum(), (y == 1).sum()])
+    if not n.all():
+        share = (n[1] + 0.5) / (n.sum() + 1)
+        return Model(float(np.log(share / (1 - share))), np.zeros(size, np.float32))
+
+    def parts() -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+        """(texts, their buckets end to end, how many each has), of about HELD buckets."""
+        i, held, total = 0, [], 0
+        for k, data in enumerate(texts):
+            held.append(_held(data))
+            total += len(held[-1])
+            if total >= HELD or k + 1 == len(texts):
+                yield slice(i, k + 1), np.concatenate(held), np.array([len(x) for x in held])
+                i, held, total = k + 1, [], 0
+
+    ones, every = np.zeros(size, np.int64), np.zeros(size, np.int64)
+    for at, flat, sizes in parts():
+        every += np.bincount(flat, minlength=size)
+        ones += np.bincount(flat[np.repeat(y[at] == 1, sizes)], minlength=size)
+    r = ratios(ones, every - ones, n)
+    share = np.where(y == 1, 0.5 / n[1], 0.5 / n[0])
 
     def loss(x: np.ndarray) -> tuple[float, np.ndarray]:
         """Mean log loss, both classes of equal weight, + ridge / 2n * |x|^2, and its gradient; the bias, last, is free."""
-        sent = context.broadcast((marks, (x[:-1] * r).astype(np.float32), float(x[-1]), n.tolist()))  # at most 2^BITS numbers, and taken back at once
-        told = sorted(stored.mapInArrow(functools.partial(_part, sent), "value double, bias double, gradient binary").collect())  # TASKS vectors
-        sent.destroy()
-        grad = np.sum([np.frombuffer(t[2], np.float32) for t in told], 0, dtype=np.float64) * r + RIDGE / n.sum() * x[:-1]
-        return sum(t[0] for t in told) + RIDGE / (2 * n.sum()) * float(x[:-1] @ x[:-1]), np.append(grad, sum(t[1] for t in told))
-
-    x = minimise(loss, np.zeros(len(used) + 1))
-    weights[used] = x[:-1] * r
-    bias = float(x[-1])
-    del seen, flat, x, r, used
-    trim()
-    return Model(bias, weights)
+        table, value, grad, by_bias = x[:-1] * r, RIDGE / (2 * n.sum()) * float(x[:-1] @ x[:-1]), np.zeros(size), 0.0
+        for at, flat, sizes in parts():
+            scale = 1 / np.sqrt(np.maximum(sizes, 1))
+            sums, ends = np.append(0, np.cumsum(table[flat])), np.cumsum(sizes)
+            z = (sums[ends] - sums[ends - sizes]) * scale + x[-1]
+            e = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y[at]) * share[at]
+            value += float(share[at] @ (np.logaddexp(0, z) - y[at] * z))
+            by_bias += float(e.sum())
+            grad += np.bincount(flat, np.repeat(e * scale, sizes), size)
+        return value, np.append(grad * r + RIDGE / n.sum() * x[:-1], by_bias)
+
+    x = minimise(loss, np.zeros(size + 1))
+    return Model(float(x[-1]), (x[:-1] * r).astype(np.float32))
 
 
 def ratios(ones: np.ndarray, zeros: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -171,41 +187,6 @@ def ratios(ones: np.ndarray, zeros: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.log((ones + ALPHA * n[1] / n.sum()) / n[1]) - np.log((zeros + ALPHA * n[0] / n.sum()) / n[0])
 
 
-def _stored_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(labels, buckets end to end, where each text's begin and the last one's end), by blocks of about HELD buckets."""
-    labels, held, size = [], [], 0
-    for batch in batches:
-        for y, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            labels.append(y)
-            held.append(np.cumsum(unpack(packed.as_buffer(), np.uint32), dtype=np.int32))
-            size += len(held[-1])
-            if size >= HELD:
-                yield np.array(labels), np.concatenate(held), np.cumsum([0, *map(len, held)])
-                labels, held, size = [], [], 0
-    if labels:
-        yield np.array(labels), np.concatenate(held), np.cumsum([0, *map(len, held)])
-
-
-def _part(sent: Broadcast, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The loss of a task's rows, and its gradient by bias and by used bucket (without r). sent: marks of the used buckets, their weights, the bias, the texts of each class."""
-    marks, weights, bias, n = sent.value
-    used = np.flatnonzero(np.unpackbits(marks))
-    table = np.zeros(1 << BITS, np.float32)
-    table[used] = weights
-    value, by_bias, grad = 0.0, 0.0, np.zeros(len(table))
-    for y, flat, starts in _stored_rows(batches):
-        sizes = np.diff(starts)
-        scale = 1 / np.sqrt(np.maximum(sizes, 1))
-        sums = np.append(0, np.cumsum(table[flat], dtype=np.float64))
-        z = (sums[starts[1:]] - sums[starts[:-1]]) * scale + bias
-        share = np.where(y == 1, 0.5 / n[1], 0.5 / n[0])
-        e = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y) * share
-        value += float(share @ (np.logaddexp(0, z) - y * z))
-        by_bias += float(e.sum())
-        grad += np.bincount(flat, np.repeat(e * scale, sizes), len(table))
-    yield pa.RecordBatch.from_pydict({"value": [value], "bias": [by_bias], "gradient": pa.array([grad[used].astype(np.float32).tobytes()], pa.binary())})
-
-
 def minimise(loss: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray, steps: int = STEPS, memory: int = 6) -> np.ndarray:
     """L-BFGS with halving steps."""
     value, grad = loss(x)

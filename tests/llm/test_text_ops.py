@@ -157,7 +157,7 @@ def test_toxicity_against_a_plain_model(spark):
     buckets = {}
     for k, g in enumerate(names):
         h, _ = next((h, o) for m, (h, o) in zip((3, 4, 5), toxicity.ngrams([g]), strict=False) if m == len(g))
-        buckets[g] = int(h[1] >> np.uint64(44))  # after the one with the space before
+        buckets[g] = int(h[1] >> np.uint64(64 - toxicity.BITS))  # after the one with the space before
         own[k] = model.weights[buckets[g]] / ratio[g] if ratio[g] else 0
     assert len(set(buckets.values())) == len(names)
     assert loss(own) <= loss(w) + 0.02
