@@ -67,7 +67,7 @@ def score_summary(scores: DataFrame, digits: int = 6) -> DataFrame:
     s = F.col("score")
     return scores.groupBy("feature", "label", "score_name").agg(
         rnd(F.avg(s), digits).alias("mean_score"), rnd(F.avg(F.abs(s)), digits).alias("mean_abs_score"), F.coalesce(rnd(F.stddev_samp(s), digits), F.lit(0.0)).alias("score_std"),
-        F.count(s).alias("valid_folds"), rnd(F.avg((s > 0).cast("double")), digits).alias("positive_fold_ratio"), F.sum("samples").alias("samples"),
+        F.count(s).alias("valid_folds"), rnd(F.avg((rnd(s) > 0).cast("double")), digits).alias("positive_fold_ratio"), F.sum("samples").alias("samples"),
     ).orderBy(F.desc("mean_abs_score"), F.desc("valid_folds"), "feature", "label", "score_name")
 
 

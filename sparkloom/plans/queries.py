@@ -5,6 +5,7 @@ Doubles are rounded to six digits on both sides, once.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,8 +15,9 @@ from sparkloom.functions.coerce import num, rnd
 from sparkloom.operators import align as al
 from sparkloom.operators import correlate, hypothesis, information, metrics, models, preprocess, profile, sampling, windows
 from sparkloom.plans import modules
-from sparkloom.session import cut
-from sparkloom.sources.tables import first_rows
+from sparkloom.session import cut, shared_folder
+from sparkloom.sinks import reports
+from sparkloom.sources.tables import first_rows, parse_time, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -401,7 +403,7 @@ def ic_fold_scores(spark, sf):
     return _ic(spark, sf).withColumn("score", rnd(F.col("score")))
 
 
-_SUMMARY = f"select feature, label, score_name, {R('avg(score)')} mean_score, {R('avg(abs(score))')} mean_abs_score, {R('coalesce(stddev_samp(score), 0)')} score_std, count(*) valid_folds, {R('avg((score > 0)::int)')} positive_fold_ratio, sum(samples)::bigint samples from ic group by feature, label, score_name"
+_SUMMARY = f"select feature, label, score_name, {R('avg(score)')} mean_score, {R('avg(abs(score))')} mean_abs_score, {R('coalesce(stddev_samp(score), 0)')} score_std, count(*) valid_folds, {R('avg((round(score, 6) > 0)::int)')} positive_fold_ratio, sum(samples)::bigint samples from ic group by feature, label, score_name"
 
 
 @query(f"with {D3_SQL}, {_ic_sql(_FOLDS, 'fold', 20)} {_SUMMARY}")
@@ -596,6 +598,115 @@ def head_by_group(spark, sf):
     return modules.head_by_group(counts, "returnflag", [F.desc("n"), "orderpriority"], 2).withColumn("place", F.row_number().over(w))
 
 
+# Sources and sinks ----------------------------------------------------------------------------
+
+
+def _written(df: DataFrame, kind: str) -> str:
+    """The path of a table that Spark's writers put into the shared folder; its files go when the JVM ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/table-{uuid.uuid4().hex}.{kind}"
+    (df.write.option("header", True).csv(path) if kind == "csv" else df.write.parquet(path))
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
+@query("select s_suppkey, s_name, case when s_suppkey % 3 <> 0 then s_acctbal end balance, case when s_suppkey % 4 <> 0 then s_name end shown, make_timestamp(2020, 1 + (s_suppkey % 12), 5, 6, 7, 8) as \"Date\" from supplier where s_suppkey % 5 <> 0 union all select s_suppkey, s_name, case when s_suppkey % 3 <> 0 then s_acctbal end, case when s_suppkey % 4 <> 0 then s_name end, null from supplier where s_suppkey % 5 = 0")
+def csv_scan(spark, sf):
+    """Written as CSV and read again: types are inferred, words for missing are missing, Date is a time."""
+    s = _t(spark, sf, "supplier")
+    k = F.col("s_suppkey")
+    date = F.when(k % 5 != 0, F.concat(F.lit("2020-"), F.lpad((k % 12 + 1).cast("string"), 2, "0"), F.lit("-05 06:07:08"))).otherwise("no date")
+    text = F.when(k % 4 != 0, F.col("s_name")).otherwise(F.when(k % 8 == 0, "N/A").otherwise("null"))
+    path = _written(s.select("s_suppkey", "s_name", F.when(k % 3 != 0, F.col("s_acctbal")).alias("balance"), text.alias("shown"), date.alias("Date")), "csv")
+    return read_table(spark, path).withColumn("s_suppkey", F.col("s_suppkey").cast(s.schema["s_suppkey"].dataType))
+
+
+@query("select event_id, case when event_id % 7 = 0 then null when event_id % 7 = 1 then date_trunc('day', ts) else ts end as \"Date\" from events")
+def parse_dates(spark, sf):
+    e, k = _t(spark, sf, "events"), F.col("event_id") % 7
+    text = F.when(k == 0, "soon").when(k == 1, F.date_format("ts", "yyyy-MM-dd")).otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+    return parse_time(e.select("event_id", text.alias("Date")))
+
+
+@query("select a.event_id, a.user_id, b.event_id other, b.value from (select * from events where event_id % 2 = 0) a join (select * from events where event_id % 3 = 0) b on a.ts = b.ts")
+def align_by_date(spark, sf):
+    """Both tables have a Date, and a column in common that doesn't count then."""
+    e = _t(spark, sf, "events").withColumnRenamed("ts", "Date")
+    found = al.align(e.where("event_id % 2 = 0").select("event_id", "Date", "user_id"), e.where("event_id % 3 = 0").select("event_id", "Date", "value"))
+    return found.df.select("event_id", "user_id", F.col("event_id__label").alias("other"), "value")
+
+
+_REGION_MD = "'| ' || rpad(k, greatest(max(length(k)) over (), 3)::int, ' ') || ' | ' || rpad(n, greatest(max(length(n)) over (), 4)::int, ' ') || ' |'"
+
+
+@query(f"""with r as (select r_regionkey::varchar k, r_name n, r_regionkey o from region), w as (select greatest(max(length(k)), 3)::int a, greatest(max(length(n)), 4)::int b from r)
+    select 0::bigint line, '| ' || rpad('key', a, ' ') || ' | ' || rpad('name', b, ' ') || ' |' as text from w union all select 1, '| ' || repeat('-', a) || ' | ' || repeat('-', b) || ' |' from w union all select 2 + row_number() over (order by o) - 1, {_REGION_MD} from r""")
+def markdown_lines(spark, sf):
+    names, rows = reports.rows_of(_t(spark, sf, "region").select(F.col("r_regionkey").alias("key"), F.col("r_name").alias("name")).orderBy("key"))
+    return spark.createDataFrame(list(enumerate(reports.markdown_table(names, rows).split("\n"))), "line long, text string")
+
+
+@query("select '<table><thead><tr><th>key</th><th>name</th></tr></thead><tbody>' || string_agg('<tr><td>' || r_regionkey || '</td><td>' || r_name || ' &amp; &lt;more&gt;</td></tr>', '' order by r_regionkey) || '</tbody></table>' as text from region")
+def html_text_of_rows(spark, sf):
+    names, rows = reports.rows_of(_t(spark, sf, "region").select(F.col("r_regionkey").alias("key"), F.concat("r_name", F.lit(" & <more>")).alias("name")).orderBy("key"))
+    return spark.createDataFrame([(reports.html_table(names, rows),)], "text string")
+
+
+# Gates and dispatch ---------------------------------------------------------------------------
+
+_GATE_COLUMNS = {"quantity": True, "discount": True, "tax": True, "one": True, "rare": True, "returnflag": False, "linestatus": False, "orderpriority": False, "shipdate": False}
+
+
+def _gates_sql() -> str:
+    part = lambda c, number: f"select '{c}' as \"column\", count({c}) k, {f'count({c})' if number else '0'} m, count(distinct {c}) d, {f'count(distinct {c})' if number else '0'} e from g"
+    return f"""with {D1_SQL}, g as (select *, 1 one, case when l_orderkey <= 40 then tax end rare, l_shipdate::varchar shipdate from d1), c as ({' union all '.join(part(*x) for x in _GATE_COLUMNS.items())})
+    select "column", m >= 10 and e >= 2 numeric_feature, m >= 1 and e >= 2 matrix_feature, m >= 30 and e >= 2 ols_feature, m = k and e >= 2 fully_numeric, d between 2 and 50 label_50, d between 2 and 20 label_20,
+      case when m >= 10 and e > 50 then 'regression' else 'classification' end task_by_values, case when m = 0 or d <= 10 then 'classification' else 'regression' end task_by_distinct from c"""
+
+
+@query(_gates_sql())
+def column_gates(spark, sf):
+    df = d1(spark, sf).withColumns({"one": F.lit(1), "rare": F.when(F.col("l_orderkey") <= 40, F.col("tax")), "shipdate": F.col("l_shipdate").cast("string")})
+    s = profile.column_stats(df, _GATE_COLUMNS)
+    sets = [profile.numeric_features(s), profile.matrix_features(s), profile.numeric_features(s, 30), profile.fully_numeric(s), profile.categorical_labels(s), profile.categorical_labels(s, 20)]
+    rows = [(c, *[c in x for x in sets], profile.task_by_values(s[c]), profile.task_by_distinct(s[c])) for c in _GATE_COLUMNS]
+    return spark.createDataFrame(rows, "column string, numeric_feature boolean, matrix_feature boolean, ols_feature boolean, fully_numeric boolean, label_50 boolean, label_20 boolean, task_by_values string, task_by_distinct string")
+
+
+@query(f"""with p as (select p_partkey, nullif(p_size, 1)::double size, p_retailprice price, row_number() over (order by md5('42|' || p_partkey), p_partkey) <= ceil(0.2 * count(*) over ()) is_test from part), m as (select median(size) m from p where not is_test),
+    f as (select p_partkey, is_test, coalesce(size, m) size, price from p, m), t as (select avg(size) a, stddev_pop(size) b, avg(price) c, stddev_pop(price) d from f where not is_test)
+    select p_partkey, is_test, {R('(size - a) / b')} size, {R('(price - c) / d')} price from f, t""")
+def impute_and_scale_by_training_rows(spark, sf):
+    p = _part(spark, sf).select("p_partkey", F.col("p_size").alias("size"), F.col("p_retailprice").alias("price"))
+    parts = cut(sampling.split(p, "p_partkey"))
+    made = preprocess.standardize(preprocess.impute(parts, ["size", "price"], ~F.col("is_test")), ["size", "price"], ~F.col("is_test"))
+    return made.select("p_partkey", "is_test", rnd(F.col("size")).alias("size"), rnd(F.col("price")).alias("price"))
+
+
+# Least squares --------------------------------------------------------------------------------
+
+_OLS2 = f"""with {D1_SQL}, m as (select count(*) n, avg(quantity) mp, avg(tax) mq, avg(totalprice) mz, covar_pop(quantity, quantity) * count(*) pp, covar_pop(tax, tax) * count(*) qq, covar_pop(quantity, tax) * count(*) pq, covar_pop(quantity, totalprice) * count(*) pz, covar_pop(tax, totalprice) * count(*) qz, var_pop(totalprice) * count(*) zz from d1),
+    b as (select *, pp * qq - pq * pq det, (qq * pz - pq * qz) / (pp * qq - pq * pq) b1, (pp * qz - pq * pz) / (pp * qq - pq * pq) b2 from m), s as (select *, (zz - b1 * pz - b2 * qz) / (n - 3) s2 from b),
+    c as (select 'const' feature, mz - b1 * mp - b2 * mq b, sqrt(s2 * (1.0 / n + (mp * mp * qq - 2 * mp * mq * pq + mq * mq * pp) / det)) e, n from s union all select 'quantity', b1, sqrt(s2 * qq / det), n from s union all select 'tax', b2, sqrt(s2 * pp / det), n from s)"""
+
+
+@query(f"{_OLS2} select 'totalprice' as label, feature, round(b, 4) coefficient, round(e, 4) std_error, round(b / e, 4) t_value, n samples from c")
+def ols_two_regressors(spark, sf):
+    found = models.ols(_d1_small(spark, sf), ["quantity", "tax"], ["totalprice"], "rid", cap=2**31 - 1)[1]
+    return spark.createDataFrame([(c[0], c[1], round(c[2], 4), round(c[6], 4), round(c[5], 4), c[9]) for c in found], "label string, feature string, coefficient double, std_error double, t_value double, samples long")
+
+
+@query(f"with {D1_SQL} select 'totalprice' as label, feature, round(b, 4) coefficient from (select unnest(['quantity', 'twice']) feature, unnest([regr_slope(totalprice, quantity) / 5, 2 * regr_slope(totalprice, quantity) / 5]) b from d1)")
+def ols_collinear(spark, sf):
+    """A column and its double share the effect: of all solutions the shortest. Both are centred, so the constant takes no part."""
+    df = _d1_small(spark, sf)
+    mean = df.agg(F.avg("quantity")).first()[0]
+    df = df.withColumn("quantity", F.col("quantity") - mean).withColumn("twice", 2 * F.col("quantity"))
+    found = models.ols(df, ["quantity", "twice"], ["totalprice"], "rid", cap=2**31 - 1)[1]
+    return spark.createDataFrame([(c[0], c[1], round(c[2], 4)) for c in found if c[1] != "const"], "label string, feature string, coefficient double")
+
+
 # Models: no SQL -------------------------------------------------------------------------------
 
 
@@ -617,6 +728,25 @@ def _all_events(spark, sf) -> tuple[DataFrame, DataFrame]:
     return e.select("Date", "user_id", "hour", "k"), e.select("Date", "value", "event_type")
 
 
+_PAIR_SQL = "pr as (select d.doc_id, n_chars, length(text) length, len(string_split(text, ' ')) words, len(string_split(text, chr(10))) lines, quality, toxic from documents d join labels l on d.doc_id is not distinct from l.doc_id)"
+_DOCS_SQL = "(select doc_id, n_chars, length(text) length, len(string_split(text, ' ')) words, len(string_split(text, chr(10))) as lines from documents)"
+
+
+def _module_eda_sql() -> str:
+    one = lambda source, dataset, c, kind: f"""select '{dataset}' dataset, '{c}' as "column", '{kind}' dtype, 'numeric' inferred_type, count(*) as "rows", count({c}) non_null, count(*) - count({c}) missing, {R(f'(count(*) - count({c})) * 100.0::double / count(*)')} missing_pct, count(distinct {c}) as "unique", {R(f'count(distinct {c}) * 100.0::double / count(*)')} unique_pct, count(*) filter ({c} = 0) zero_count, count(*) filter ({c} < 0) negative_count from {source}"""
+    return " union all ".join([one(_DOCS_SQL, "features", c, k) for c, k in (("doc_id", "int64"), ("n_chars", "int64"), ("length", "int32"), ("words", "int32"), ("lines", "int32"))] + [one("labels", "labels", c, "int32") for c in ("quality", "toxic")])
+
+
+#: SQL of the modules that have some.
+_MODULE_SQL = {
+    "module_statistics_feature_label_correlations": f"with {_PAIR_SQL} {_corr_sql('pr', [(f, y) for f in ('n_chars', 'length', 'words', 'lines') for y in ('quality', 'toxic')])}",
+    "module_eda_columns_profile": _module_eda_sql(),
+    "module_information_coefficient_feature_scores": f"with {D3_SQL}, {_ic_sql(_FOLDS, 'fold', 20)} select * from ({_SUMMARY}) where label = 'value'",
+    "module_regime_scoring_feature_scores": f"""with {D3_SQL}, {_REGIME}, w as (select * exclude (pos), row_number() over (partition by regime order by pos) - 1 pos, count(*) over (partition by regime) size from g), {_ic_sql(_REGIME_FOLDS, 'regime, fold', 10)}
+    select s.*, regime_count, 'all' regime from ({_SUMMARY}) s join (select feature, label, score_name, count(distinct regime) regime_count from ic group by all) using (feature, label, score_name) where label = 'value'""",
+}
+
+
 def _module(name: str, relation: str, data, settings: modules.Settings, **more):
     def run(spark, sf):
         f, y = data(spark, sf)
@@ -624,6 +754,8 @@ def _module(name: str, relation: str, data, settings: modules.Settings, **more):
 
     run.__name__ = f"module_{name}_{relation}"
     QUERIES[run.__name__] = run
+    if run.__name__ in _MODULE_SQL:
+        ORACLES[run.__name__] = _MODULE_SQL[run.__name__]
 
 
 #: The modules' defaults.

@@ -4,15 +4,21 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """checkpoint() to the folder of spark.checkpoint.dir; a local one only where none is set and the master is local."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; a local one only where none is set and the master is local."""
+    context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         found = context.getConf().get("spark.checkpoint.dir", None)
         if not found and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(found or f"/tmp/sparkloom-{uuid.uuid4().hex}")
+    return context.getConf().get("spark.checkpoint.dir", None) or context._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """checkpoint() to the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
