@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions.coerce import num
 from sparkloom.operators import preprocess, profile, sampling
 from sparkloom.operators.correlate import long_pairs, spearman
+from sparkloom.session import cut
 
-NEIGHBOURS, LEAST, MRMR = 3, 20, 50
+NEIGHBOURS, LEAST, LEAST_ROWS, MRMR = 3, 20, 30, 50
 #: Points of a leaf, leaves of a group.
 LEAF, GROUP = 32, 64
 MI = "feature string, label string, score_name string, score double, samples long"
@@ -175,58 +178,132 @@ def lasso(gram: np.ndarray, xy: np.ndarray, n: float, alpha: float, steps: int =
     return b
 
 
-def l1_logistic(x: np.ndarray, y: np.ndarray, c: float = 1.0, steps: int = 300) -> np.ndarray:
-    """Proximal gradient (FISTA) on C * loss + |w|_1, with a free intercept."""
-    x1 = np.hstack([x, np.ones((len(x), 1))])
-    step = 4 / (c * max(1e-12, float(np.linalg.norm(x1, 2) ** 2)))
-    w = v = np.zeros(x1.shape[1])
-    t = 1.0
+def newton_step(h: np.ndarray, g: np.ndarray, w: np.ndarray, c: float, steps: int = 200) -> np.ndarray:
+    """Coordinate descent on the quadratic model at w of C * loss + |w|_1, with a free intercept (last). h, g: curvature and gradient of the loss."""
+    h, g, new = c * h + 1e-9 * np.eye(len(w)), c * g, w.copy()
+    slope = g.copy()  # of the model at new
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x1 @ v, -50, 50)))
-        new = v - step * c * (x1.T @ (p - y))
-        new[:-1] = np.sign(new[:-1]) * np.maximum(np.abs(new[:-1]) - step, 0)
-        t1 = (1 + math.sqrt(1 + 4 * t * t)) / 2
-        v, t = new + (t - 1) / t1 * (new - w), t1
-        if np.abs(new - w).max() < 1e-7:
-            w = new
+        moved = 0.0
+        for j in range(len(w)):
+            z = new[j] - slope[j] / h[j, j]
+            to = z if j == len(w) - 1 else math.copysign(max(abs(z) - 1 / h[j, j], 0.0), z)
+            if to != new[j]:
+                slope += h[:, j] * (to - new[j])
+                moved, new[j] = max(moved, abs(to - new[j])), to
+        if moved < 1e-9:
+            break
+    return new
+
+
+def _summed(rows: DataFrame, part, schema: str) -> dict[int, list[np.ndarray]]:
+    """part(y, x) gives arrays for the rows of a resample; they are summed over all its rows, in tasks first. rows: resample, y (double), x."""
+    fields = [f.split()[0] for f in schema.split(", ")]
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, list[np.ndarray]] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            r, y = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            x = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(len(r), -1)
+            for k in np.unique(r).tolist():
+                found = part(k, y[r == k], x[r == k])
+                total[k] = [a + b for a, b in zip(total[k], found, strict=True)] if k in total else list(found)
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), *(pa.array([v[i].ravel().tolist() for v in total.values()], pa.list_(pa.float64())) for i in range(len(fields)))], ["resample", *fields])
+
+    def add(table: pa.Table) -> pa.Table:
+        sums = [np.sum(np.array(table[c].to_pylist()), axis=0) for c in fields]
+        return pa.table({"resample": table["resample"].slice(0, 1).combine_chunks(), **{c: pa.array([v.tolist()], pa.list_(pa.float64())) for c, v in zip(fields, sums, strict=True)}})
+
+    made = rows.mapInArrow(held, "resample int, " + schema).groupBy("resample").applyInArrow(add, "resample int, " + schema)
+    return {r[0]: [np.array(v) for v in r[1:]] for r in made.collect()}  # a row a resample
+
+
+def select_by_lasso(rows: DataFrame, size: int, alpha: float = 0.01) -> dict[int, np.ndarray]:
+    """Which features each resample selects: from the Gram matrix of its standardised columns."""
+
+    def part(_: int, y: np.ndarray, x: np.ndarray) -> list[np.ndarray]:
+        z = np.column_stack([x, y, np.ones(len(y))])
+        return [z.T @ z]
+
+    out = {}
+    for k, (gram,) in _summed(rows, part, "gram array<double>").items():
+        gram = gram.reshape(size + 2, size + 2)
+        n, sums = gram[-1, -1], gram[-1, :-1]
+        inner = gram[:-1, :-1] - np.outer(sums, sums) / n
+        d = np.sqrt(np.maximum(np.diag(inner)[:size], 0) / n)
+        d[d < 1e-12] = np.inf  # constant columns
+        out[k] = np.abs(lasso(inner[:size, :size] / np.outer(d, d), inner[:size, size] / d, n, alpha)) > 1e-9
+    return out
+
+
+def select_by_logistic(rows: DataFrame, size: int, classes: int, c: float = 0.2, passes: int = 25) -> dict[int, np.ndarray]:
+    """Which features each resample selects by L1 logistic regression, one class against the rest (y: number of the class). A pass over the rows is a Newton step of all resamples and classes."""
+    ones = range(1, 2) if classes == 2 else range(classes)
+    moments = _summed(rows, lambda _, y, x: [x.sum(0), (x * x).sum(0), np.array([float(len(y))]), np.bincount(y.astype(int), minlength=classes).astype(float)], "s array<double>, q array<double>, n array<double>, held array<double>")
+    scale = {}
+    for k, (s, q, n, held) in moments.items():
+        if (held > 0).sum() > 1:
+            d = np.sqrt(np.maximum(q / n[0] - (s / n[0]) ** 2, 0))
+            scale[k] = (s / n[0], np.where(d < 1e-12, np.inf, d))
+    weights = {k: np.zeros((len(ones), size + 1)) for k in scale}
+    last = {k: (weights[k].copy(), np.full(len(ones), np.inf)) for k in scale}
+
+    def part(k: int, y: np.ndarray, x: np.ndarray) -> list[np.ndarray]:
+        if k not in scale:
+            return [np.zeros((len(ones), size + 1, size + 1)), np.zeros((len(ones), size + 1)), np.zeros(len(ones))]
+        z = np.column_stack([(x - scale[k][0]) / scale[k][1], np.ones(len(y))])
+        h, g, loss = [], [], []
+        for w, one in zip(weights[k], ones, strict=True):
+            t, m = (y == one).astype(float), z @ w
+            p = 1 / (1 + np.exp(-np.clip(m, -50, 50)))
+            h.append((z * (p * (1 - p))[:, None]).T @ z)
+            g.append(z.T @ (p - t))
+            loss.append(float((np.logaddexp(0, m) - t * m).sum()))
+        return [np.array(h), np.array(g), np.array(loss)]
+
+    for _ in range(passes):
+        moved = 0.0
+        for k, (h, g, loss) in _summed(rows, part, "h array<double>, g array<double>, loss array<double>").items():
+            if k not in scale:
+                continue
+            h, g = h.reshape(len(ones), size + 1, size + 1), g.reshape(len(ones), size + 1)
+            before, least = last[k]
+            for i in range(len(ones)):
+                value = c * loss[i] + np.abs(weights[k][i, :-1]).sum()
+                if value > least[i] + 1e-9 * abs(least[i]):  # too far: half the way back
+                    weights[k][i] = (weights[k][i] + before[i]) / 2
+                    moved = max(moved, np.abs(weights[k][i] - before[i]).max())
+                    continue
+                new = newton_step(h[i], g[i], weights[k][i], c)
+                moved = max(moved, np.abs(new - weights[k][i]).max())
+                before[i], least[i], weights[k][i] = weights[k][i].copy(), value, new
+        if moved < 1e-7:
             break
-        w = new
-    return w[:-1]
+    return {k: (np.abs(w[:, :-1]).max(0) > 1e-9) for k, w in weights.items()}
 
 
-def stability_selection(df: DataFrame, features: list[str], labels: list[str], rid: str, times: int = 30, seed: int = 42, cap: int = 20_000) -> list[tuple]:
-    """Share of 70 % resamples that select a feature: (feature, label, score_name, score, selection_frequency, samples, valid_resamples). Resamples are tasks."""
+def stability_selection(df: DataFrame, features: list[str], labels: list[str], rid: str, times: int = 30, seed: int = 42) -> list[tuple]:
+    """Share of 70 % resamples that select a feature: (feature, label, score_name, score, selection_frequency, samples, valid_resamples). All rows count; what leaves the tasks are sums by resample."""
     out = []
+    filled = preprocess.impute(df, features)
     for y in labels:
         use = [f for f in features if f != y]
-        known = sampling.sample(df.where(F.col(f"`{y}`").isNotNull()), cap, rid, seed)
+        known = filled.where(F.col(f"`{y}`").isNotNull())
         task = profile.task_by_distinct(profile.column_stats(known, [y])[y])
-        label = num(known, y).cast("string") if task == "regression" else F.col(f"`{y}`").cast("string")
-        filled = preprocess.standardize(preprocess.impute(known, use), use)
-        rows = filled.select(F.col(rid).alias("rid"), label.alias("y"), F.array(*[F.col(f"`{f}`") for f in use]).alias("x")).where("y is not null")
+        classes = 0
+        if task == "regression":
+            known = known.withColumn("__y", num(known, y))
+        else:
+            known, names = preprocess.label_codes(known, y)
+            known, classes = known.withColumn("__y", F.col(f"{y}__code").cast("double")), len(names)
+        rows = cut(known.where("__y is not null").select(F.col(rid).alias("rid"), F.col("__y").alias("y"), F.array(*[F.col(f"`{f}`") for f in use]).alias("x")))
         n = rows.count()
-        if n < LEAST or not use:
+        if n < LEAST_ROWS or not use or (task != "regression" and classes < 2):
             continue
-
-        regression = task == "regression"
-
-        def fit(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-            part = part.sort_values("rid", kind="stable")
-            x = np.array(part["x"].tolist(), float)
-            if regression:  # noqa: B023
-                t = part["y"].to_numpy(float)
-                x, t = x - x.mean(0), t - t.mean()
-                t = t / (t.std() or 1.0)
-                b = [lasso(x.T @ x, x.T @ t, len(t), 0.01)]
-            else:
-                classes = sorted(part["y"].unique())
-                if len(classes) < 2:
-                    return pd.DataFrame(columns=["resample", "picked"])
-                b = [l1_logistic(x, (part["y"] == c).to_numpy(float), 0.1) for c in (classes[1:] if len(classes) == 2 else classes)]
-            return pd.DataFrame({"resample": [key[0]], "picked": [(np.max(np.abs(b), axis=0) > 1e-9).astype(float).tolist()]})
-
-        drawn = sampling.resamples(rows, "rid", n, times, seed).join(rows, "rid")
-        picked = drawn.groupBy("resample").applyInPandas(fit, "resample int, picked array<double>").collect()  # a row a resample
-        for f, share in zip(use, np.mean([r.picked for r in picked], axis=0) if picked else [], strict=False):
+        drawn = cut(sampling.resamples(rows, "rid", n, times, seed).join(rows, "rid").select("resample", "y", "x"))
+        picked = select_by_lasso(drawn, len(use)) if task == "regression" else select_by_logistic(drawn, len(use), classes)
+        for f, share in zip(use, np.mean(list(picked.values()), axis=0) if picked else [], strict=False):
             out.append((f, y, "selection_frequency", float(share), float(share), n, len(picked)))
     return sorted(out, key=lambda r: (-r[3], r[0], r[1]))

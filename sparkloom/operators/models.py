@@ -1,4 +1,4 @@
-"""Holdout models and importances on pyspark.ml; rows are capped by md5 samples, as the methods define."""
+"""Holdout models and importances on pyspark.ml; where the methods define a cap, rows are md5 samples."""
 
 from __future__ import annotations
 
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from sparkloom.functions import special
 from sparkloom.functions.coerce import num
 from sparkloom.operators import metrics, preprocess, profile, sampling
+from sparkloom.operators.align import numbered
 from sparkloom.session import cut
 
 #: Rows that a method reads at most, classes, and sizes of ensembles. Ensembles can be made smaller by options.
@@ -59,8 +60,8 @@ class Holdout:
         return self.df.where(F.col("is_test"))
 
 
-def holdout(df: DataFrame, features: list[str], label: str, rid: str, cap: int, seed: int = SEED, scaled: bool = False, indicators: bool = False) -> Holdout:
-    """Rows with a label, capped; 80/20 by md5, by class if every class has two rows; medians (and scales) of the training rows."""
+def holdout(df: DataFrame, features: list[str], label: str, rid: str, cap: int | None, seed: int = SEED, scaled: bool = False, indicators: bool = False) -> Holdout:
+    """Rows with a label, capped if the method has a cap; 80/20 by md5, by class if every class has two rows; medians (and scales) of the training rows."""
     known = sampling.sample(df.where(F.col(f"`{label}`").isNotNull()), cap, rid, seed)
     stats = profile.column_stats(known, [label])[label]
     task = profile.task_by_values(stats)
@@ -205,40 +206,43 @@ def _fit_ols(label: str, use: list[str], n: int, means: np.ndarray, gram: np.nda
 
 
 def regularized(df: DataFrame, features: list[str], labels: list[str], rid: str, seed: int = SEED) -> list[tuple]:
-    """Elastic net, or L1 logistic regression, by 3 contiguous folds: (feature, label, score_name, score, coefficient, abs_coefficient, model_type, samples)."""
+    """Elastic net, or L1 logistic regression (one class against the rest), by 3 contiguous folds of all rows: (feature, label, score_name, score, coefficient, abs_coefficient, model_type, samples)."""
     from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
     from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 
     out = []
+    filled = preprocess.impute(df, features)
     for y in labels:
         use = [f for f in features if f != y]
-        held = holdout(df, use, y, rid, CAPS["sklearn"], seed, scaled=True)
-        if held.df is None or not use:
+        known = filled.where(F.col(f"`{y}`").isNotNull())
+        regression = profile.task_by_distinct(profile.column_stats(known, [y])[y]) == "regression"
+        if regression:
+            known, classes = known.withColumn("__y", num(known, y)), []
+        else:
+            known, classes = preprocess.label_codes(known, y)
+            known = known.withColumn("__y", F.col(f"{y}__code").cast("double"))
+        placed = numbered(preprocess.standardize(known.where("__y is not null"), use), [rid])
+        n = placed.count()
+        if n < LEAST_ROWS or not use or (not regression and len(classes) < 2):
             continue
-        data = held.df.withColumn("fold", F.least(F.floor(F.percent_rank().over(_by_rid()) * 3), F.lit(2)).cast("int"))  # a capped sample
-        n = held.rows
-        if held.task == "regression":
+        folded = placed.select("__y", F.least(F.floor(F.col("__rid") * 3 / n), F.lit(2)).cast("int").alias("fold"), *[F.col(f"`{c}`").alias(f"f{i}") for i, c in enumerate(use)])
+        data = cut(VectorAssembler(inputCols=[f"f{i}" for i in range(len(use))], outputCol="x").transform(folded).select("__y", "fold", "x"))
+        if regression:
             est = LinearRegression(featuresCol="x", labelCol="__y", elasticNetParam=0.5, standardization=False)
             top = data.agg(F.stddev_pop("__y")).first()[0] or 1.0
             grid = ParamGridBuilder().addGrid(est.regParam, [top * 10.0**-e for e in (0.5, 1, 2, 3)]).build()
-            judge, kind = RegressionEvaluator(labelCol="__y", metricName="mse"), "elastic_net"
+            judge, kind = RegressionEvaluator(labelCol="__y", metricName="mse"), "elastic_net_cv"
         else:
-            est = LogisticRegression(featuresCol="x", labelCol="__y", elasticNetParam=1.0, standardization=False, maxIter=50)
-            grid = ParamGridBuilder().addGrid(est.regParam, [1 / (c * n) for c in (0.01, 0.1, 1.0, 10.0, 100.0)]).build()
-            judge, kind = MulticlassClassificationEvaluator(labelCol="__y", metricName="accuracy"), "l1_logistic"
+            one = LogisticRegression(featuresCol="x", labelCol="__y", elasticNetParam=1.0, standardization=False, maxIter=50)
+            est = one if len(classes) == 2 else OneVsRest(featuresCol="x", labelCol="__y", classifier=one)
+            grid = ParamGridBuilder().addGrid(one.regParam, [1 / (c * n) for c in (0.01, 0.1, 1.0, 10.0, 100.0)]).build()
+            judge, kind = MulticlassClassificationEvaluator(labelCol="__y", metricName="accuracy"), "logistic_l1_cv"
         best = CrossValidator(estimator=est, estimatorParamMaps=grid, evaluator=judge, numFolds=3, foldCol="fold", seed=seed, parallelism=4).fit(data).bestModel
-        m = best.coefficients.toArray()[None] if held.task == "regression" else best.coefficientMatrix.toArray()
-        mean = m.mean(0) if len(m) == 1 else np.abs(m).mean(0)
-        out += [(f, y, "coefficient_importance", abs(float(b)), float(b), abs(float(b)), kind, n) for f, b in zip(use, mean, strict=True)]
+        mean = np.mean([m.coefficients.toArray() for m in (best.models if hasattr(best, "models") else [best])], axis=0)
+        out += [(f, y, "abs_coefficient", abs(float(b)), float(b), abs(float(b)), kind, n) for f, b in zip(use, mean, strict=True)]
     return sorted(out, key=lambda r: (-r[3], r[0], r[1]))
 
 
-def _by_rid():
-    from pyspark.sql import Window
-
-    return Window.orderBy("rid")
-
-
 # Trees ----------------------------------------------------------------------------------------
 
 
@@ -279,8 +283,8 @@ def forest(task: str, trees: int, seed: int, leaf: int = 2, weight: bool = False
     return RandomForestRegressor(**common) if task == "regression" else RandomForestClassifier(**common)
 
 
-def split_importance(df: DataFrame, features: list[str], labels: list[str], rid: str, options: Options, cap: int = CAPS["xgboost"]) -> list[tuple]:
-    """Forest importances: (feature, label, score_name, score, importance_type, backend, samples)."""
+def split_importance(df: DataFrame, features: list[str], labels: list[str], rid: str, options: Options, cap: int | None = None) -> list[tuple]:
+    """Forest importances on all rows: (feature, label, score_name, score, importance_type, backend, samples)."""
     out = []
     for y in labels:
         use = [f for f in features if f != y]

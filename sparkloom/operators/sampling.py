@@ -19,8 +19,10 @@ def digest(seed: int | str, *parts: Column) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[p.cast("string") for p in parts]).cast("binary"))
 
 
-def sample(df: DataFrame, most: int, rid: str, seed: int = 42) -> DataFrame:
-    """At most ``most`` rows: those that come first by md5."""
+def sample(df: DataFrame, most: int | None, rid: str, seed: int = 42) -> DataFrame:
+    """At most ``most`` rows: those that come first by md5; all rows without a bound."""
+    if most is None:
+        return df
     return df.withColumn("__h", digest(seed, F.col(rid))).orderBy("__h", rid).limit(most).drop("__h")
 
 

@@ -246,3 +246,77 @@ def test_registered_modules_do_the_whole_job():
     assert settings == modules.Settings()
     n = settings.models.iterations
     assert {models.decision(h, n) for h in range(n + 1)} == {"confirmed", "rejected", "tentative"}
+
+
+def test_neighbour_distances_against_all_pairs():
+    rng = np.random.default_rng(12)
+    for n in (5, 40, 900):
+        x, y = rng.normal(size=n), rng.exponential(size=n) ** 3
+        d = np.maximum(np.abs(x[:, None] - x), np.abs(y[:, None] - y))
+        np.fill_diagonal(d, np.inf)
+        assert (information.kth_distance(x, y, 3) == np.partition(d, 2, axis=1)[:, 2]).all()
+
+
+def test_selection_against_plain_solvers(spark):
+    """Lasso and L1 logistic regression by slow proximal gradients over the same standardised rows."""
+    rng = np.random.default_rng(13)
+    x = rng.normal(size=(240, 5)) * [1, 10, 0.1, 3, 1]
+    y = x[:, 0] + 0.05 * x[:, 1] + 0.3 * rng.normal(size=240)
+    code = np.digitize(x[:, 0] + 0.3 * rng.normal(size=240), [-0.7, 0.7])
+    z = (x - x.mean(0)) / x.std(0)
+
+    def rows(values):
+        return spark.createDataFrame([(k, float(v), r.tolist()) for k in (0, 1) for v, r in zip(values, x)], "resample int, y double, x array<double>").repartition(3)
+
+    def plain(value, step, c, steps=4000):
+        w = np.zeros(6)
+        one = np.column_stack([z, np.ones(len(z))])
+        for _ in range(steps):
+            w = w - step * c * one.T @ value(one @ w)
+            w[:-1] = np.sign(w[:-1]) * np.maximum(np.abs(w[:-1]) - step, 0)
+        return np.abs(w[:-1])
+
+    lasso = plain(lambda m: m - y, 0.002, 1 / (240 * 0.01) * 1.0)
+    assert {k: v.tolist() for k, v in information.select_by_lasso(rows(y), 5).items()} == {k: (lasso > 1e-6).tolist() for k in (0, 1)}
+    logistic = np.max([plain(lambda m, i=i: 1 / (1 + np.exp(-m)) - (code == i), 0.02, 0.2) for i in range(3)], axis=0)
+    found = information.select_by_logistic(rows(code), 5, 3)
+    assert {k: v.tolist() for k, v in found.items()} == {k: (logistic > 1e-6).tolist() for k in (0, 1)}
+    assert logistic[0] > 1e-6 and not (logistic > 1e-6).all()
+
+
+def test_quantiles_and_distinct_counts(spark):
+    rng = np.random.default_rng(14)
+    data = [(float(v), str(int(v)) if v > 0 else None, bool(v > 1)) for v in np.round(rng.normal(size=300) * 3, 1)] + [(None, "x", None), (float("nan"), "1.50", True), (-0.0, "1.5", False), (0.0, "", False)]
+    df = spark.createDataFrame(data, "a double, b string, c boolean")
+    values = profile.value_table(df, ["a", "b", "c"])
+    a = np.array([v[0] for v in data if v[0] is not None and v[0] == v[0]])
+    b = np.array([float(v[1]) for v in data if v[1] not in (None, "x", "")])
+    found = {r["column"]: r for r in profile.quantiles(values, [0, 0.25, 0.5, 0.9, 1]).collect()}
+    for name, x in (("a", a), ("b", b)):
+        assert [found[name][f"q{i}"] for i in range(5)] == pytest.approx(np.quantile(x, [0, 0.25, 0.5, 0.9, 1]).tolist())
+    counts = {r["column"]: (r["distinct"], r["numeric_distinct"]) for r in profile.distinct_counts(values).collect()}
+    assert counts["a"] == (len(set(a.tolist())),) * 2 and counts["c"] == (2, 2)
+    assert counts["b"] == (len({v[1] for v in data if v[1] is not None}), len(set(b.tolist())))
+
+
+def test_collinear_least_squares_as_by_pseudo_inverse(spark):
+    rng = np.random.default_rng(15)
+    x = rng.normal(size=(80, 2)) * [1, 1000] + [5, -300]
+    full = np.column_stack([x, 2 * x[:, 0], x[:, 1]])
+    y = 3 + x[:, 0] - 0.01 * x[:, 1] + rng.normal(size=80)
+    df = spark.createDataFrame([(i, float(v), *map(float, r)) for i, (v, r) in enumerate(zip(y, full))], "rid long, y double, a double, b double, c double, d double")
+    scores, found = models.ols(df, ["a", "b", "c", "d"], ["y"], "rid")
+    with_one = np.column_stack([np.ones(80), full])
+    beta = np.linalg.pinv(with_one) @ y
+    residual = y - with_one @ beta
+    cov = np.linalg.pinv(with_one.T @ with_one, rcond=1e-10) * (residual @ residual / 77)
+    by = {r[1]: r for r in found}
+    for k, name in enumerate(["const", "a", "b", "c", "d"]):
+        assert by[name][2] == pytest.approx(beta[k], abs=1e-5) and by[name][6] == pytest.approx(math.sqrt(cov[k, k]), abs=1e-4)
+    assert scores[0][4] == pytest.approx(1 - (residual @ residual) / ((y - y.mean()) @ (y - y.mean())), abs=1e-6)
+
+
+def test_next_by_blocks(spark):
+    df = spark.range(25).select(F.col("id").alias("pos"), (F.col("id") * 3).alias("v"))
+    found = {r.pos: r.n for r in windows.next_by_blocks(df, "v", "n", 10).collect()}
+    assert found == {i: (i + 1) * 3 if i < 24 else None for i in range(25)}
