@@ -1,19 +1,27 @@
 """Nearest neighbours by inner product through an inverted multi-index.
 
-Vectors are cut in two halves and each half is quantised by its own centroids, fitted on a bounded sample
-(the SAMPLE vectors with the smallest hashes of their ids). A pair of centroids is a cell; every vector is
-indexed. A query sorts the centroids of either half by inner product and walks the pairs by descending
-sum with a heap, until the cells taken hold the share of all vectors that gave RECALL of the true
-neighbours on the sample, by brute force there. On data without structure that share is about a half.
-
-Cells are packed into blocks of about BLOCK vectors, cells above that are split, and a block's queries
-are cut into chunks of CHUNK, so no task holds more than one of each however common a vector is. The
-entries of the cells that a query took are ranked by their inner products on the original vectors.
-
-Defined results: vectors that are null, zero, hold null or non-finite components or haven't the most
-frequent length take no part, nor do rows with null id; scores are sums in order of the components, in
-double precision; ties go to the smaller id; a repeated row is a candidate of its own, and only the
-query's own row is left out; without vectors the result is empty.
+Vectors are cut in two halves and each half is quantised by its own centroids, about half the square root
+of the number of vectors (at most CENTROIDS), fitted on a bounded sample (the PER_CENTROID vectors a
+centroid with the smallest hashes of their ids). A pair of centroids is a cell; every vector is indexed. A query sorts the
+centroids of either half by inner product and walks the pairs by descending sum with a heap, until the
+cells taken hold ``reach`` vectors. The entries of those cells are ranked by their inner products on the
+original vectors.
+
+``reach`` is a number of vectors, measured on all of them: the true neighbours of TRIALS vectors are found
+by brute force in one pass, and reach is the least that finds RECALL of them. It depends on the
+structure of the data, not on how many there are: clustered vectors need few cells, vectors without any
+structure need a large share (the README has figures).
+
+Centroids are numbered so that near ones have near numbers, and cells are packed by both numbers' bits
+in turn into blocks, so a query reaches few blocks. Cells larger than a block are split, and a block's
+queries are cut into chunks of CHUNK, so no task holds more than one of each however common a vector is.
+
+Defined results: vectors that are null, zero, or hold null or non-finite components take no part, nor do rows
+with null id; vectors of different lengths are searched among those of their own length, of one
+component on; scores are sums in order of the components, in double precision; ties go to the smaller id; a repeated row is
+a candidate of its own, and only the query's own row is left out, so repeated rows of a query id give
+its result once each; with fewer candidates than k all are returned; without vectors the result is empty.
+Columns are taken by name; extra ones don't matter.
 """
 
 from __future__ import annotations
@@ -24,11 +32,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import bound_batches, cut, stash
+from .common import bound_batches, cut, partitions, stash
 
-SAMPLE, CENTROIDS, ROUNDS, RECALL, TRIALS = 16_384, 64, 12, 0.97, 256
-BLOCK, CHUNK = 8192, 4096
+#: Centroids of a half at most, sampled vectors for each, rounds of k-means, recall and trials of the calibration.
+CENTROIDS, PER_CENTROID, ROUNDS, RECALL, TRIALS = 1024, 32, 12, 0.95, 200
+#: Vectors of a block at least and at most, queries of a chunk.
+LEAST_BLOCK, BLOCK, CHUNK = 256, 8192, 4096
 
 
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
@@ -39,11 +50,42 @@ def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
         sums = np.zeros_like(c)
         np.add.at(sums, a, x)
         c[n > 0] = sums[n > 0] / n[n > 0, None]
-    return c
+    return c[_by_nearness(c)]
+
+
+def _by_nearness(c: np.ndarray) -> np.ndarray:
+    """Numbers of the rows, halved again and again along their main direction."""
+    if len(c) < 3 or not c.shape[1]:
+        return np.arange(len(c))
+    d = c - c.mean(0)
+    order = np.argsort(d @ np.linalg.svd(d, full_matrices=False)[2][0], kind="stable")
+    low, high = order[: len(c) // 2], order[len(c) // 2 :]
+    return np.concatenate([low[_by_nearness(c[low])], high[_by_nearness(c[high])]])
 
 
 def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
-    return np.argmin((c * c).sum(1) - 2 * x @ c.T, axis=1)
+    """By blocks of rows, so that the table of distances stays small."""
+    norms = (c * c).sum(1)
+    return np.concatenate([np.argmin(norms - 2 * x[i : i + 4096] @ c.T, axis=1) for i in range(0, len(x), 4096)] or [np.zeros(0, np.int64)])
+
+
+def packed(counts: np.ndarray, size: int, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first block of each cell, and how many it is split over: cells in the order of the bits of both numbers in turn, up to ``block`` vectors."""
+    i, j = np.divmod(np.arange(size * size, dtype=np.int64), size)
+    key = np.zeros(size * size, np.int64)
+    for b in range(max(1, int(size - 1).bit_length())):
+        key |= (i >> b & 1) << (2 * b + 1) | (j >> b & 1) << (2 * b)
+    first, pieces, at, held = np.zeros(size * size, np.int64), np.maximum(1, -(-counts // block)), 0, 0
+    order = np.argsort(key, kind="stable")
+    for c in order[counts[order] > 0].tolist():
+        if held and held + counts[c] > block:
+            at, held = at + 1, 0
+        first[c] = at
+        if pieces[c] > 1:
+            at, held = at + int(pieces[c]), 0
+        else:
+            held += int(counts[c])
+    return first, pieces
 
 
 def walk(a: np.ndarray, b: np.ndarray, counts: np.ndarray, want: int) -> list[int]:
@@ -86,70 +128,117 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
     """query_id, rank (from 1), id, score of the k nearest rows found of each row for which is_query holds."""
     spark = vectors.sparkSession
     bound_batches(spark)
-    schema = f"query_id {vectors.schema[id_col].dataType.simpleString()}, rank int, {id_col} {vectors.schema[id_col].dataType.simpleString()}, score double"
+    kind = vectors.schema[id_col].dataType.simpleString()
+    lengths = [r["n"] for r in vectors.where(F.size(vector_col) > 0).groupBy(F.size(vector_col).alias("n")).count().orderBy(F.desc("count"), "n").collect()]  # a row a length
+    found = [x for x in (_search(vectors, is_query, k, id_col, vector_col, recall, dim) for dim in lengths) if x is not None]
+    if not found:
+        return spark.createDataFrame([], f"query_id {kind}, rank int, {id_col} {kind}, score double")
+    out = found[0]
+    for x in found[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+class Index:
+    """Centroids, how many vectors each cell holds, and the stored vectors: id, v, query, cell, row."""
+
+    def __init__(self, usable: DataFrame, dim: int) -> None:
+        self.dim, self.half = dim, (dim + 1) // 2
+        n = usable.count()
+        wanted = 2 ** round(np.log2(max(1.0, n**0.5 / 2)))
+        size = max(min(8, n), min(CENTROIDS, wanted))
+        taken = usable.select("id", "v").orderBy(F.xxhash64(F.col("id").cast("string")), "id", "v").limit(max(TRIALS, PER_CENTROID * size)).toPandas()
+        self.sample, self.sample_ids, rng = np.array(taken["v"].tolist(), float).reshape(-1, dim), taken["id"].tolist(), np.random.default_rng(7)
+        self.size = size = min(size, len(self.sample))
+        if not size:
+            return
+        half, left, right = self.half, _kmeans(self.sample[:, : self.half], size, rng), _kmeans(self.sample[:, self.half :], size, rng)
+        self.left, self.right = left, right
+
+        def index(batches):
+            for batch in batches:
+                x = _matrix(batch.column(1), dim)
+                yield batch.append_column("cell", pa.array(nearest(x[:, :half], left) * size + nearest(x[:, half:], right), pa.int32()))
+
+        numbered = usable.withColumn("row", F.monotonically_increasing_id())
+        self.stored = stash(numbered.mapInArrow(index, T.StructType([*numbered.schema.fields, T.StructField("cell", T.IntegerType())])))
+        self.counts = np.zeros(size * size, np.int64)
+        for r in self.stored.groupBy("cell").count().toLocalIterator():  # CENTROIDS ** 2 rows at most
+            self.counts[r[0]] = r[1]
+
+    def reach(self, k: int, recall: float) -> int:
+        """How many vectors a walk has to take to find this share of the true neighbours: of TRIALS vectors, by brute force over all."""
+        trials, ids = self.sample[:TRIALS], np.array(self.sample_ids[:TRIALS], dtype=object)
+        dim, half, size, left, right, counts = self.dim, self.half, self.size, self.left, self.right, self.counts
+
+        def nearby(batches):
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                own = np.array(batch.column(0).to_pylist(), dtype=object)
+                s = np.where(ids[:, None] == own[None, :], -np.inf, trials @ _matrix(batch.column(1), dim).T)
+                most = min(k, s.shape[1])
+                at = np.argpartition(-s, most - 1, axis=1)[:, :most]
+                trial = np.repeat(np.arange(len(trials)), most)
+                yield pa.RecordBatch.from_arrays([pa.array(trial, pa.int32()), pa.array(s[trial, at.ravel()]), batch.column(2).take(pa.array(at.ravel()))], ["trial", "score", "cell"])
+
+        def places(table: pa.Table) -> pa.Table:
+            """In the walk of the trial, how many vectors have been taken when the cell of each true neighbour has."""
+            score, cell, t = table["score"].to_numpy(), table["cell"].to_numpy(), table["trial"][0].as_py()
+            best = np.argsort(-score, kind="stable")[:k]
+            best = best[np.isfinite(score[best])]
+            held = np.flatnonzero(counts)
+            sums = (left @ trials[t, :half])[held // size] + (right @ trials[t, half:])[held % size]
+            order = np.argsort(-sums, kind="stable")
+            taken = np.empty(size * size, np.int64)
+            taken[held[order]] = np.cumsum(counts[held[order]])
+            return pa.table({"place": taken[cell[best]]})
+
+        found = self.stored.select("id", "v", "cell").mapInArrow(nearby, "trial int, score double, cell int").groupBy("trial").applyInArrow(places, "place long")
+        place = found.toPandas()["place"].to_numpy()  # TRIALS * k numbers
+        return int(np.quantile(place, recall, method="higher")) if len(place) else int(counts.sum())
+
+
+def _search(vectors: DataFrame, is_query: Column, k: int, id_col: str, vector_col: str, recall: float, dim: int) -> DataFrame | None:
+    spark, kind = vectors.sparkSession, vectors.schema[id_col].dataType.simpleString()
     v = F.col(vector_col).cast("array<double>")
-    lengths = vectors.where(F.size(vector_col) > 1).groupBy(F.size(vector_col).alias("n")).count().orderBy(F.desc("count"), "n").first()
-    if lengths is None:
-        return spark.createDataFrame([], schema)
-    dim = lengths["n"]
-    half = dim // 2
-    usable = vectors.where(_usable(v, dim) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), v.alias("v"), F.coalesce(is_query, F.lit(False)).alias("query"))
-    taken = usable.select("id", "v").orderBy(F.xxhash64(F.col("id").cast("string")), "id", "v").limit(SAMPLE).toPandas()
-    if not len(taken):
-        return spark.createDataFrame([], schema)
-    sample, rng = np.array(taken["v"].tolist(), float), np.random.default_rng(7)
-    size = min(CENTROIDS, len(sample))
-    left, right = _kmeans(sample[:, :half], size, rng), _kmeans(sample[:, half:], size, rng)
-    share = _share(sample, left, right, k, recall)
-
-    def index(batches):
-        for batch in batches:
-            x = _matrix(batch.column(1), dim)
-            cell = nearest(x[:, :half], left) * size + nearest(x[:, half:], right)
-            yield batch.append_column("cell", pa.array(cell, pa.int32()))
-
-    from pyspark.sql import types as T
-
-    indexed = stash(usable.mapInArrow(index, T.StructType([*usable.schema.fields, T.StructField("cell", T.IntegerType())]))).withColumn("row", F.monotonically_increasing_id())
-    counts = np.zeros(size * size, np.int64)
-    for r in indexed.groupBy("cell").count().toLocalIterator():  # CENTROIDS ** 2 rows at most
-        counts[r[0]] = r[1]
-    want = int(np.ceil(share * counts.sum()))
-    # Blocks: consecutive cells up to BLOCK vectors; a larger cell is split.
-    first, pieces, block, held = np.zeros(len(counts), np.int64), np.maximum(1, -(-counts // BLOCK)), 0, 0
-    for c in range(len(counts)):
-        if held and held + counts[c] > BLOCK:
-            block, held = block + 1, 0
-        first[c] = block
-        if pieces[c] > 1:
-            block, held = block + int(pieces[c]), 0
-        else:
-            held += counts[c]
+    index = Index(vectors.where(_usable(v, dim) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), v.alias("v"), F.coalesce(is_query, F.lit(False)).alias("query")), dim)
+    if not index.size:
+        return None
+    size, half, left, right, counts, indexed = index.size, index.half, index.left, index.right, index.counts, index.stored
+    want = index.reach(k, recall)
+    first, pieces = packed(counts, size, int(np.clip(counts.sum() // (2 * partitions(spark)), LEAST_BLOCK, BLOCK)))
 
     def probe(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
             q = _matrix(batch.column(1), dim)
-            a, b = q[:, :half] @ left.T, q[:, half:] @ right.T
+            a, b, table = q[:, :half] @ left.T, q[:, half:] @ right.T, counts.reshape(size, size)
             at, blocks, cells = [], [], []
             for n in range(len(q)):
-                by: dict[int, list[int]] = {}
-                for c in walk(a[n], b[n], counts.reshape(size, size), want):
-                    for p in range(int(pieces[c])):
-                        by.setdefault(int(first[c]) + p, []).append(c)
-                at += [n] * len(by)
-                blocks += by.keys()
-                cells += by.values()
+                taken = np.array(walk(a[n], b[n], table, want), np.int64)
+                many = pieces[taken]
+                block = np.repeat(first[taken], many) + np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+                taken = np.repeat(taken, many)
+                order = np.argsort(block, kind="stable")
+                own, starts = np.unique(block[order], return_index=True)
+                at += [n] * len(own)
+                blocks += own.tolist()
+                cells += np.split(taken[order], starts[1:])
             take = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), batch.column(0).take(take), batch.column(2).take(take), batch.column(1).take(take), pa.array(cells, pa.list_(pa.int32()))], ["block", "id", "row", "v", "cells"])
+            listed = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, cells)]), pa.int32()), pa.array(np.concatenate(cells) if cells else [], pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), batch.column(0).take(take), batch.column(2).take(take), batch.column(1).take(take), listed], ["block", "id", "row", "v", "cells"])
 
-    kind = vectors.schema[id_col].dataType.simpleString()
     probes = stash(indexed.where("query").select("id", "v", "row").mapInArrow(probe, f"block long, id {kind}, row long, v array<double>, cells array<int>"))
     chunks = cut(probes.groupBy("block").agg(F.ceil(F.count("*") / CHUNK).cast("long").alias("chunks")))
-    place = F.array(*[F.lit(int(x)) for x in first])
-    parts = F.array(*[F.lit(int(x)) for x in pieces])
-    entries = indexed.select("id", "row", "v", "cell", (place[F.col("cell")] + F.pmod(F.xxhash64("row"), parts[F.col("cell")])).cast("long").alias("block")).join(chunks, "block")
+
+    def place(batches):
+        for batch in batches:
+            cell, row = batch.column(3).to_numpy(), batch.column(1).to_numpy()
+            yield batch.append_column("block", pa.array(first[cell] + row % pieces[cell], pa.int64()))
+
+    entries = indexed.select("id", "row", "v", "cell").mapInArrow(place, f"id {kind}, row long, v array<double>, cell int, block long").join(chunks, "block")
     entries = entries.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).drop("chunks")
     asked = probes.join(chunks, "block").withColumn("chunk", F.pmod(F.xxhash64("row"), F.col("chunks"))).drop("chunks")
 
@@ -187,18 +276,3 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
     scored = asked.groupBy("block", "chunk").cogroup(entries.groupBy("block", "chunk")).applyInArrow(rank, f"query_id {kind}, query_row long, id {kind}, score double")
     order = Window.partitionBy("query_row").orderBy(F.desc("score"), "id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
-
-
-def _share(sample: np.ndarray, left: np.ndarray, right: np.ndarray, k: int, recall: float) -> float:
-    """The share of vectors that queries have to take for this recall, on the sample."""
-    half, q = left.shape[1], sample[:TRIALS]
-    true = q @ sample.T
-    true[np.arange(len(q)), np.arange(len(q))] = -np.inf
-    near = np.argsort(-true, axis=1, kind="stable")[:, : min(k, len(sample) - 1)]
-    a, b = nearest(sample[:, :half], left), nearest(sample[:, half:], right)
-    order = np.argsort(-((q[:, :half] @ left.T)[:, a] + (q[:, half:] @ right.T)[:, b]), axis=1, kind="stable")
-    place = np.empty_like(order)
-    np.put_along_axis(place, order, np.arange(len(sample))[None].repeat(len(q), 0), axis=1)
-    if not near.size:
-        return 1.0
-    return float(min(1.0, (np.quantile(np.take_along_axis(place, near, 1), recall, method="higher") + 1) / len(sample)))

@@ -177,27 +177,62 @@ def _vectors(n=700, dim=16, seed=1):
     return x
 
 
-def test_multi_index_recall_order_and_odd_rows(spark):
-    x = _vectors()
-    rows = [(i, v.tolist(), 0, "q", 1) for i, v in enumerate(x)]
-    rows += [(1000, None, 0, "q", 1), (1020, [0.0] * 16, 0, "q", 1), (1040, [float("nan")] * 16, 0, "q", 1), (1060, [1.0, None] * 8, 0, "q", 1), (1080, [1.0] * 5, 0, "q", 1), (None, [1.0] * 16, 0, "q", 1), (1100, [float("inf")] * 16, 0, "q", 1)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, block string, chunk int")
-    out = {}
-    for r in ann.search(df, F.col("vec_id") % 20 == 0).collect():
-        out.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
-    assert set(out) == set(range(0, 700, 20))
-    hit = 0
-    for q, found in out.items():
-        score = ann.exact(np.repeat(x[q : q + 1].astype(float), len(x), 0), x.astype(float))
-        best = [i for i in np.lexsort((np.arange(len(x)), -score)) if i != q][:20]
+def _check_search(out, x, ids, queries, least):
+    """Ranks, order and scores by brute force; the share of true neighbours found."""
+    by = {}
+    for r in out:
+        by.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    assert set(by) == set(queries)
+    hit, place = 0, {i: n for n, i in enumerate(ids)}
+    for q, found in by.items():
+        score = ann.exact(np.repeat(x[place[q]][None].astype(float), len(x), 0), x.astype(float))
+        best = [ids[i] for i in np.lexsort((np.array(ids), -score)) if ids[i] != q][:20]
         found = sorted(found)
         assert [r for r, _, _ in found] == list(range(1, 21)) and [(-s, i) for _, i, s in found] == sorted((-s, i) for _, i, s in found)
-        assert all(s == score[i] for _, i, s in found)
+        assert all(s == score[place[i]] for _, i, s in found)
         hit += len(set(best) & {i for _, i, _ in found})
-    assert hit >= 0.9 * 20 * len(out)
+    assert hit >= least * 20 * len(by)
+
+
+def test_multi_index_recall_order_and_odd_rows(spark):
+    x = _vectors()
+    rows = [(i, v.tolist(), 0, "q", 1) for i, v in enumerate(x)]
+    odd = [(1000, None, 0, "q", 1), (1020, [0.0] * 16, 0, "q", 1), (1040, [float("nan")] * 16, 0, "q", 1), (1060, [1.0, None] * 8, 0, "q", 1), (None, [1.0] * 16, 0, "q", 1), (1100, [float("inf")] * 16, 0, "q", 1), (1120, [], 0, "q", 1)]
+    schema = "vec_id long, embedding array<float>, label int, block string, chunk int"
+    df = spark.createDataFrame(rows + odd, schema)
+    _check_search(ann.search(df, F.col("vec_id") % 20 == 0).collect(), x, list(range(700)), range(0, 700, 20), 0.9)
     assert ann.search(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
     few = ann.search(df.where("vec_id < 3"), F.col("vec_id") % 20 == 0).collect()
     assert len(few) == 2
+    # other lengths are searched on their own, of one component on
+    short = spark.createDataFrame([(2000 + i, [float(i % 30 + 1)], 0, "q", 1) for i in range(60)], schema)
+    out = [r for r in ann.search(df.unionByName(short), F.col("vec_id") % 20 == 0).collect() if r.query_id >= 2000]
+    assert {r.query_id for r in out} == {2000, 2020, 2040}
+    assert [r.vec_id for r in sorted(out, key=lambda r: r["rank"]) if r.query_id == 2000][:3] == [2029, 2059, 2028]
+
+
+def test_multi_index_visits_few_of_clustered_vectors(spark):
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(60, 24))
+    x = (centres[rng.integers(0, 60, 6000)] + 0.15 * rng.normal(size=(6000, 24))).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    v = F.col("embedding").cast("array<double>")
+    index = ann.Index(df.select(F.col("vec_id").alias("id"), v.alias("v"), F.lit(False).alias("query")), 24)
+    assert index.counts.sum() == 6000 and index.reach(20, ann.RECALL) < 0.1 * 6000
+    _check_search(ann.search(df, F.col("vec_id") % 50 == 0).collect(), x, list(range(6000)), range(0, 6000, 50), 0.9)
+
+
+def test_cells_are_packed_into_blocks():
+    rng = np.random.default_rng(4)
+    counts = rng.integers(0, 9, 64)
+    counts[17] = 100
+    first, pieces = ann.packed(counts, 8, 20)
+    held = {}
+    for c in np.flatnonzero(counts):
+        for p in range(pieces[c]):
+            held[first[c] + p] = held.get(first[c] + p, 0) + -(-counts[c] // pieces[c])
+    assert pieces[17] == 5 and max(held.values()) <= 20 and sorted(held) == list(range(len(held)))
 
 
 def test_walk_is_by_descending_sum():
