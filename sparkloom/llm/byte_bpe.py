@@ -3,10 +3,12 @@
 Every rank becomes a piece: its bytes are mapped to printable characters, one each, and its score is
 minus its rank, so that sentencepiece's merges by best score are the merges by lowest rank. The model
 has the identity normaliser and no dummy prefix; it is serialised here, field by field. Texts are split
-into pre-tokens; a pre-token that is itself a rank is that id, any other is merged. Decoding maps ids
-to pieces and characters back to bytes.
+into pre-tokens; a pre-token that is itself a rank is that id, any other is merged. Decoding maps ids to the
+model's pieces and the pieces' characters back to bytes; what each id gives is looked up in a table made so.
 
-Defined results: null text counts as empty and has no ids; texts of any length are encoded whole.
+Defined results: null text counts as empty and has no ids; texts of any length are encoded whole, one at
+a time; merges of equal rank are made from the left, as by the library; repeated rows each get their
+result; an empty table gives an empty result; columns are taken by name, and extra ones don't matter.
 """
 
 from __future__ import annotations
@@ -80,9 +82,10 @@ class Codec:
         self.ranks = read_ranks(path)
         pieces = sorted(self.ranks, key=self.ranks.get)
         self.id_of = np.array([self.ranks[p] for p in pieces], np.uint32).tolist()
-        self.bytes_of = {self.ranks[p]: p for p in pieces}
         self.model = sentencepiece.SentencePieceProcessor(model_proto=sentencepiece_model(pieces))
         self.table = {b: c for b, c in enumerate(byte_characters())}
+        back = {c: b for b, c in self.table.items()}
+        self.bytes_of = {i: bytes(map(back.__getitem__, self.model.id_to_piece(k))) for k, i in enumerate(self.id_of)}
         self.pattern = regex.compile(pattern.replace(r"\S", f"[^{_SPACE}]").replace(r"[^\s", f"[^{_SPACE}").replace(r"\s", f"[{_SPACE}]"))
         self.run = re.compile(_RUN)
         self.bare, self.spaced, self.single = UnitCache(self._texts), UnitCache(lambda u: self._texts([b" " + x for x in u])), UnitCache(self._pretokens)

@@ -7,8 +7,9 @@ group are settled where they are read. What remains has no group above about 1/3
 takes the ordinary shuffle.
 
 Defined results: null text counts as empty; texts are equal byte for byte; the row with the largest
-id stays (null ids are smallest); of repeated rows with the same id and text exactly one stays; an
-empty table gives an empty result; other columns of the input are never read.
+id stays (null ids are smallest), and of ties between rows the one that is read last; of repeated rows with
+the same id and text exactly one stays; very long texts are hashed where they are read; an empty table
+gives an empty result; other columns of the input, whatever their names, are never read.
 """
 
 from __future__ import annotations

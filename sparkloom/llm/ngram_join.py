@@ -11,9 +11,13 @@ empty, the set also sends the first of its hashes, frequent ones last (prefix fi
 link share one. No link is lost: candidates are
 compared in size-banded tiles, where bit counts of bitmaps bound the overlap, and then exactly.
 
-Defined results: null text and texts without words have no set and are linked with nothing; with fewer
-words than n, the whole sequence is the one shingle; rows with null id are linked with nothing and have
-no component; repeated rows are in one component.
+Size bands are used twice: keys hold the band, and clusters of more than a tile are cut by bands.
+
+Defined results: null text, empty texts and texts without words have no set and are linked with nothing;
+with fewer words than n, the whole sequence is the one shingle; very long texts are read whole, one at a
+time, so a text has to fit a worker; rows with null id are linked with nothing and have no component;
+repeated rows are in one component; a component's name is its least id, so there are no ties; an empty
+table gives an empty result. Columns are taken by name; extra ones, whatever their names, don't matter.
 """
 
 from __future__ import annotations

@@ -9,9 +9,12 @@ A tokenizer maps words between ASCII white space independently of each other (it
 white space, and composition and lower-casing don't reach across it), so words are encoded once each.
 Words of Latin letters with or without signs behind, of which normaliser and pre-tokenizer make one or
 two plain parts, go to the tokenizer's merges directly, part by part; all others take its whole path.
+That holds for tokenizer files of those steps, which is checked; of other files whole texts are encoded.
 
-Defined results: null text counts as empty, and an empty document is its end id alone; repeated rows are
-documents of their own; an empty table gives an empty result.
+Defined results: null text counts as empty, and an empty document is its end id alone; very long texts
+are encoded whole and cut into as many windows as they fill; repeated rows are documents of their own;
+pieces of equal length are packed in the order of their rows; an empty table gives an empty result;
+columns are taken by name, and extra ones don't matter.
 """
 
 from __future__ import annotations
@@ -39,12 +42,16 @@ _PLAIN = re.compile(r"""([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u
 
 
 @functools.lru_cache(maxsize=2)
-def _words(path: str) -> UnitCache:
+def _tokenizer(path: str):
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
+    return Tokenizer.from_file(path)
+
+
+@functools.lru_cache(maxsize=2)
+def _words(path: str) -> UnitCache:
+    tokenizer = _tokenizer(path)
     merge, table = tokenizer.model.tokenize, dict(enumerate(byte_characters()))
-    direct = _splits_plainly(path)
     parts: dict[str, list[int]] = {}
 
     def ids(part: str) -> list[int]:
@@ -56,7 +63,7 @@ def _words(path: str) -> UnitCache:
         if len(parts) > 300_000:
             parts.clear()
         texts = [w.decode("utf-8", "replace") for w in words]
-        out = [(ids(m[1].lower()) + ids(m[2]) if m[2] else ids(m[1].lower())) if direct and (m := _PLAIN.fullmatch(x)) else None for x in texts]
+        out = [(ids(m[1].lower()) + ids(m[2]) if m[2] else ids(m[1].lower())) if (m := _PLAIN.fullmatch(x)) else None for x in texts]
         rest = [k for k, x in enumerate(out) if x is None]
         for i in range(0, len(rest), 4096):
             some = rest[i : i + 4096]
@@ -67,17 +74,24 @@ def _words(path: str) -> UnitCache:
     return UnitCache(many, 600_000)
 
 
+@functools.lru_cache(maxsize=8)
 def _splits_plainly(path: str) -> bool:
     """Whether the file's steps are those that the direct way stands for: composition and lower case, runs of letters and of signs, bytes as characters."""
     with open(path, encoding="utf-8") as f:
         made = json.load(f)
     steps = lambda x, name: [(s["type"], s.get("pattern")) for s in (x or {}).get(name, [])]
-    split = steps(made["pre_tokenizer"], "pretokenizers")
-    return [t for t, _ in steps(made["normalizer"], "normalizers")] == ["NFC", "Replace", "Lowercase"] and [t for t, _ in split] == ["Split", "ByteLevel"] and split[0][1]["Regex"].endswith(r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+    split = steps(made.get("pre_tokenizer"), "pretokenizers")
+    return [t for t, _ in steps(made.get("normalizer"), "normalizers")] == ["NFC", "Replace", "Lowercase"] and [t for t, _ in split] == ["Split", "ByteLevel"] and (split[0][1] or {}).get("Regex", "").endswith(r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 
 def token_ids(path: str, data: np.ndarray, offsets: np.ndarray, end_id: int = END_ID) -> Iterator[tuple[int, np.ndarray]]:
     """(row, ids with the end id) of each text."""
+    if not _splits_plainly(path):
+        for i, j in blocks(offsets):
+            texts = [data[offsets[k] : offsets[k + 1]].tobytes().decode("utf-8", "replace") for k in range(i, j)]
+            for k, x in zip(range(i, j), _tokenizer(path).encode_batch_fast(texts, add_special_tokens=False), strict=True):
+                yield k, np.append(np.array(x.ids, np.uint32), np.uint32(end_id)).astype("<u4")
+        return
     cache = _words(path)
     for i, j in blocks(offsets):
         split = [data[offsets[k] : offsets[k + 1]].tobytes().split() for k in range(i, j)]

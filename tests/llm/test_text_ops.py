@@ -378,24 +378,48 @@ def test_best_fit_decreasing():
 
 
 def test_pack_covers_every_token(spark):
-    data = [(i, t, "s") for i, t in enumerate(ODD + ["some words of a text " * 1500])] + [(500, None, "s"), (3, "again", "s"), (None, "no id", "s")]
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(WORDS)
+    data = [(i, t, "s") for i, t in enumerate(ODD + ["some words of a text " * 1500])] + [(500, None, "s"), (3, "again", "s"), (3, "again", "s"), (None, "no id", "s")]
     out = packing.pack(clashing(spark, data), WORDS, window=256, group=7).collect()
-    by_doc, by_sequence = {}, {}
+    expected = Counter()
+    for i, t, _ in data:
+        ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 1]
+        for start in range(0, len(ids), 256):
+            part = ids[start : start + 256]
+            expected[i, start, len(part), zlib.crc32(np.array(part, "<u4").tobytes()), len(ids)] += 1
+    assert Counter((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in out) == expected
+    by_sequence = {}
     for r in out:
-        by_doc.setdefault((r.doc_id, r.doc_tokens), []).append((r.start, r.length))
         by_sequence.setdefault(r.sequence_id, []).append((r.offset, r.length))
-    for (_, tokens), parts in by_doc.items():
-        assert sum(n for _, n in parts) % tokens == 0
     for parts in by_sequence.values():
         at = 0
         for o, n in sorted(parts):
             assert o == at
             at += n
         assert at <= 256
-    assert {r.doc_id for r in out} == {i for i, _, _ in data}
     assert packing.pack(documents(spark, []), WORDS).count() == 0
 
 
+def test_other_tokenizer_files_encode_whole_texts(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    with open(WORDS, encoding="utf-8") as f:
+        made = json.load(f)
+    made["pre_tokenizer"] = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}  # white space is part of tokens
+    path = str(tmp_path / "other.json")
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(made, f)
+    texts = ["two words  here", "", "a b"]
+    data = "".join(texts).encode()
+    offsets = np.cumsum([0, *(len(t.encode()) for t in texts)])
+    found = {k: ids.tolist() for k, ids in packing.token_ids(path, np.frombuffer(data, np.uint8), offsets)}
+    assert found == {k: [*Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids, 1] for k, t in enumerate(texts)}
+
+
 def test_silent_elements_end_in_any_case_or_hide_their_tag_only():
     texts = lambda page: "".join(x for kind, _, x in html_text.tokens(page) if kind == "text")
     assert texts("<STYLE>a{}</style><p>kept</p>") == "kept" and texts("<script>a</SCRIPT ><p>kept</p>") == "kept"
