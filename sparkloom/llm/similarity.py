@@ -10,11 +10,15 @@ of hashes each) and in the keys of an item.
    stars of a range are merged before they leave it.
 3. Connected components over the stars give clusters. Every linked pair lies within one.
 4. The clusters' nodes are cut out of their texts, as text, and compared in tiles, which make the sets.
-   Small clusters are one tile. Large ones are split by bands of set size and then by hash, and tiles
-   meet tiles of the same or the next band only. In a tile only sets of sizes that can link meet: a
-   bitmap of each bounds overlaps from above, pairs that are already connected are skipped, and the rest
-   are intersected exactly.
-5. Components over the links found.
+   Small clusters are one tile. Large ones are split by bands of set size and then by hash. In a tile
+   only sets of sizes that can link meet: a bitmap of each bounds overlaps from above, pairs that are
+   already connected are skipped, and the rest are intersected exactly.
+5. A tile of a large cluster also meets about PIVOTS nodes of its band and of each band next to it. That
+   connects nearly all of a group of copies, however large, at one copy of each node. What isn't in the
+   cluster's largest component then (the rest) meets the tiles of its band and those next to it, so no
+   link is lost: a node is copied once for each tile of the rest. Only a cluster most of which doesn't
+   hang together costs more than in proportion to its size.
+6. Components over the links found.
 
 Nothing of this is collected by the driver. Joins on nodes and roots broadcast the few that hold a
 thousandth of all rows or more and shuffle the rest.
@@ -31,11 +35,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_batches, counted, cut, input_bytes, mix, pack, partitions, spread_join, stash, text_buffer, trim, unpack
+from .common import HOT_SHARE, bound_batches, counted, cut, input_bytes, mix, pack, partitions, spread_join, stash, text_buffer, trim, unpack
 from .unit_cache import blocks
 
-#: Members of a tile, words of a bitmap, keys that a task gathers before it sends them, hashes in a task of tiles.
-TILE, WORDS, SEND, TASK = 4096, 16, 1_000_000, 4_000_000
+#: Members of a tile, those of a band that all its tiles meet, words of a bitmap, keys that a task gathers before it sends them, hashes in a task of tiles.
+TILE, PIVOTS, WORDS, SEND, TASK = 4096, 256, 16, 1_000_000, 4_000_000
 #: Bytes of text whose keys make a range, and edges that one task connects (16 bytes each).
 RANGE, ONE_TASK = 8 << 20, 1_000_000
 #: Bits of a key that stay behind.
@@ -280,53 +284,95 @@ def link(sets: list[np.ndarray], side: np.ndarray, method: Method) -> np.ndarray
 
 def linked(docs: DataFrame, nodes: DataFrame, found: DataFrame, method: Method, id_col: str, text_col: str) -> DataFrame:
     """node, root: exact components of nodes with a link. nodes: one row a node, with size and at (struct of id and digest) of a text that holds it; found: clusters()."""
-    spark = docs.sparkSession
     where, total = counted(nodes.select("node", "size", "at").join(found, "node"), F.sum("size"))
     if not total:
         return found.limit(0)
-    units = _large_units(where, method)
-    asked = F.struct("node", "root", "units") if units is not None else F.struct("node", "root", F.lit(None).cast(_UNITS).alias("units"))
-    placed = where.join(units, "node", "left") if units is not None else where
-    wanted, n = counted(placed.groupBy("at").agg(F.collect_list(asked).alias("wanted")).select("at.id", "at.digest", "wanted"))  # within one text
+    tasks = max(partitions(docs.sparkSession), -(-total // TASK))
+    compared = lambda units: _tiles(_forms(docs, units, method, id_col, text_col), tasks, method)
+    large, n = counted(where.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > TILE), F.sum("n"))
+    alone = F.array(F.struct(F.col("root").alias("unit"), F.lit(0).alias("side")))
+    if not n:
+        return components(compared(where.select("node", "at", alone.alias("units"))))
+    frequent = F.broadcast(large.where(F.col("n") * HOT_SHARE > n).select("root"))  # fewer than HOT_SHARE rows
+    small = where.join(frequent, "root", "left_anti").join(large.select("root"), "root", "left_anti")
+    dealt, plan = _deal(where, large, n, method)
+    first = dealt.select("node", "at", _first_units(dealt).alias("units"))
+    edges = cut(compared(small.select("node", "at", alone.alias("units")).unionByName(first)))
+    rest, m = counted(_rest_units(dealt, plan, components(edges), n))
+    return components(edges.unionByName(compared(rest)) if m else edges)
+
+
+def _forms(docs: DataFrame, units: DataFrame, method: Method, id_col: str, text_col: str) -> DataFrame:
+    """unit, side, node, form of the nodes; units: node, at, units (where the node goes, and on which side)."""
+    wanted, n = counted(units.groupBy("at").agg(F.collect_list(F.struct("node", "units")).alias("wanted")).select("at.id", "at.digest", "wanted"))  # within one text
     texts = maybe_in(_slim(docs, id_col, text_col).withColumn("digest", F.xxhash64("text")), wanted, ["id", "digest"], n)[0].join(wanted, ["id", "digest"]).select("text", "wanted")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             asked = batch.column(1)
             for first, texts in block_texts(batch, 0):
-                out = []
                 for k, text in enumerate(texts):
-                    want = {x["node"]: x["units"] or [{"unit": x["root"], "side": 0}] for x in asked[first + k].as_py()}
-                    out += [(u["unit"], u["side"], node, form) for node, form in method.forms(text, set(want)) for u in want[node]]
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], ["unit", "side", "node", "form"])
+                    want = {x["node"]: x["units"] for x in asked[first + k].as_py()}
+                    out = [(u["unit"], u["side"], node, form) for node, form in method.forms(text, set(want)) for u in want[node]]
+                    if out:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], ["unit", "side", "node", "form"])
         trim()
 
-    forms = texts.mapInArrow(extract, "unit long, side int, node long, form binary")
-    return components(_tiles(forms, max(partitions(spark), -(-total // TASK)), method))
+    return texts.mapInArrow(extract, "unit long, side int, node long, form binary")
 
 
 _UNITS = "array<struct<unit:long,side:int>>"
 
 
-def _large_units(where: DataFrame, method: Method) -> DataFrame | None:
-    """node, units: the pairs of tiles that a node of a large cluster is in, and its side there (0 where a tile meets itself). Narrow rows only; None without large clusters."""
-    large, n = counted(where.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > TILE), F.sum("n"))
-    if not n:
-        return None
-    of = spread_join(where.select("root", "node", "size"), large, "root", n).select("root", "node", (_band(F.col("size"), method) if method.sized else F.lit(0)).alias("band"))
-    count = cut(of.groupBy("root", "band").agg(F.count("*").alias("n")).withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int")))
-    after = count.select("root", (F.col("band") - 1).alias("band"), F.col("tiles").alias("after"))
-    before = count.select("root", (F.col("band") + 1).alias("band"), F.col("tiles").alias("before"))
-    plan = cut(count.join(after, ["root", "band"], "left").join(before, ["root", "band"], "left").na.fill(0, ["after", "before"]))
-    own = spread_join(of, plan, ["root", "band"], n).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")))
-    pair = lambda b1, t1, b2, t2, side: F.struct(F.xxhash64("root", b1, t1, b2, t2).alias("unit"), side.cast("int").alias("side"))
-    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0).cast("long"), n.cast("long") - 1)).otherwise(F.array().cast("array<long>"))
-    b, t = F.col("band"), F.col("tile").cast("long")
-    same = F.transform(upto(F.col("tiles")), lambda o: pair(b, F.least(t, o), b, F.greatest(t, o), F.when(o == t, 0).when(t < o, 1).otherwise(2)))
-    up = F.transform(upto(F.col("after")), lambda o: pair(b, t, b + 1, o, F.lit(1)))
-    down = F.transform(upto(F.col("before")), lambda o: pair(b - 1, o, b, t, F.lit(2)))
-    return own.select("node", F.concat(same, up, down).alias("units"))
+def _deal(where: DataFrame, large: DataFrame, n: int, method: Method) -> tuple[DataFrame, DataFrame]:
+    """Of the nodes of large clusters: node, at, root, band, tile, pivot, and how many tiles the band (tiles), the next (after) and the one before have; and the bands: root, band, n."""
+    of = spread_join(where.select("root", "node", "size", "at"), large, "root", n).select("root", "node", "at", (_band(F.col("size"), method) if method.sized else F.lit(0)).alias("band"))
+    count = cut(of.groupBy("root", "band").agg(F.count("*").alias("n")).withColumn("tiles", F.ceil(F.col("n") / TILE).cast("long")))
+    plan = cut(_beside(count, "tiles"))
+    dealt = spread_join(of, plan, ["root", "band"], n).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")))
+    return dealt.withColumn("pivot", F.pmod(F.xxhash64("node", F.lit(1)), F.col("many")) == 0), plan
+
+
+def _beside(count: DataFrame, tiles: str) -> DataFrame:
+    """count (root, band, n, tiles) with the tiles of the next band and the one before, and many: one in how many nodes is a pivot."""
+    after = count.select("root", (F.col("band") - 1).alias("band"), F.col(tiles).alias("after"))
+    before = count.select("root", (F.col("band") + 1).alias("band"), F.col(tiles).alias("before"))
+    return count.join(after, ["root", "band"], "left").join(before, ["root", "band"], "left").na.fill(0, ["after", "before"]).withColumn("many", F.ceil(F.col("n") / PIVOTS))
+
+
+def _upto(n: Column) -> Column:
+    return F.when(n > 0, F.sequence(F.lit(0).cast("long"), n.cast("long") - 1)).otherwise(F.array().cast("array<long>"))
+
+
+def _first_units(dealt: DataFrame) -> Column:
+    """A node's own tile, side 0; a pivot also meets all other tiles of its band and of those next to it, on side 2."""
+    unit = lambda b, t, side: F.struct(F.xxhash64("root", b, t).alias("unit"), F.lit(side).alias("side"))
+    band = F.col("band")
+    others = F.concat(
+        F.transform(F.filter(_upto(F.col("tiles")), lambda t: t != F.col("tile")), lambda t: unit(band, t, 2)),
+        F.transform(_upto(F.col("after")), lambda t: unit(band + 1, t, 2)), F.transform(_upto(F.col("before")), lambda t: unit(band - 1, t, 2)),
+    )
+    return F.concat(F.array(unit(band, F.col("tile"), 0)), F.when(F.col("pivot"), others).otherwise(F.array().cast(_UNITS)))
+
+
+def _rest_units(dealt: DataFrame, plan: DataFrame, exact: DataFrame, n: int) -> DataFrame:
+    """node, at, units: the nodes of the rest, in tiles of their own (side 1), meet all nodes of their band and of those next to it (side 2)."""
+    told = cut(dealt.join(exact.select("node", F.col("root").alias("label")), "node", "left").withColumn("label", F.coalesce("label", "node")).select("node", "at", "root", "band", "tile", "tiles", "after", "before", "label"))
+    parts = told.groupBy("root", "label").agg(F.count("*").alias("size"))
+    main = cut(parts.groupBy("root").agg(F.max(F.struct("size", "label"))["label"].alias("main"), F.sum("size").alias("n")))
+    marked = cut(spread_join(told, main, "root", n).withColumn("rest", F.col("label") != F.col("main")))
+    count = cut(marked.where("rest").groupBy("root", "band").agg(F.count("*").alias("left")).withColumn("own", F.ceil(F.col("left") / TILE).cast("long")))
+    # the rest's tiles in each band, the next and the one before; bands without a rest too
+    every = cut(_beside(plan.select("root", "band", "n").join(count.select("root", "band", "own"), ["root", "band"], "left").na.fill(0, ["own"]), "own").select("root", "band", "n", "own", F.col("after").alias("own_after"), F.col("before").alias("own_before")))
+    placed = spread_join(marked, every, ["root", "band"], n)
+    unit = lambda b1, j, b2, t, side: F.struct(F.xxhash64("root", b1, j, b2, t, F.lit(7)).alias("unit"), F.lit(side).alias("side"))
+    band, tile = F.col("band"), F.col("tile")
+    every_of = lambda c, use: F.transform(_upto(F.col(c)), use)
+    asked = F.concat(every_of("own", lambda j: unit(band, j, band, tile, 2)), every_of("own_after", lambda j: unit(band + 1, j, band, tile, 2)), every_of("own_before", lambda j: unit(band - 1, j, band, tile, 2)))
+    j = F.pmod(F.xxhash64("node", F.lit(2)), F.greatest("own", F.lit(1)))
+    asks = F.concat(every_of("tiles", lambda t: unit(band, j, band, t, 1)), every_of("after", lambda t: unit(band, j, band + 1, t, 1)), every_of("before", lambda t: unit(band, j, band - 1, t, 1)))
+    units = F.concat(asked, F.when(F.col("rest"), asks).otherwise(F.array().cast(_UNITS)))
+    return placed.select("node", "at", units.alias("units")).where(F.size("units") > 0)
 
 
 def maybe_in(df: DataFrame, keys: DataFrame, on: list[str], n: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -345,11 +391,14 @@ def _tiles(units: DataFrame, tasks: int, method: Method) -> DataFrame:
     """a, b: links within units of forms, whose sets are made here."""
 
     def compare(table: pa.Table) -> pa.Table:
+        if not len(table):
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
         table = table.sort_by([("unit", "ascending"), ("node", "ascending")])
         unit, node, side = (table[c].to_numpy() for c in ("unit", "node", "side"))
         fresh = np.append(True, (unit[1:] != unit[:-1]) | (node[1:] != node[:-1]))  # a text that is there twice gives its sets twice
         rows = np.flatnonzero(fresh)
-        unit, node, side = unit[rows], node[rows], side[rows]
+        low, high = np.minimum.reduceat(side, rows), np.maximum.reduceat(side, rows)
+        unit, node, side = unit[rows], node[rows], np.where(low == high, low, 0)  # a node on both sides meets all
         forms = table["form"].take(pa.array(rows))
         a, b = [], []
         firsts = np.flatnonzero(np.append(True, unit[1:] != unit[:-1]))
