@@ -44,7 +44,7 @@ from .toxicity import held_out
 #: The remainder of crc32(id) mod 5 that is held out, and one in how many training documents is dev.
 HELD_OUT, DEV_EVERY = 1, 20
 #: Tokens of a chunk, about; bytes of text whose n-grams make a range; the longest n-gram.
-CHUNK, RANGE, ORDER = 1_500_000, 4 << 20, 3
+CHUNK, RANGE, ORDER = 1_000_000, 4 << 20, 3
 #: Hashes of the end of a text and of its start; the start occurs as a context only.
 END, START = np.uint64(0x51ED270B0A1F39C1), np.uint64(0x8CB92BA72F3D8DD7)
 BUCKETS, STEPS = 64, 8
@@ -93,6 +93,7 @@ def _chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         for kind in (0, 1):
             if waiting[kind]:
                 yield flush(kind)
+        trim()
 
     schema = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("kind", T.IntegerType()), T.StructField("ids", T.ArrayType(id_type)), T.StructField("held", T.ArrayType(T.BooleanType())), T.StructField("sizes", T.BinaryType()), T.StructField("words", T.BinaryType()), T.StructField("at", T.BinaryType())])
     return slim.mapInArrow(read, schema)
@@ -155,6 +156,7 @@ def _reply(table: pa.Table) -> pa.Table:
     np.add.at(both, place, counts)
     ends = np.cumsum(sizes)
     parts = [(place[e - n : e], kind) for e, n, kind in zip(ends, sizes, kinds, strict=True)]
+    del keys, counts, of_dev
     group = table["group"][0].as_py()
     return pa.table({
         "group": pa.array([group] * (len(parts) + 1), pa.int32()), "chunk": pa.concat_arrays([pa.array(table["chunk"].to_numpy()), pa.array([-1], pa.int64())]),
@@ -166,20 +168,19 @@ def _reply(table: pa.Table) -> pa.Table:
 _REPLY = "group int, chunk long, kind int, seen long, seen_core long, all binary, core binary"
 
 
-def _estimates(row: dict, replies: pa.Table, ranges: int, bits: int, column: str, total: int, docs: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray, np.ndarray]:
-    """By order, for each token: the context's count, and the n-gram's share of it; c(w); the tokens' documents."""
+def _estimates(row: dict, replies: pa.Table, ranges: int, bits: int, column: str, total: int, docs: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """By order, for each token: the context's count, the n-gram's share of it, and its count."""
     words, at, sizes = _words(row)
     told: list[list[bytes]] = [[] for _ in range(ORDER)]
     for group, packed in sorted(zip(replies["group"].to_pylist(), replies[column].to_pylist(), strict=True)):
         told[group // ranges].append(packed)
-    out, first, before, single = [], np.cumsum(sizes) - sizes, np.full(len(at), float(total)), None
+    first, before = np.cumsum(sizes) - sizes, np.full(len(at), float(total))
     for packed, (_, place) in zip(told, _grams(words, at, sizes, bits), strict=True):
         own = np.concatenate([unpack(x, np.int64) for x in packed])[place].astype(np.float64)
-        single = own if single is None else single
-        out.append((before, np.divide(own, before, out=np.zeros(len(at)), where=before > 0)))
+        packed.clear()
+        yield before, np.divide(own, before, out=np.zeros(len(at)), where=before > 0), own
         before = np.append(0.0, own[:-1])  # the n-gram before is the context of the next order
         before[first] = docs
-    return out, single, np.repeat(np.arange(len(sizes)), sizes)
 
 
 def bucket(count: np.ndarray) -> np.ndarray:
@@ -187,13 +188,10 @@ def bucket(count: np.ndarray) -> np.ndarray:
     return np.minimum(BUCKETS - 1, np.where(count > 0, np.floor(np.log2(np.maximum(count, 1))) + 1, 0)).astype(np.int64)
 
 
-def mixed(estimates: list[tuple[np.ndarray, np.ndarray]], weights: list[np.ndarray], distinct: int) -> np.ndarray:
-    """P of the order that there are weights for."""
-    p = np.full(len(estimates[0][0]), 1 / (distinct + 1))
-    for (before, share), w in zip(estimates, weights, strict=False):
-        part = w[bucket(before)]
-        p = part * share + (1 - part) * p
-    return p
+def mix_in(p: np.ndarray, before: np.ndarray, share: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """P of an order from that of the order below."""
+    part = weights[bucket(before)]
+    return part * share + (1 - part) * p
 
 
 def em(at: np.ndarray, ratio: np.ndarray, n: np.ndarray, steps: int = 200) -> np.ndarray:
@@ -227,7 +225,7 @@ def model_and_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """The weights by order and bucket, and score()."""
     spark = docs.sparkSession
     bound_batches(spark)
-    ranges = min(1 << 20, 2 * max(partitions(spark), -(-input_bytes(docs) // RANGE)))
+    ranges = min(1 << 20, 4 * max(partitions(spark), -(-input_bytes(docs) // RANGE)))
     bits = _bits(docs)
     chunks = stash(_chunks(docs, id_col, text_col))
     replies = stash(_requests(chunks, ranges, bits).groupBy("group").applyInArrow(_reply, _REPLY))
@@ -248,9 +246,14 @@ def model_and_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         def cells(left: pa.Table, right: pa.Table) -> pa.Table:
             found = [np.zeros(0, np.int64)]
             for row in left.to_pylist():
-                estimates, _, _ = _estimates(row, right, ranges, bits, "core", core, core_docs)
-                found.append(_cells(*estimates[order], mixed(estimates, lower, distinct_core)))
+                p = 1 / (distinct_core + 1)
+                for k, (before, share, _) in enumerate(_estimates(row, right, ranges, bits, "core", core, core_docs)):
+                    if k == order:
+                        found.append(_cells(before, share, np.broadcast_to(p, len(before))))
+                        break
+                    p = mix_in(p, before, share, lower[k])
             cell, n = np.unique(np.concatenate(found), return_counts=True)
+            trim()
             return pa.table({"cell": cell, "n": n.astype(np.int64)})
 
         return cells
@@ -265,12 +268,16 @@ def model_and_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         for row, ids, held in zip(left.drop_columns(["ids", "held"]).to_pylist(), left["ids"].combine_chunks(), left["held"].combine_chunks(), strict=True):
-            estimates, c1, owner = _estimates(row, right, ranges, bits, "all", total, total_docs)
-            p = mixed(estimates, weights, distinct)
-            base = np.log10((c1 + 0.5) / (total + 0.5 * (distinct + 1)))
-            sizes = np.bincount(owner)
+            sizes = unpack(row["sizes"], np.uint32).astype(np.int64)
+            owner = np.repeat(np.arange(len(sizes)), sizes)
             by = lambda x: np.bincount(owner, x, len(sizes))  # noqa: B023, E731
-            out.append(pa.table({"id": ids.values, "held_out": held.values, "n_tokens": sizes, "n_known": by(c1 > 0).astype(np.int64), "train_tokens": np.full(len(sizes), total, np.int64), "base_score": by(base), "score": by(np.log10(p))}))
+            p = 1 / (distinct + 1)
+            for k, (before, share, own) in enumerate(_estimates(row, right, ranges, bits, "all", total, total_docs)):
+                if not k:
+                    known, base = by(own > 0).astype(np.int64), by(np.log10((own + 0.5) / (total + 0.5 * (distinct + 1))))
+                p = mix_in(p, before, share, weights[k])
+            out.append(pa.table({"id": ids.values, "held_out": held.values, "n_tokens": sizes, "n_known": known, "train_tokens": np.full(len(sizes), total, np.int64), "base_score": base, "score": by(np.log10(p))}))
+        trim()
         return pa.concat_tables(out).cast(arrow)
 
     from pyspark.sql.pandas.types import to_arrow_schema
