@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions.coerce import num, rnd
 from sparkloom.operators import align as al
-from sparkloom.operators import correlate, hypothesis, information, metrics, models, preprocess, profile, sampling, windows
+from sparkloom.operators import cluster, correlate, hypothesis, information, metrics, models, preprocess, profile, sampling, windows
 from sparkloom.plans import modules
 from sparkloom.session import cut, shared_folder
 from sparkloom.sinks import reports
@@ -338,6 +338,30 @@ def scipy_two_feature_ols(spark, sf):
     return found.select("feature_1", "feature_2", "label", *[rnd(F.col(c)).alias(c) for c in ("r_squared", "adjusted_r_squared", "f_statistic")], "samples")
 
 
+_NUMBERS = ["quantity", "discount", "tax"]
+
+
+@query(f"""with {D1_SQL}, m2 as ({_M[len('m as ('):-1]}), w as (select a.feature, a.n n1, b.n n2, a.m m1, b.m m2, a.v v1, b.v v2 from m2 a join m2 b on a.feature = b.feature and a.class < b.class),
+    m5 as ({_M[len('m as ('):-1].replace('linestatus', 'orderpriority')}), g as (select feature, sum(n * m) / sum(n) gm, sum(n) total, count(*) k from m5 group by 1)
+    select feature, label, 'pearson' test, pearson_correlation statistic, abs_correlation effect_size, samples from ({_corr_sql('d1', [(f, 'totalprice') for f in _NUMBERS])})
+    union all select feature, 'linestatus', 'welch_t', {R('(m1 - m2) / sqrt(v1 / n1 + v2 / n2)')}, {R('abs(m1 - m2) / sqrt((v1 + v2) / 2)')}, n1 + n2 from w
+    union all select feature, 'orderpriority', 'anova', {R('(sum(n * pow(m - gm, 2)) / (any_value(k) - 1)) / (sum((n - 1) * v) / (any_value(total) - any_value(k)))')}, null, any_value(total)::bigint from m5 join g using (feature) group by feature
+    union all select feature, label, 'chi2', chi2, cramers_v, samples from ({' union all '.join(_chi_sql('returnflag', y) for y in ('linestatus', 'orderpriority'))})""")
+def scipy_pairwise_statistics(spark, sf):
+    """Every pair gets the test that its columns' values call for; without the p-values, which SQL has no functions for."""
+    df, labels = d1(spark, sf), ["totalprice", "linestatus", "orderpriority"]
+    found = hypothesis.pairwise(df, profile.column_stats(df, [*_NUMBERS, "returnflag", *labels]), [*_NUMBERS, "returnflag"], labels)
+    return found.select("feature", "label", "test", "statistic", "effect_size", "samples")
+
+
+@query("""select note, count(*) as count from (select 'label_has_too_many_classes' note from documents having count(distinct doc_id) > 50 union all select 'label_has_less_than_2_classes' from documents having count(*) >= 20 union all select 'not_enough_samples' from documents having count(*) filter (doc_id <= 9) < 20
+    union all select 'not_enough_distinct_points_for_clusters' from documents having count(distinct lang) > 1) group by note""")
+def kmean_skip_reasons(spark, sf):
+    docs = _t(spark, sf, "documents").select("doc_id", "lang", F.lit(1).alias("one"), F.when(F.col("doc_id") <= 9, F.col("lang")).alias("few"), F.col("doc_id").cast("string").alias("many"), F.lit(2.0).alias("a"), F.lit(3.0).alias("b"))
+    assigned = cluster.pairs_by_labels(docs, ["a", "b"], ["lang", "one", "few", "many"], "doc_id", inits=1)
+    return cluster.skip_reasons(cluster.results(assigned))
+
+
 @query()
 def scipy_pairwise_tests(spark, sf):
     df = d1(spark, sf).withColumn("__rid", F.xxhash64(*D1_ORDER))
@@ -739,6 +763,9 @@ def _module_eda_sql() -> str:
 
 #: SQL of the modules that have some.
 _MODULE_SQL = {
+    "module_statistics_target_summary": f"with {_PAIR_SQL} select 'quality' as label, count(distinct quality) as \"unique\", count(*) - count(quality) missing from pr union all select 'toxic', count(distinct toxic), count(*) - count(toxic) from pr",
+    "module_statistics_label_distribution": f"with {_PAIR_SQL} select 'quality' as label, quality::varchar as value, count(*) as count from pr group by quality union all select 'toxic', toxic::varchar, count(*) from pr group by toxic",
+    "module_eda_missingness": f"select dataset, \"column\", missing, missing_pct, non_null, \"rows\" from ({_module_eda_sql()})",
     "module_statistics_feature_label_correlations": f"with {_PAIR_SQL} {_corr_sql('pr', [(f, y) for f in ('n_chars', 'length', 'words', 'lines') for y in ('quality', 'toxic')])}",
     "module_eda_columns_profile": _module_eda_sql(),
     "module_information_coefficient_feature_scores": f"with {D3_SQL}, {_ic_sql(_FOLDS, 'fold', 20)} select * from ({_SUMMARY}) where label = 'value'",
@@ -765,6 +792,7 @@ for _name, _relation, _data in (
     ("kmean", "kmean_results", _pair), ("kmeans_gpu", "kmean_results", _pair), ("information_coefficient", "feature_scores", _events), ("permutation_importance_ts", "feature_scores", _events), ("timeseries_importance", "feature_scores", _events),
     ("mutual_information", "feature_scores", _pair), ("mrmr", "feature_scores", _pair), ("stability_selection", "feature_scores", _pair), ("regularized_linear", "feature_scores", _pair), ("lightgbm", "feature_scores", _pair),
     ("feature_interactions", "feature_scores", _pair), ("regime_scoring", "feature_scores", _all_events), ("scipy", "pairwise", _pair), ("statistics", "feature_label_correlations", _pair), ("eda", "columns_profile", _pair),
+    ("statistics", "target_summary", _pair), ("statistics", "label_distribution", _pair), ("eda", "missingness", _pair),
 ):
     _module(_name, _relation, _data, _SETTINGS, **({"targets": ["value"]} if _name in ("permutation_importance_ts", "timeseries_importance") else {}))
 
