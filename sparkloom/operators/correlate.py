@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions.coerce import num, rnd, safe_corr
-from sparkloom.session import cut
+from sparkloom.session import cut, spread_join
 
 #: Pairs that one aggregate computes; more take further passes over the columns.
 WIDE = 400
@@ -67,10 +67,11 @@ def running_count(counts: DataFrame, group: list[str], order: str) -> DataFrame:
 
 
 def average_ranks(rows: DataFrame, group: list[str], column: str, out: str) -> DataFrame:
-    """Adds the average rank of ``column`` in its group (ties share the mean of their places)."""
+    """Adds the average rank of ``column`` in its group (ties share the mean of their places). Ranks of frequent values are broadcast."""
     counts = rows.groupBy(*group, column).agg(F.count(F.lit(1)).alias("n"))
-    ranks = running_count(counts, group, column).select(*group, column, (F.col("before") + (F.col("n") + 1) / 2).alias(out))
-    return rows.join(ranks, [*group, column])
+    ranks = cut(running_count(counts, group, column).select(*group, column, "n", (F.col("before") + (F.col("n") + 1) / 2).alias(out)))
+    total = ranks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return spread_join(rows, ranks, [*group, column], total)
 
 
 def spearman(pairs: DataFrame, group: list[str]) -> DataFrame:
@@ -85,6 +86,3 @@ def windowed_ranks(rows: DataFrame, group: list[str], column: str, out: str) ->
     same = Window.partitionBy(*group, column)
     return rows.withColumn(out, F.rank().over(w) + (F.count(F.lit(1)).over(same) - 1) / 2)
 
-
-def any_numeric(c: Column) -> Column:
-    return F.count(c) > 0

@@ -56,8 +56,10 @@ def cluster_labels(df: DataFrame, cluster: Column, label: Column, group: list[st
     return counts.join(totals, [*group, "cluster"]).select(*group, "cluster", "label_value", "count", rnd(F.col("count") * 100.0 / F.col("held")).alias("cluster_pct"))
 
 
-def silhouette(df: DataFrame, rid: str, coordinates: list[str], cluster: str) -> DataFrame:
-    """silhouette (euclidean) of a bounded sample: the caller limits the rows; null with one cluster, or as many as rows."""
+def silhouette(df: DataFrame, rid: str, coordinates: list[str], cluster: str, most: int = 20_000) -> DataFrame:
+    """silhouette (euclidean) of a bounded sample, over all its pairs; null with one cluster, or as many as rows. More than ``most`` rows raise ValueError."""
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"the silhouette of more than {most} rows needs a sample")
     row = F.struct(rid, cluster, *coordinates)
     points = df.select(row.alias("a"))
     far = F.sqrt(sum((F.pow(F.col(f"a.{c}") - F.col(f"b.{c}"), 2) for c in coordinates), F.lit(0.0)))

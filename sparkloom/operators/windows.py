@@ -123,6 +123,7 @@ def bucket(x: Column, edges: list[float]) -> Column:
 
 def label_quantile_means(df: DataFrame, label: str, features: list[str], digits: int = 6) -> DataFrame:
     """label, bucket, lo, hi, feature, mean: feature means by quantile bucket (up to four) of a numeric label."""
+    df = cut(df.select(f"`{label}`", *[f"`{f}`" for f in dict.fromkeys(features) if f != label]))  # read four times
     y = num(df, label)
     distinct = df.agg(F.count_distinct(y)).first()[0]
     edges = quantile_edges(df, label, min(4, distinct)) if distinct else []
