@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -12,6 +13,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from sparkloom.session import HOT_SHARE, spread_join
+
 #: Rows and bytes that one Arrow batch may hold, so that very long texts can't fill a worker.
 BATCH_ROWS, BATCH_BYTES = 1000, "8m"
 
@@ -75,18 +78,6 @@ def input_bytes(df: DataFrame) -> int:
     return n if n < 1 << 50 else 0
 
 
-#: Keys that hold over 1 / HOT_SHARE of all rows are broadcast: fewer than HOT_SHARE rows.
-HOT_SHARE = 1000
-
-
-def spread_join(rows: DataFrame, by_key: DataFrame, key: str | list[str], total: int, how: str = "inner") -> DataFrame:
-    """rows joined with by_key, a stored table of one row a key, whose column n says how many of the ``total`` rows have it. Frequent keys are joined where the rows are, so none waits for one task. Column n goes."""
-    hot = by_key.where(F.col("n") * HOT_SHARE > total).drop("n")
-    near = rows.join(F.broadcast(hot.withColumn("__hot", F.lit(True))), key, "left")
-    rest = near.where("__hot is null").select(*rows.columns).join(by_key.where(F.col("n") * HOT_SHARE <= total).drop("n"), key, how)
-    return near.where("__hot").drop("__hot").unionByName(rest)
-
-
 def stash(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it again; the files go when the JVM ends."""
     spark = df.sparkSession
@@ -126,6 +117,12 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def release(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle files that nothing refers to any more: it does once the driver's garbage is collected, which else may be much later."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def trim() -> None:
     """Give freed memory of a worker back: workers live on between tasks, beside those of other stages."""
     import ctypes
@@ -234,3 +231,6 @@ def pack(values: np.ndarray) -> bytes:
 def unpack(data: bytes, dtype) -> np.ndarray:
     size = np.dtype(dtype).itemsize
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(dtype).ravel()
+
+
+__all__ = ["HOT_SHARE", "spread_join"]

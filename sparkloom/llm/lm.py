@@ -38,13 +38,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_batches, input_bytes, mix, pack, partitions, stash, text_buffer, trim, unpack, word_hashes
+from .common import bound_batches, input_bytes, mix, pack, partitions, release, stash, text_buffer, trim, unpack, word_hashes
 from .toxicity import held_out
 
 #: The remainder of crc32(id) mod 5 that is held out, and one in how many training documents is dev.
 HELD_OUT, DEV_EVERY = 1, 20
 #: Tokens of a chunk, about; bytes of text whose n-grams make a range; the longest n-gram.
-CHUNK, RANGE, ORDER = 1_000_000, 4 << 20, 3
+CHUNK, RANGE, ORDER = 500_000, 4 << 20, 3
 #: Hashes of the end of a text and of its start; the start occurs as a context only.
 END, START = np.uint64(0x51ED270B0A1F39C1), np.uint64(0x8CB92BA72F3D8DD7)
 BUCKETS, STEPS = 64, 8
@@ -118,7 +118,7 @@ def _grams(words: np.ndarray, at: np.ndarray, sizes: np.ndarray, bits: int) -> I
 
 
 def _bits(docs: DataFrame) -> int:
-    return min(64, 24 + max(24, input_bytes(docs).bit_length()))
+    return min(64, 20 + max(24, input_bytes(docs).bit_length()))
 
 
 def _requests(chunks: DataFrame, ranges: int, bits: int) -> DataFrame:
@@ -229,6 +229,7 @@ def model_and_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bits = _bits(docs)
     chunks = stash(_chunks(docs, id_col, text_col))
     replies = stash(_requests(chunks, ranges, bits).groupBy("group").applyInArrow(_reply, _REPLY))
+    release(spark)  # the requests have been answered
     seen = replies.where(f"chunk = -1 and group < {ranges}").agg(F.sum("seen"), F.sum("seen_core")).first()
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
