@@ -67,9 +67,11 @@ def cut(df: DataFrame) -> DataFrame:
 
 def counted(df: DataFrame, what: Column | None = None) -> tuple[DataFrame, int]:
     """cut(df), and its number of rows, or another sum over them, taken as it is written."""
-    seen = Observation()
-    out = cut(df.observe(seen, (F.count(F.lit(1)) if what is None else what).alias("n")))
-    return out, int(seen.get["n"] or 0)
+    what, seen = F.count(F.lit(1)) if what is None else what, Observation()
+    out = cut(df.observe(seen, what.alias("n")))
+    found = seen.get
+    n = found["n"] if "n" in found else out.agg(what).first()[0]
+    return out, int(n or 0)
 
 
 def input_bytes(df: DataFrame) -> int:
@@ -79,7 +81,7 @@ def input_bytes(df: DataFrame) -> int:
 
 
 def stash(df: DataFrame) -> DataFrame:
-    """Write a table to the shared folder and read it again; the files go when the JVM ends."""
+    """Write a table to the shared folder and read it again; the files go when the JVM ends. Unlike a checkpoint it forgets what the plan thought of its size, which joins of joins multiply."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/stash-{uuid.uuid4().hex}"
     df.write.parquet(path)
@@ -88,6 +90,18 @@ def stash(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, keep: int, last: int) -> None:
+    """Of the paths that stash() has written from number ``keep`` on, delete all but the ``last`` ones."""
+    for path in _stashes[keep : len(_stashes) - last]:
+        delete(spark, path)
+    del _stashes[keep : len(_stashes) - last]
+
+
+def stashed() -> int:
+    """How many paths stash() has written since the last sweep()."""
+    return len(_stashes)
+
+
 #: Paths of stash() since the last sweep().
 _stashes: list[str] = []
 

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import HOT_SHARE, bound_batches, counted, cut, input_bytes, mix, pack, partitions, spread_join, stash, text_buffer, trim, unpack
+from .common import HOT_SHARE, bound_batches, counted, cut, discard, input_bytes, mix, pack, partitions, spread_join, stash, stashed, text_buffer, trim, unpack
 from .unit_cache import blocks
 
 #: Members of a tile, those of a band that all its tiles meet, words of a bitmap, keys that a task gathers before it sends them, hashes in a task of tiles.
@@ -119,17 +119,18 @@ def components(edges: DataFrame) -> DataFrame:
     stars, n = counted(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v"))
     if n <= ONE_TASK:
         return stars.coalesce(1).mapInArrow(_connect, "node long, root long")
-    stars, state = cut(stars.distinct()), None
+    kept, stars, state = stashed(), stash(stars.distinct()), None
     while True:
         told = stars.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
         if (told.n, told.x) == state:
             return stars.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(stars.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         state = (told.n, told.x)
-        least = cut(stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v"))).groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select(F.col("u").alias("v"), F.least("u", "m").alias("m"), "n"))
-        large = cut(spread_join(stars, least, "v", 2 * told.n).select("u", F.col("m").alias("v")).where("u <> v").distinct())
-        least = cut(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+        least = stash(stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v"))).groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select(F.col("u").alias("v"), F.least("u", "m").alias("m"), "n"))
+        large = stash(spread_join(stars, least, "v", 2 * told.n).select("u", F.col("m").alias("v")).where("u <> v").distinct())
+        least = stash(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
         small = spread_join(large, least, "u", told.n)
-        stars = cut(small.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct())
+        stars = stash(small.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct())
+        discard(stars.sparkSession, kept, 1)
 
 
 def _connect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
