@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 import uuid
 import zipfile
 from pathlib import Path
@@ -133,8 +134,10 @@ def partitions(spark: SparkSession) -> int:
 
 def release(spark: SparkSession) -> None:
     """Have Spark delete the shuffle files that nothing refers to any more: it does once the driver's garbage is collected, which else may be much later."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(3):  # Python lets go of its handles first, then the JVM of what they held
+        gc.collect()
+        time.sleep(0.3)
+        spark.sparkContext._jvm.System.gc()
 
 
 def trim() -> None:

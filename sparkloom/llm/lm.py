@@ -19,7 +19,7 @@ chunk's own counts, cut into ranges of the hash space, of which there are as man
 input asks for. A range adds up all chunks and replies to each in the order of its request, so the
 replies of a chunk, end to end, align with its sorted hashes. A frequent word is one entry a chunk, so
 no key weighs more than another. Counts are 64 bits wide. Words are known by 64-bit hashes, longer
-n-grams by so many bits that one n-gram in 2^20 or less is taken for another at any size of input (64 bits at most).
+n-grams by so many bits (64 at most) that one in about 2^17 is taken for another, at any size of input.
 
 Defined results: null text counts as empty and is its end token alone; null ids belong to the training
 documents; repeated rows are counted and scored as rows of their own; there are no ties to break; a very
@@ -118,7 +118,7 @@ def _grams(words: np.ndarray, at: np.ndarray, sizes: np.ndarray, bits: int) -> I
 
 
 def _bits(docs: DataFrame) -> int:
-    return min(64, 20 + max(24, input_bytes(docs).bit_length()))
+    return min(64, 15 + max(24, input_bytes(docs).bit_length()))
 
 
 def _requests(chunks: DataFrame, ranges: int, bits: int) -> DataFrame:
