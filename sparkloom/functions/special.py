@@ -75,6 +75,22 @@ def norm_sf(z: float) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2))
 
 
+def mann_whitney_two_sided(u: float, n1: int, n2: int) -> float:
+    """P of a U at least so far from its mean, without ties: the ways to reach each U are the coefficients of a Gaussian binomial."""
+    small, large = sorted((n1, n2))
+    ways = [1]
+    for k in range(1, small + 1):  # times (1 - q^(large + k)) / (1 - q^k)
+        size = len(ways) + large
+        out = ways + [0] * (size - len(ways))
+        for i in range(size - 1, large + k - 1, -1):
+            out[i] -= out[i - large - k]
+        for i in range(k, size):
+            out[i] += out[i - k]
+        ways = out
+    least = math.ceil(max(u, n1 * n2 - u) - 1e-9)
+    return min(1.0, 2 * sum(ways[least:]) / sum(ways))
+
+
 def t_ppf(p: float, dof: float) -> float:
     """Quantile by bisection on the two-sided tail."""
     if p < 0.5:

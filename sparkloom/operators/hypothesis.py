@@ -16,6 +16,13 @@ PAIRWISE = "feature string, label string, test string, statistic double, p_value
 TWO_FEATURE = "feature_1 string, feature_2 string, label string, test string, r_squared double, adjusted_r_squared double, f_statistic double, p_value double, samples long, note string"
 
 
+# Names of the tests and of their effects.
+PEARSON, WELCH, ANOVA, CHI2, OLS_F = "pearsonr", "welch_ttest", "one_way_anova", "chi2_contingency", "scipy_lstsq_ols_f_test"
+ABS_R, ABS_D, NO_EFFECT, CRAMERS_V = "abs_pearson_r", "abs_cohens_d", "not_computed", "cramers_v"
+#: With a group of so many rows at most and no ties, the law of U is exact.
+EXACT_ROWS = 8
+
+
 def route(f: ColumnStats, y: ColumnStats) -> str | None:
     """Which test a pair gets, by the columns' values."""
     if f.all_numeric and y.all_numeric:
@@ -72,14 +79,21 @@ def rank_sums(df: DataFrame, features: list[str], label: str, order: list[str] |
 
 
 def mann_whitney(sums: DataFrame) -> DataFrame:
-    """feature, u, z, samples: U of the first class; z by the normal approximation with ties and continuity."""
+    """feature, u, z, samples, n1, n2, ties: U of the first class; z by the normal approximation with ties and continuity."""
     placed = sums.withColumn("k", F.row_number().over(Window.partitionBy("feature").orderBy("first", "class")))
     a = placed.where("k = 1").select("feature", F.col("n").alias("n1"), F.col("rank_sum").alias("r1"), "total", "ties")
     both = a.join(placed.where("k = 2").select("feature", F.col("n").alias("n2")), "feature")
     n1, n2, total = (F.col(c).cast("double") for c in ("n1", "n2", "total"))
     u = F.col("r1") - n1 * (n1 + 1) / 2
     spread = F.sqrt(n1 * n2 / 12 * ((total + 1) - F.try_divide(F.col("ties"), total * (total - 1))))
-    return both.select("feature", u.alias("u"), F.try_divide(F.greatest(u, n1 * n2 - u) - n1 * n2 / 2 - 0.5, spread).alias("z"), F.col("total").alias("samples"))
+    return both.select("feature", u.alias("u"), F.try_divide(F.greatest(u, n1 * n2 - u) - n1 * n2 / 2 - 0.5, spread).alias("z"), F.col("total").alias("samples"), "n1", "n2", "ties")
+
+
+def mann_whitney_p(u: float, z: float | None, n1: int, n2: int, ties: float) -> float | None:
+    """Two-sided: exact for a small group without ties, else by z."""
+    if min(n1, n2) <= EXACT_ROWS and not ties:
+        return special.mann_whitney_two_sided(u, n1, n2)
+    return None if z is None else min(1.0, 2 * special.norm_sf(z))
 
 
 def kruskal(sums: DataFrame) -> DataFrame:
@@ -153,7 +167,7 @@ def pairwise(df: DataFrame, stats: dict[str, ColumnStats], features: list[str],
             dof = r.samples - 2
             p = lambda v: special.t_two_sided(v * math.sqrt(dof / (1 - v * v)) if abs(v) < 1 else math.inf, dof)  # noqa: B023, E731
             s = rho.get((r.feature, r.label))
-            out.append((r.feature, r.label, "pearson", _round(r.r), _round(p(r.r)), _round(abs(r.r)), "abs_correlation", r.samples, "numeric", "numeric", f"spearman_r={_round(s)}, spearman_p={_round(p(s)) if s is not None else None}"))
+            out.append((r.feature, r.label, PEARSON, _round(r.r), _round(p(r.r)), _round(abs(r.r)), ABS_R, r.samples, "numeric", "numeric", f"spearman_r={_round(s)}, spearman_p={_round(p(s)) if s is not None else None}"))
     for y in labels:
         both = [f for f in features if kinds[f, y] == "two_groups"]
         if both:
@@ -161,8 +175,8 @@ def pairwise(df: DataFrame, stats: dict[str, ColumnStats], features: list[str],
             u = {r.feature: r for r in mann_whitney(rank_sums(df, both, y, order)).collect()}
             for r in welch:
                 m = u.get(r.feature)
-                note = f"mannwhitney_u={_round(m.u)}, mannwhitney_p={_round(min(1.0, 2 * special.norm_sf(m.z)))}" if m and m.z is not None else ""
-                out.append((r.feature, y, "welch_t", _round(r.t), _round(special.t_two_sided(r.t, r.dof)), _round(r.cohens_d), "cohens_d", r.samples, "numeric", "binary", note))
+                note = f"mannwhitney_u={_round(m.u)}, mannwhitney_p={_round(mann_whitney_p(m.u, m.z, m.n1, m.n2, m.ties))}" if m else ""
+                out.append((r.feature, y, WELCH, _round(r.t), _round(special.t_two_sided(r.t, r.dof)), _round(r.cohens_d), ABS_D, r.samples, "numeric", "binary", note))
         many = [f for f in features if kinds[f, y] == "groups"]
         if many:
             rows = anova(group_moments(df, many, y, order)).collect()
@@ -170,11 +184,11 @@ def pairwise(df: DataFrame, stats: dict[str, ColumnStats], features: list[str],
             for r in rows:
                 k = h.get(r.feature)
                 note = f"kruskal_h={_round(k.h)}, kruskal_p={_round(special.chi2_sf(k.h, k.groups - 1))}" if k and k.h is not None else ""
-                out.append((r.feature, y, "anova", _round(r.f), _round(special.f_sf(r.f, r.groups - 1, r.samples - r.groups)), None, "not_computed", k.samples if k else r.samples, "numeric", "categorical", note))
+                out.append((r.feature, y, ANOVA, _round(r.f), _round(special.f_sf(r.f, r.groups - 1, r.samples - r.groups)), None, NO_EFFECT, k.samples if k else r.samples, "numeric", "categorical", note))
     chi = [p for p, k in kinds.items() if k == "chi2"]
     if chi:
         for r in chi_square(contingency(df, chi)).where("samples >= 3").collect():
-            out.append((r.feature, r.label, "chi2", _round(r.chi2), _round(special.chi2_sf(r.chi2, r.dof)), _round(r.cramers_v), "cramers_v", r.samples, "categorical", "categorical", f"dof={r.dof}"))
+            out.append((r.feature, r.label, CHI2, _round(r.chi2), _round(special.chi2_sf(r.chi2, r.dof)), _round(r.cramers_v), CRAMERS_V, r.samples, "categorical", "categorical", f"dof={r.dof}"))
     return spark.createDataFrame(out, PAIRWISE).orderBy(F.asc_nulls_last("p_value"), F.desc_nulls_last("effect_size"), F.desc("samples"), "feature", "label")
 
 
@@ -184,7 +198,7 @@ def two_feature(df: DataFrame, stats: dict[str, ColumnStats], features: list[str
     numeric = [f for f in features if stats[f].all_numeric]
     ys = [y for y in labels if stats[y].all_numeric]
     rows = two_regressors(df, *numeric, ys).collect() if len(numeric) == 2 and ys else []
-    out = [(r.feature_1, r.feature_2, r.label, "ols_f", _round(r.r_squared), _round(r.adjusted_r_squared), _round(r.f_statistic), _round(special.f_sf(r.f_statistic, 2, r.samples - 3)) if r.f_statistic is not None else 0.0, r.samples, "") for r in rows]
+    out = [(r.feature_1, r.feature_2, r.label, OLS_F, _round(r.r_squared), _round(r.adjusted_r_squared), _round(r.f_statistic), _round(special.f_sf(r.f_statistic, 2, r.samples - 3)) if r.f_statistic is not None else 0.0, r.samples, "") for r in rows]
     return spark.createDataFrame(out, TWO_FEATURE).orderBy(F.asc_nulls_last("p_value"), F.desc_nulls_last("r_squared"), "label")
 
 

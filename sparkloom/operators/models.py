@@ -22,6 +22,8 @@ from sparkloom.session import cut
 #: Rows that a method reads at most, classes, and sizes of ensembles. Ensembles can be made smaller by options.
 CAPS = {"sklearn": 20_000, "xgboost": 20_000, "shap": 10_000, "boruta": 10_000, "statsmodels": 50_000, "kmean": 50_000, "kmeans_gpu": 50_000}
 MAX_CLASSES, LEAST_ROWS, OLS_FEATURES, SEED = 50, 30, 25, 42
+# Fixed value: what results of least squares say.
+OLS_NOTE = "Numeric labels only; top features selected by absolute Pearson correlation before OLS."
 SCORES = "label string, task string, model string, samples long, features long, score_primary double, score_primary_name string, mae double, rmse double, accuracy double, balanced_accuracy double, f1_weighted double, note string"
 
 
@@ -196,7 +198,7 @@ def _fit_ols(label: str, use: list[str], n: int, means: np.ndarray, gram: np.nda
     sigma2 = rss / dof
     f = (r2 / k) / ((1 - r2) / dof) if r2 < 1 else math.inf
     fit = n * math.log(2 * math.pi * rss / n) + n if rss > 0 else -math.inf
-    scores.append((label, "ols", n, len(use), _round(r2), _round(1 - (1 - r2) * (n - 1) / dof), _round(f), _round(special.f_sf(f, k, dof)), _round(fit + 2 * (k + 1)), _round(fit + (k + 1) * math.log(n)), ""))
+    scores.append((label, "OLS", n, len(use), _round(r2), _round(1 - (1 - r2) * (n - 1) / dof), _round(f), _round(special.f_sf(f, k, dof)), _round(fit + 2 * (k + 1)), _round(fit + (k + 1) * math.log(n)), OLS_NOTE))
     quantile = special.t_ppf(0.975, dof)
     errors = np.sqrt(np.maximum(sigma2 * np.diag(inverse), 0))
     for name, b, e in zip(["const", *use], beta, errors, strict=True):
@@ -292,7 +294,7 @@ def split_importance(df: DataFrame, features: list[str], labels: list[str], rid:
         if held.df is None:
             continue
         model = forest(held.task, options.trees, options.seed).fit(held.df)
-        out += [(f, y, "split_importance", float(v), "split", "spark_random_forest", held.rows) for f, v in zip(use, importances(model, len(use)), strict=True)]
+        out += [(f, y, "gbm_importance", float(v), "split", "spark_random_forest", held.rows) for f, v in zip(use, importances(model, len(use)), strict=True)]
     return sorted(out, key=lambda r: (-r[3], r[0], r[1]))
 
 

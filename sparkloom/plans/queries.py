@@ -343,10 +343,10 @@ _NUMBERS = ["quantity", "discount", "tax"]
 
 @query(f"""with {D1_SQL}, m2 as ({_M[len('m as ('):-1]}), w as (select a.feature, a.n n1, b.n n2, a.m m1, b.m m2, a.v v1, b.v v2 from m2 a join m2 b on a.feature = b.feature and a.class < b.class),
     m5 as ({_M[len('m as ('):-1].replace('linestatus', 'orderpriority')}), g as (select feature, sum(n * m) / sum(n) gm, sum(n) total, count(*) k from m5 group by 1)
-    select feature, label, 'pearson' test, pearson_correlation statistic, abs_correlation effect_size, samples from ({_corr_sql('d1', [(f, 'totalprice') for f in _NUMBERS])})
-    union all select feature, 'linestatus', 'welch_t', {R('(m1 - m2) / sqrt(v1 / n1 + v2 / n2)')}, {R('abs(m1 - m2) / sqrt((v1 + v2) / 2)')}, n1 + n2 from w
-    union all select feature, 'orderpriority', 'anova', {R('(sum(n * pow(m - gm, 2)) / (any_value(k) - 1)) / (sum((n - 1) * v) / (any_value(total) - any_value(k)))')}, null, any_value(total)::bigint from m5 join g using (feature) group by feature
-    union all select feature, label, 'chi2', chi2, cramers_v, samples from ({' union all '.join(_chi_sql('returnflag', y) for y in ('linestatus', 'orderpriority'))})""")
+    select feature, label, 'pearsonr' test, pearson_correlation statistic, abs_correlation effect_size, samples from ({_corr_sql('d1', [(f, 'totalprice') for f in _NUMBERS])})
+    union all select feature, 'linestatus', 'welch_ttest', {R('(m1 - m2) / sqrt(v1 / n1 + v2 / n2)')}, {R('abs(m1 - m2) / sqrt((v1 + v2) / 2)')}, n1 + n2 from w
+    union all select feature, 'orderpriority', 'one_way_anova', {R('(sum(n * pow(m - gm, 2)) / (any_value(k) - 1)) / (sum((n - 1) * v) / (any_value(total) - any_value(k)))')}, null, any_value(total)::bigint from m5 join g using (feature) group by feature
+    union all select feature, label, 'chi2_contingency', chi2, cramers_v, samples from ({' union all '.join(_chi_sql('returnflag', y) for y in ('linestatus', 'orderpriority'))})""")
 def scipy_pairwise_statistics(spark, sf):
     """Every pair gets the test that its columns' values call for; without the p-values, which SQL has no functions for."""
     df, labels = d1(spark, sf), ["totalprice", "linestatus", "orderpriority"]

@@ -122,7 +122,7 @@ def test_hypothesis_dispatch(spark):
     df = spark.createDataFrame(rows, "__rid long, x double, e double, two string, three string, y double")
     stats = profile.column_stats(df, df.columns)
     got = {(r.feature, r.label): r.test for r in hypothesis.pairwise(df, stats, ["x", "e", "two"], ["y", "two", "three"], ["__rid"]).collect() if r.feature != r.label}
-    assert got == {("x", "y"): "pearson", ("e", "y"): "pearson", ("x", "two"): "welch_t", ("e", "two"): "welch_t", ("x", "three"): "anova", ("e", "three"): "anova", ("two", "three"): "chi2"}
+    assert got == {("x", "y"): "pearsonr", ("e", "y"): "pearsonr", ("x", "two"): "welch_ttest", ("e", "two"): "welch_ttest", ("x", "three"): "one_way_anova", ("e", "three"): "one_way_anova", ("two", "three"): "chi2_contingency"}
     assert hypothesis.two_feature(df, profile.column_stats(df, ["x", "e", "y"]), ["x", "e"], ["y"]).count() == 1
 
 
@@ -320,3 +320,16 @@ def test_next_by_blocks(spark):
     df = spark.range(25).select(F.col("id").alias("pos"), (F.col("id") * 3).alias("v"))
     found = {r.pos: r.n for r in windows.next_by_blocks(df, "v", "n", 10).collect()}
     assert found == {i: (i + 1) * 3 if i < 24 else None for i in range(25)}
+
+
+def test_exact_mann_whitney_against_all_orders(spark):
+    import itertools
+
+    for n1, n2 in ((2, 3), (4, 5), (3, 1)):
+        us = [sum(p) - n1 * (n1 + 1) / 2 for p in itertools.combinations(range(1, n1 + n2 + 1), n1)]
+        for u in range(n1 * n2 + 1):
+            far = max(u, n1 * n2 - u)
+            assert special.mann_whitney_two_sided(u, n1, n2) == pytest.approx(min(1, 2 * sum(x >= far for x in us) / len(us)))
+    df = spark.createDataFrame([(i, float(v), "a" if i < 4 else "b") for i, v in enumerate([1, 2, 3, 5, 4, 6, 7, 8, 9])], "rid int, x double, y string")
+    row = hypothesis.pairwise(df, profile.column_stats(df, ["x", "y"]), ["x"], ["y"], ["rid"]).first()
+    assert "mannwhitney_u=1.0, mannwhitney_p=0.031746" in row.note
