@@ -18,7 +18,7 @@ def medians(df: DataFrame, names: list[str], where: Column | None = None) -> dic
     if not names:
         return {}
     rows = (df if where is None else df.where(where)).select(*[num(df, c).alias(c) for c in names])
-    found = {r["column"]: r["q0"] for r in profile.quantiles(profile.value_table(rows, names), [0.5]).collect()}  # a row a column
+    found = {r["column"]: r["q0"] for r in profile.quantiles(profile.number_table(rows, names), [0.5]).collect()}  # a row a column
     return {c: found.get(c, 0.0) for c in names}
 
 

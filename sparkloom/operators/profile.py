@@ -41,14 +41,25 @@ def value(df: DataFrame, name: str) -> Column:
     return F.when(~F.isnan(c), c) if df.schema[name].dataType.simpleString() in ("double", "float") else c
 
 
+def _cells(df: DataFrame, names: Iterable[str], cell) -> DataFrame:
+    return df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), *cell(c)) for c in names])).alias("c")).select("c.*")
+
+
 def value_table(df: DataFrame, names: Iterable[str]) -> DataFrame:
-    """column, value (string), x (the number it stands for, if it does), n: a row a different value, missing ones left out."""
-    cells = []
-    for c in names:
-        v = value(df, c)
-        plain = v + F.lit(0.0) if df.schema[c].dataType.simpleString() in ("double", "float") else v  # -0.0 is 0.0
-        cells.append(F.struct(F.lit(c).alias("column"), plain.cast("string").alias("value"), num(df, c).alias("x")))
-    return df.select(F.explode(F.array(*cells)).alias("c")).select("c.*").where("value is not null").groupBy("column", "value", "x").agg(F.count(F.lit(1)).alias("n"))
+    """column, value (string; null for finite doubles), x (the number it stands for, if it does), n: a row a different value, missing ones left out."""
+
+    def cell(c: str) -> list[Column]:
+        v, x = value(df, c), num(df, c)
+        if df.schema[c].dataType.simpleString() in ("double", "float"):
+            return [F.when(x.isNull(), v.cast("string")).alias("value"), (x + F.lit(0.0)).alias("x")]  # -0.0 is 0.0
+        return [v.cast("string").alias("value"), x.alias("x")]
+
+    return _cells(df, names, cell).where("value is not null or x is not null").groupBy("column", "value", "x").agg(F.count(F.lit(1)).alias("n"))
+
+
+def number_table(df: DataFrame, names: Iterable[str]) -> DataFrame:
+    """column, x, n: a row a different number."""
+    return _cells(df, names, lambda c: [(num(df, c) + F.lit(0.0)).alias("x")]).where("x is not null").groupBy("column", "x").agg(F.count(F.lit(1)).alias("n"))
 
 
 def distinct_counts(values: DataFrame) -> DataFrame:
@@ -57,9 +68,9 @@ def distinct_counts(values: DataFrame) -> DataFrame:
     return by_number.groupBy("column").agg(F.sum("d").alias("distinct"), F.count("x").alias("numeric_distinct"))
 
 
-def quantiles(values: DataFrame, at: list[float]) -> DataFrame:
-    """column, q0, q1, ...: exact linear quantiles of the numbers of a value_table()."""
-    counts = values.where("x is not null").groupBy("column", "x").agg(F.sum("n").alias("n"))
+def quantiles(counts: DataFrame, at: list[float]) -> DataFrame:
+    """column, q0, q1, ...: exact linear quantiles of a number_table()."""
+    counts = cut(counts)
     placed = running_count(counts, ["column"], "x")
     total = counts.groupBy("column").agg(F.sum("n").alias("total"))
     rows = placed.join(F.broadcast(total), "column")  # a row a column
@@ -163,7 +174,7 @@ def feature_profile(df: DataFrame, names: Iterable[str] | None = None) -> DataFr
         parts.append(([n, n - k, rnd(F.try_divide((n - k) * 100.0, n)), rnd(F.avg(x)), rnd(F.stddev_samp(x)), rnd(F.min(x)), rnd(F.max(x))], [F.lit(c), F.lit(dtype_name(df, c))]))
     told = _stacked(df, parts, ["column", "dtype", "rows", "missing", "missing_pct", "mean", "std", "min", "max"])
     values = cut(value_table(df, names))
-    joined = told.join(F.broadcast(distinct_counts(values)), "column", "left").join(F.broadcast(quantiles(values, [0.5])), "column", "left")  # a row a column
+    joined = told.join(F.broadcast(distinct_counts(values)), "column", "left").join(F.broadcast(quantiles(values.where("x is not null").groupBy("column", "x").agg(F.sum("n").alias("n")), [0.5])), "column", "left")  # a row a column
     return joined.select("column", "dtype", "rows", "missing", "missing_pct", F.coalesce("distinct", F.lit(0)).cast("long").alias("unique"), "mean", "std", "min", rnd(F.col("q0")).alias("median"), "max")
 
 
@@ -209,7 +220,7 @@ def numeric_summary(df: DataFrame, dataset: str, names: Iterable[str], digits: i
     if not names:
         return _stacked(df, [], shown)
     told = _stacked(df, parts, ["dataset", "column", "count", "mean", "std", "min", "max", "skew", "kurtosis"])
-    found = quantiles(value_table(df, names), [0.25, 0.5, 0.75]).select("column", *[rnd(F.col(f"q{i}"), digits).alias(n) for i, n in enumerate(("q25", "median", "q75"))])
+    found = quantiles(number_table(df, names), [0.25, 0.5, 0.75]).select("column", *[rnd(F.col(f"q{i}"), digits).alias(n) for i, n in enumerate(("q25", "median", "q75"))])
     return told.join(F.broadcast(found), "column", "left").select(*shown)  # a row a column
 
 

@@ -291,7 +291,7 @@ def test_quantiles_and_distinct_counts(spark):
     values = profile.value_table(df, ["a", "b", "c"])
     a = np.array([v[0] for v in data if v[0] is not None and v[0] == v[0]])
     b = np.array([float(v[1]) for v in data if v[1] not in (None, "x", "")])
-    found = {r["column"]: r for r in profile.quantiles(values, [0, 0.25, 0.5, 0.9, 1]).collect()}
+    found = {r["column"]: r for r in profile.quantiles(profile.number_table(df, ["a", "b", "c"]), [0, 0.25, 0.5, 0.9, 1]).collect()}
     for name, x in (("a", a), ("b", b)):
         assert [found[name][f"q{i}"] for i in range(5)] == pytest.approx(np.quantile(x, [0, 0.25, 0.5, 0.9, 1]).tolist())
     counts = {r["column"]: (r["distinct"], r["numeric_distinct"]) for r in profile.distinct_counts(values).collect()}
