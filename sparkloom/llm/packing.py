@@ -54,16 +54,25 @@ def _words(path: str) -> UnitCache:
     merge, table = tokenizer.model.tokenize, dict(enumerate(byte_characters()))
     parts: dict[str, list[int]] = {}
 
+    plain, known = _PLAIN.fullmatch, parts.get
+
     def ids(part: str) -> list[int]:
-        if (found := parts.get(part)) is None:
-            parts[part] = found = [x.id for x in merge(part.encode().decode("latin-1").translate(table))]
+        parts[part] = found = [x.id for x in merge(part.encode().decode("latin-1").translate(table))]
         return found
 
     def many(words: list[bytes]) -> list[list[int]]:
         if len(parts) > 300_000:
             parts.clear()
         texts = [w.decode("utf-8", "replace") for w in words]
-        out = [(ids(m[1].lower()) + ids(m[2]) if m[2] else ids(m[1].lower())) if (m := _PLAIN.fullmatch(x)) else None for x in texts]
+        out: list[list[int] | None] = []
+        for x in texts:
+            if (m := plain(x)) is None:
+                out.append(None)
+                continue
+            letters, signs = m.groups()
+            letters = letters.lower()
+            found = known(letters) or ids(letters)
+            out.append(found + (known(signs) or ids(signs)) if signs else found)
         rest = [k for k, x in enumerate(out) if x is None]
         for i in range(0, len(rest), 4096):
             some = rest[i : i + 4096]
