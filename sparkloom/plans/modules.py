@@ -260,6 +260,31 @@ REGISTRY: dict[str, Callable[[Context], dict[str, DataFrame]]] = {
 }
 
 
+#: What the reports of a module say of how to read it.
+NOTES: dict[str, list[str]] = {
+    "statistics": ["Correlations are over rows where both columns have numbers.", "Feature means are by quartiles of a numeric target; labels with up to 20 values are counted."],
+    "eda": ["Both tables are profiled on their own, before they are joined.", "Missing correlations count as 0 in the matrix."],
+    "scipy": ["The test of a pair follows from its columns: numbers, two groups, several groups, or categories.", "P-values are not corrected for the number of tests."],
+    "sklearn": ["80 % of the rows train and 20 % score; medians and scales are those of the training rows.", "Up to 20,000 rows are read."],
+    "statsmodels": [models.OLS_NOTE, "Collinear features share their effect.", "Up to 50,000 rows are read."],
+    "xgboost": ["Boosted trees of depth 4; importances are gains, which sum to 1.", "Up to 20,000 rows are read."],
+    "shap": ["Mean absolute Shapley values of up to 1,000 test rows, averaged over classes.", "Up to 10,000 rows are read."],
+    "boruta": ["A feature scores a hit when its importance exceeds that of the best permuted one.", "It is confirmed or rejected when so many hits are unlikely by chance (0.05), else tentative."],
+    "kmean": ["Every pair of features is clustered against every label with 2 to 50 values, with as many clusters as values.", "Combinations without a clustering are listed with the reason."],
+    "kmeans_gpu": ["Every pair of features is clustered against every label with 2 to 50 values, with as many clusters as values.", f"Silhouettes are of up to {cluster.SILHOUETTE_ROWS:,} test rows."],
+    "information_coefficient": ["Folds follow time: each tests rows after those it could train on.", "Both Pearson's and Spearman's coefficients are scored."],
+    "permutation_importance_ts": ["Folds follow time.", "The score is the loss of accuracy, or of explained variance, when a feature is shuffled."],
+    "timeseries_importance": ["Rank coefficients and permutation importance, each divided by its best, are averaged."],
+    "mutual_information": ["By nearest neighbours; missing values of features are medians.", "All rows are read."],
+    "mrmr": ["Relevance is mutual information, redundancy the mean absolute rank correlation with the features chosen before."],
+    "stability_selection": ["The share of 70 % resamples that select a feature by L1 penalties."],
+    "regularized_linear": ["Penalties are chosen by 3 contiguous folds; features are standardised."],
+    "lightgbm": ["Importances of a forest's splits; the backend is named in each row."],
+    "feature_interactions": ["Products, differences and ratios of pairs of features are scored by mutual information."],
+    "regime_scoring": ["Regimes are thirds of a volatility; folds follow time within each."],
+}
+
+
 def list_modules() -> list[str]:
     return list(REGISTRY)
 
@@ -305,7 +330,7 @@ def run(spark: SparkSession, name: str, feature_path: str, label_path: str, outp
             artifacts[f"{k}_heatmap"] = reports.heat_map(list(dict.fromkeys(y for _, y in cells)), list(dict.fromkeys(x for x, _ in cells)), cells, os.path.join(folder, f"{k}_heatmap.png"))
     summary = {"module": name, "created_at": reports.now(), "feature_path": feature_path, "label_path": label_path, "join_strategy": c.aligned.strategy if name != "eda" else "none", "targets": c.targets, "rows": sizes}
     artifacts["summary"] = reports.write_json(summary, os.path.join(folder, "summary.json"))
-    md, page = reports.report(f"{name} report", summary, sections)
+    md, page = reports.report(f"{name} report", summary, sections, NOTES.get(name, ()))
     for kind, text in (("md", md), ("html", page)):
         path = os.path.join(folder, f"report.{kind}")
         with open(path, "w", encoding="utf-8") as f:

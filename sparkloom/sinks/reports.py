@@ -68,13 +68,16 @@ def markdown_source(text: str) -> str:
     return f'<details class="markdown-source"><summary>Markdown</summary><pre>{html.escape(text)}</pre></details>'
 
 
-def report(title: str, metadata: dict, sections: dict[str, tuple[list[str], list[list]]]) -> tuple[str, str]:
-    """(Markdown, HTML) of a module's result: its metadata, then a table a relation."""
+def report(title: str, metadata: dict, sections: dict[str, tuple[list[str], list[list]]], notes: Iterable[str] = ()) -> tuple[str, str]:
+    """(Markdown, HTML) of a module's result: its notes and metadata, then a table a relation."""
+    notes = list(notes)
     meta = [[k, json.dumps(clean(v), ensure_ascii=False)] for k, v in metadata.items()]
     parts = {"Summary": (["key", "value"], meta), **sections}
-    md = f"# {title}\n\n" + "\n\n".join(f"## {name}\n\n{markdown_table(c, r)}" for name, (c, r) in parts.items()) + "\n"
+    listed = "".join(f"- {n}\n" for n in notes) + "\n" if notes else ""
+    md = f"# {title}\n\n{listed}" + "\n\n".join(f"## {name}\n\n{markdown_table(c, r)}" for name, (c, r) in parts.items()) + "\n"
     body = "".join(f"<h2>{html.escape(name)}</h2>{html_table(c, r)}" for name, (c, r) in parts.items())
-    return md, f'<!DOCTYPE html><html><head><meta charset="utf-8"><title>{html.escape(title)}</title></head><body><h1>{html.escape(title)}</h1>{body}{markdown_source(md)}</body></html>\n'
+    told = "<ul>" + "".join(f"<li>{html.escape(n)}</li>" for n in notes) + "</ul>" if notes else ""
+    return md, f'<!DOCTYPE html><html><head><meta charset="utf-8"><title>{html.escape(title)}</title></head><body><h1>{html.escape(title)}</h1>{told}{body}{markdown_source(md)}</body></html>\n'
 
 
 def heat_map(columns: list[str], rows: list[str], values: dict[tuple[str, str], float], path: str, cell: int = 18, most: int = 80) -> str:

@@ -333,3 +333,10 @@ def test_exact_mann_whitney_against_all_orders(spark):
     df = spark.createDataFrame([(i, float(v), "a" if i < 4 else "b") for i, v in enumerate([1, 2, 3, 5, 4, 6, 7, 8, 9])], "rid int, x double, y string")
     row = hypothesis.pairwise(df, profile.column_stats(df, ["x", "y"]), ["x"], ["y"], ["rid"]).first()
     assert "mannwhitney_u=1.0, mannwhitney_p=0.031746" in row.note
+
+
+def test_every_module_has_notes_and_reports_show_them():
+    assert list(modules.NOTES) == modules.list_modules()
+    md, page = reports.report("t", {"k": 1}, {"s": (["a"], [[1]])}, ["one < two"])
+    assert md.startswith("# t\n\n- one < two\n\n## Summary") and "<li>one &lt; two</li>" in page
+    assert reports.report("t", {}, {})[0].startswith("# t\n\n## Summary")
