@@ -8,6 +8,7 @@ import tempfile
 import time
 import uuid
 import zipfile
+import zlib
 from pathlib import Path
 
 import numpy as np
@@ -250,4 +251,15 @@ def unpack(data: bytes, dtype) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(dtype).ravel()
 
 
+def squeeze(values: np.ndarray) -> bytes:
+    """Integers from 0 on, most of them small: planes of as few bytes as the largest needs, compressed."""
+    top = int(values.max()) if len(values) else 0
+    width = 1 if top < 1 << 8 else 2 if top < 1 << 16 else 4 if top < 1 << 32 else 8
+    return bytes([width]) + zlib.compress(pack(values.astype(f"<u{width}")), 1)
+
+
+def unsqueeze(data: bytes) -> np.ndarray:
+    return unpack(zlib.decompress(data[1:]), f"<u{data[0]}").astype(np.int64)
+
+
 __all__ = ["HOT_SHARE", "spread_join"]

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_batches, input_bytes, mix, pack, partitions, release, stash, text_buffer, trim, unpack, word_hashes
+from .common import bound_batches, input_bytes, mix, pack, partitions, release, squeeze, stash, text_buffer, trim, unpack, unsqueeze, word_hashes
 from .toxicity import held_out
 
 #: The remainder of crc32(id) mod 5 that is held out, and one in how many training documents is dev.
@@ -72,7 +72,7 @@ def _chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             ids, held, sizes = pa.concat_arrays(ids), pa.concat_arrays(held), np.concatenate(sizes)
             made += 1
             listed = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-            return pa.RecordBatch.from_arrays([pa.array([base + made], pa.int64()), pa.array([kind], pa.int32()), listed(ids), listed(held), pa.array([pack(sizes.astype(np.uint32))]), pa.array([pack(np.diff(words, prepend=np.uint64(0)))]), pa.array([pack(at.astype(np.uint32))])], ["chunk", "kind", "ids", "held", "sizes", "words", "at"])
+            return pa.RecordBatch.from_arrays([pa.array([base + made], pa.int64()), pa.array([kind], pa.int32()), listed(ids), listed(held), pa.array([pack(sizes.astype(np.uint32))]), pa.array([pack(np.diff(words, prepend=np.uint64(0)))]), pa.array([squeeze(at)])], ["chunk", "kind", "ids", "held", "sizes", "words", "at"])
 
         for batch in batches:
             data, offsets = text_buffer(batch.column(1))
@@ -100,7 +100,7 @@ def _chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _words(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return np.cumsum(unpack(row["words"], np.uint64), dtype=np.uint64), unpack(row["at"], np.uint32), unpack(row["sizes"], np.uint32).astype(np.int64)
+    return np.cumsum(unpack(row["words"], np.uint64), dtype=np.uint64), unsqueeze(row["at"]), unpack(row["sizes"], np.uint32).astype(np.int64)
 
 
 def _grams(words: np.ndarray, at: np.ndarray, sizes: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -137,7 +137,7 @@ def _requests(chunks: DataFrame, ranges: int, bits: int) -> DataFrame:
                     use = np.flatnonzero(np.diff(cuts))
                     yield pa.RecordBatch.from_arrays([
                         pa.array(use + order * ranges, pa.int32()), pa.array([row["chunk"]] * len(use), pa.int64()), pa.array([row["kind"]] * len(use), pa.int32()),
-                        pa.array([pack(np.diff(keys[cuts[b] : cuts[b + 1]] >> low, prepend=np.uint64(0))) for b in use], pa.binary()), pa.array([pack(counts[cuts[b] : cuts[b + 1]]) for b in use], pa.binary()),
+                        pa.array([pack(np.diff(keys[cuts[b] : cuts[b + 1]] >> low, prepend=np.uint64(0))) for b in use], pa.binary()), pa.array([squeeze(counts[cuts[b] : cuts[b + 1]]) for b in use], pa.binary()),
                     ], ["group", "chunk", "kind", "keys", "counts"])
         trim()
 
@@ -148,7 +148,7 @@ def _reply(table: pa.Table) -> pa.Table:
     """all: counts over all training documents; core: without dev, for dev chunks. Chunk -1: how many n-grams were seen, in all and in core."""
     keys = [np.cumsum(unpack(x, np.uint64), dtype=np.uint64) for x in table["keys"].to_pylist()]
     sizes, kinds = [len(x) for x in keys], table["kind"].to_numpy()
-    counts = np.concatenate([unpack(x, np.int64) for x in table["counts"].to_pylist()])
+    counts = np.concatenate([unsqueeze(x) for x in table["counts"].to_pylist()])
     _, place = np.unique(np.concatenate(keys), return_inverse=True)
     of_dev = np.repeat(kinds == 1, sizes)
     core, both = (np.zeros(int(place.max()) + 1, np.int64) for _ in range(2))
@@ -161,7 +161,7 @@ def _reply(table: pa.Table) -> pa.Table:
     return pa.table({
         "group": pa.array([group] * (len(parts) + 1), pa.int32()), "chunk": pa.concat_arrays([pa.array(table["chunk"].to_numpy()), pa.array([-1], pa.int64())]),
         "kind": pa.concat_arrays([pa.array(kinds, pa.int32()), pa.array([-1], pa.int32())]), "seen": pa.array([0] * len(parts) + [int((both > 0).sum())], pa.int64()), "seen_core": pa.array([0] * len(parts) + [int((core > 0).sum())], pa.int64()),
-        "all": pa.array([pack(both[p]) for p, _ in parts] + [b""], pa.binary()), "core": pa.array([pack(core[p]) if kind else b"" for p, kind in parts] + [b""], pa.binary()),
+        "all": pa.array([squeeze(both[p]) for p, _ in parts] + [b""], pa.binary()), "core": pa.array([squeeze(core[p]) if kind else b"" for p, kind in parts] + [b""], pa.binary()),
     })
 
 
@@ -176,7 +176,7 @@ def _estimates(row: dict, replies: pa.Table, ranges: int, bits: int, column: str
         told[group // ranges].append(packed)
     first, before = np.cumsum(sizes) - sizes, np.full(len(at), float(total))
     for packed, (_, place) in zip(told, _grams(words, at, sizes, bits), strict=True):
-        own = np.concatenate([unpack(x, np.int64) for x in packed])[place].astype(np.float64)
+        own = np.concatenate([unsqueeze(x) for x in packed])[place].astype(np.float64)
         packed.clear()
         yield before, np.divide(own, before, out=np.zeros(len(at)), where=before > 0), own
         before = np.append(0.0, own[:-1])  # the n-gram before is the context of the next order

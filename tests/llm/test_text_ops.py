@@ -307,6 +307,13 @@ def test_lm_long_text_in_small_chunks(spark, monkeypatch):
     assert {r.doc_id: r.score for r in lm.score(documents(spark, data)).collect()} == pytest.approx(whole)
 
 
+def test_squeezed_counts_come_back_at_any_width():
+    for top in (0, 1, 255, 256, 65_535, 65_536, 2**32 - 1, 2**32, 2**53):
+        x = np.array([0, 1, top, 3], np.int64)
+        assert (common.unsqueeze(common.squeeze(x)) == x).all()
+    assert len(common.unsqueeze(common.squeeze(np.zeros(0, np.int64)))) == 0
+
+
 def test_em_finds_the_best_weight():
     """Against a grid: the weight of each bucket of the largest likelihood of its cells."""
     at, ratio, n = np.array([1, 1, 2, 2, 2]), np.array([0.0, 8.0, 0.5, 3.0, 0.0]), np.array([30_000.0, 10_000.0, 5000.0, 50_000.0, 9000.0])
