@@ -53,11 +53,11 @@ def _words(path: str) -> UnitCache:
     tokenizer = _tokenizer(path)
     merge, table = tokenizer.model.tokenize, dict(enumerate(byte_characters()))
     parts: dict[str, list[int]] = {}
-
     plain, known = _PLAIN.fullmatch, parts.get
 
     def ids(part: str) -> list[int]:
-        parts[part] = found = [x.id for x in merge(part.encode().decode("latin-1").translate(table))]
+        # ASCII letters and signs stand for themselves
+        parts[part] = found = [x.id for x in merge(part if part.isascii() else part.encode().decode("latin-1").translate(table))]
         return found
 
     def many(words: list[bytes]) -> list[list[int]]:

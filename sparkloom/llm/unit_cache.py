@@ -24,8 +24,8 @@ class _Index(dict):
 class UnitCache:
     """encode(units) gives the ids of all units end to end and the number of ids of each.
 
-    ``many`` encodes a list of byte strings. The table starts anew beyond ``limit`` units or ``room`` ids,
-    between calls: results never depend on what it holds.
+    ``many`` encodes a list of byte strings. Beyond ``limit`` units or ``room`` ids, between calls, the table
+    keeps the units that came again in a later call, if they are at most half of it: results never depend on what it holds.
     """
 
     def __init__(self, many: Callable[[list[bytes]], list], limit: int = 300_000, room: int = 6_000_000) -> None:
@@ -35,6 +35,20 @@ class UnitCache:
     def _clear(self) -> None:
         self.index, self.starts, self.sizes = _Index(), np.zeros(1024, np.int64), np.zeros(1024, np.int64)
         self.flat, self.used = np.zeros(4096, np.uint32), 0
+        self.again = np.zeros(1024, bool)
+
+    def _shrink(self) -> None:
+        keep = np.flatnonzero(self.again[: len(self.index)])
+        sizes = self.sizes[keep]
+        if 2 * len(keep) > self.limit or 2 * int(sizes.sum()) > self.room:
+            return self._clear()
+        keys, index = list(self.index), _Index()
+        for n, k in enumerate(keep.tolist()):
+            index[keys[k]] = n
+        ends = np.cumsum(sizes)
+        flat = self.flat[np.repeat(self.starts[keep] - (ends - sizes), sizes) + np.arange(int(sizes.sum()))]
+        self.index, self.starts, self.sizes, self.used = index, np.append(ends - sizes, np.zeros(1024, np.int64)), np.append(sizes, np.zeros(1024, np.int64)), len(flat)
+        self.flat, self.again = np.append(flat, np.zeros(4096, np.uint32)), np.zeros(len(self.starts), bool)
 
     def _learn(self) -> None:
         fresh, n = self.index.fresh, len(self.index)
@@ -42,7 +56,7 @@ class UnitCache:
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         total = int(sizes.sum())
         while len(self.starts) < n:
-            self.starts, self.sizes = (np.concatenate([x, np.zeros(len(x), np.int64)]) for x in (self.starts, self.sizes))
+            self.starts, self.sizes, self.again = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes, self.again))
         if self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), total), np.uint32)])
         first = n - len(fresh)
@@ -54,8 +68,10 @@ class UnitCache:
 
     def encode(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.index) > self.limit or self.used > self.room:
-            self._clear()
+            self._shrink()
+        known = len(self.index)
         at = np.fromiter(map(self.index.__getitem__, units), np.int64, len(units))
+        self.again[at[at < known]] = True
         if self.index.fresh:
             self._learn()
         sizes = self.sizes[at]

@@ -436,3 +436,20 @@ def test_silent_elements_end_in_any_case_or_hide_their_tag_only():
     for name in ("script", "style", "textarea", "title"):
         assert texts(f"<p>one</p><{name}>gone<p>two</p>") == "one"
     assert texts("<button>x" * 100_000) == "x" * 100_000  # looked for once
+
+
+def test_unit_cache_keeps_what_comes_again():
+    from sparkloom.llm.unit_cache import UnitCache
+
+    asked = Counter()
+
+    def many(units):
+        asked.update(units)
+        return [list(u) for u in units]
+
+    rng, cache = random.Random(23), UnitCache(many, limit=60, room=400)
+    for _ in range(200):
+        units = [b"often", b"", b"too"] + [bytes(rng.choices(b"abcdef", k=rng.randrange(0, 5))) for _ in range(20)]
+        ids, sizes = cache.encode(units)
+        assert ids.tolist() == [i for u in units for i in u] and sizes.tolist() == [len(u) for u in units]
+    assert asked[b"often"] < 20 < sum(asked.values())
