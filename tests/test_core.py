@@ -354,3 +354,10 @@ def observed(spark):
 def test_linear_scores_after_an_observation(spark):
     scores, importance = models.linear(observed(spark), ["a", "b"], ["y"], "rid")
     assert scores[0][5] > 0.9 and importance[0][2] > importance[1][2]
+
+
+def test_boruta_and_permutations_after_an_observation(spark):
+    small = models.Options(trees=3, holdout_trees=3, iterations=2)
+    scores, found = models.boruta(observed(spark), ["a", "b"], ["y"], "rid", small)
+    assert scores[0][5] > 0.9 and [f[2] for f in found] == ["a", "b"]
+    assert models.permutation_scores(observed(spark), ["a", "b"], ["y"], ["rid"], 3)
