@@ -3,7 +3,8 @@
 Lines are compared by the character shingles of their normalised form (lower case, runs of white space
 as one space, none at the ends); a form shorter than a shingle is its own one shingle. Equal forms are
 one node. Signatures of BANDS * ROWS minima send a key for each band: lines of similarity 0.8 share one
-with probability 0.998. Candidates are compared exactly, linked from 0.8 on, and of each component the
+with probability 0.998. Lines that share a key are candidates if their sketches, two bits of each of 64
+minima, agree as those of such lines do. Candidates are compared exactly, linked from 0.8 on, and of each component the
 line that comes first, by document id, digest of the text and place, stays. Blank lines take no part and
 stay. ``min_chars`` spares lines with shorter forms, if wanted; without it none is.
 
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import counted, cut, mix, spread_join
-from .similarity import NODES, SETS, Items, Method, clusters, hash_sets, linked, maybe_in, read_items
+from .similarity import NODES, SETS, SKETCH, Items, Method, clusters, hash_sets, linked, maybe_in, read_items
 
 SHINGLE, PART, BANDS, ROWS, MIN_CHARS = 6, 80, 16, 5, 1
 _RNG = np.random.default_rng(917)
@@ -104,6 +105,11 @@ def forms(text: bytes, nodes: set[int]) -> Iterator[tuple[int, bytes]]:
 
 
 def keys(found: Items) -> tuple[np.ndarray, np.ndarray]:
+    return keys_and_sketches(found)[:2]
+
+
+def keys_and_sketches(found: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """keys(), and two words of each item: a bit each of SKETCH minima."""
     starts = found.ends - found.size
     base = (found.flat >> np.uint64(32)).astype(np.uint32)
     lows = np.empty((BANDS * ROWS, len(starts)), np.uint32)
@@ -122,17 +128,20 @@ def keys(found: Items) -> tuple[np.ndarray, np.ndarray]:
         for r in range(ROWS):
             key = mix(key * _STEP + lows[b * ROWS + r])
         out.append(key)
-    return np.concatenate(out) if n else found.flat[:0], np.tile(np.arange(n), BANDS)
+    two = (lows[:SKETCH] * np.uint32(0x9E3779B1)) >> np.uint32(30)
+    halves = [np.ascontiguousarray(np.packbits((two >> np.uint32(k) & np.uint32(1)).astype(np.uint8), axis=0).T).view(np.uint64).reshape(n) for k in range(2)]
+    sketch = np.stack(halves, axis=1)
+    return np.concatenate(out) if n else found.flat[:0], np.tile(np.arange(n), BANDS), sketch
 
 
 def _dropped(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> tuple[DataFrame, DataFrame]:
     """(rows of read_items(), id, digest and dropped of the texts that have lines to drop)."""
-    method = Method(functools.partial(items, min_chars=min_chars), keys, forms, PART, sized=False)
+    method = Method(functools.partial(items, min_chars=min_chars), keys_and_sketches, forms, PART, sized=False, sketched=True)
     rows, blocks = read_items(docs, method, id_col, text_col)
     lines = rows.where("id is not null").select("id", "digest", F.posexplode(F.arrays_zip("nodes", "sizes")).alias("line", "x")).where("x.sizes > 0").select("id", "digest", "line", F.col("x.nodes").alias("node"), F.col("x.sizes").alias("size"))
     # a frequent line is one row from each task from here on
     nodes = cut(lines.groupBy("node").agg(F.first("size").alias("size"), F.min(F.struct("id", "digest", "line")).alias("first"), F.count("*").alias("n")))
-    roots = linked(docs, nodes.select("node", "size", F.struct("first.id", "first.digest").alias("at")), cut(clusters(blocks)), method, id_col, text_col)
+    roots = linked(docs, nodes.select("node", "size", F.struct("first.id", "first.digest").alias("at")), cut(clusters(blocks, method.sketched)), method, id_col, text_col)
     some = nodes.select("node", "first", "n").join(roots, "node", "left").where("n > 1 or root is not null")
     rooted = cut(some.select("node", "first", F.col("n").alias("uses"), F.coalesce("root", "node").alias("root")))
     keeper, n = counted(rooted.groupBy("root").agg(F.min("first").alias("keeper"), F.count("*").alias("n")), F.sum("n"))

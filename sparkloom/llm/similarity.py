@@ -7,7 +7,8 @@ of hashes each) and in the keys of an item.
    one node however often they occur. A task sends the keys of a node once, in sorted blocks by range of
    keys; there are as many ranges as the size of the input asks for.
 2. In a range, nodes with a common key form a group; a group is kept as a star, never as pairs, and the
-   stars of a range are merged before they leave it.
+   stars of a range are merged before they leave it. With sketches of the nodes, groups of bounded size
+   are judged by these first, so chance doesn't connect them.
 3. Connected components over the stars give clusters. Every linked pair lies within one.
 4. The clusters' nodes are cut out of their texts, as text, and compared in tiles, which make the sets.
    Small clusters are one tile. Large ones are split by bands of set size and then by hash. In a tile
@@ -44,6 +45,8 @@ TILE, PIVOTS, WORDS, SEND, TASK = 4096, 256, 16, 1_000_000, 4_000_000
 RANGE, ONE_TASK = 8 << 20, 1_000_000
 #: Bits of a key that stay behind.
 DROPPED = np.uint64(16)
+#: Minima of a sketch, of which linked sets agree in AGREE at least, but for one pair in some ten million at the threshold; members of a group up to which its pairs are judged by their sketches, and such that a task judges.
+SKETCH, AGREE, JUDGED, JUDGE = 64, 36, 16_384, 1_000_000
 #: What items() is asked for: node and size of each item; hashes for keys too; sorted different hashes.
 NODES, KEYS, SETS = 0, 1, 2
 
@@ -61,18 +64,19 @@ class Items:
 
 @dataclasses.dataclass(frozen=True)
 class Method:
-    """items(texts, level) -> Items, by NODES, KEYS or SETS; keys(Items) -> (keys, item of each key).
+    """items(texts, level) -> Items, by NODES, KEYS or SETS; keys(Items) -> (keys, item of each key), and sketches (two words an item) if ``sketched``.
 
     forms(text, nodes) gives (node, form) of the asked nodes that the text has; a form is a text whose
     one item of SETS is the node's. Two sets link when whole * intersection >= part * union.
     """
 
     items: Callable[[list[bytes], int], Items]
-    keys: Callable[[Items], tuple[np.ndarray, np.ndarray]]
+    keys: Callable[[Items], tuple[np.ndarray, ...]]
     forms: Callable[[bytes, set[int]], Iterator[tuple[int, bytes]]]
     part: int
     whole: int = 100
     sized: bool = True  # sizes are those of the sets already by NODES
+    sketched: bool = False
 
     def needed(self, total: np.ndarray) -> np.ndarray:
         """Least intersection of linked sets whose sizes add up to total."""
@@ -156,7 +160,7 @@ def block_texts(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[
 
 
 def read_items(docs: DataFrame, method: Method, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """Two stored tables of one pass. Of each row: id, digest (of the text), nodes and sizes of its items. Of keys: group (a range of them), keys, members, places (of the keys' nodes among the members; none if each key has its own).
+    """Two stored tables of one pass. Of each row: id, digest (of the text), nodes and sizes of its items. Of keys: group (a range of them), keys, members, places (of the keys' nodes among the members; none if each key has its own); group -1: sketches (keys) of members.
 
     A task sends the keys of a node once; rows without id send none. The low bits of keys stay behind: keys only name candidates.
     """
@@ -174,6 +178,7 @@ def read_items(docs: DataFrame, method: Method, id_col: str, text_col: str) -> t
         edges = np.arange(ranges, dtype=np.uint64) * np.uint64(2**64 // ranges)
         sent: set[int] = set()
         waiting: list[tuple[np.ndarray, np.ndarray]] = []
+        drawn: list[tuple[np.ndarray, np.ndarray]] = []
 
         def made(columns: dict) -> pa.RecordBatch:
             n = len(next(iter(columns.values())))
@@ -193,6 +198,11 @@ def read_items(docs: DataFrame, method: Method, id_col: str, text_col: str) -> t
                 rows.append((int(b), pack(at), pack(part if alone else own), b"" if alone else pack(place.astype(np.uint32))))
             return made({c.name: pa.array(x, fields.field(c.name).type) for c, x in zip(of_keys, zip(*rows, strict=True), strict=True)})
 
+        def sketches() -> pa.RecordBatch:
+            nodes, words = (np.concatenate(x) for x in zip(*drawn, strict=True))
+            drawn.clear()
+            return made({c.name: pa.array([x], fields.field(c.name).type) for c, x in zip(of_keys, (-1, words.tobytes(), nodes.tobytes(), b""), strict=True)})
+
         for batch in batches:
             known = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
             for first, texts in block_texts(batch, 1):
@@ -205,15 +215,21 @@ def read_items(docs: DataFrame, method: Method, id_col: str, text_col: str) -> t
                 use = np.array([k for k, x in zip(use.tolist(), items.node[use].tolist(), strict=True) if x not in sent], np.int64)
                 if len(use):
                     sent.update(items.node[use].tolist())
-                    keys, place = method.keys(_take(items, use))
+                    keys, place, *sketch = method.keys(_take(items, use))
                     if len(keys):
                         waiting.append((keys, items.node[use][place]))
+                    if sketch:
+                        drawn.append((items.node[use], sketch[0]))
                     if sum(len(x[0]) for x in waiting) >= SEND:
                         yield flush()
+                        if drawn:
+                            yield sketches()
             if len(sent) > 1_000_000:
                 sent.clear()
         if waiting:
             yield flush()
+        if drawn:
+            yield sketches()
         trim()
 
     stored = stash(slim.mapInArrow(work, schema))
@@ -228,22 +244,97 @@ def _take(items: Items, use: np.ndarray) -> Items:
     return Items(items.owner[use], items.node[use], items.size[use], flat, ends)
 
 
-def clusters(rows: DataFrame) -> DataFrame:
-    """node, root over the groups of nodes with a common key; rows: the keys of read_items()."""
+def clusters(rows: DataFrame, sketched: bool = False) -> DataFrame:
+    """node, root over the groups of nodes with a common key; rows: the keys of read_items().
+
+    Sets that have little in common share keys by chance. The number of such pairs grows with the square of the
+    corpus, until they connect nearly all of it. With sketches, a group of up to JUDGED nodes connects those
+    whose sketches agree as those of linked sets do.
+    """
 
-    def stars(table: pa.Table) -> pa.Table:
+    def groups(table: pa.Table) -> pa.Table:
         keys = np.concatenate([unpack(x, np.uint64) for x in table["keys"].to_pylist()])
         nodes = np.concatenate([unpack(m, np.uint64)[unpack(p, np.uint32)] if p else unpack(m, np.uint64) for m, p in zip(table["members"].to_pylist(), table["places"].to_pylist(), strict=True)])
-        nodes = signed(nodes)
         order = np.argsort(keys, kind="stable")
+        keys, nodes = keys[order], signed(nodes[order])
+        same = keys[1:] == keys[:-1]
+        shared = np.append(False, same) | np.append(same, False)
+        keys, nodes = keys[shared], nodes[shared]
+        order = np.lexsort((nodes, keys))
         keys, nodes = keys[order], nodes[order]
-        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-        root = np.repeat(np.minimum.reduceat(nodes, first), np.diff(np.append(first, len(keys))))
-        use = root != nodes
-        node, root = local_roots(nodes[use], root[use]) if use.any() else (nodes[:0], nodes[:0])
-        return pa.table({"a": node[node != root], "b": root[node != root]})
+        fresh = np.append(True, (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1]))[: len(keys)]  # several tasks may have sent a node
+        keys, nodes = keys[fresh], nodes[fresh]
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+        held = np.diff(np.append(first, len(keys)))
+        root = np.repeat(nodes[first], held)
+        stars = np.repeat(held > JUDGED if sketched else held > 1, held) & (root != nodes)
+        node, root = local_roots(nodes[stars], root[stars]) if stars.any() else (nodes[:0], nodes[:0])
+        a, b = nodes[:0], nodes[:0]
+        if sketched and len(keys):
+            name = np.add.reduceat(mix(nodes.view(np.uint64)), first)  # groups of the same members are one
+            once = np.zeros(len(first), bool)
+            once[np.unique(name, return_index=True)[1]] = True
+            use = np.repeat(once & (held > 1) & (held <= JUDGED), held)
+            a, b = nodes[use], signed(np.repeat(name, held)[use])
+        return pa.table({"a": np.append(node[node != root], a), "b": np.append(root[node != root], b), "judge": np.repeat([False, True], [int((node != root).sum()), len(a)])})
+
+    found = rows.where("group >= 0").groupBy("group").applyInArrow(groups, "a long, b long, judge boolean")
+    if not sketched:
+        return components(found.select("a", "b"))
+    found = stash(found)
+    judged = _agreeing(found.where("judge").select(F.col("a").alias("node"), F.col("b").alias("name")).distinct(), rows.where("group = -1"))
+    return components(found.where("not judge").select("a", "b").unionByName(judged))
+
+
+def agreeing(name: np.ndarray, node: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, another one) that connect the nodes of each group, in order of name, that hang together by agreeing sketches."""
+    x, y = x.view(np.uint64), y.view(np.uint64)  # of signed numbers, only the bits of the absolute value count
+    near = lambda i, j: np.bitwise_count((x[i] ^ x[j]) | (y[i] ^ y[j])) <= SKETCH - AGREE
+    first = np.flatnonzero(np.append(True, name[1:] != name[:-1])[: len(name)])
+    held = np.diff(np.append(first, len(name)))
+    a, b = [node[:0]], [node[:0]]
+    most = 8
+    few = np.repeat(held <= most, held)
+    for k in range(1, most):
+        at = np.flatnonzero((name[k:] == name[:-k]) & few[k:])
+        at = at[near(at, at + k)]
+        a.append(node[at])
+        b.append(node[at + k])
+    for start, n in zip(first[held > most].tolist(), held[held > most].tolist(), strict=True):
+        left, ready = np.arange(start + 1, start + n), [start]
+        while len(left):
+            at = ready.pop() if ready else left[0]
+            left = left[left != at]
+            hit = near(at, left)
+            a.append(node[left[hit]])
+            b.append(np.full(int(hit.sum()), node[at]))
+            ready += left[hit].tolist()
+            left = left[~hit]
+    return np.concatenate(a), np.concatenate(b)
+
+
+def _agreeing(members: DataFrame, drawn: DataFrame) -> DataFrame:
+    """a, b: agreeing() over members (node, name of the group); drawn: rows of sketches."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for nodes, words in zip(batch.column(0), batch.column(1), strict=True):
+                two = np.frombuffer(words.as_py(), np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(nodes.as_py(), np.int64)), pa.array(two[:, 0].copy()), pa.array(two[:, 1].copy())], ["node", "x", "y"])
+
+    def judge(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("name", "ascending"), ("node", "ascending")])
+        name, node, x, y = (table[c].to_numpy() for c in ("name", "node", "x", "y"))
+        a, b = agreeing(name, node, x, y)
+        return pa.table({"a": a, "b": b})
 
-    return components(rows.groupBy("group").applyInArrow(stars, "a long, b long"))
+    members, n = counted(members)
+    if not n:
+        return members.select(F.col("node").alias("a"), F.col("name").alias("b"))
+    asked = cut(members.select("node").distinct())
+    told = maybe_in(drawn.select("members", "keys").mapInArrow(spread, "node long, x long, y long"), asked, ["node"])[0].groupBy("node").agg(F.first("x").alias("x"), F.first("y").alias("y"))
+    tasks = max(partitions(members.sparkSession), -(-n // JUDGE))
+    return members.join(told, "node").withColumn("task", F.pmod(F.xxhash64("name"), F.lit(tasks))).groupBy("task").applyInArrow(judge, "a long, b long")
 
 
 # Tiles ----------------------------------------------------------------------------------------

@@ -287,3 +287,44 @@ def test_ngram_items_of_a_block_shorter_than_a_shingle(spark):
     for text in ("One two", "One two three"):
         out = ngram_join.ngram_join(documents(spark, [(7, text, "s")]), words=5, part=80).collect()
         assert [tuple(r) for r in out] == [(7, 1, 7)]
+
+
+def test_chance_keys_connect_no_clusters(spark):
+    """A chain of nodes that share keys, of which two have like sketches: one cluster of two, not one of all."""
+    rng, nodes = np.random.default_rng(5), np.arange(1, 41, dtype=np.uint64)
+    words = rng.integers(0, 2**64, (40, 2), dtype=np.uint64)
+    words[11] = words[10] ^ np.uint64(7 << 61)
+    keys = np.repeat(np.arange(1, 40, dtype=np.uint64), 2)
+    members = np.stack([nodes[:-1], nodes[1:]], axis=1).ravel()
+    rows = [(0, similarity.pack(keys), similarity.pack(members), b""), (-1, words.tobytes(), nodes.tobytes(), b"")]
+    df = spark.createDataFrame([(g, bytearray(k), bytearray(m), bytearray(p)) for g, k, m, p in rows], "group int, keys binary, members binary, places binary")
+    assert similarity.clusters(df).count() == 40
+    assert sorted(tuple(r) for r in similarity.clusters(df, True).collect()) == [(11, 11), (12, 11)]
+
+
+def test_agreeing_sketches_against_all_pairs():
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 2**64, (30, 2), dtype=np.uint64)[rng.integers(0, 30, 400)]
+    noise = sum((rng.integers(0, 2, (400, 2)).astype(np.uint64) << np.uint64(k) for k in range(0, 64, 2)), np.uint64(0))
+    x, y = (base ^ noise).T.copy()
+    name, node = np.sort(rng.integers(0, 40, 400)).astype(np.int64), np.arange(400)
+    a, b = similarity.agreeing(name, node, x.view(np.int64), y.view(np.int64))
+    i, j = np.nonzero((name[:, None] == name) & (np.bitwise_count((x[:, None] ^ x) | (y[:, None] ^ y)) <= similarity.SKETCH - similarity.AGREE))
+    own = np.arange(400)
+    plain, got = (dict(zip(*(v.tolist() for v in similarity.local_roots(np.append(p, own), np.append(q, own))), strict=True)) for p, q in ((i, j), (a, b)))
+    assert plain == got and len(set(got.values())) < 400
+
+
+def test_sketches_of_linked_lines_agree():
+    rng = np.random.default_rng(7)
+    texts = []
+    for _ in range(300):
+        line = "".join(rng.choice(list("abcdefgh "), 150))
+        at = int(rng.integers(20, 120))
+        texts += [line, line[:at] + "zzz" + line[at + 3 :]]
+    sets = line_dedup.items(["\n".join(texts).encode()], similarity.SETS)
+    sketch = line_dedup.keys_and_sketches(sets)[2]
+    assert len(sketch) == 600
+    same = similarity.SKETCH - np.bitwise_count((sketch[::2] ^ sketch[1::2])[:, 0] | (sketch[::2] ^ sketch[1::2])[:, 1])
+    others = similarity.SKETCH - np.bitwise_count((sketch[:-2] ^ sketch[2:])[:, 0] | (sketch[:-2] ^ sketch[2:])[:, 1])
+    assert same.min() >= similarity.AGREE and (others < similarity.AGREE).mean() > 0.99
