@@ -11,7 +11,7 @@ from sparkloom import cli
 from sparkloom.functions import special
 from sparkloom.functions.coerce import num, safe_corr
 from sparkloom.operators import align as al
-from sparkloom.operators import correlate, hypothesis, information, metrics, models, preprocess, profile, sampling, windows
+from sparkloom.operators import correlate, forests, hypothesis, information, metrics, models, preprocess, profile, sampling, windows
 from sparkloom.plans import modules, queries
 from sparkloom.sinks import reports
 from sparkloom.sources import tables
@@ -381,3 +381,36 @@ def test_rolling_means_are_those_of_sql_bit_by_bit(spark):
     df = spark.createDataFrame(values, "pos long, value double")
     for block in (50_000, 64, 100):
         assert dict(map(tuple, windows.rolling_by_blocks(df, "value", block=block).select("pos", "volatility").collect())) == dict(con.execute(sql).fetchall())
+
+
+def test_permuted_places_are_those_of_permute(spark):
+    df = spark.createDataFrame([(i * 3, float(i)) for i in range(50)], "rid long, f0 double")
+    want = dict(map(tuple, sampling.permute_bounded(df, "f0", "rid", 42007).select("rid", "perm_f0").collect()))
+    assert [want[i * 3] for i in range(50)] == [float(p) for p in sampling.permuted_places([str(i * 3) for i in range(50)], "f0", 42007)]
+
+
+def test_forests_of_capped_rows():
+    """Trees learn, leave the rows of weight 0 out, and their importances sum to 1."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(600, 4))
+    bins, weight = forests.binned(x, np.ones(600, bool)), np.where(np.arange(600) < 100, 0.0, 1.0)
+    y = (x[:, 2] > 0.2).astype(float)
+    found, votes = forests.grow(bins, y, 2, weight, 20, 1)
+    assert found.shape == (20, 4) and found.sum(1) == pytest.approx(np.ones(20)) and found.mean(0).argmax() == 2
+    assert votes[:100].sum(1) == pytest.approx(np.full(100, 20.0)) and not votes[100:].any()
+    assert (votes[:100].argmax(1) == y[:100]).mean() > 0.9
+    lied = np.where(weight == 0, 1 - y, y)
+    assert (forests.grow(bins, lied, 2, weight, 20, 1)[1] == votes).all()
+    found, votes = forests.grow(bins, 3 * x[:, 1], 0, weight, 20, 1)
+    assert found.mean(0).argmax() == 1 and np.corrcoef(votes[:100, 0], x[:100, 1])[0, 1] > 0.9
+
+
+def test_boruta_makes_few_jobs(spark):
+    """With the defaults, forests of all iterations are grown by one pass, not by passes for each level of each forest."""
+    df = spark.createDataFrame([(i, (i * 37 % 101) / 7.0, (i * 17 % 29) / 3.0, int(i * 37 % 101 > 50)) for i in range(200)], "rid long, a double, b double, y int")
+    spark.sparkContext.setJobGroup("boruta", "boruta")
+    scores, found = models.boruta(df, ["a", "b"], ["y"], "rid", models.Options(trees=20, holdout_trees=20))
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("boruta")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(jobs) < 100 and scores[0][5] > 0.9
+    assert [(f[2], f[3]) for f in found][0] == ("a", "confirmed")
