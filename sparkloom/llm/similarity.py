@@ -276,6 +276,8 @@ def clusters(rows: DataFrame, sketched: bool = False) -> DataFrame:
             once[np.unique(name, return_index=True)[1]] = True
             use = np.repeat(once & (held > 1) & (held <= JUDGED), held)
             a, b = nodes[use], signed(np.repeat(name, held)[use])
+        del keys, nodes, order, shared, fresh
+        trim()
         return pa.table({"a": np.append(node[node != root], a), "b": np.append(root[node != root], b), "judge": np.repeat([False, True], [int((node != root).sum()), len(a)])})
 
     found = rows.where("group >= 0").groupBy("group").applyInArrow(groups, "a long, b long, judge boolean")
@@ -321,11 +323,14 @@ def _agreeing(members: DataFrame, drawn: DataFrame) -> DataFrame:
             for nodes, words in zip(batch.column(0), batch.column(1), strict=True):
                 two = np.frombuffer(words.as_py(), np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(nodes.as_py(), np.int64)), pa.array(two[:, 0].copy()), pa.array(two[:, 1].copy())], ["node", "x", "y"])
+        trim()
 
     def judge(table: pa.Table) -> pa.Table:
         table = table.sort_by([("name", "ascending"), ("node", "ascending")])
         name, node, x, y = (table[c].to_numpy() for c in ("name", "node", "x", "y"))
         a, b = agreeing(name, node, x, y)
+        del table, name, node, x, y
+        trim()
         return pa.table({"a": a, "b": b})
 
     members, n = counted(members)
