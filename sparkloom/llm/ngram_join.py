@@ -29,9 +29,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import bound_batches, counted, cut, mix, spread_join, trim, word_hashes
-from .similarity import KEYS, SEND, Items, Method, bands, block_texts, clusters, linked, read_items, signed
+from .common import bound_batches, counted, cut, mix, spread_join, stash, trim, word_hashes
+from .similarity import KEYS, SEND, Items, Method, bands, block_texts, clusters, linked, read_keys, signed
 
 #: Words of a shingle, and the least similarity in hundredths.
 WORDS, PART = 4, 85
@@ -78,24 +79,33 @@ def _bands(part: int) -> tuple[np.ndarray, np.ndarray]:
     return starts[:-2], (100 - part) * 2 * most // (100 + part)
 
 
-def hot_shingles(docs: DataFrame, words: int, id_col: str, text_col: str, least: int = HOT_LEAST, most: int = HOT) -> np.ndarray:
-    """The shingles of the most different sets: at most ``most`` hashes, of at least ``least`` sets each. Counted in blocks of sets, so that rare ones go nowhere."""
+def read_sets(docs: DataFrame, words: int, id_col: str, text_col: str, least: int = HOT_LEAST, most: int = HOT) -> tuple[DataFrame, np.ndarray]:
+    """Of one pass: a stored table of id, digest (of the text), n_shingles and node of each row; and the shingles of the most different sets: at most ``most`` hashes, of at least ``least`` sets each. Counted in blocks of sets, so that rare ones go nowhere."""
 
-    def count(batches):
+    def work(batches):
         sent: set[int] = set()
         waiting: list[np.ndarray] = []
 
+        def made(**columns) -> pa.RecordBatch:
+            n = len(next(iter(columns.values())))
+            return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(n, fields.field(c).type) for c in names], names)
+
         def flush() -> pa.RecordBatch:
             h, n = np.unique(np.concatenate(waiting), return_counts=True)
             waiting.clear()
-            return pa.RecordBatch.from_arrays([pa.array(signed(h[n >= 5])), pa.array(n[n >= 5].astype(np.int64))], ["h", "n"])
+            return made(h=pa.array(signed(h[n >= 5])), n=pa.array(n[n >= 5].astype(np.int64)))
+
+        from pyspark.sql.pandas.types import to_arrow_schema
 
+        fields, names = to_arrow_schema(schema), schema.names
         for batch in batches:
-            for _, texts in block_texts(batch, 0):
+            known = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+            for first, texts in block_texts(batch, 1):
                 found = items(texts, KEYS, words)
-                _, fresh = np.unique(found.node, return_index=True)
-                for k in fresh.tolist():
-                    if found.size[k] and int(found.node[k]) not in sent:
+                yield made(id=batch.column(0).slice(first, len(texts)), digest=batch.column(2).slice(first, len(texts)), n_shingles=pa.array(found.size), node=pa.array(signed(found.node)))
+                use = np.flatnonzero((found.size > 0) & known[first : first + len(texts)])
+                for k in use[np.unique(found.node[use], return_index=True)[1]].tolist():
+                    if int(found.node[k]) not in sent:
                         sent.add(int(found.node[k]))
                         waiting.append(found.flat[found.ends[k] - found.size[k] : found.ends[k]])
                 if sum(map(len, waiting)) >= SEND:
@@ -107,9 +117,12 @@ def hot_shingles(docs: DataFrame, words: int, id_col: str, text_col: str, least:
         trim()
 
     bound_batches(docs.sparkSession)
-    texts = docs.where(F.col(id_col).isNotNull()).select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    top = texts.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "h").limit(most)
-    return np.sort(np.array([r.h for r in top.collect()], np.int64).view(np.uint64))
+    slim = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("digest", F.xxhash64("text"))
+    of_row = [slim.schema["id"], *(T.StructField(c, T.LongType()) for c in ("digest", "n_shingles", "node"))]
+    schema = T.StructType([*of_row, *(T.StructField(c, T.LongType()) for c in ("h", "n"))])
+    stored = stash(slim.mapInArrow(work, schema))
+    top = stored.where("h is not null").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "h").limit(most)
+    return stored.where("h is null").select([f.name for f in of_row]), np.sort(np.array([r.h for r in top.collect()], np.int64).view(np.uint64))
 
 
 def keys(found: Items, part: int = PART, hot: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -163,14 +176,12 @@ def forms(text: bytes, nodes: set[int]) -> Iterator[tuple[int, bytes]]:
 
 def members(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, part: int = PART) -> DataFrame:
     """Per row: id, digest (xxhash64 of the text), n_shingles, root (the component's node) and component (its least id). Rows without a set have neither, rows without id are in none."""
-    hot = hot_shingles(docs, words, id_col, text_col)
+    rows, hot = read_sets(docs, words, id_col, text_col)
     method = Method(functools.partial(items, words=words), functools.partial(keys, part=part, hot=hot), forms, part)
-    rows, blocks = read_items(docs, method, id_col, text_col)
-    rows = rows.select("id", "digest", F.col("sizes")[0].alias("n_shingles"), F.col("nodes")[0].alias("node"))
     takes = F.coalesce((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.lit(False))
     # copies are one row from each task from here on
     nodes = cut(rows.where(takes).groupBy("node").agg(F.first("n_shingles").alias("size"), F.min("id").alias("least"), F.min(F.struct("id", "digest")).alias("at"), F.count("*").alias("n")))
-    roots = linked(docs, nodes, cut(clusters(blocks)), method, id_col, text_col)
+    roots = linked(docs, nodes, cut(clusters(read_keys(docs, method, id_col, text_col))), method, id_col, text_col)
     some = nodes.select("node", "least", "n").join(roots, "node", "left").where("n > 1 or root is not null")
     rooted = cut(some.select("node", "least", F.col("n").alias("uses"), F.coalesce("root", "node").alias("root")))
     least, n = counted(rooted.groupBy("root").agg(F.min("least").alias("component"), F.count("*").alias("n")), F.sum("n"))

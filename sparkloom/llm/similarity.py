@@ -159,17 +159,30 @@ def block_texts(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[
         yield i, [data[offsets[k] : offsets[k + 1]].tobytes() for k in range(i, j)]
 
 
+_OF_KEYS = [T.StructField("group", T.IntegerType()), *(T.StructField(c, T.BinaryType()) for c in ("keys", "members", "places"))]
+
+
 def read_items(docs: DataFrame, method: Method, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """Two stored tables of one pass. Of each row: id, digest (of the text), nodes and sizes of its items. Of keys: group (a range of them), keys, members, places (of the keys' nodes among the members; none if each key has its own); group -1: sketches (keys) of members.
+    """Two stored tables of one pass. Of each row: id, digest (of the text), nodes and sizes of its items. Of keys: see read_keys()."""
+    slim = _slim(docs, id_col, text_col).withColumn("digest", F.xxhash64("text"))
+    of_row = [slim.schema["id"], T.StructField("digest", T.LongType()), T.StructField("nodes", T.ArrayType(T.LongType())), T.StructField("sizes", T.ArrayType(T.LongType()))]
+    stored = stash(_keyed(docs, slim, method, of_row))
+    return stored.where("group is null").select([f.name for f in of_row]), stored.where("group is not null").select([f.name for f in _OF_KEYS])
+
+
+def read_keys(docs: DataFrame, method: Method, id_col: str, text_col: str) -> DataFrame:
+    """group (a range of keys), keys, members, places (of the keys' nodes among the members; none if each key has its own); group -1: sketches (keys) of members. Not stored: for one reader, whose shuffle is then their only copy on disk.
 
     A task sends the keys of a node once; rows without id send none. The low bits of keys stay behind: keys only name candidates.
     """
+    return _keyed(docs, _slim(docs, id_col, text_col).where("id is not null"), method, [])
+
+
+def _keyed(docs: DataFrame, slim: DataFrame, method: Method, of_row: list[T.StructField]) -> DataFrame:
+    """Rows of the columns of_row, if there are any, and of keys, in one pass over slim, the columns of docs that it takes."""
     bound_batches(docs.sparkSession)
     ranges = min(1 << 20, 4 * max(partitions(docs.sparkSession), -(-input_bytes(docs) // RANGE)))  # several to a task, so that tasks are even
-    slim = _slim(docs, id_col, text_col).withColumn("digest", F.xxhash64("text"))
-    of_row = [slim.schema["id"], T.StructField("digest", T.LongType()), T.StructField("nodes", T.ArrayType(T.LongType())), T.StructField("sizes", T.ArrayType(T.LongType()))]
-    of_keys = [T.StructField("group", T.IntegerType()), *(T.StructField(c, T.BinaryType()) for c in ("keys", "members", "places"))]
-    schema = T.StructType([*of_row, *of_keys])
+    schema = T.StructType([*of_row, *_OF_KEYS])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -196,20 +209,21 @@ def read_items(docs: DataFrame, method: Method, id_col: str, text_col: str) -> t
                 own, place = np.unique(part, return_inverse=True)
                 alone = 2 * len(own) > len(part)
                 rows.append((int(b), pack(at), pack(part if alone else own), b"" if alone else pack(place.astype(np.uint32))))
-            return made({c.name: pa.array(x, fields.field(c.name).type) for c, x in zip(of_keys, zip(*rows, strict=True), strict=True)})
+            return made({c.name: pa.array(x, fields.field(c.name).type) for c, x in zip(_OF_KEYS, zip(*rows, strict=True), strict=True)})
 
         def sketches() -> pa.RecordBatch:
             nodes, words = (np.concatenate(x) for x in zip(*drawn, strict=True))
             drawn.clear()
-            return made({c.name: pa.array([x], fields.field(c.name).type) for c, x in zip(of_keys, (-1, words.tobytes(), nodes.tobytes(), b""), strict=True)})
+            return made({c.name: pa.array([x], fields.field(c.name).type) for c, x in zip(_OF_KEYS, (-1, words.tobytes(), nodes.tobytes(), b""), strict=True)})
 
         for batch in batches:
             known = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
             for first, texts in block_texts(batch, 1):
                 items, n = method.items(texts, KEYS), len(texts)
-                held = pa.array(np.searchsorted(items.owner, np.arange(n + 1)), pa.int32())
-                listed = lambda x: pa.ListArray.from_arrays(held, pa.array(x, pa.int64()))  # noqa: B023, E731
-                yield made({"id": batch.column(0).slice(first, n), "digest": batch.column(2).slice(first, n), "nodes": listed(signed(items.node)), "sizes": listed(items.size)})
+                if of_row:
+                    held = pa.array(np.searchsorted(items.owner, np.arange(n + 1)), pa.int32())
+                    listed = lambda x: pa.ListArray.from_arrays(held, pa.array(x, pa.int64()))  # noqa: B023, E731
+                    yield made({"id": batch.column(0).slice(first, n), "digest": batch.column(2).slice(first, n), "nodes": listed(signed(items.node)), "sizes": listed(items.size)})
                 use = np.flatnonzero((items.size > 0) & known[first + items.owner])
                 use = np.sort(use[np.unique(items.node[use], return_index=True)[1]])
                 use = np.array([k for k, x in zip(use.tolist(), items.node[use].tolist(), strict=True) if x not in sent], np.int64)
@@ -232,8 +246,7 @@ def read_items(docs: DataFrame, method: Method, id_col: str, text_col: str) -> t
             yield sketches()
         trim()
 
-    stored = stash(slim.mapInArrow(work, schema))
-    return stored.where("group is null").select([f.name for f in of_row]), stored.where("group is not null").select([f.name for f in of_keys])
+    return slim.mapInArrow(work, schema)
 
 
 def _take(items: Items, use: np.ndarray) -> Items:
@@ -245,7 +258,7 @@ def _take(items: Items, use: np.ndarray) -> Items:
 
 
 def clusters(rows: DataFrame, sketched: bool = False) -> DataFrame:
-    """node, root over the groups of nodes with a common key; rows: the keys of read_items().
+    """node, root over the groups of nodes with a common key; rows: those of read_keys().
 
     Sets that have little in common share keys by chance. The number of such pairs grows with the square of the
     corpus, until they connect nearly all of it. With sketches, a group of up to JUDGED nodes connects those
@@ -524,4 +537,4 @@ def hash_sets(flat: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return (np.concatenate(sets) if sets else flat[:0]), np.cumsum([len(x) for x in sets], dtype=np.int64) if sets else ends[:0]
 
 
-__all__ = ["Items", "Method", "bands", "clusters", "components", "hash_sets", "linked", "maybe_in", "mix", "read_items", "signed"]
+__all__ = ["Items", "Method", "bands", "clusters", "components", "hash_sets", "linked", "maybe_in", "mix", "read_items", "read_keys", "signed"]

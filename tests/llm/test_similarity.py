@@ -1,4 +1,5 @@
 import random
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -328,3 +329,13 @@ def test_sketches_of_linked_lines_agree():
     same = similarity.SKETCH - np.bitwise_count((sketch[::2] ^ sketch[1::2])[:, 0] | (sketch[::2] ^ sketch[1::2])[:, 1])
     others = similarity.SKETCH - np.bitwise_count((sketch[:-2] ^ sketch[2:])[:, 0] | (sketch[:-2] ^ sketch[2:])[:, 1])
     assert same.min() >= similarity.AGREE and (others < similarity.AGREE).mean() > 0.99
+
+
+def test_ngram_join_stores_no_keys(spark):
+    """Keys are about as large as the texts: the shuffle of their ranges is their only copy on disk."""
+    rng = random.Random(12)
+    data = [(i, " ".join(rng.choices(VOCABULARY, k=200)), "s") for i in range(400)]
+    common.sweep(spark)
+    _check_join(ngram_join.ngram_join(documents(spark, data)).collect(), data, 4, 85)
+    stored = sum(f.stat().st_size for path in common._stashes for f in Path(path.removeprefix("file:")).rglob("*.parquet"))
+    assert 0 < stored < 0.2 * sum(len(t) for _, t, _ in data)
