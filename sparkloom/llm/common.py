@@ -154,6 +154,12 @@ def trim() -> None:
         pass
 
 
+def give_back(spark: SparkSession) -> None:
+    """Have the executors collect their garbage, so that their JVMs give unused heap back: one that has grown to its limit else keeps the room that workers need. A task a core, which reaches every executor while no other job runs; no result depends on it."""
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.expr("java_method('java.lang.System', 'gc')").alias("x")).agg(F.count("x")).collect()
+
+
 # Hashing -------------------------------------------------------------------------------------
 
 _SPACE = np.zeros(256, bool)

@@ -107,3 +107,14 @@ def test_near_copies_with_clashing_ids(spark, tmp_path):
     four = [x for x in kept if x[0] == 4]
     assert len(four) == 1 and four[0][1] in (" ".join(e), edited(e))
     assert sorted((x for x in kept if x[0] != 4), key=str) == sorted([*rows[:4], rows[5], rows[9]], key=str)
+
+
+def test_stages_give_heap_back(spark, tmp_path):
+    """Between stages the executors' JVMs (here the driver's) give back the heap that they no longer use."""
+    jvm = spark.sparkContext._jvm
+    full = lambda: sum(x.getCollectionCount() for x in jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans() if "Old" in x.getName() or "MarkSweep" in x.getName())
+    docs = spark.createDataFrame([(1, "a b", "en", "s", 3)], "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in corpus_pipeline.STAGES[-2:]:
+        before = full()
+        assert stage(spark, docs, str(tmp_path)).count() == 1
+        assert full() > before, name
