@@ -39,7 +39,7 @@ from pyspark.sql import types as T
 from .common import HOT_SHARE, bound_batches, counted, cut, discard, input_bytes, mix, pack, partitions, spread_join, stash, stashed, text_buffer, trim, unpack
 from .unit_cache import blocks
 
-#: Members of a tile, those of a band that all its tiles meet, words of a bitmap, keys that a task gathers before it sends them, hashes in a task of tiles.
+#: Members of a tile, those of a band that all its tiles meet, least words of a bitmap, keys that a task gathers before it sends them, hashes in a task of tiles.
 TILE, PIVOTS, WORDS, SEND, TASK = 4096, 256, 16, 1_000_000, 4_000_000
 #: Bytes of text whose keys make a range, and edges that one task connects (16 bytes each).
 RANGE, ONE_TASK = 8 << 20, 1_000_000
@@ -358,37 +358,50 @@ def _agreeing(members: DataFrame, drawn: DataFrame) -> DataFrame:
 # Tiles ----------------------------------------------------------------------------------------
 
 
-def _bitmaps(flat: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    sizes = np.diff(np.append(0, ends))
-    bits = np.zeros((len(ends), WORDS * 64), bool)
-    bits[np.repeat(np.arange(len(ends)), sizes), (flat >> np.uint64(17)) % np.uint64(WORDS * 64)] = True
-    return np.packbits(bits, axis=1).view(np.uint64)
+def _bitmaps(flat: np.ndarray, ends: np.ndarray, words: int = WORDS) -> np.ndarray:
+    sizes, width, maps = np.diff(np.append(0, ends)), words * 64, []
+    step = max(1, (8 << 20) // width)
+    for i in range(0, len(ends), step):
+        own = sizes[i : i + step]
+        bits = np.zeros((len(own), width), bool)
+        bits[np.repeat(np.arange(len(own)), own), (flat[ends[i] - own[0] : ends[i + len(own) - 1]] >> np.uint64(17)) % np.uint64(width)] = True
+        maps.append(np.packbits(bits, axis=1).view(np.uint64))
+    return np.concatenate(maps)
 
 
 def link(sets: list[np.ndarray], side: np.ndarray, method: Method) -> np.ndarray:
-    """The least position connected with each set, over exact links between sets of different sides, or of side 0."""
+    """The least position connected with each set, over exact links between sets of different sides, or of side 0.
+
+    Bitmaps have as many bits as the sets have hashes or more: full ones rule nothing out.
+    """
     label = np.arange(len(sets))
     size = np.array([len(x) for x in sets])
     order = np.argsort(size, kind="stable")
-    maps = _bitmaps(np.concatenate([sets[k] for k in order]), np.cumsum(size[order]))
     ordered, sides = size[order], side[order]
-    for i in range(len(order) - 1):
-        most = int(np.searchsorted(ordered, method.whole * ordered[i] // method.part, "right"))
-        if most <= i + 1:
-            continue
-        others = slice(i + 1, most)
-        need = method.needed(ordered[i] + ordered[others])
-        short = np.minimum(ordered[i] - np.bitwise_count(maps[i] & ~maps[others]).sum(1), ordered[others] - np.bitwise_count(maps[others] & ~maps[i]).sum(1).astype(np.int64))
-        near = np.flatnonzero((short >= need) & ((sides[others] != sides[i]) | (sides[i] == 0)))
-        x = order[i]
-        for k in near.tolist():
-            y = order[i + 1 + k]
-            if label[x] != label[y]:
-                a, b = sets[x], sets[y]
-                at = np.minimum(np.searchsorted(b, a), len(b) - 1)
-                if int((b[at] == a).sum()) >= need[k]:
-                    low, high = sorted((label[x], label[y]))
-                    label[label == high] = low
+    reach = np.searchsorted(ordered, method.whole * ordered // method.part, "right")
+    words = np.maximum(WORDS, 1 << np.ceil(np.log2(np.maximum(ordered, 1) / 64)).astype(np.int64).clip(0))
+    for begin in np.unique(words, return_index=True)[1].tolist():
+        end = int(np.searchsorted(words, words[begin], "right"))
+        among = [sets[k] for k in order[begin : reach[end - 1]]]
+        maps = _bitmaps(np.concatenate(among), np.cumsum([len(x) for x in among]), int(words[begin]))
+        held = np.bitwise_count(maps).sum(1, dtype=np.int64)
+        for i in range(begin, end):
+            if reach[i] <= i + 1:
+                continue
+            others, at = slice(i + 1, reach[i]), slice(i + 1 - begin, reach[i] - begin)
+            need = method.needed(ordered[i] + ordered[others])
+            both = np.bitwise_count(maps[i - begin] & maps[at]).sum(1, dtype=np.int64)
+            short = np.minimum(ordered[i] - held[i - begin], ordered[others] - held[at]) + both
+            near = np.flatnonzero((short >= need) & ((sides[others] != sides[i]) | (sides[i] == 0)))
+            x = order[i]
+            for k in near.tolist():
+                y = order[i + 1 + k]
+                if label[x] != label[y]:
+                    a, b = sets[x], sets[y]
+                    at_b = np.minimum(np.searchsorted(b, a), len(b) - 1)
+                    if int((b[at_b] == a).sum()) >= need[k]:
+                        low, high = sorted((label[x], label[y]))
+                        label[label == high] = low
     return label
 
 

@@ -339,3 +339,22 @@ def test_ngram_join_stores_no_keys(spark):
     _check_join(ngram_join.ngram_join(documents(spark, data)).collect(), data, 4, 85)
     stored = sum(f.stat().st_size for path in common._stashes for f in Path(path.removeprefix("file:")).rglob("*.parquet"))
     assert 0 < stored < 0.2 * sum(len(t) for _, t, _ in data)
+
+
+def test_large_sets_that_do_not_link_are_not_intersected(monkeypatch):
+    """Bitmaps grow with the sets: full ones let every pair of large sets through to the exact test. Links stay those of all pairs."""
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(1, 2**63, int(n), dtype=np.uint64)) for n in [*rng.integers(3, 90, 40), *rng.integers(4000, 5000, 120), *rng.integers(15_000, 18_000, 10)]]
+    sets += [np.unique(np.append(s[: int(len(s) * share)], rng.integers(1, 2**63, 1, dtype=np.uint64))) for s in sets[::7] for share in (0.7, 0.97)]
+    method = similarity.Method(None, None, None, 80)
+    whole = np.arange(len(sets))
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                low, high = sorted((whole[i], whole[j]))
+                whole[whole == high] = low
+    exact, found = [], np.searchsorted
+    monkeypatch.setattr(np, "searchsorted", lambda a, v, *rest: (exact.append(1) if np.size(v) > 1 and a.dtype == np.uint64 else None, found(a, v, *rest))[1])
+    assert (similarity.link(sets, np.zeros(len(sets), int), method) == whole).all()
+    assert 20 <= len(exact) < 2 * len(sets)
