@@ -419,3 +419,15 @@ def test_boruta_makes_few_jobs(spark):
 def test_forests_on_all_rows_keep_where_rows_are():
     """Levels of deep trees cost what their rows do, not walks from the root."""
     assert models.forest("regression", 3, 1).getCacheNodeIds() and models.forest("classification", 3, 1).getCacheNodeIds()
+
+
+def test_boruta_reads_all_rows(spark, monkeypatch):
+    """No sample, however many rows have the label; and trees that are grown a few at a time are as many."""
+    monkeypatch.setattr(forests, "AT_ONCE", 30_000)
+    df = spark.range(12_000).selectExpr("id rid", "id * 37 % 101 / 7.0D a", "id * 17 % 29 / 3.0D b", "int(id * 37 % 101 > 50) y")
+    scores, found = models.boruta(df, ["a", "b"], ["y"], "rid", models.Options(trees=5, holdout_trees=5, iterations=6))
+    assert scores[0][3] == 12_000 and scores[0][5] == 1.0
+    assert found[0][2:5] == ("a", "confirmed", 6) and found[1][3] != "confirmed"
+    x, weight = np.arange(12_000)[:, None] % 97 / 3.0, np.where(np.arange(12_000) % 5 == 0, 0.0, 1.0)
+    importances, votes = forests.grow_many(forests.binned(x, weight > 0), (x[:, 0] > 11).astype(float), 2, weight, 5, 1)
+    assert importances == pytest.approx([5.0]) and votes[weight == 0].sum(1) == pytest.approx(np.full(2400, 5.0))
